@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, exact_dedup, line_dedup, packing, rules, url_filter, warc
+from . import bpe, classifier, exact_dedup, line_dedup, packing, rules, suffix_dedup, url_filter, warc
 from .common import read_table
 
 #: (verdict, host, path prefix)
@@ -34,6 +34,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(read_table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
