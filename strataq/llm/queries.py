@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, exact_dedup, line_dedup, packing, rules, suffix_dedup, url_filter, warc
+from . import bpe, classifier, exact_dedup, line_dedup, ngram_join, packing, rules, suffix_dedup, url_filter, warc
 from .common import read_table
 
 #: (verdict, host, path prefix)
@@ -56,6 +56,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, num=9, den=10)
+    return found.select(F.col("_id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", "quality")
