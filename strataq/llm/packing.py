@@ -22,8 +22,10 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .common import cut, small_batches, text_or_empty
 
-#: Words whose ids a worker keeps before its store starts afresh.
-KEPT_WORDS = 300_000
+#: Words whose ids a worker keeps in each of two generations.
+KEPT_WORDS = 600_000
 #: One bin: (how many such bins, {length: pieces of it per bin}).
 Bin = tuple[int, dict[int, int]]
 
@@ -159,26 +161,68 @@ class WordTokens:
     """Ids of texts by a `tokenizers` file whose pieces never cross ASCII white space.
 
     Each distinct word is encoded by the library once; a text is its words' ids.
+    A sign after an ASCII letter or digit starts a piece of its own, so a word with
+    one at its end is the word's ids and the sign's.  Known words live in two
+    generations: when the young one is full the old one is given up, and words met
+    again come back from it, so frequent words stay.
     """
 
+    SIGNS = (b",", b".")
+
     def __init__(self, path: str):
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1 << 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.signs = dict(zip(self.SIGNS, self._each(list(self.SIGNS))))
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        got = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in got]
+
+    def _encode(self, words: list[bytes], line: int = 400) -> dict[bytes, bytes]:
+        """Words of letters alone are one piece each, which ends in a word end: they are encoded by the line."""
+        out: dict[bytes, bytes] = {}
+        single, other = [], []
+        for w in words:
+            text = w.decode()
+            (single if text.isalpha() and (text.isascii() or (text.lower().isalpha() and is_normalized("NFC", text))) else other).append(w)
+        lines = [single[at : at + line] for at in range(0, len(single), line)]
+        for part, got in zip(lines, self.library.encode_batch_fast([b" ".join(part).decode() for part in lines], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            stop = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if stop.size != len(part) or stop[-1] != 4 * ids.size:
+                other += part
+                continue
+            data = ids.tobytes()
+            out.update((w, data[i:j]) for w, i, j in zip(part, [0, *stop.tolist()], stop.tolist()))
+        out.update(zip(other, self._each(other)))
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.known) > KEPT_WORDS:
+            self.old, self.known = self.known, {}
+            return self._learn(set(words))
+        back = words & self.old.keys()
+        self.known.update((w, self.old[w]) for w in back)
+        signed = {w: w[:-1] for w in words - back if w[-1:] in self.signs and w[-2:-1].isalnum()}
+        plain = list(((words - back - signed.keys()) | set(signed.values())) - self.known.keys())
+        for at in range(0, len(plain), 10_000):
+            self.known.update(self._encode(plain[at : at + 10_000]))
+        self.known.update((w, self.known[core] + self.signs[w[-1:]]) for w, core in signed.items())
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         split = [t.split() for t in texts]
-        new = list(set().union(*map(set, split)).difference(self.known)) if split else []
-        if len(self.known) + len(new) > KEPT_WORDS and self.known:
-            self.known = {}
-            new = list(set().union(*map(set, split)))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            got = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        met = set().union(*split) if split else set()
+        if new := met - self.known.keys():
+            self._learn(new if len(self.known) <= KEPT_WORDS else met)
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
