@@ -33,7 +33,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
@@ -66,6 +66,10 @@ class Threshold:
         """Lists that linked sets share at least, with prefixes longer by share - 1."""
         return max(1, min(-(-self.prefix(size) // 4), size - self.prefix(size) + 1))
 
+    def need(self, size: int) -> int:
+        """Lists shared at least with any linked set, which may be smaller and listed less."""
+        return self.share(-(-self.num * size // self.den))
+
     def removable(self, size: int) -> int:
         """Most elements to remove from a light set for an intersection."""
         a = 0
@@ -259,16 +263,19 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 4, den: int =
     listed = heavy.select(F.explode("_lists").alias("_t"), "_c")
     shared = cut(listed.groupBy("_t").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).filter("_lo <> _hi").select("_t"), "shared")
     met = cut(listed.join(shared, "_t").groupBy("_t", "_c").agg(F.lit(1).alias("_one")).select("_t", "_c"), "met")
-    need = _share_column(limit)
-    sizes = heavy.groupBy("_c").agg(F.first("_size").alias("_size"), F.min(F.struct("_id", "_h")).alias("_of"))
-    enough = cut(met.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).join(sizes, "_c").filter(F.col("_n") >= need).select("_c", "_of"), "enough")
-    members = met.join(enough.select("_c"), "_c", "left_semi")
+    classes = heavy.groupBy("_c").agg(F.first("_size").alias("_size"), F.min(F.struct("_id", "_h")).alias("_of"))
+    enough = met.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).join(classes, "_c").filter(F.col("_n") >= _need(limit, "_size"))
+    enough = cut(enough.select("_c", "_size", "_of"), "enough")
+    members = _rarest(cut(met.join(enough.select("_c", "_size"), "_c"), "some"), limit)
     lists = members.groupBy("_t").agg(F.min("_c").alias("_p"), F.max("_c").alias("_hi")).filter("_p <> _hi").select("_t", "_p")
     members = cut(members.join(cut(lists, "lists"), "_t").select("_t", "_c", "_p"), "members")
-    sets = _fetch_sets(rows, cut(members.select("_c").distinct().join(enough, "_c"), "needed"), n)
+    needed = cut(members.select("_c").distinct().join(enough, "_c"), "needed")
+    sketches = cut(heavy.select("_c", "_lists").join(needed.select("_c", "_size"), "_c").groupBy("_c").agg(F.first("_size").alias("_size"), F.first("_lists").alias("_lists")), "sketches")
     # each class against the least of its pivots, then what is left of open lists against new ones
-    pairs = members.groupBy(F.col("_c").alias("x")).agg(F.min("_p").alias("y")).filter("x <> y")
-    edges = cut(edges.unionAll(_links(_verified(pairs, sets, limit, False))), "links")
+    pairs = cut(members.filter("_c <> _p").groupBy(F.col("_c").alias("x")).agg(F.min("_p").alias("y")), "pairs")
+    hopeful = _plausible(pairs, sketches, limit)
+    sets = _fetch_sets(rows, needed, n)
+    edges = cut(edges.unionAll(_links(_verified(hopeful, sets, limit, False))), "links")
     labels = components(edges)
     rest = _open_lists(members, labels)
     tested = pairs
@@ -276,8 +283,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 4, den: int =
         if rest.isEmpty():
             break
         pairs = _next_pairs(rest, tested)
-        tested = cut(tested.select("x", "y").unionAll(pairs.select("x", "y")), "tested")
-        edges = cut(edges.unionAll(_links(_verified(pairs, sets, limit, False))), "links")
+        tested = cut(tested.unionAll(pairs), "tested")
+        edges = cut(edges.unionAll(_links(_verified(_plausible(pairs, sketches, limit), sets, limit, False))), "links")
         labels = components(edges)
         rest = _open_lists(rest.select("_t", "_c"), labels)
     if not rest.isEmpty():
@@ -286,10 +293,22 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 4, den: int =
     return _named(entries, labels)
 
 
-def _share_column(limit: Threshold):
-    s = F.col("_size")
-    prefix = s - F.ceil(limit.num * s / limit.den) + 1
-    return F.greatest(F.lit(1), F.least(F.ceil(prefix / 4), s - prefix + 1))
+def _need(limit: Threshold, size: str) -> Column:
+    """Threshold.need() as a column."""
+    least = f"(({limit.num} * {size} + {limit.den - 1}) div {limit.den})"
+    common = f"(({limit.num} * {least} + {limit.den - 1}) div {limit.den})"
+    prefix = f"({least} - {common} + 1)"
+    return F.expr(f"greatest(1, least(({prefix} + 3) div 4, {common}))")
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, limit: Threshold) -> DataFrame:
+    """Pairs whose sizes and list entries allow a link; entries are a tenth of the sets or so."""
+    left = sketches.select(F.col("_c").alias("x"), F.col("_size").alias("_nx"), F.col("_lists").alias("_lx"))
+    right = sketches.select(F.col("_c").alias("y"), F.col("_size").alias("_ny"), F.col("_lists").alias("_ly"))
+    met = pairs.select("x", "y").join(left, "x").join(right.select("y", "_ny"), "y")
+    met = met.filter(limit.den * F.least("_nx", "_ny") >= limit.num * F.greatest("_nx", "_ny")).join(right.select("y", "_ly"), "y")
+    enough = F.size(F.array_intersect("_lx", "_ly")) >= F.least(_need(limit, "_nx"), _need(limit, "_ny"))
+    return cut(met.filter(enough).select("x", "y"), "plausible")
 
 
 def _next_pairs(rest: DataFrame, tested: DataFrame) -> DataFrame:
@@ -301,6 +320,18 @@ def _next_pairs(rest: DataFrame, tested: DataFrame) -> DataFrame:
     return cut(pairs.distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
 
 
+def _rarest(met: DataFrame, limit: Threshold) -> DataFrame:
+    """_t, _c: of each class's shared lists those that are left without its need - 1 longest.
+
+    Two linked classes share need lists or more; the shortest shared one, in the
+    order of (length, fingerprint), is left on both sides.
+    """
+    length = cut(met.groupBy("_t").agg(F.count(F.lit(1)).alias("_df")), "lengths")
+    own = met.join(length, "_t").groupBy("_c").agg(F.first("_size").alias("_size"), F.sort_array(F.collect_list(F.struct("_df", "_t"))).alias("_of"))  # one class's own entries
+    left = F.slice("_of", F.lit(1), F.greatest(F.lit(0), F.size("_of") - _need(limit, "_size") + 1).cast("int"))
+    return cut(own.select("_c", F.explode(left).alias("_e")).filter("_e._df > 1").select(F.col("_e._t").alias("_t"), "_c"), "rarest")
+
+
 def _light_edges(light: DataFrame, limit: Threshold) -> DataFrame:
     """Star edges of sets that enumerate a common subset: to the set that removed least, by which all linked ones hang together."""
     each = light.select("_c", "_size", F.explode(F.arrays_zip("_sub", "_gone")).alias("_z")).select("_c", F.col("_z._sub").alias("_s"), F.col("_z._gone").alias("_a"), (F.col("_size") - F.col("_z._gone")).alias("_i"))
