@@ -22,7 +22,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 #: Texts are worked on in slices of about so many bytes; one longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 

@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .common import cut, small_batches, text_or_empty
 
-#: Words whose ids a worker keeps in each of two generations.
-KEPT_WORDS = 600_000
+#: Words whose ids a worker keeps, about 50 bytes each.
+KEPT_WORDS = 1_500_000
 #: One bin: (how many such bins, {length: pieces of it per bin}).
 Bin = tuple[int, dict[int, int]]
 
@@ -160,11 +160,11 @@ class Places:
 class WordTokens:
     """Ids of texts by a `tokenizers` file whose pieces never cross ASCII white space.
 
-    Each distinct word is encoded by the library once; a text is its words' ids.
-    A sign after an ASCII letter or digit starts a piece of its own, so a word with
-    one at its end is the word's ids and the sign's.  Known words live in two
-    generations: when the young one is full the old one is given up, and words met
-    again come back from it, so frequent words stay.
+    Words are found and fingerprinted (64 bits) by the batch; each distinct word is
+    encoded by the library once, and a text is its words' ids.  A sign after an ASCII
+    letter or digit starts a piece of its own, so a word with one at its end is the
+    word's ids and the sign's.  Known words are sorted arrays; when they pass
+    KEPT_WORDS the half not met for longest is given up.
     """
 
     SIGNS = (b",", b".")
@@ -173,8 +173,8 @@ class WordTokens:
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.keys, self.at, self.size, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.tokens, self.used, self.turn = np.empty(1 << 20, "<u4"), 0, 0
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1 << 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -203,26 +203,56 @@ class WordTokens:
         out.update(zip(other, self._each(other)))
         return out
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) > KEPT_WORDS:
-            self.old, self.known = self.known, {}
-            return self._learn(set(words))
-        back = words & self.old.keys()
-        self.known.update((w, self.old[w]) for w in back)
-        signed = {w: w[:-1] for w in words - back if w[-1:] in self.signs and w[-2:-1].isalnum()}
-        plain = list(((words - back - signed.keys()) | set(signed.values())) - self.known.keys())
-        for at in range(0, len(plain), 10_000):
-            self.known.update(self._encode(plain[at : at + 10_000]))
-        self.known.update((w, self.known[core] + self.signs[w[-1:]]) for w, core in signed.items())
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        split = [t.split() for t in texts]
-        met = set().union(*split) if split else set()
-        if new := met - self.known.keys():
-            self._learn(new if len(self.known) <= KEPT_WORDS else met)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """keys ascending."""
+        core = [w[:-1] if w[-1:] in self.signs and w[-2:-1].isalnum() else w for w in words]
+        found = self._encode(list(dict.fromkeys(core)))
+        ids = [found[c] + (self.signs[w[-1:]] if len(c) < len(w) else b"") for c, w in zip(core, words)]
+        new = np.frombuffer(b"".join(ids), "<u4")
+        size = np.array([len(i) // 4 for i in ids], np.int64)
+        if self.keys.size + keys.size > KEPT_WORDS and self.keys.size:
+            self._forget()
+        if self.used + new.size > self.tokens.size:
+            self.tokens = np.concatenate([self.tokens[: self.used], np.empty(max(self.tokens.size, new.size), "<u4")])
+        self.tokens[self.used : self.used + new.size] = new
+        place = np.searchsorted(self.keys, keys)
+        self.at, self.size = np.insert(self.at, place, self.used + np.cumsum(size) - size), np.insert(self.size, place, size)
+        self.met, self.keys = np.insert(self.met, place, self.turn), np.insert(self.keys, place, keys)
+        self.used += new.size
+
+    def _forget(self) -> None:
+        stay = np.flatnonzero(self.met > np.median(self.met))
+        kept = self.tokens[_ranges(self.at[stay], self.size[stay])]
+        self.keys, self.size, self.met = self.keys[stay], self.size[stay], self.met[stay]
+        self.at = np.cumsum(self.size) - self.size
+        self.tokens[: kept.size], self.used = kept, kept.size
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, self.keys.size - 1))
+        return at, (self.keys[at] == keys) if self.keys.size else np.zeros(keys.size, bool)
+
+    def ids(self, buf: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        """Little-endian uint32 ids of each text of a flat buffer."""
+        start, end, doc = B.words(buf, offs)
+        keys, first, which = np.unique(B.Prefix(buf).of(start, end), return_index=True, return_inverse=True)
+        self.turn += 1
+        at, known = self._find(keys)
+        self.met[at[known]] = self.turn
+        if not known.all():
+            data, new = buf.tobytes(), first[~known]
+            self._learn(keys[~known], [data[i:j] for i, j in zip(start[new].tolist(), end[new].tolist())])
+            at, known = self._find(keys)
+        at = at[which]
+        size = self.size[at]
+        data = self.tokens[_ranges(self.at[at], size)].tobytes()
+        stop = 4 * np.concatenate([[0], np.cumsum(size)])[np.searchsorted(doc, np.arange(offs.size))]
+        return [data[i:j] for i, j in zip(stop.tolist(), stop[1:].tolist())]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, start[1] .. and so on."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if size.size else 0)
 
 
 @lru_cache(maxsize=2)
@@ -244,9 +274,8 @@ def pieces(docs: DataFrame, *, tokenizer: str, capacity: int, end_id: int, id_co
         seen: dict[int, int] = {}
         for batch in batches:
             for part, buf, offs in B.slices(batch, "_text"):
-                data = buf.tobytes()
                 out = []
-                for row, ids in enumerate(coder.ids([data[i:j] for i, j in zip(offs, offs[1:])])):
+                for row, ids in enumerate(coder.ids(buf, offs)):
                     ids += end
                     for k in range(0, len(ids), 4 * capacity):
                         one = ids[k : k + 4 * capacity]
