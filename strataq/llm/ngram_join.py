@@ -10,9 +10,9 @@ shared lists are out, the others scan the lists.  The boundary is the one of
 least cost over the histogram of set sizes.
 
 Scanning a list never emits its pairs.  Every member is held against the list's
-pivot (its least class), linked members become one component, lists within one
-component are finished, and what is left gets further pivots.  Members x, y of a
-list that stay apart can only be linked if their differences to the common pivot
+pivot (its least class), linked members become one component, and lists within
+one component are finished.  What is left of short lists is paired; what is left
+of long ones gets further pivots, and members x, y of a long list that stay apart can only be linked if their differences to the common pivot
 overlap, x ^ y = (x ^ p) ^ (y ^ p); those small difference sets are joined under
 a prefix of their rarest elements, and exact checks follow.  Equal answers for
 equal inputs at every size; nothing is capped.
@@ -45,8 +45,10 @@ U = np.uint64
 MOST_SUBSETS = 512
 #: Cost of one inverted list entry against one subset: it is scanned, and its set verified.
 ENTRY_COST = 4
-#: Rounds in which what is left of a list gets a new pivot.
+#: Rounds in which what is left of a long list gets a new pivot.
 ROUNDS = 3
+#: What is left of lists at most so long is paired outright, so at most so many rows a member; longer ones go by pivots.
+SHORT_LIST = 64
 
 
 class Threshold:
@@ -213,11 +215,22 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("v", "_c"), "_c", "left").withColumn("label", F.coalesce("label", "_c"))
 
 
-def _open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """_t, _c, label of lists that hold more than one component."""
-    now = _labelled(members, labels)
-    apart = cut(now.groupBy("_t").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("_t"), "apart")
-    return cut(now.join(apart, "_t").select("_t", "_c", "label"), "open")
+def _open_lists(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """_t, _c, label of lists that hold more than one component: short ones and long ones.
+
+    A list that was long stays so for its remaining rounds: only the first call sees short ones.
+    """
+    now = cut(_labelled(members, labels), "labelled")
+    apart = cut(now.groupBy("_t").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter("_lo <> _hi").select("_t", "_n"), "apart")
+    both = cut(now.join(apart, "_t").select("_t", "_c", "label", "_n"), "open")
+    return both.filter(F.col("_n") <= SHORT_LIST).drop("_n"), both.filter(F.col("_n") > SHORT_LIST).drop("_n")
+
+
+def _short_pairs(rest: DataFrame, tested: DataFrame) -> DataFrame:
+    """x, y of different components that meet in a short list."""
+    a, b = rest.select("_t", F.col("_c").alias("x"), F.col("label").alias("_lx")), rest.select("_t", F.col("_c").alias("y"), F.col("label").alias("_ly"))
+    pairs = a.join(b, "_t").filter("x > y and _lx <> _ly").select("x", "y").distinct()
+    return cut(pairs.join(tested.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
 
 
 def _links(pairs: DataFrame) -> DataFrame:
@@ -277,8 +290,16 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 4, den: int =
     sets = _fetch_sets(rows, needed, n)
     edges = cut(edges.unionAll(_links(_verified(hopeful, sets, limit, False))), "links")
     labels = components(edges)
-    rest = _open_lists(members, labels)
+    rest, long = _open_lists(members, labels)
     tested = pairs
+    if not rest.isEmpty():
+        pairs = _short_pairs(rest, tested)
+        tested = cut(tested.unionAll(pairs), "tested")
+        edges = cut(edges.unionAll(_links(_verified(_plausible(pairs, sketches, limit), sets, limit, False))), "links")
+        if not long.isEmpty():
+            labels = components(edges)
+            long = _open_lists(long.select("_t", "_c"), labels)[1]
+    rest = long
     for _ in range(ROUNDS):
         if rest.isEmpty():
             break
@@ -286,11 +307,10 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 4, den: int =
         tested = cut(tested.unionAll(pairs), "tested")
         edges = cut(edges.unionAll(_links(_verified(_plausible(pairs, sketches, limit), sets, limit, False))), "links")
         labels = components(edges)
-        rest = _open_lists(rest.select("_t", "_c"), labels)
+        rest = _open_lists(rest.select("_t", "_c"), labels)[1]
     if not rest.isEmpty():
         edges = cut(edges.unionAll(_crossed(rest, sets, labels, limit)), "links")
-        labels = components(edges)
-    return _named(entries, labels)
+    return _named(entries, components(edges))
 
 
 def _need(limit: Threshold, size: str) -> Column:
@@ -303,10 +323,10 @@ def _need(limit: Threshold, size: str) -> Column:
 
 def _plausible(pairs: DataFrame, sketches: DataFrame, limit: Threshold) -> DataFrame:
     """Pairs whose sizes and list entries allow a link; entries are a tenth of the sets or so."""
-    left = sketches.select(F.col("_c").alias("x"), F.col("_size").alias("_nx"), F.col("_lists").alias("_lx"))
-    right = sketches.select(F.col("_c").alias("y"), F.col("_size").alias("_ny"), F.col("_lists").alias("_ly"))
-    met = pairs.select("x", "y").join(left, "x").join(right.select("y", "_ny"), "y")
-    met = met.filter(limit.den * F.least("_nx", "_ny") >= limit.num * F.greatest("_nx", "_ny")).join(right.select("y", "_ly"), "y")
+    side = lambda c, *cols: sketches.select(F.col("_c").alias(c), *(F.col(a).alias(b) for a, b in cols))
+    sized = pairs.select("x", "y").join(side("x", ("_size", "_nx")), "x").join(side("y", ("_size", "_ny")), "y")
+    fit = cut(sized.filter(limit.den * F.least("_nx", "_ny") >= limit.num * F.greatest("_nx", "_ny")), "fit")
+    met = fit.join(side("x", ("_lists", "_lx")), "x").join(side("y", ("_lists", "_ly")), "y")
     enough = F.size(F.array_intersect("_lx", "_ly")) >= F.least(_need(limit, "_nx"), _need(limit, "_ny"))
     return cut(met.filter(enough).select("x", "y"), "plausible")
 
