@@ -27,6 +27,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -66,7 +67,7 @@ class Threshold:
 
     def share(self, size: int) -> int:
         """Lists that linked sets share at least, with prefixes longer by share - 1."""
-        return max(1, min(-(-self.prefix(size) // 4), size - self.prefix(size) + 1))
+        return max(1, min(-(-size // 10), size - self.prefix(size) + 1))
 
     def need(self, size: int) -> int:
         """Lists shared at least with any linked set, which may be smaller and listed less."""
@@ -317,8 +318,7 @@ def _need(limit: Threshold, size: str) -> Column:
     """Threshold.need() as a column."""
     least = f"(({limit.num} * {size} + {limit.den - 1}) div {limit.den})"
     common = f"(({limit.num} * {least} + {limit.den - 1}) div {limit.den})"
-    prefix = f"({least} - {common} + 1)"
-    return F.expr(f"greatest(1, least(({prefix} + 3) div 4, {common}))")
+    return F.expr(f"greatest(1, least(({least} + 9) div 10, {common}))")
 
 
 def _plausible(pairs: DataFrame, sketches: DataFrame, limit: Threshold) -> DataFrame:
@@ -344,12 +344,21 @@ def _rarest(met: DataFrame, limit: Threshold) -> DataFrame:
     """_t, _c: of each class's shared lists those that are left without its need - 1 longest.
 
     Two linked classes share need lists or more; the shortest shared one, in the
-    order of (length, fingerprint), is left on both sides.
+    order of (length, fingerprint), is left on both sides.  If that one is long, all
+    that they share are, so only classes with need long lists stay in long ones.
+    Long lists are split by bands of set size, of which linked sets share one.
     """
     length = cut(met.groupBy("_t").agg(F.count(F.lit(1)).alias("_df")), "lengths")
     own = met.join(length, "_t").groupBy("_c").agg(F.first("_size").alias("_size"), F.sort_array(F.collect_list(F.struct("_df", "_t"))).alias("_of"))  # one class's own entries
-    left = F.slice("_of", F.lit(1), F.greatest(F.lit(0), F.size("_of") - _need(limit, "_size") + 1).cast("int"))
-    return cut(own.select("_c", F.explode(left).alias("_e")).filter("_e._df > 1").select(F.col("_e._t").alias("_t"), "_c"), "rarest")
+    need = _need(limit, "_size")
+    left = F.slice("_of", F.lit(1), F.greatest(F.lit(0), F.size("_of") - need + 1).cast("int"))
+    popular = F.size(F.filter("_of", lambda e: e["_df"] > SHORT_LIST)) >= need
+    each = own.select("_c", "_size", popular.alias("_popular"), F.explode(left).alias("_e")).select("_c", "_size", "_popular", "_e._df", "_e._t").filter("_df > 1")
+    short = each.filter(F.col("_df") <= SHORT_LIST).select("_t", "_c")
+    band = lambda size: F.floor(F.log(size) / (2 * math.log(limit.den / limit.num)))
+    bands = F.array_distinct(F.array(band(F.col("_size")), band(F.expr(f"_size * {limit.den} div {limit.num}"))))
+    long = each.filter((F.col("_df") > SHORT_LIST) & F.col("_popular")).select("_t", "_c", F.explode(bands).alias("_band"))
+    return cut(short.unionAll(long.select(F.xxhash64("_t", "_band"), "_c")), "rarest")
 
 
 def _light_edges(light: DataFrame, limit: Threshold) -> DataFrame:
