@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-SECTIONS = ("scans", "relational", "scalars", "search")
+SECTIONS = ("scans", "relational", "scalars", "search", "decisions")
 
 
 def _load():
