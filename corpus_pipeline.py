@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm import classifier, line_dedup, ngram_join, packing, suffix_dedup
-from strataq.llm.common import cut, read_table
+from strataq.llm.common import cut, read_table, unused
 from strataq.llm.queries import WORD_BPE
 
 #: A document goes when it is this unlikely to be of good quality.
@@ -22,8 +22,8 @@ REJECT_BELOW = 0.3
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go.  The labels' texts are the stage's own input."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = classifier.fit(docs, labels)
-    return classifier.score(docs, model, keep=docs.columns, score_col="_quality_score").filter(F.col("_quality_score") >= REJECT_BELOW).select(*docs.columns)
+    model, score = classifier.fit(docs, labels), unused(docs, "quality_score")
+    return classifier.score(docs, model, keep=docs.columns, score_col=score).filter(F.col(score) >= REJECT_BELOW).select(*docs.columns)
 
 
 def line_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import cut, small_batches, text_or_empty
+from .common import cut, small_batches, text_or_empty, unused
 
 U = np.uint64
 
@@ -164,12 +164,13 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # buckets * dim * 4 bytes, whatever the corpus
-    rows = docs.select(*(F.col(c) for c in keep), text_or_empty(text_col).alias("_scored_text"))
+    text = unused(docs, "_scored_text")
+    rows = docs.select(*(F.col(c) for c in keep), text_or_empty(text_col).alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part, buf, offs in B.slices(batch, "_scored_text"):
+            for part, buf, offs in B.slices(batch, text):
                 got = own.score(pooled(own.vectors, buf, offs))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.float64())], [*keep, score_col])
 

@@ -50,3 +50,15 @@ def text_or_empty(name: str = "text") -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that working columns beside it cannot clash with their names."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column has it."""
+    while name in df.columns:
+        name = "_" + name
+    return name

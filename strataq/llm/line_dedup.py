@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, cut, whole_row
 
 _NO_HOST = "\x00null"
 
@@ -46,17 +46,21 @@ def boilerplate_lines(docs: DataFrame, *, text_col: str, host_col: str, max_rati
     return counted.join(totals, "_host").withColumn("_ratio", F.col("_pages") / F.col("_total")).filter(F.col("_ratio") > max_ratio)
 
 
-def line_dedup(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", max_ratio: float = 0.1, min_pages: int = 10) -> DataFrame:
-    """docs with text_col rebuilt from the lines that stay, plus _n_lines and _n_dropped."""
+def line_dedup(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", max_ratio: float = 0.1, min_pages: int = 10, counts: bool = False) -> DataFrame:
+    """docs with text_col rebuilt from the lines that stay; with counts also n_lines and n_dropped (in place of columns so named)."""
     host_lines = cut(
         boilerplate_lines(docs, text_col=text_col, host_col=host_col, max_ratio=max_ratio, min_pages=min_pages)
         .groupBy("_host").agg(F.collect_set("_line").alias("_drop")),
         "boilerplate",
-    ).withColumnRenamed("_host", "_host_of_lines")
+    )
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(_NO_HOST))
-    joined = docs.withColumn("_host_of_row", host).join(host_lines, F.col("_host_of_row") == F.col("_host_of_lines"), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    # one array per host: broadcast by Spark below its size limit, else both sides are sorted and hot hosts split
+    rows = docs.select(whole_row(docs).alias("_r"), host.alias("_host")).join(host_lines, "_host", "left")
+    text = F.col(f"_r.`{text_col}`")
+    lines = F.split(text, "\n", -1)
     stay = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~_has_word(x) | ~F.array_contains(F.col("_drop"), _key(x))))
-    out = joined.withColumn("_stay", stay).withColumn("_n_lines", F.size(lines)).withColumn("_n_dropped", F.col("_n_lines") - F.size("_stay"))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join("_stay", "\n"))
-    return out.withColumn(text_col, text).drop("_stay", "_drop", "_host_of_lines", "_host_of_row")
+    rows = rows.select("_r", "_drop", stay.alias("_stay"))
+    kept = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join("_stay", "\n"))
+    extra = {"n_lines": F.size(lines), "n_dropped": F.size(lines) - F.size("_stay")} if counts else {}
+    own = [(kept if c == text_col else F.col(f"_r.`{c}`")).alias(c) for c in docs.columns if c not in extra]
+    return rows.select(*own, *(F.coalesce(n, F.lit(0)).cast("long").alias(c) for c, n in extra.items()))

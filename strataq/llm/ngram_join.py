@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .bloom import maybe_in
-from .common import cut, small_batches, text_or_empty
+from .common import cut, small_batches, text_or_empty, whole_row
 
 U = np.uint64
 #: Most subsets that one light set may enumerate.
@@ -246,17 +246,21 @@ def _crossed(open_lists: DataFrame, sets: DataFrame, labels: DataFrame, limit: T
     rows = near.select("_c", F.col("y").alias("p"), "label", "linked", "sx", "sy", F.size("delta").alias("d"), F.posexplode("delta").alias("_i", "token"))
     seen = rows.groupBy("p", "token").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
     ordered = rows.join(cut(seen, "seen"), ["p", "token"])
-    # y of a pair (x, y) with x not linked to p shares at least this many elements of its difference with x's
-    gap = F.floor(F.greatest(F.lit(0), F.col("sx") - F.col("sy")) * (limit.den - limit.num) / (limit.den + limit.num))
-    need = F.greatest(F.lit(1), F.ceil((F.col("d") - gap - 1) / 2))
+    # A linked pair differs in H elements at most, so their differences to p overlap in all but H of either;
+    # and with x not linked to p, in half of y's: so much of the rarest elements is enough to meet.
+    part, whole = limit.den - limit.num, limit.den + limit.num
+    most = F.expr(f"((sx + sx * {limit.den} div {limit.num}) * {part}) div {whole}")
+    gap = F.floor(F.greatest(F.lit(0), F.col("sx") - F.col("sy")) * part / whole)
+    half = F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("d") - gap - 1) / 2)) + 1
     rare = ordered.groupBy("_c", "p").agg(
-        F.first("label").alias("label"), F.first("linked").alias("linked"), F.first(F.col("d") - need + 1).alias("_take"),
+        F.first("label").alias("label"), F.first("linked").alias("linked"), F.first("d").alias("d"), F.first(most).alias("_most"), F.first(half).alias("_half"),
         F.sort_array(F.collect_list(F.struct("df", "token", F.col("_lo") == F.col("_hi")))).alias("_tokens"),
     )  # fmt: skip  one row's own difference set
-    alone = lambda name: f"explode(filter(transform({name}, t -> if(t.col3, null, t.token)), t -> t is not null))"
-    y = rare.select("p", F.col("_c").alias("y"), F.col("label").alias("_ly"), F.expr(alone("slice(_tokens, 1, cast(_take as int))")).alias("token"))
-    x = rare.filter("not linked").select("p", F.col("_c").alias("x"), F.col("label").alias("_lx"), F.expr(alone("_tokens")).alias("token"))
-    found = x.join(y, ["p", "token"]).filter("_lx <> _ly").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    rare = cut(rare, "rare")
+    met = lambda take: F.explode(F.filter(F.slice("_tokens", F.lit(1), take.cast("int")), lambda t: ~t["col3"])).alias("_t")
+    y = rare.select("p", F.col("_c").alias("y"), F.col("label").alias("_ly"), F.col("d").alias("_dy"), met(F.least(F.col("_half"), F.col("_most") + 1))).withColumn("token", F.col("_t.token")).drop("_t")
+    x = rare.filter("not linked").select("p", F.col("_c").alias("x"), F.col("label").alias("_lx"), F.col("d").alias("_dx"), "_most", met(F.col("_most") + 1)).withColumn("token", F.col("_t.token")).drop("_t")
+    found = x.join(y, ["p", "token"]).filter("_lx <> _ly and abs(_dx - _dy) <= _most").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     return _links(near.select(F.col("_c").alias("x"), "y", "linked")).unionAll(_links(_verified(cut(found, "crossed"), sets, limit, False)))
 
 
@@ -396,9 +400,9 @@ def keep_first(docs: DataFrame, *, n: int = 5, num: int = 4, den: int = 5, id_co
     # a row to keep may have twins alike in id and text: those keys are kept once
     fate = found.groupBy(F.xxhash64("_id", "_h").alias("_key")).agg(F.max("first").alias("_stays"), F.count(F.lit(1)).alias("_twins")).filter("not _stays or _twins > 1")
     fate = cut(fate, "fate")
-    marked = maybe_in(docs.withColumn("_jaccard_key", key), F.col("_jaccard_key"), fate.select("_key"))
-    passed = marked.filter("not _maybe").select(*docs.columns)
+    marked = maybe_in(docs.select(whole_row(docs).alias("_r"), key.alias("_jaccard_key")), F.col("_jaccard_key"), fate.select("_key"))
+    passed = marked.filter("not _maybe")
     asked = marked.filter("_maybe").join(fate, F.col("_jaccard_key") == F.col("_key"), "left").filter("_stays is null or _stays")
-    once = asked.filter("_twins is null or _twins = 1").select(*docs.columns)
-    twins = asked.filter("_twins > 1").dropDuplicates(["_jaccard_key"]).select(*docs.columns)
-    return passed.unionAll(once).unionAll(twins)
+    once = asked.filter("_twins is null or _twins = 1")
+    twins = asked.filter("_twins > 1").dropDuplicates(["_jaccard_key"])
+    return passed.select("_r").unionAll(once.select("_r")).unionAll(twins.select("_r")).select("_r.*")
