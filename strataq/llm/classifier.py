@@ -5,7 +5,7 @@ ternary and random; its context vector is the sum of the index vectors met
 within `window` words over the fitting sample (random indexing), scaled to unit
 length and added to the index vector.  A word's ending has a row of its own, so
 unseen words still say something.  Documents pool (mean) the vectors of all
-their words; a two-layer numpy network scores the pooled vector, and one
+their words, with the pooled length and how words repeat; a two-layer numpy network scores the pooled vector, and one
 temperature, fitted on documents the weights never saw, calibrates it.
 
 The fit takes at most `max_labelled` labelled documents (those whose ids hash
@@ -61,18 +61,31 @@ def word_rows(buf: np.ndarray, offs: np.ndarray, buckets: int) -> tuple[np.ndarr
     return word.astype(np.int32), tail.astype(np.int32), doc
 
 
+def pool(vectors: np.ndarray, word: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """One document's pooled vector, and what pooling loses of its spread.
+
+    Mean word vector; its length, the logarithm of the word count, and the squared
+    length times the count (high where few words make up many); how often a word's
+    row is the one before it.  Zeros without words.
+    """
+    n, dim = word.size, vectors.shape[1]
+    out = np.zeros(dim + 4)
+    if not n:
+        return out
+    for k in range(0, n, 1 << 14):
+        part = slice(k, k + (1 << 14))
+        out[:dim] += vectors[word[part]].sum(0, dtype=np.float64) + vectors[tail[part]].sum(0, dtype=np.float64)
+    out[:dim] /= n
+    square = float(out[:dim] @ out[:dim])
+    out[dim:] = np.sqrt(square), np.log1p(n), square * min(n, 500) / 100, np.count_nonzero(word[1:] == word[:-1]) / n
+    return out
+
+
 def pooled(vectors: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Mean word vector of each text; zeros without words."""
+    """pool() of each text."""
     word, tail, doc = word_rows(buf, offs, vectors.shape[0])
-    n = offs.size - 1
-    out = np.zeros((n, vectors.shape[1]))
-    at = np.searchsorted(doc, np.arange(n + 1))
-    for d in np.flatnonzero(np.diff(at)):
-        for k in range(at[d], at[d + 1], 1 << 14):
-            part = slice(k, min(k + (1 << 14), at[d + 1]))
-            out[d] += vectors[word[part]].sum(0, dtype=np.float64) + vectors[tail[part]].sum(0, dtype=np.float64)
-        out[d] /= at[d + 1] - at[d]
-    return out
+    at = np.searchsorted(doc, np.arange(offs.size))
+    return np.array([pool(vectors, word[i:j], tail[i:j]) for i, j in zip(at, at[1:])]).reshape(offs.size - 1, vectors.shape[1] + 4)
 
 
 def random_index(buckets: int, dim: int, nonzero: int, seed: int) -> np.ndarray:
@@ -102,9 +115,9 @@ def word_vectors(sample: list[np.ndarray], buckets: int, dim: int, *, nonzero: i
     return (index / np.sqrt(nonzero) + np.where(length > 0, context / np.maximum(length, 1e-9), 0)).astype(np.float32)
 
 
-def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, *, hidden: int = 24, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, seed: int = 11) -> Model:
+def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, *, hidden: int = 48, epochs: int = 40, rate: float = 0.01, decay: float = 1e-4, seed: int = 11) -> Model:
     """Two layers by Adam on four fifths of the rows; the temperature on the rest."""
-    model = Model(vectors, x.mean(0) if len(x) else np.zeros(vectors.shape[1]), (x.std(0) + 1e-6) if len(x) else np.ones(vectors.shape[1]))
+    model = Model(vectors, x.mean(0) if len(x) else np.zeros(x.shape[1]), (x.std(0) + 1e-6) if len(x) else np.ones(x.shape[1]))
     if len(np.unique(y)) < 2:
         model.constant = float(y.mean()) if len(y) else 0.5
         return model
@@ -135,7 +148,7 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, *, hidden: int = 24
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 15, dim: int = 32, max_labelled: int = 6000, **network) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 15, dim: int = 32, max_labelled: int = 12_000, **network) -> Model:
     """labels: (id, label), only rows to learn from.  At most max_labelled documents are fitted on."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -155,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     got.sort(key=lambda r: (r[0], r[2]))
     word, tail = [np.frombuffer(r[2], "<i4") for r in got], [np.frombuffer(r[3], "<i4") for r in got]
     vectors = word_vectors(word, buckets, dim)
-    x = np.array([(vectors[a].sum(0, dtype=np.float64) + vectors[b].sum(0, dtype=np.float64)) / max(1, a.size) for a, b in zip(word, tail)]).reshape(len(got), dim)
+    x = np.array([pool(vectors, a, b) for a, b in zip(word, tail)]).reshape(len(got), dim + 4)
     return train(x, np.array([r[1] for r in got], float), vectors, **network)
 
 
