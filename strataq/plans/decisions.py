@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vector as V
-from ..operators import ingest, rules
+from ..operators import hooks, ingest, rules
 from ..operators import segment as S
 from ..streaming import telemetry
 from .registry import query
@@ -291,3 +291,57 @@ def e05(v):
 def e05b(v):
     w = F.session_window(F.col("ts"), "30 minutes")
     return v.table("events").groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("t06_null_first_sort", "SELECT event_id, row_number() OVER (ORDER BY (metric IS NULL) DESC, event_id) AS pos FROM v_telemetry ORDER BY pos LIMIT 100")
+def t06(v):
+    top = v.telemetry.orderBy(F.col("metric").isNull().desc(), "event_id").limit(100)
+    return top.select("event_id", F.row_number().over(Window.orderBy(F.col("metric").isNull().desc(), "event_id")).alias("pos"))
+
+
+@query("s17_push_source", "SELECT event_id, user_id FROM events")
+def s17(v):
+    """Files that arrive at a path, as a stream drained once."""
+    return telemetry.drained(telemetry.raw_source(v.spark, f"{v.dir}/events.parquet*").select("event_id", "user_id"))
+
+
+@query("e01_ingest_ids", "SELECT event_id FROM events WHERE event_type IN ('view', 'purchase')")
+def e01(v):
+    rows = telemetry.raw_source(v.spark, f"{v.dir}/events.parquet*")
+    return telemetry.drained(rows.filter(telemetry.metric_of(F.col("event_type")).isNotNull()).select("event_id"))
+
+
+@query("e04_job_status", "SELECT event_id, 'job ' || event_id || ': ' || event_type AS line FROM events WHERE event_type NOT IN ('view', 'purchase')")
+def e04(v):
+    rows = telemetry.raw_source(v.spark, f"{v.dir}/events.parquet*").filter(telemetry.metric_of(F.col("event_type")).isNull())
+    return telemetry.drained(rows.select("event_id", F.concat(F.lit("job "), "event_id", F.lit(": "), "event_type").alias("line")))
+
+
+@query("d02_text_model_fallback", "SELECT item_id, left(text, 40) AS answer FROM benchmark")
+def d02(v):
+    """The call fails for every batch, so the deterministic answer stands."""
+    return hooks.completed(v.table("benchmark"), hooks.unavailable, "text", F.left("text", F.lit(40)), "answer").select("item_id", "answer")
+
+
+@query("d03_vision_fallback", "SELECT page_id, '' AS description FROM pages")
+def d03(v):
+    return hooks.completed(v.table("pages"), hooks.unavailable, "url", F.lit(""), "description").select("page_id", "description")
+
+
+@query("d04_reranker_hook", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
+def d04(v):
+    scored = hooks.rescored(v.table("orders"), hooks.unavailable, "o_orderpriority", "o_totalprice")
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return scored.select("o_orderkey", F.row_number().over(w).alias("rank"))
+
+
+@query("d05_refine_fallback", "SELECT brief_id, bucket || ' / ' || artifact_type AS draft, true AS requires_acceptance FROM v_brief")
+def d05(v):
+    plain = F.concat_ws(" / ", "bucket", "artifact_type")
+    out = hooks.completed(v.brief, hooks.unavailable, "bucket", plain, "draft")
+    return out.select("brief_id", "draft", (F.col("draft") == plain).alias("requires_acceptance"))
+
+
+@query("d06_tool_simulation", "SELECT o_orderkey, 'simulated:' || o_orderpriority AS result FROM orders")
+def d06(v):
+    return hooks.completed(v.table("orders"), hooks.unavailable, "o_orderpriority", F.concat(F.lit("simulated:"), "o_orderpriority"), "result").select("o_orderkey", "result")

@@ -57,9 +57,21 @@ def fold_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("artifact_id", "metric").applyInPandasWithState(run, "artifact_id long, metric string, cents long", "m long", "update", GroupStateTimeout.NoTimeout)
 
 
+def raw_source(spark: SparkSession, path: str) -> DataFrame:
+    """Events as a stream of files."""
+    return spark.readStream.schema(EVENTS).parquet(path)
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stateless stream yields of all that is there now."""
+    name = f"drained_{uuid.uuid4().hex}"
+    stream.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
 def source(spark: SparkSession, path: str) -> DataFrame:
-    """Events as a stream of files, mapped to metrics in cents."""
-    raw = spark.readStream.schema(EVENTS).parquet(path)
+    """Events mapped to metrics in cents."""
+    raw = raw_source(spark, path)
     rows = raw.select("event_id", "ts", F.col("user_id").alias("artifact_id"), metric_of(F.col("event_type")).alias("metric"), F.round(F.col("value") * 100).cast("long").alias("cents"))
     return mapped_with_time(rows)
 
