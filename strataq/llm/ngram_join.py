@@ -253,14 +253,16 @@ def _crossed(open_lists: DataFrame, sets: DataFrame, labels: DataFrame, limit: T
     gap = F.floor(F.greatest(F.lit(0), F.col("sx") - F.col("sy")) * part / whole)
     half = F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("d") - gap - 1) / 2)) + 1
     rare = ordered.groupBy("_c", "p").agg(
-        F.first("label").alias("label"), F.first("linked").alias("linked"), F.first("d").alias("d"), F.first(most).alias("_most"), F.first(half).alias("_half"),
+        F.first("label").alias("label"), F.first("linked").alias("linked"), F.first("sx").alias("sx"), F.first(most).alias("_most"), F.first(half).alias("_half"),
         F.sort_array(F.collect_list(F.struct("df", "token", F.col("_lo") == F.col("_hi")))).alias("_tokens"),
     )  # fmt: skip  one row's own difference set
     rare = cut(rare, "rare")
-    met = lambda take: F.explode(F.filter(F.slice("_tokens", F.lit(1), take.cast("int")), lambda t: ~t["col3"])).alias("_t")
-    y = rare.select("p", F.col("_c").alias("y"), F.col("label").alias("_ly"), F.col("d").alias("_dy"), met(F.least(F.col("_half"), F.col("_most") + 1))).withColumn("token", F.col("_t.token")).drop("_t")
-    x = rare.filter("not linked").select("p", F.col("_c").alias("x"), F.col("label").alias("_lx"), F.col("d").alias("_dx"), "_most", met(F.col("_most") + 1)).withColumn("token", F.col("_t.token")).drop("_t")
-    found = x.join(y, ["p", "token"]).filter("_lx <> _ly and abs(_dx - _dy) <= _most").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    at = lambda take: F.posexplode(F.transform(F.slice("_tokens", F.lit(1), take.cast("int")), lambda t: F.when(~t["col3"], t["token"]))).alias("_i", "token")
+    y = rare.select("p", F.col("_c").alias("y"), F.col("label").alias("_ly"), F.col("sx").alias("_ny"), at(F.least(F.col("_half"), F.col("_most") + 1))).withColumnRenamed("_i", "_j").filter("token is not null")
+    x = rare.filter("not linked").select("p", F.col("_c").alias("x"), F.col("label").alias("_lx"), F.col("sx").alias("_nx"), "_most", at(F.col("_most") + 1)).filter("token is not null")
+    # all before the first common element differ; sizes within a link's reach
+    fits = (F.col("_lx") != F.col("_ly")) & (F.col("_i") + F.col("_j") <= F.col("_most")) & (limit.den * F.least("_nx", "_ny") >= limit.num * F.greatest("_nx", "_ny"))
+    found = x.join(y, ["p", "token"]).filter(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     return _links(near.select(F.col("_c").alias("x"), "y", "linked")).unionAll(_links(_verified(cut(found, "crossed"), sets, limit, False)))
 
 
