@@ -18,50 +18,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import SPACE, cut, text_or_empty
 
-#: One bitmap bucket of Spark's bitmap functions holds so many bits.
-BUCKET_BITS = 32768
-
-
 def normalised(text: Column) -> Column:
     """The text without any character of SPACE."""
     return F.translate(text, SPACE, "")
 
 
-def _slots(digest: str, k: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.col(digest), F.lit(i)), F.lit(bits)) for i in range(k)]
-
-
-def filter_bits(rows: int, bits_per_row: int, max_bits: int) -> int:
-    """A power of two near rows * bits_per_row, at most max_bits (so max_bits / 8 bytes are broadcast)."""
-    want = max(BUCKET_BITS, rows * bits_per_row)
-    return min(1 << (want - 1).bit_length(), max_bits)
-
-
 def possibly_repeated(rows: DataFrame, digest: str, *, n_rows: int, k: int = 2, bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
     """rows plus a boolean `_maybe`: false only where no other row has the digest.
 
     The filter has at most max_bits bits.  Beyond max_bits / bits_per_row rows its
     false positive rate rises, so more rows take the exact path; none is lost.
     """
-    bits = filter_bits(n_rows, bits_per_row, max_bits)
-    hit_twice = (
-        rows.select(F.explode(F.array_distinct(F.array(*_slots(digest, k, bits)))).alias("_slot"))
-        .groupBy("_slot").agg(F.count(F.lit(1)).alias("_hits")).filter("_hits > 1")
-    )
-    bitmaps = hit_twice.groupBy(F.expr(f"_slot div {BUCKET_BITS}").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.pmod(F.col("_slot"), F.lit(BUCKET_BITS))).alias("_bitmap")
-    )
-    out, maybe = rows, F.lit(True)
-    for i, slot in enumerate(_slots(digest, k, bits)):
-        one = F.broadcast(bitmaps.select(F.col("_bucket").alias(f"_b{i}"), F.col("_bitmap").alias(f"_m{i}")))
-        out = out.withColumn(f"_s{i}", slot).withColumn(f"_b{i}", F.expr(f"_s{i} div {BUCKET_BITS}")).join(one, f"_b{i}", "left")
-        bit = F.pmod(F.col(f"_s{i}"), F.lit(BUCKET_BITS))
-        byte = F.conv(F.hex(F.substring(F.col(f"_m{i}"), (F.expr(f"pmod(_s{i}, {BUCKET_BITS}) div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        on = F.coalesce(F.expr("0") + F.getbit(byte.cast("long"), F.pmod(bit, F.lit(8)).cast("int")).cast("int"), F.lit(0)) == 1
-        maybe = maybe & on
-    return out.withColumn("_maybe", maybe).drop(*(f"_{c}{i}" for i in range(k) for c in "sbm"))
+    bits = bloom.filter_bits(n_rows, bits_per_row, max_bits)
+    slots = F.array_distinct(F.array(*bloom.slots(F.col(digest), k, bits)))
+    hit_twice = rows.select(F.explode(slots).alias("_slot")).groupBy("_slot").agg(F.count(F.lit(1)).alias("_hits")).filter("_hits > 1")
+    return bloom.test(rows, F.col(digest), bloom.bitmaps(hit_twice, "_slot"), k, bits)
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 2, bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
