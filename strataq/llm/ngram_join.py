@@ -47,7 +47,7 @@ MOST_SUBSETS = 512
 #: Cost of one inverted list entry against one subset: it is scanned, and its set verified.
 ENTRY_COST = 4
 #: Rounds in which what is left of a long list gets a new pivot.
-ROUNDS = 3
+ROUNDS = 1
 #: What is left of lists at most so long is paired outright, so at most so many rows a member; longer ones go by pivots.
 SHORT_LIST = 64
 

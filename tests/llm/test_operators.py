@@ -234,7 +234,7 @@ def linked(texts, n, num, den):
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("n, num, den, short, rounds", [(3, 9, 10, 64, 3), (5, 4, 5, 64, 3), (3, 9, 10, 2, 1), (5, 4, 5, 2, 0)])
+@pytest.mark.parametrize("n, num, den, short, rounds", [(3, 9, 10, 64, 1), (5, 4, 5, 64, 1), (3, 9, 10, 2, 3), (5, 4, 5, 2, 0)])
 def test_jaccard_components(spark, corpus, monkeypatch, n, num, den, short, rounds):
     monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
     monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
