@@ -7,6 +7,7 @@ hash(i, j) = (H[j] - H[i]) * BASE**-i, so any window costs two gathers.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ _LOWER[0x41:0x5B] += 0x20
 #: Texts are worked on in slices of about so many bytes; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -88,6 +91,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
+def release() -> None:
+    """Give memory that earlier batches took back to the system; workers share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The batch in row slices of about SLICE_BYTES of text, each with its flat text."""
     if batch.num_rows == 0:
@@ -101,6 +111,7 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, n
         part = batch.slice(at, upto - at)
         yield part, *flat(part.column(part.schema.get_field_index(text)))
         at = upto
+    release()
 
 
 def lowered(buf: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ pivot (its least class), linked members become one component, and lists within
 one component are finished.  What is left of short lists is paired; what is left
 of long ones gets further pivots, and members x, y of a long list that stay apart can only be linked if their differences to the common pivot
 overlap, x ^ y = (x ^ p) ^ (y ^ p); those small difference sets are joined under
-a prefix of their rarest elements, and exact checks follow.  Equal answers for
+a prefix, what only x or y has before what only p has, and exact checks follow.  Equal answers for
 equal inputs at every size; nothing is capped.
 
 Defined results: null or empty texts, or texts without words, have an empty set
@@ -178,7 +178,7 @@ def _sets(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold, differences: bool) -> DataFrame:
-    """x, y, sx, sy, linked, and the symmetric difference if asked for.  pairs: x, y distinct."""
+    """x, y, sx, sy, linked, and if asked for the difference: elements of x alone, then of y alone.  pairs: x, y distinct."""
     left = sets.select(F.col("_c").alias("x"), F.col("_size").alias("sx"), F.col("_set").alias("_sx"))
     right = sets.select(F.col("_c").alias("y"), F.col("_size").alias("sy"), F.col("_set").alias("_sy"))
     met = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "sx", "sy", "_sx", "_sy")
@@ -190,7 +190,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold, differences:
                 a, b = np.frombuffer(a.as_py(), U), np.frombuffer(b.as_py(), U)
                 common = np.intersect1d(a, b, assume_unique=True).size
                 linked.append(limit.den * common >= limit.num * (a.size + b.size - common))
-                delta.append(np.setxor1d(a, b, assume_unique=True).view(np.int64).tolist() if differences else [])
+                # what only x has comes first: it is rare among the members of a pivot's lists
+                both = [np.setdiff1d(u, w, assume_unique=True) for u, w in ((a, b), (b, a))] if differences else [a[:0]]
+                delta.append(np.concatenate(both).view(np.int64).tolist())
+            B.release()
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))], ["x", "y", "sx", "sy", "linked", "delta"])
 
     small_batches(pairs.sparkSession, 256)
@@ -243,23 +246,20 @@ def _crossed(open_lists: DataFrame, sets: DataFrame, labels: DataFrame, limit: T
     pivots = open_lists.groupBy("_t").agg(F.min("_c").alias("y"))
     pairs = cut(open_lists.join(pivots, "_t").filter("_c <> y").select(F.col("_c").alias("x"), "y").distinct(), "to_pivots")
     near = cut(_labelled(_verified(pairs, sets, limit, True).withColumnRenamed("x", "_c"), labels), "differences")
-    rows = near.select("_c", F.col("y").alias("p"), "label", "linked", "sx", "sy", F.size("delta").alias("d"), F.posexplode("delta").alias("_i", "token"))
-    seen = rows.groupBy("p", "token").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-    ordered = rows.join(cut(seen, "seen"), ["p", "token"])
     # A linked pair differs in H elements at most, so their differences to p overlap in all but H of either;
-    # and with x not linked to p, in half of y's: so much of the rarest elements is enough to meet.
+    # and with x not linked to p, in half of y's: so much of both, in one fixed order, is enough to meet.
     part, whole = limit.den - limit.num, limit.den + limit.num
     most = F.expr(f"((sx + sx * {limit.den} div {limit.num}) * {part}) div {whole}")
     gap = F.floor(F.greatest(F.lit(0), F.col("sx") - F.col("sy")) * part / whole)
-    half = F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("d") - gap - 1) / 2)) + 1
-    rare = ordered.groupBy("_c", "p").agg(
-        F.first("label").alias("label"), F.first("linked").alias("linked"), F.first("sx").alias("sx"), F.first(most).alias("_most"), F.first(half).alias("_half"),
-        F.sort_array(F.collect_list(F.struct("df", "token", F.col("_lo") == F.col("_hi")))).alias("_tokens"),
-    )  # fmt: skip  one row's own difference set
-    rare = cut(rare, "rare")
-    at = lambda take: F.posexplode(F.transform(F.slice("_tokens", F.lit(1), take.cast("int")), lambda t: F.when(~t["col3"], t["token"]))).alias("_i", "token")
-    y = rare.select("p", F.col("_c").alias("y"), F.col("label").alias("_ly"), F.col("sx").alias("_ny"), at(F.least(F.col("_half"), F.col("_most") + 1))).withColumnRenamed("_i", "_j").filter("token is not null")
-    x = rare.filter("not linked").select("p", F.col("_c").alias("x"), F.col("label").alias("_lx"), F.col("sx").alias("_nx"), "_most", at(F.col("_most") + 1)).filter("token is not null")
+    d = F.size("delta")
+    half = d - F.greatest(F.lit(1), F.ceil((d - gap - 1) / 2)) + 1
+    take = F.when(F.col("linked"), F.least(half, most + 1)).otherwise(most + 1).cast("int")
+    each = near.select(F.col("y").alias("p"), "_c", "label", F.col("sx").alias("_n"), (~F.col("linked")).alias("_apart"), most.alias("_most"), half.alias("_half"), F.posexplode(F.slice("delta", F.lit(1), take)).alias("_i", "token"))
+    each = cut(each, "prefixes")
+    open_ = each.groupBy("p", "token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("_apart").alias("_any")).filter("_any and _lo <> _hi").select("p", "token")
+    each = cut(each.join(cut(open_, "tokens"), ["p", "token"], "left_semi"), "meeting")
+    y = each.filter("_i < _half").select("p", "token", F.col("_c").alias("y"), F.col("label").alias("_ly"), F.col("_n").alias("_ny"), F.col("_i").alias("_j"))
+    x = each.filter("_apart").select("p", "token", F.col("_c").alias("x"), F.col("label").alias("_lx"), F.col("_n").alias("_nx"), "_i", "_most")
     # all before the first common element differ; sizes within a link's reach
     fits = (F.col("_lx") != F.col("_ly")) & (F.col("_i") + F.col("_j") <= F.col("_most")) & (limit.den * F.least("_nx", "_ny") >= limit.num * F.greatest("_nx", "_ny"))
     found = x.join(y, ["p", "token"]).filter(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
