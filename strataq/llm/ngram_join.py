@@ -10,11 +10,11 @@ shared lists are out, the others scan the lists.  The boundary is the one of
 least cost over the histogram of set sizes.
 
 Scanning a list never emits its pairs.  Every member is held against the list's
-pivot (its least class), linked members become one component, and lists within
+pivot (its class of most lists), linked members become one component, and lists within
 one component are finished.  What is left of short lists is paired; what is left
 of long ones gets further pivots, and members x, y of a long list that stay apart can only be linked if their differences to the common pivot
 overlap, x ^ y = (x ^ p) ^ (y ^ p); those small difference sets are joined under
-a prefix, what only x or y has before what only p has, and exact checks follow.  Equal answers for
+a prefix of their rarest elements, and exact checks follow.  Equal answers for
 equal inputs at every size; nothing is capped.
 
 Defined results: null or empty texts, or texts without words, have an empty set
@@ -34,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
@@ -178,7 +178,7 @@ def _sets(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold, differences: bool) -> DataFrame:
-    """x, y, sx, sy, linked, and if asked for the difference: elements of x alone, then of y alone.  pairs: x, y distinct."""
+    """x, y, sx, sy, linked, and the symmetric difference if asked for.  pairs: x, y distinct."""
     left = sets.select(F.col("_c").alias("x"), F.col("_size").alias("sx"), F.col("_set").alias("_sx"))
     right = sets.select(F.col("_c").alias("y"), F.col("_size").alias("sy"), F.col("_set").alias("_sy"))
     met = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "sx", "sy", "_sx", "_sy")
@@ -190,9 +190,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold, differences:
                 a, b = np.frombuffer(a.as_py(), U), np.frombuffer(b.as_py(), U)
                 common = np.intersect1d(a, b, assume_unique=True).size
                 linked.append(limit.den * common >= limit.num * (a.size + b.size - common))
-                # what only x has comes first: it is rare among the members of a pivot's lists
-                both = [np.setdiff1d(u, w, assume_unique=True) for u, w in ((a, b), (b, a))] if differences else [a[:0]]
-                delta.append(np.concatenate(both).view(np.int64).tolist())
+                delta.append(np.setxor1d(a, b, assume_unique=True).view(np.int64).tolist() if differences else [])
             B.release()
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))], ["x", "y", "sx", "sy", "linked", "delta"])
 
@@ -220,13 +218,13 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open_lists(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """_t, _c, label of lists that hold more than one component: short ones and long ones.
+    """_t, _c, _d, label of lists that hold more than one component: short ones and long ones.
 
     A list that was long stays so for its remaining rounds: only the first call sees short ones.
     """
     now = cut(_labelled(members, labels), "labelled")
     apart = cut(now.groupBy("_t").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter("_lo <> _hi").select("_t", "_n"), "apart")
-    both = cut(now.join(apart, "_t").select("_t", "_c", "label", "_n"), "open")
+    both = cut(now.join(apart, "_t").select("_t", "_c", "_d", "label", "_n"), "open")
     return both.filter(F.col("_n") <= SHORT_LIST).drop("_n"), both.filter(F.col("_n") > SHORT_LIST).drop("_n")
 
 
@@ -243,29 +241,40 @@ def _links(pairs: DataFrame) -> DataFrame:
 
 def _crossed(open_lists: DataFrame, sets: DataFrame, labels: DataFrame, limit: Threshold) -> DataFrame:
     """Links between components that meet in lists, by differences to the lists' pivots."""
-    pivots = open_lists.groupBy("_t").agg(F.min("_c").alias("y"))
-    pairs = cut(open_lists.join(pivots, "_t").filter("_c <> y").select(F.col("_c").alias("x"), "y").distinct(), "to_pivots")
+    pivots = cut(_pivots(open_lists), "pivots")
+    pairs = cut(open_lists.join(pivots, "_t").filter("_c <> _p._c").select(F.col("_c").alias("x"), F.col("_p._c").alias("y")).distinct(), "to_pivots")
     near = cut(_labelled(_verified(pairs, sets, limit, True).withColumnRenamed("x", "_c"), labels), "differences")
+    open_ = near.groupBy("y").agg(F.max(~F.col("linked")).alias("_any")).filter("_any").select("y")  # pivots to which all are linked are done
+    rows = near.join(open_, "y", "left_semi").select("_c", F.col("y").alias("p"), "label", "linked", "sx", "sy", F.size("delta").alias("d"), F.explode("delta").alias("token"))
+    # rarest first among the differences to one pivot
+    same = Window.partitionBy("p", "token")
+    rows = rows.withColumns({"df": F.count(F.lit(1)).over(same), "_meets": (F.min("label").over(same) != F.max("label").over(same)) & F.max(~F.col("linked")).over(same)})
     # A linked pair differs in H elements at most, so their differences to p overlap in all but H of either;
-    # and with x not linked to p, in half of y's: so much of both, in one fixed order, is enough to meet.
+    # and with x not linked to p, in half of y's: so much of the rarest elements is enough to meet.
     part, whole = limit.den - limit.num, limit.den + limit.num
     most = F.expr(f"((sx + sx * {limit.den} div {limit.num}) * {part}) div {whole}")
     gap = F.floor(F.greatest(F.lit(0), F.col("sx") - F.col("sy")) * part / whole)
-    d = F.size("delta")
-    half = d - F.greatest(F.lit(1), F.ceil((d - gap - 1) / 2)) + 1
-    take = F.when(F.col("linked"), F.least(half, most + 1)).otherwise(most + 1).cast("int")
-    each = near.select(F.col("y").alias("p"), "_c", "label", F.col("sx").alias("_n"), (~F.col("linked")).alias("_apart"), most.alias("_most"), half.alias("_half"), F.posexplode(F.slice("delta", F.lit(1), take)).alias("_i", "token"))
-    each = cut(each, "prefixes")
-    open_ = each.groupBy("p", "token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("_apart").alias("_any")).filter("_any and _lo <> _hi").select("p", "token")
-    each = cut(each.join(cut(open_, "tokens"), ["p", "token"], "left_semi"), "meeting")
-    y = each.filter("_i < _half").select("p", "token", F.col("_c").alias("y"), F.col("label").alias("_ly"), F.col("_n").alias("_ny"), F.col("_i").alias("_j"))
-    x = each.filter("_apart").select("p", "token", F.col("_c").alias("x"), F.col("label").alias("_lx"), F.col("_n").alias("_nx"), "_i", "_most")
+    half = F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("d") - gap - 1) / 2)) + 1
+    rare = rows.groupBy("_c", "p").agg(
+        F.first("label").alias("label"), F.first("linked").alias("linked"), F.first("sx").alias("_n"), F.first(most).alias("_most"), F.first(half).alias("_half"),
+        F.sort_array(F.collect_list(F.struct("df", "token", "_meets"))).alias("_tokens"),
+    )  # fmt: skip  one row's own difference set
+    take = F.when(F.col("linked"), F.least(F.col("_half"), F.col("_most") + 1)).otherwise(F.col("_most") + 1).cast("int")
+    met = F.filter(F.transform(F.slice("_tokens", F.lit(1), take), lambda t, i: F.struct(i.alias("i"), t["token"].alias("token"), t["_meets"].alias("meets"))), lambda t: t["meets"])
+    each = cut(rare.select("p", "_c", "label", "linked", "_n", "_most", "_half", F.explode(met).alias("_m")).select("p", "_c", "label", "linked", "_n", "_most", "_half", "_m.i", "_m.token"), "prefixes")
+    y = each.filter("i < _half").select("p", "token", F.col("_c").alias("y"), F.col("label").alias("_ly"), F.col("_n").alias("_ny"), F.col("i").alias("_j"))
+    x = each.filter("not linked").select("p", "token", F.col("_c").alias("x"), F.col("label").alias("_lx"), F.col("_n").alias("_nx"), F.col("i").alias("_i"), "_most")
     # all before the first common element differ; sizes within a link's reach
     fits = (F.col("_lx") != F.col("_ly")) & (F.col("_i") + F.col("_j") <= F.col("_most")) & (limit.den * F.least("_nx", "_ny") >= limit.num * F.greatest("_nx", "_ny"))
     found = x.join(y, ["p", "token"]).filter(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     return _links(near.select(F.col("_c").alias("x"), "y", "linked")).unionAll(_links(_verified(cut(found, "crossed"), sets, limit, False)))
 
 
+def _pivots(members: DataFrame) -> DataFrame:
+    """_t, _p: each list's member of most lists, (_d, _c); so few pivots serve a group of near copies."""
+    return members.groupBy("_t").agg(F.min(F.struct("_d", "_c")).alias("_p"))
+
+
 def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: _id, _h, _row, n_shingles, component (least id reachable), first (this row is the one of its component that stays).
 
@@ -287,12 +296,14 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 4, den: int =
     enough = met.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).join(classes, "_c").filter(F.col("_n") >= _need(limit, "_size"))
     enough = cut(enough.select("_c", "_size", "_of"), "enough")
     members = _rarest(cut(met.join(enough.select("_c", "_size"), "_c"), "some"), limit)
-    lists = members.groupBy("_t").agg(F.min("_c").alias("_p"), F.max("_c").alias("_hi")).filter("_p <> _hi").select("_t", "_p")
-    members = cut(members.join(cut(lists, "lists"), "_t").select("_t", "_c", "_p"), "members")
+    degree = members.groupBy("_c").agg((-F.count(F.lit(1))).alias("_d"))
+    members = cut(members.join(degree, "_c"), "listed")
+    lists = members.groupBy("_t").agg(F.min(F.struct("_d", "_c")).alias("_p"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).filter("_lo <> _hi").select("_t", "_p")
+    members = cut(members.join(cut(lists, "lists"), "_t").select("_t", "_c", "_d", "_p"), "members")
     needed = cut(members.select("_c").distinct().join(enough, "_c"), "needed")
     sketches = cut(heavy.select("_c", "_lists").join(needed.select("_c", "_size"), "_c").groupBy("_c").agg(F.first("_size").alias("_size"), F.first("_lists").alias("_lists")), "sketches")
-    # each class against the least of its pivots, then what is left of open lists against new ones
-    pairs = cut(members.filter("_c <> _p").groupBy(F.col("_c").alias("x")).agg(F.min("_p").alias("y")), "pairs")
+    # each class against the first of its pivots, then what is left of open lists against new ones
+    pairs = cut(members.filter("_c <> _p._c").groupBy(F.col("_c").alias("x")).agg(F.min("_p").alias("_p")).select("x", F.col("_p._c").alias("y")), "pairs")
     hopeful = _plausible(pairs, sketches, limit)
     sets = _fetch_sets(rows, needed, n)
     edges = cut(edges.unionAll(_links(_verified(hopeful, sets, limit, False))), "links")
@@ -305,7 +316,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 4, den: int =
         edges = cut(edges.unionAll(_links(_verified(_plausible(pairs, sketches, limit), sets, limit, False))), "links")
         if not long.isEmpty():
             labels = components(edges)
-            long = _open_lists(long.select("_t", "_c"), labels)[1]
+            long = _open_lists(long.select("_t", "_c", "_d"), labels)[1]
     rest = long
     for _ in range(ROUNDS):
         if rest.isEmpty():
@@ -314,7 +325,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 4, den: int =
         tested = cut(tested.unionAll(pairs), "tested")
         edges = cut(edges.unionAll(_links(_verified(_plausible(pairs, sketches, limit), sets, limit, False))), "links")
         labels = components(edges)
-        rest = _open_lists(rest.select("_t", "_c"), labels)[1]
+        rest = _open_lists(rest.select("_t", "_c", "_d"), labels)[1]
     if not rest.isEmpty():
         edges = cut(edges.unionAll(_crossed(rest, sets, labels, limit)), "links")
     return _named(entries, components(edges))
@@ -338,11 +349,11 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, limit: Threshold) -> DataF
 
 
 def _next_pairs(rest: DataFrame, tested: DataFrame) -> DataFrame:
-    """Members of open lists outside their pivot's component, against that pivot and against the least of themselves."""
-    least = rest.groupBy("_t").agg(F.min(F.struct("_c", "label")).alias("_p"))
-    out = rest.join(cut(least, "pivots"), "_t").filter("label <> _p.label")
-    second = out.groupBy("_t").agg(F.min("_c").alias("_q"))
-    pairs = out.select(F.col("_c").alias("x"), F.col("_p._c").alias("y")).unionAll(out.join(cut(second, "seconds"), "_t").filter("_c <> _q").select(F.col("_c").alias("x"), F.col("_q").alias("y")))
+    """Members of open lists outside their pivot's component, against that pivot and against the first of themselves."""
+    first = rest.groupBy("_t").agg(F.min(F.struct("_d", "_c", "label")).alias("_p"))
+    out = rest.join(cut(first, "pivots"), "_t").filter("label <> _p.label")
+    second = out.groupBy("_t").agg(F.min(F.struct("_d", "_c")).alias("_q"))
+    pairs = out.select(F.col("_c").alias("x"), F.col("_p._c").alias("y")).unionAll(out.join(cut(second, "seconds"), "_t").filter("_c <> _q._c").select(F.col("_c").alias("x"), F.col("_q._c").alias("y")))
     return cut(pairs.distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
 
 
