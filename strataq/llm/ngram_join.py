@@ -178,24 +178,25 @@ def _sets(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold, differences: bool) -> DataFrame:
-    """x, y, sx, sy, linked, and the symmetric difference if asked for.  pairs: x, y distinct."""
+    """x, y, sx, sy, linked, and if asked for what x has more and less than y.  pairs: x, y distinct."""
     left = sets.select(F.col("_c").alias("x"), F.col("_size").alias("sx"), F.col("_set").alias("_sx"))
     right = sets.select(F.col("_c").alias("y"), F.col("_size").alias("sy"), F.col("_set").alias("_sy"))
     met = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "sx", "sy", "_sx", "_sy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, delta = [], []
+            linked, more, less = [], [], []
             for a, b in zip(batch.column(4), batch.column(5)):
                 a, b = np.frombuffer(a.as_py(), U), np.frombuffer(b.as_py(), U)
                 common = np.intersect1d(a, b, assume_unique=True).size
                 linked.append(limit.den * common >= limit.num * (a.size + b.size - common))
-                delta.append(np.setxor1d(a, b, assume_unique=True).view(np.int64).tolist() if differences else [])
+                for out, (u, w) in ((more, (a, b)), (less, (b, a))):
+                    out.append(np.setdiff1d(u, w, assume_unique=True).view(np.int64).tolist() if differences else [])
             B.release()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))], ["x", "y", "sx", "sy", "linked", "delta"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_()), *(pa.array(d, pa.list_(pa.int64())) for d in (more, less))], ["x", "y", "sx", "sy", "linked", "more", "less"])
 
     small_batches(pairs.sparkSession, 256)
-    return met.mapInArrow(run, "x long, y long, sx long, sy long, linked boolean, delta array<long>")
+    return met.mapInArrow(run, "x long, y long, sx long, sy long, linked boolean, more array<long>, less array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -245,8 +246,8 @@ def _crossed(open_lists: DataFrame, sets: DataFrame, labels: DataFrame, limit: T
     pairs = cut(open_lists.join(pivots, "_t").filter("_c <> _p._c").select(F.col("_c").alias("x"), F.col("_p._c").alias("y")).distinct(), "to_pivots")
     near = cut(_labelled(_verified(pairs, sets, limit, True).withColumnRenamed("x", "_c"), labels), "differences")
     open_ = near.groupBy("y").agg(F.max(~F.col("linked")).alias("_any")).filter("_any").select("y")  # pivots to which all are linked are done
-    rows = near.join(open_, "y", "left_semi").select("_c", F.col("y").alias("p"), "label", "linked", "sx", "sy", F.size("delta").alias("d"), F.explode("delta").alias("token"))
-    # rarest first among the differences to one pivot
+    rows = near.join(open_, "y", "left_semi").select("_c", F.col("y").alias("p"), "label", "linked", "sx", "sy", (F.size("more") + F.size("less")).alias("d"), F.explode_outer("more").alias("token"))
+    # one order for all differences to a pivot: what the pivot lacks by rarity, then what only it has
     same = Window.partitionBy("p", "token")
     rows = rows.withColumns({"df": F.count(F.lit(1)).over(same), "_meets": (F.min("label").over(same) != F.max("label").over(same)) & F.max(~F.col("linked")).over(same)})
     # A linked pair differs in H elements at most, so their differences to p overlap in all but H of either;
@@ -257,10 +258,12 @@ def _crossed(open_lists: DataFrame, sets: DataFrame, labels: DataFrame, limit: T
     half = F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("d") - gap - 1) / 2)) + 1
     rare = rows.groupBy("_c", "p").agg(
         F.first("label").alias("label"), F.first("linked").alias("linked"), F.first("sx").alias("_n"), F.first(most).alias("_most"), F.first(half).alias("_half"),
-        F.sort_array(F.collect_list(F.struct("df", "token", "_meets"))).alias("_tokens"),
+        F.filter(F.sort_array(F.collect_list(F.struct("df", "token", "_meets"))), lambda t: t["token"].isNotNull()).alias("_more"),
     )  # fmt: skip  one row's own difference set
+    rare = rare.join(near.select("_c", F.col("y").alias("p"), F.col("less").alias("_less")), ["_c", "p"])
     take = F.when(F.col("linked"), F.least(F.col("_half"), F.col("_most") + 1)).otherwise(F.col("_most") + 1).cast("int")
-    met = F.filter(F.transform(F.slice("_tokens", F.lit(1), take), lambda t, i: F.struct(i.alias("i"), t["token"].alias("token"), t["_meets"].alias("meets"))), lambda t: t["meets"])
+    tokens = F.concat(F.transform("_more", lambda t: F.struct(t["token"].alias("token"), t["_meets"].alias("_meets"))), F.transform("_less", lambda t: F.struct(t.alias("token"), F.lit(True).alias("_meets"))))
+    met = F.filter(F.transform(F.slice(tokens, F.lit(1), take), lambda t, i: F.struct(i.alias("i"), t["token"].alias("token"), t["_meets"].alias("meets"))), lambda t: t["meets"])
     each = cut(rare.select("p", "_c", "label", "linked", "_n", "_most", "_half", F.explode(met).alias("_m")).select("p", "_c", "label", "linked", "_n", "_most", "_half", "_m.i", "_m.token"), "prefixes")
     y = each.filter("i < _half").select("p", "token", F.col("_c").alias("y"), F.col("label").alias("_ly"), F.col("_n").alias("_ny"), F.col("i").alias("_j"))
     x = each.filter("not linked").select("p", "token", F.col("_c").alias("x"), F.col("label").alias("_lx"), F.col("_n").alias("_nx"), F.col("i").alias("_i"), "_most")
