@@ -37,7 +37,7 @@ from . import bytesops as B
 from .common import cut, small_batches, text_or_empty
 
 #: Words whose ids a worker keeps, about 50 bytes each.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 500_000
 #: One bin: (how many such bins, {length: pieces of it per bin}).
 Bin = tuple[int, dict[int, int]]
 
@@ -206,7 +206,9 @@ class WordTokens:
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """keys ascending."""
         core = [w[:-1] if w[-1:] in self.signs and w[-2:-1].isalnum() else w for w in words]
-        found = self._encode(list(dict.fromkeys(core)))
+        each, found = list(dict.fromkeys(core)), {}
+        for at in range(0, len(each), 4000):  # the library's own results are large while they last
+            found |= self._encode(each[at : at + 4000])
         ids = [found[c] + (self.signs[w[-1:]] if len(c) < len(w) else b"") for c, w in zip(core, words)]
         new = np.frombuffer(b"".join(ids), "<u4")
         size = np.array([len(i) // 4 for i in ids], np.int64)
