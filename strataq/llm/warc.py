@@ -46,16 +46,18 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, *, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """_row, _refers of every page that revisits: digests alone shuffle, combined on the map side."""
+    """(_copy id, _digest, _bytes) of pages that revisit, and _refers: digests alone shuffle, combined on the map side.
+
+    Where the referred id itself has several such rows, _tied is set: all but one of them revisit.
+    """
     payload = text_or_empty(payload_col).cast("binary")
-    rows = cut(
-        pages.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), base32_sha1(payload).alias("_digest"), F.length(payload).cast("long").alias("_bytes")),
-        "payloads",
-    )
-    first = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row")
+    rows = cut(pages.select(F.col(id_col).alias("_id"), base32_sha1(payload).alias("_digest"), F.length(payload).cast("long").alias("_bytes")), "payloads")
+    first = F.struct(F.col("_id").isNull().alias("_none"), "_id")
     groups = cut(rows.filter(F.col("_bytes") >= min_bytes).groupBy("_digest", "_bytes").agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "copies")
-    copies = rows.join(groups, ["_digest", "_bytes"]).filter("_row <> _first._row")
-    return cut(copies.select(F.col("_id").alias("_copy"), "_digest", "_bytes", F.col("_first._id").alias("_refers")).distinct(), "revisits")
+    # rows without any id in their group have nothing to refer to and stay responses
+    met = rows.join(groups, ["_digest", "_bytes"]).select(F.col("_id").alias("_copy"), "_digest", "_bytes", F.col("_first._id").alias("_refers")).filter("_refers is not null")
+    counted = met.groupBy("_copy", "_digest", "_bytes", "_refers").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_tied", F.col("_copy").eqNullSafe(F.col("_refers")))
+    return cut(counted.filter("not _tied or _rows > 1").drop("_rows"), "revisits")
 
 
 def _line(name: str, value: Column) -> Column:
@@ -69,12 +71,18 @@ def _urn(value: Column) -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Archives under path, one file per input partition."""
+    """Archives under path, one file per input partition; and those of rows that share id and payload."""
     copies = plan_records(pages, id_col=id_col, payload_col=payload_col, min_bytes=min_bytes)
-    own = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), text_or_empty(payload_col).alias("_payload"))
+    own = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), text_or_empty(payload_col).alias("_payload"))
     own = own.withColumn("_digest", base32_sha1(F.col("_payload").cast("binary"))).withColumn("_bytes", F.octet_length("_payload").cast("long"))
     # revisits are few or many: Spark broadcasts them below its size limit and else sorts both sides
     rows = own.join(copies.withColumnRenamed("_digest", "_d").withColumnRenamed("_bytes", "_n"), F.col("_id").eqNullSafe(F.col("_copy")) & (F.col("_digest") == F.col("_d")) & (F.col("_bytes") == F.col("_n")), "left")
+    if not copies.filter("_tied").isEmpty():
+        # only rows alike in id and payload need their place to tell them apart: these are kept with it, so that it holds
+        tied = cut(rows.filter("_tied"), "tied")
+        least = cut(tied.groupBy("_id", "_digest", "_bytes").agg(F.min("_row").alias("_least")).select("_least"), "firsts")
+        tied = tied.join(least, F.col("_row") == F.col("_least"), "left").withColumn("_refers", F.when(F.col("_least").isNull(), F.col("_refers"))).drop("_least")
+        rows = rows.filter("_tied is null or not _tied").unionByName(tied)
     again = F.col("_refers").isNotNull()
     body = F.when(again, F.lit("")).otherwise(F.col("_payload"))
     record = F.concat(

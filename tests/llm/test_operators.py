@@ -198,6 +198,24 @@ def test_warc_round_trip(spark):
     assert large[10] == large[11] == "response" and large[5] == "revisit"
 
 
+def test_warc_repeated_rows(spark):
+    """Of rows alike in id and payload one is the response, the first; all others and further pages refer to it."""
+    rows = [(3, "w", "P"), (1, "u", "P"), (1, "v", "P"), (1, "u", "P"), (1, "u", "other"), (2, "x", "once"), (2, "x", "once"), (None, "y", "P"), (None, "y", "lost"), (None, "y", "lost")]
+    out = warc.round_trip(frame(spark, rows, "page_id long, url string, html string").coalesce(1)).collect()
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [(1, "P", "response", None), (1, "P", "revisit", 1), (1, "P", "revisit", 1), (3, "P", "revisit", 1), (None, "P", "revisit", 1), (1, "other", "response", None)]
+    want += [(2, "once", "response", None), (2, "once", "revisit", 2), (None, "lost", "response", None), (None, "lost", "response", None)]
+    assert sorted(map(tuple, out), key=str) == sorted([(i, len(t), digest(t), kind, to) for i, t, kind, to in want], key=str)
+
+
+def test_warc_first_row_is_the_response(spark):
+    path = f"{warc.shared_dir(spark)}/first-row"
+    warc.write_warc(frame(spark, [(1, "b", "P"), (1, "a", "P"), (1, "c", "P")], "page_id long, url string, html string").coalesce(1), path)
+    records = [r.value for r in spark.read.option("lineSep", warc.END).text(path).collect()]
+    heads = [r for r in records if "WARC-Type: response" in r]
+    assert len(heads) == 1 and "WARC-Target-URI: b" in heads[0]
+
+
 # -- 6 line dedup -------------------------------------------------------------
 
 
