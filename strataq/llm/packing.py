@@ -164,7 +164,7 @@ class WordTokens:
     encoded by the library once, and a text is its words' ids.  A sign after an ASCII
     letter or digit starts a piece of its own, so a word with one at its end is the
     word's ids and the sign's.  Known words are sorted arrays; when they pass
-    KEPT_WORDS the half not met for longest is given up.
+    KEPT_WORDS the half not met for longest is given up, but no word of the slice in work.
     """
 
     SIGNS = (b",", b".")
@@ -223,7 +223,8 @@ class WordTokens:
         self.used += new.size
 
     def _forget(self) -> None:
-        stay = np.flatnonzero(self.met > np.median(self.met))
+        # the words of the slice in work are about to be read, however many they are
+        stay = np.flatnonzero((self.met > np.median(self.met)) | (self.met >= self.turn))
         kept = self.tokens[_ranges(self.at[stay], self.size[stay])]
         self.keys, self.size, self.met = self.keys[stay], self.size[stay], self.met[stay]
         self.at = np.cumsum(self.size) - self.size
@@ -244,6 +245,7 @@ class WordTokens:
             data, new = buf.tobytes(), first[~known]
             self._learn(keys[~known], [data[i:j] for i, j in zip(start[new].tolist(), end[new].tolist())])
             at, known = self._find(keys)
+            assert known.all(), "a word of this slice has no ids"
         at = at[which]
         size = self.size[at]
         data = self.tokens[_ranges(self.at[at], size)].tobytes()

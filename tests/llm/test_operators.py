@@ -365,6 +365,17 @@ def test_packing_near_the_optimum():
     assert packing.pack({}, 20) == []
 
 
+def test_packing_keeps_words_in_work(monkeypatch):
+    """A store past its limit in a slice whose words fill it: new words beside known ones, and a near copy with one new word."""
+    monkeypatch.setattr(packing, "KEPT_WORDS", 50)
+    coder = packing.WordTokens(queries.WORD_BPE)
+    first = " ".join(f"w{i}x" for i in range(40))
+    for text in (first, first + " " + " ".join(f"{i * 7919}" for i in range(40)), first + " " + " ".join(f"{i * 7919}" for i in range(40)) + " onemore", "few old w1x", first):
+        data = text.encode()
+        got = coder.ids(np.frombuffer(data, np.uint8), np.array([0, len(data)], np.int64))
+        assert np.frombuffer(got[0], "<u4").tolist() == coder.library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_places(spark, corpus):
     from tokenizers import Tokenizer
 
