@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ranking
+from . import ranking, retrieval
 
 
 def adjacency(relations: DataFrame) -> DataFrame:
@@ -77,14 +77,23 @@ def select_ranked(scores: DataFrame, *, share: float = 0.02, sigma: float = 0.5,
     return rows.filter("score >= _least").select("query_id", "id", "score")
 
 
-def candidates(mentions: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
-    """mention, id, tier: equal names, else names that contain the mention (the first few by id)."""
+def candidates(mentions: DataFrame, entities: DataFrame, most: int = 5, embed_fn=None) -> DataFrame:
+    """mention, id, tier: equal names, else names that contain the mention (the first few by id), else the nearest names.
+
+    The third tier needs a model: embed_fn turns texts into vectors; without one, or where it fails, a mention has no candidate.
+    """
     e = entities.select(F.col("entity_id").alias("id"), "name_norm")
     exact = mentions.join(e, F.col("mention") == F.col("name_norm")).select("mention", "id", F.lit(1).alias("tier"))
     rest = mentions.join(exact.select("mention").distinct(), "mention", "left_anti")
     like = rest.join(e, F.col("name_norm").contains(F.col("mention"))).select("mention", "id", F.lit(2).alias("tier"))
     w = Window.partitionBy("mention").orderBy("id")
-    return exact.unionAll(like.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r"))
+    found = exact.unionAll(like.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r"))
+    if embed_fn is None:
+        return found
+    open_ = rest.join(like.select("mention").distinct(), "mention", "left_anti").select("mention")
+    asked = embed(open_, embed_fn, "mention").filter("v is not null").select(F.col("mention").alias("query_id"), F.col("v").alias("qv"))
+    near = retrieval.nearest(asked, embed(e, embed_fn, "name_norm").select("id", "v"), most)
+    return found.unionAll(near.select(F.col("query_id").alias("mention"), "id", F.lit(3).alias("tier")))
 
 
 def disambiguate(found: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Literal cases of single operators."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,21 @@ def test_candidates_are_literal(spark):
     entities = spark.createDataFrame([(1, "100%"), (2, "100x"), (3, "a_b")], "entity_id long, name_norm string")
     mentions = spark.createDataFrame([("0%",), ("a_b",)], "mention string")
     assert sorted((r.mention, r.id, r.tier) for r in graph.candidates(mentions, entities).collect()) == [("0%", 1, 2), ("a_b", 3, 1)]
+
+
+def test_candidates_by_nearest_names(spark):
+    """A mention in no name gets the nearest five by vector; one with an earlier tier, or a failing model, gets none."""
+    entities = spark.createDataFrame([(i, "n" * i) for i in range(1, 9)], "entity_id long, name_norm string")
+    mentions = spark.createDataFrame([("zz",), ("nnn",), ("nnnnnnn",)], "mention string")
+
+    def vectors(texts):
+        return [[1.0, float(len(t))] for t in texts]
+
+    def broken(texts):
+        raise RuntimeError("no model")
+
+    def rows(**more):
+        return sorted((r.mention, r.id, r.tier) for r in graph.candidates(mentions, entities, **more).collect())
+
+    assert rows() == rows(embed_fn=broken) == [("nnn", 3, 1), ("nnnnnnn", 7, 1)]
+    assert rows(embed_fn=vectors) == [("nnn", 3, 1), ("nnnnnnn", 7, 1)] + [("zz", i, 3) for i in sorted(sorted(range(1, 9), key=lambda n: abs(math.atan(n) - math.atan(2)))[:5])]
