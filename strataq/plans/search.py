@@ -247,19 +247,19 @@ _PPR = _EGO + """, nodes AS (SELECT DISTINCT query_id, a AS id FROM net), m AS (
   p0 AS (SELECT query_id, id, 1.0::DOUBLE / count(*) OVER (PARTITION BY query_id) AS score FROM nodes), """ + ", ".join(_STEP.format(k=k, j=k - 1) for k in range(1, 11))
 
 
-def _ppr(v):
+def _ppr(v, hops):
     seeds = _seeds(v)
-    return graph.pagerank(graph.ego(graph.adjacency(v.relation), seeds, hops=1), seeds, tolerance=1e-9)
+    return graph.pagerank(graph.ego(graph.adjacency(v.relation), seeds, hops=hops), seeds, tolerance=1e-9)
 
 
 @query("g06_personalised_pagerank", "WITH " + _PPR + " SELECT query_id, id, round(score, 6) AS score FROM p10")
 def g06(v):
-    return _ppr(v).select("query_id", "id", F.round("score", 6).alias("score"))
+    return _ppr(v, 1).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("g07_selected_nodes")
 def g07(v):
-    return graph.select_ranked(_ppr(v).withColumn("score", F.round("score", 9))).select("query_id", "id")
+    return graph.select_ranked(_ppr(v, 2).withColumn("score", F.round("score", 9))).select("query_id", "id")
 
 
 @query("g08_chunks_for_entities", "WITH e AS (SELECT s_suppkey AS id FROM supplier WHERE s_acctbal > 8000) SELECT chunk_id, count(*) AS mentions FROM v_relation JOIN e ON src = id GROUP BY 1")

@@ -105,3 +105,28 @@ def test_candidates_by_nearest_names(spark):
 
     assert rows() == rows(embed_fn=broken) == [("nnn", 3, 1), ("nnnnnnn", 7, 1)]
     assert rows(embed_fn=vectors) == [("nnn", 3, 1), ("nnnnnnn", 7, 1)] + [("zz", i, 3) for i in sorted(sorted(range(1, 9), key=lambda n: abs(math.atan(n) - math.atan(2)))[:5])]
+
+
+def test_selected_nodes_two_hops(spark, tmp_path):
+    """g07 on a small table against a brute force over two hops; within one hop both parts would be alike and selected."""
+    from strataq import plans
+
+    lines = [(50, 1), (50, 2), (7, 1), (8, 1), (7, 3), (9, 3), (8, 4)]
+    spark.createDataFrame([(50,), (7,), (8,), (9,)], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, s, p, 1, "N") for i, (s, p) in enumerate(lines)], "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    weight: dict = {}
+    for s, p in lines:
+        for a, b in ((s, p + 1000000), (p + 1000000, s)):
+            weight[a, b] = weight.get((a, b), 0) + 1
+    inside = {50}
+    for _ in range(2):
+        inside |= {b for a, b in weight if a in inside}
+    assert inside == {50, 7, 8, 1000001, 1000002}
+    edges = {e: w for e, w in weight.items() if set(e) <= inside}
+    score = dict.fromkeys(inside, 1 / len(inside))
+    for _ in range(50):
+        score = {n: 0.85 * (n == 50) + 0.15 * sum(w / sum(x for (c, _), x in edges.items() if c == a) * score[a] for (a, b), w in edges.items() if b == n) for n in inside}
+    want = graph.select_ranked(spark.createDataFrame([(50, n, round(x, 9)) for n, x in score.items()], "query_id long, id long, score double"))
+    got = plans.queries()["g07_selected_nodes"](spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.id) for r in got) == sorted((r.query_id, r.id) for r in want.collect())
+    assert sorted(r.id for r in got) == [50, 1000001]
