@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -16,32 +18,52 @@ SPACE = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    Where the session names none (single-machine tests) a folder is made and
-    recorded in the session, so later calls find the same one.
+    Where the session names none, a local session (tests) gets a folder of its own,
+    recorded in the session so that later calls find it; a cluster gets an error,
+    as no folder of one machine would do.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strataq-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here.
+def cut(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here.  folders: columns to write a folder each for.
 
     Unlike a local checkpoint the copy survives the loss of any executor, and
     the reread scan carries real sizes for the planner's broadcast checks.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strataq/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strataq_path = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Before a Python stage: bound what one Arrow batch holds, as texts may be long, and let workers on this machine import the package."""
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of cut() that nothing reads any more: what came of them is written already."""
+    for table in tables:
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(table._strataq_path)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files and broadcasts of finished plans now: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, rows: int = 1024, most_bytes: int = 8 << 20) -> None:
+    """Before a Python stage: bound the rows and the bytes of one Arrow batch, as texts may be long, and let workers on this machine import the package."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -9,13 +9,17 @@ of them that linked sets meet in at least `share` lists; sets with fewer
 shared lists are out, the others scan the lists.  The boundary is the one of
 least cost over the histogram of set sizes.
 
-Scanning a list never emits its pairs.  Every member is held against the list's
-pivot (its class of most lists), linked members become one component, and lists within
-one component are finished.  What is left of short lists is paired; what is left
-of long ones gets further pivots, and members x, y of a long list that stay apart can only be linked if their differences to the common pivot
-overlap, x ^ y = (x ^ p) ^ (y ^ p); those small difference sets are joined under
-a prefix of their rarest elements, and exact checks follow.  Equal answers for
-equal inputs at every size; nothing is capped.
+Scanning a list never emits its pairs.  Every member is first held against the
+pivot of its lists (the class of most lists), linked members become one
+component, and lists within one component are finished.  Members of what is
+left carry their size, component and a parity sketch of their set, whose bits
+differ in no more places than the sets do; a list is tested where it lies, and
+only pairs whose sketches allow a link leave it for the exact test.  A list too
+long for one task is not tested by pairs at all: members x, y that stay apart
+from its pivot p can only be linked if their differences to p overlap,
+x ^ y = (x ^ p) ^ (y ^ p); those small difference sets are joined under a
+prefix of their rarest elements, and exact checks follow.  Both ways are exact;
+nothing is capped.
 
 Defined results: null or empty texts, or texts without words, have an empty set
 and link with nothing; a text with fewer words than n has its whole word
@@ -34,22 +38,22 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .bloom import maybe_in
-from .common import cut, small_batches, text_or_empty, whole_row
+from .common import cut, discard, small_batches, text_or_empty, tidy, whole_row
 
 U = np.uint64
-#: Most subsets that one light set may enumerate.
-MOST_SUBSETS = 512
 #: Cost of one inverted list entry against one subset: it is scanned, and its set verified.
 ENTRY_COST = 4
-#: Rounds in which what is left of a long list gets a new pivot.
-ROUNDS = 1
-#: What is left of lists at most so long is paired outright, so at most so many rows a member; longer ones go by pivots.
-SHORT_LIST = 64
+#: Open members of a list that one task tests in place; longer lists go by differences to a pivot, with the same answers.
+SCAN = 256
+#: Bits of a parity sketch: the power of two from so many times the most elements in which linked sets differ.
+SKETCH, LEAST_BITS, MOST_BITS = 16, 128, 16384
+#: Rows of a group of differences that one task holds against as many others; larger groups are dealt in pairs of blocks.
+BLOCK = 2048
 
 
 class Threshold:
@@ -83,18 +87,30 @@ class Threshold:
     def subsets(self, size: int) -> int:
         return sum(comb(size, a) for a in range(self.removable(size) + 1))
 
+    def entries(self, size: int) -> int:
+        """Lists that a heavy set enters."""
+        return self.prefix(size) + self.share(size) - 1
+
     def most_light(self) -> int:
-        s = 1
-        while self.subsets(s + 1) <= MOST_SUBSETS:
+        """Largest size at which subsets can cost less than list entries: from three removable elements on they never do."""
+        s = top = 1
+        while self.removable(s) < 3:
+            if self.subsets(s) <= ENTRY_COST * self.entries(s):
+                top = s
             s += 1
-        return s
+        return top
 
     def boundary(self, histogram: dict[int, int]) -> int:
         """Sets smaller than this are light: the cheapest over the histogram of sizes up to most_light()."""
         top = self.most_light()
-        cost = lambda b: sum(n * (self.subsets(s) if s < b else ENTRY_COST * (self.prefix(s) + self.share(s) - 1)) for s, n in histogram.items() if 0 < s <= top)
+        cost = lambda b: sum(n * (self.subsets(s) if s < b else ENTRY_COST * self.entries(s)) for s, n in histogram.items() if 0 < s <= top)
         return min(range(1, top + 2), key=lambda b: (cost(b), b))
 
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Most elements in which linked sets of these sizes differ."""
+        both, whole = x + y, self.num + self.den
+        return both - 2 * ((self.num * both + whole - 1) // whole)
+
 
 def shingles(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, fingerprint) of each distinct n-gram of each text, sorted by both."""
@@ -132,8 +148,34 @@ def _subsets(grams: np.ndarray, limit: Threshold) -> tuple[list[int], list[int]]
     return h, a
 
 
+def parity_sketches(doc: np.ndarray, gram: np.ndarray, size: np.ndarray, limit: Threshold) -> list[bytes]:
+    """Per set: bit h mod width is the parity of its elements hashed there, so two sketches differ in at most as many bits as the sets in elements."""
+    want = np.clip(SKETCH * np.maximum(limit.apart(size, size), 1), LEAST_BITS, MOST_BITS)
+    width = 1 << np.ceil(np.log2(want)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(width)])
+    bit = base[doc] + (B.mix(gram ^ U(0x3C6EF372)).view(np.int64) & (width[doc] - 1))
+    flat = np.packbits((np.bincount(bit, minlength=int(base[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [flat[i:j] for i, j in zip((base // 8).tolist(), (base[1:] // 8).tolist())]
+
+
+def within(i: np.ndarray, j: np.ndarray, size: np.ndarray, words: np.ndarray, start: np.ndarray, limit: Threshold) -> np.ndarray:
+    """For pairs (i, j) of sets, in how many bits their sketches differ; -1 where sizes or sketches rule out a link.  Sketch k is words[start[k]:start[k + 1]]."""
+    sx, sy = size[i], size[j]
+    far, out = np.full(i.size, -1), limit.den * np.minimum(sx, sy) >= limit.num * np.maximum(sx, sy)
+    width = np.diff(start)
+    for a, b in {(int(u), int(v)) for u, v in zip(width[i[out]], width[j[out]])} if out.any() else ():
+        own, least = np.flatnonzero(out & (width[i] == a) & (width[j] == b)), min(a, b)
+        for at in range(0, own.size, max(1, (1 << 18) // max(a, b))):
+            k = own[at : at + max(1, (1 << 18) // max(a, b))]
+            # a wide sketch folds into a narrow one: its bits' places modulo the narrow width
+            left, right = (np.bitwise_xor.reduce(words[start[m][:, None] + np.arange(w)].reshape(k.size, w // least, least), axis=1) for m, w in ((i[k], a), (j[k], b)))
+            bits = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+            far[k] = np.where(bits <= limit.apart(size[i[k]], size[j[k]]), bits, -1)
+    return far
+
+
 def _entries(rows: DataFrame, n: int, limit: Threshold) -> DataFrame:
-    """_id, _h (text hash), _size, _c (class), _lists (n-grams it is listed under), _sub, _gone (light subsets)."""
+    """_id, _h (text hash), _size, _c (class), _lists (n-grams it is listed under), _sub, _gone (light subsets), _sk (sketch)."""
     top = limit.most_light()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,16 +191,16 @@ def _entries(rows: DataFrame, n: int, limit: Threshold) -> DataFrame:
                 for i, j in zip(at, at[1:]):
                     s = int(j - i)
                     own = gram[i:j]  # ascending fingerprints: the fixed order
-                    lists.append(own[: limit.prefix(s) + limit.share(s) - 1].view(np.int64).tolist() if s else [])
+                    lists.append(own[: limit.entries(s)].view(np.int64).tolist() if s else [])
                     h, a = _subsets(own, limit) if 0 < s <= top else ([], [])
                     sub.append(h), gone.append(a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(size.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(sub, pa.list_(pa.int64())), pa.array(gone, pa.list_(pa.int32()))],
-                    ["_id", "_h", "_size", "_c", "_lists", "_sub", "_gone"],
+                    [part.column(0), part.column(1), pa.array(size.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(sub, pa.list_(pa.int64())), pa.array(gone, pa.list_(pa.int32())), pa.array(parity_sketches(doc, gram, size, limit), pa.binary())],
+                    ["_id", "_h", "_size", "_c", "_lists", "_sub", "_gone", "_sk"],
                 )
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, _h long, _size long, _c long, _lists array<long>, _sub array<long>, _gone array<int>")
+    return rows.mapInArrow(run, f"_id {kind}, _h long, _size long, _c long, _lists array<long>, _sub array<long>, _gone array<int>, _sk binary")
 
 
 def _sets(rows: DataFrame, n: int) -> DataFrame:
@@ -218,38 +260,102 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("v", "_c"), "_c", "left").withColumn("label", F.coalesce("label", "_c"))
 
 
-def _open_lists(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """_t, _c, _d, label of lists that hold more than one component: short ones and long ones.
-
-    A list that was long stays so for its remaining rounds: only the first call sees short ones.
-    """
+def _open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """_t, _c, _d, label, _n (members) of lists that hold more than one component."""
     now = cut(_labelled(members, labels), "labelled")
     apart = cut(now.groupBy("_t").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter("_lo <> _hi").select("_t", "_n"), "apart")
-    both = cut(now.join(apart, "_t").select("_t", "_c", "_d", "label", "_n"), "open")
-    return both.filter(F.col("_n") <= SHORT_LIST).drop("_n"), both.filter(F.col("_n") > SHORT_LIST).drop("_n")
+    return cut(now.join(apart, "_t").select("_t", "_c", "_d", "label", "_n"), "open")
+
+
+def _scanned(rows: DataFrame, sketches: DataFrame, limit: Threshold, closest: bool = False) -> DataFrame:
+    """x > y of different components that meet in a group and whose sizes and sketches allow a link.
+
+    rows: _t (group), _c, label, and what restricts pairs beyond that: _asks and _answers
+    (a pair needs one of each), _i, _most (their places sum to at most _most of the one that
+    asks), _block, _same (blocks that meet, or one by itself).  Each group is tested where it lies.
+    closest: of each row's pairs in a group only the one with least distance.
+    """
+
+    def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        t, c, label, asks, answers, place, most, block, same, size = (part.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(10))
+        buf, offs = B.flat(part.column(10))
+        words = np.frombuffer(buf.tobytes(), U)
+        last = np.append(np.flatnonzero(t[1:] != t[:-1]), t.size - 1)
+        after = last[np.searchsorted(last, np.arange(t.size))] - np.arange(t.size)  # rows behind each in its group
+        total = np.cumsum(after)
+        at = 0
+        while at < t.size:
+            upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 19), "right")))
+            i = np.repeat(np.arange(at, upto), after[at:upto])
+            j = i + 1 + np.arange(i.size) - np.repeat(np.cumsum(after[at:upto]) - after[at:upto], after[at:upto])
+            ok = (label[i] != label[j]) & (same[i] | (block[i] != block[j]))
+            i, j = i[ok], j[ok]
+            both = place[i] + place[j]
+            ok = (asks[i] & answers[j] & (both <= most[i])) | (asks[j] & answers[i] & (both <= most[j]))
+            i, j = i[ok], j[ok]
+            far = within(i, j, size, words, offs // 8, limit)
+            ok = np.flatnonzero(far >= 0)
+            if closest:
+                first = [ok[order[np.unique(side[ok][order], return_index=True)[1]]] for side in (i, j) for order in [np.lexsort((far[ok], side[ok]))]]
+                ok = np.unique(np.concatenate(first))
+            x, y = np.maximum(c[i[ok]], c[j[ok]]), np.minimum(c[i[ok]], c[j[ok]])
+            both = np.unique(np.stack([x, y], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "y"])
+            at = upto
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            t = held.column(0).to_numpy()
+            change = np.flatnonzero(t[1:] != t[:-1])
+            if change.size:  # the last group may go on in the next batch
+                done, held = held.slice(0, int(change[-1]) + 1), held.slice(int(change[-1]) + 1)
+                yield from pairs(done)
+            B.release()
+        if held is not None and held.num_rows:
+            yield from pairs(held)
+
+    small_batches(rows.sparkSession, 4096)
+    each = rows.join(sketches, "_c").select("_t", "_c", "label", "_asks", "_answers", "_i", "_most", "_block", "_same", "_size", "_sk")
+    return each.repartition("_t").sortWithinPartitions("_t").mapInArrow(run, "x long, y long").distinct()
+
+
+def _whole_lists(lists: DataFrame) -> DataFrame:
+    """Rows for _scanned(): every two members of a list may be a pair."""
+    yes, none = F.lit(True), F.lit(0).cast("long")
+    return lists.select("_t", "_c", "label", yes.alias("_asks"), yes.alias("_answers"), none.alias("_i"), none.alias("_most"), none.alias("_block"), yes.alias("_same"))
 
-def _short_pairs(rest: DataFrame, tested: DataFrame) -> DataFrame:
-    """x, y of different components that meet in a short list."""
-    a, b = rest.select("_t", F.col("_c").alias("x"), F.col("label").alias("_lx")), rest.select("_t", F.col("_c").alias("y"), F.col("label").alias("_ly"))
-    pairs = a.join(b, "_t").filter("x > y and _lx <> _ly").select("x", "y").distinct()
-    return cut(pairs.join(tested.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows with _t, _block and _same such that no group is larger than two blocks and any two rows of a group of rows meet once."""
+    sizes = cut(rows.groupBy("_t").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks")), "sizes")
+    own = rows.join(sizes, "_t").withColumn("_block", F.pmod(F.xxhash64("_c"), "_blocks"))
+    with_ = own.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    key = F.xxhash64("_t", F.least("_block", "_with"), F.greatest("_block", "_with"))
+    return with_.withColumn("_same", F.col("_block") == F.col("_with")).withColumn("_t", F.when(F.col("_blocks") > 1, key).otherwise(F.col("_t"))).drop("_blocks", "_with")
 
 
 def _links(pairs: DataFrame) -> DataFrame:
     return pairs.filter("linked").select("x", "y")
 
 
-def _crossed(open_lists: DataFrame, sets: DataFrame, labels: DataFrame, limit: Threshold) -> DataFrame:
-    """Links between components that meet in lists, by differences to the lists' pivots."""
-    pivots = cut(_pivots(open_lists), "pivots")
-    pairs = cut(open_lists.join(pivots, "_t").filter("_c <> _p._c").select(F.col("_c").alias("x"), F.col("_p._c").alias("y")).distinct(), "to_pivots")
-    near = cut(_labelled(_verified(pairs, sets, limit, True).withColumnRenamed("x", "_c"), labels), "differences")
+def _near_pivots(long: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """Every member of a long list against the list's pivot: _verified() with differences."""
+    pivots = cut(_pivots(long), "pivots")
+    pairs = cut(long.join(pivots, "_t").filter("_c <> _p._c").select(F.col("_c").alias("x"), F.col("_p._c").alias("y")).distinct(), "to_pivots")
+    return cut(_verified(pairs, sets, limit, True), "differences")
+
+
+def _crossed(near: DataFrame, labels: DataFrame, limit: Threshold) -> DataFrame:
+    """Rows for _scanned() in which members of long lists meet that may be linked, by their differences to the lists' pivots."""
+    near = cut(_labelled(near.withColumnRenamed("x", "_c"), labels), "apart")
     open_ = near.groupBy("y").agg(F.max(~F.col("linked")).alias("_any")).filter("_any").select("y")  # pivots to which all are linked are done
     rows = near.join(open_, "y", "left_semi").select("_c", F.col("y").alias("p"), "label", "linked", "sx", "sy", (F.size("more") + F.size("less")).alias("d"), F.explode_outer("more").alias("token"))
     # one order for all differences to a pivot: what the pivot lacks by rarity, then what only it has
-    same = Window.partitionBy("p", "token")
-    rows = rows.withColumns({"df": F.count(F.lit(1)).over(same), "_meets": (F.min("label").over(same) != F.max("label").over(same)) & F.max(~F.col("linked")).over(same)})
+    # combined before they move, so that a token of a large group meets in no one task
+    common = rows.filter("token is not null").groupBy("p", "token").agg(F.count(F.lit(1)).alias("df"), ((F.min("label") != F.max("label")) & F.max(~F.col("linked"))).alias("_meets")).filter("df > 1")
+    rows = cut(rows, "different").join(cut(common, "common"), ["p", "token"], "left").withColumns({"df": F.coalesce("df", F.lit(1)), "_meets": F.coalesce("_meets", F.lit(False))})
     # A linked pair differs in H elements at most, so their differences to p overlap in all but H of either;
     # and with x not linked to p, in half of y's: so much of the rarest elements is enough to meet.
     part, whole = limit.den - limit.num, limit.den + limit.num
@@ -265,12 +371,9 @@ def _crossed(open_lists: DataFrame, sets: DataFrame, labels: DataFrame, limit: T
     tokens = F.concat(F.transform("_more", lambda t: F.struct(t["token"].alias("token"), t["_meets"].alias("_meets"))), F.transform("_less", lambda t: F.struct(t.alias("token"), F.lit(True).alias("_meets"))))
     met = F.filter(F.transform(F.slice(tokens, F.lit(1), take), lambda t, i: F.struct(i.alias("i"), t["token"].alias("token"), t["_meets"].alias("meets"))), lambda t: t["meets"])
     each = cut(rare.select("p", "_c", "label", "linked", "_n", "_most", "_half", F.explode(met).alias("_m")).select("p", "_c", "label", "linked", "_n", "_most", "_half", "_m.i", "_m.token"), "prefixes")
-    y = each.filter("i < _half").select("p", "token", F.col("_c").alias("y"), F.col("label").alias("_ly"), F.col("_n").alias("_ny"), F.col("i").alias("_j"))
-    x = each.filter("not linked").select("p", "token", F.col("_c").alias("x"), F.col("label").alias("_lx"), F.col("_n").alias("_nx"), F.col("i").alias("_i"), "_most")
-    # all before the first common element differ; sizes within a link's reach
-    fits = (F.col("_lx") != F.col("_ly")) & (F.col("_i") + F.col("_j") <= F.col("_most")) & (limit.den * F.least("_nx", "_ny") >= limit.num * F.greatest("_nx", "_ny"))
-    found = x.join(y, ["p", "token"]).filter(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    return _links(near.select(F.col("_c").alias("x"), "y", "linked")).unionAll(_links(_verified(cut(found, "crossed"), sets, limit, False)))
+    # all before the first common element differ, and sizes lie within a link's reach: tested where the tokens meet
+    met = each.select(F.xxhash64("p", "token").alias("_t"), "_c", "label", (~F.col("linked")).alias("_asks"), (F.col("i") < F.col("_half")).alias("_answers"), F.col("i").cast("long").alias("_i"), F.col("_most").cast("long").alias("_most"))
+    return cut(_in_blocks(met), "blocks")
 
 
 def _pivots(members: DataFrame) -> DataFrame:
@@ -298,40 +401,53 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 4, den: int =
     classes = heavy.groupBy("_c").agg(F.first("_size").alias("_size"), F.min(F.struct("_id", "_h")).alias("_of"))
     enough = met.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).join(classes, "_c").filter(F.col("_n") >= _need(limit, "_size"))
     enough = cut(enough.select("_c", "_size", "_of"), "enough")
-    members = _rarest(cut(met.join(enough.select("_c", "_size"), "_c"), "some"), limit)
-    degree = members.groupBy("_c").agg((-F.count(F.lit(1))).alias("_d"))
-    members = cut(members.join(degree, "_c"), "listed")
+    some = cut(met.join(enough.select("_c", "_size"), "_c"), "some")
+    discard(shared, met)
+    tidy(docs.sparkSession)
+    rarest = _rarest(some, limit)
+    degree = rarest.groupBy("_c").agg((-F.count(F.lit(1))).alias("_d"))
+    members = listed = cut(rarest.join(degree, "_c"), "listed")
     lists = members.groupBy("_t").agg(F.min(F.struct("_d", "_c")).alias("_p"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).filter("_lo <> _hi").select("_t", "_p")
     members = cut(members.join(cut(lists, "lists"), "_t").select("_t", "_c", "_d", "_p"), "members")
+    discard(some, rarest, listed)
     needed = cut(members.select("_c").distinct().join(enough, "_c"), "needed")
-    sketches = cut(heavy.select("_c", "_lists").join(needed.select("_c", "_size"), "_c").groupBy("_c").agg(F.first("_size").alias("_size"), F.first("_lists").alias("_lists")), "sketches")
-    # each class against the first of its pivots, then what is left of open lists against new ones
+    sketches = cut(heavy.select("_c", "_sk").join(needed.select("_c", "_size"), "_c").groupBy("_c").agg(F.first("_size").alias("_size"), F.first("_sk").alias("_sk")), "sketches")
+    # each class against the first of its pivots
     pairs = cut(members.filter("_c <> _p._c").groupBy(F.col("_c").alias("x")).agg(F.min("_p").alias("_p")).select("x", F.col("_p._c").alias("y")), "pairs")
     hopeful = _plausible(pairs, sketches, limit)
     sets = _fetch_sets(rows, needed, n)
     edges = cut(edges.unionAll(_links(_verified(hopeful, sets, limit, False))), "links")
     labels = components(edges)
-    rest, long = _open_lists(members, labels)
-    tested = pairs
-    if not rest.isEmpty():
-        pairs = _short_pairs(rest, tested)
-        tested = cut(tested.unionAll(pairs), "tested")
-        edges = cut(edges.unionAll(_links(_verified(_plausible(pairs, sketches, limit), sets, limit, False))), "links")
-        if not long.isEmpty():
-            labels = components(edges)
-            long = _open_lists(long.select("_t", "_c", "_d"), labels)[1]
-    rest = long
-    for _ in range(ROUNDS):
-        if rest.isEmpty():
-            break
-        pairs = _next_pairs(rest, tested)
-        tested = cut(tested.unionAll(pairs), "tested")
-        edges = cut(edges.unionAll(_links(_verified(_plausible(pairs, sketches, limit), sets, limit, False))), "links")
-        labels = components(edges)
-        rest = _open_lists(rest.select("_t", "_c", "_d"), labels)[1]
-    if not rest.isEmpty():
-        edges = cut(edges.unionAll(_crossed(rest, sets, labels, limit)), "links")
-    return _named(entries, components(edges))
+    open_ = _open_lists(members, labels)
+    discard(members)
+    tidy(docs.sparkSession)
+    tested = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+    rows, long = _whole_lists(open_.filter(F.col("_n") <= SCAN)), open_.filter(F.col("_n") > SCAN)
+    if not long.isEmpty():
+        near = _near_pivots(long, sets, limit)
+        labels = _joined(labels, _links(near))
+        crossed = _crossed(near, labels, limit)
+        # first each member's closest, which makes most components one; then, below, every pair still apart
+        found = cut(_scanned(crossed, sketches, limit, closest=True).join(tested, ["x", "y"], "left_anti"), "closest")
+        labels = _joined(labels, cut(_links(_verified(found, sets, limit, False)), "more"))
+        tested = tested.unionAll(found)
+        rows = _labelled(rows.unionByName(crossed).drop("label"), labels)
+    found = cut(_scanned(rows, sketches, limit).join(tested, ["x", "y"], "left_anti"), "scanned")
+    labels = _joined(labels, cut(_links(_verified(found, sets, limit, False)), "more"))
+    discard(open_, sets, sketches)
+    tidy(docs.sparkSession)
+    return _named(entries, labels)
+
+
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels after more links: only the components that these connect are looked at again."""
+    if more.isEmpty():
+        return labels
+    side = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"_{c}"))
+    edges = more.select("x", "y").join(side("x"), "x", "left").join(side("y"), "y", "left").select(F.coalesce("_x", "x").alias("x"), F.coalesce("_y", "y").alias("y"))
+    new = components(edges.filter("x <> y"))
+    old = labels.join(new.select(F.col("v").alias("label"), F.col("label").alias("_new")), "label", "left").select("v", F.coalesce("_new", "label").alias("label"))
+    return cut(old.unionAll(new.join(labels, "v", "left_anti").select("v", "label")), "joined")
 
 
 def _need(limit: Threshold, size: str) -> Column:
@@ -342,22 +458,21 @@ def _need(limit: Threshold, size: str) -> Column:
 
 
 def _plausible(pairs: DataFrame, sketches: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs whose sizes and list entries allow a link; entries are a tenth of the sets or so."""
-    side = lambda c, *cols: sketches.select(F.col("_c").alias(c), *(F.col(a).alias(b) for a, b in cols))
-    sized = pairs.select("x", "y").join(side("x", ("_size", "_nx")), "x").join(side("y", ("_size", "_ny")), "y")
-    fit = cut(sized.filter(limit.den * F.least("_nx", "_ny") >= limit.num * F.greatest("_nx", "_ny")), "fit")
-    met = fit.join(side("x", ("_lists", "_lx")), "x").join(side("y", ("_lists", "_ly")), "y")
-    enough = F.size(F.array_intersect("_lx", "_ly")) >= F.least(_need(limit, "_nx"), _need(limit, "_ny"))
-    return cut(met.filter(enough).select("x", "y"), "plausible")
+    """Pairs whose sizes and sketches allow a link."""
+    side = lambda c: sketches.select(F.col("_c").alias(c), F.col("_size").alias(f"_n{c}"), F.col("_sk").alias(f"_s{c}"))
+    met = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y").select("x", "y", "_nx", "_ny", "_sx", "_sy")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = pa.concat_arrays([batch.column(4), batch.column(5)])
+            buf, offs = B.flat(both)
+            k = np.arange(batch.num_rows)
+            size = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
+            far = within(k, k + k.size, size, np.frombuffer(buf.tobytes(), U), offs // 8, limit)
+            yield batch.select([0, 1]).filter(pa.array(far >= 0))
 
-def _next_pairs(rest: DataFrame, tested: DataFrame) -> DataFrame:
-    """Members of open lists outside their pivot's component, against that pivot and against the first of themselves."""
-    first = rest.groupBy("_t").agg(F.min(F.struct("_d", "_c", "label")).alias("_p"))
-    out = rest.join(cut(first, "pivots"), "_t").filter("label <> _p.label")
-    second = out.groupBy("_t").agg(F.min(F.struct("_d", "_c")).alias("_q"))
-    pairs = out.select(F.col("_c").alias("x"), F.col("_p._c").alias("y")).unionAll(out.join(cut(second, "seconds"), "_t").filter("_c <> _q._c").select(F.col("_c").alias("x"), F.col("_q._c").alias("y")))
-    return cut(pairs.distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
+    small_batches(pairs.sparkSession, 4096)
+    return cut(met.mapInArrow(run, "x long, y long"), "plausible")
 
 
 def _rarest(met: DataFrame, limit: Threshold) -> DataFrame:
@@ -372,12 +487,12 @@ def _rarest(met: DataFrame, limit: Threshold) -> DataFrame:
     own = met.join(length, "_t").groupBy("_c").agg(F.first("_size").alias("_size"), F.sort_array(F.collect_list(F.struct("_df", "_t"))).alias("_of"))  # one class's own entries
     need = _need(limit, "_size")
     left = F.slice("_of", F.lit(1), F.greatest(F.lit(0), F.size("_of") - need + 1).cast("int"))
-    popular = F.size(F.filter("_of", lambda e: e["_df"] > SHORT_LIST)) >= need
+    popular = F.size(F.filter("_of", lambda e: e["_df"] > SCAN)) >= need
     each = own.select("_c", "_size", popular.alias("_popular"), F.explode(left).alias("_e")).select("_c", "_size", "_popular", "_e._df", "_e._t").filter("_df > 1")
-    short = each.filter(F.col("_df") <= SHORT_LIST).select("_t", "_c")
+    short = each.filter(F.col("_df") <= SCAN).select("_t", "_c")
     band = lambda size: F.floor(F.log(size) / (2 * math.log(limit.den / limit.num)))
     bands = F.array_distinct(F.array(band(F.col("_size")), band(F.expr(f"_size * {limit.den} div {limit.num}"))))
-    long = each.filter((F.col("_df") > SHORT_LIST) & F.col("_popular")).select("_t", "_c", F.explode(bands).alias("_band"))
+    long = each.filter((F.col("_df") > SCAN) & F.col("_popular")).select("_t", "_c", F.explode(bands).alias("_band"))
     return cut(short.unionAll(long.select(F.xxhash64("_t", "_band"), "_c")), "rarest")
 
 
