@@ -5,8 +5,9 @@ ternary and random; its context vector is the sum of the index vectors met
 within `window` words over the fitting sample (random indexing), scaled to unit
 length and added to the index vector.  A word's ending has a row of its own, so
 unseen words still say something.  Documents pool (mean) the vectors of all
-their words, with the pooled length and how words repeat; a two-layer numpy network scores the pooled vector, and one
-temperature, fitted on documents the weights never saw, calibrates it.
+their words, with the pooled length and how words repeat; a two-layer numpy
+network scores the pooled vector, and one temperature, fitted on documents the
+weights never saw, calibrates it.
 
 The fit takes at most `max_labelled` labelled documents (those whose ids hash
 lowest), a documented bound; scoring covers every word of every document.
@@ -31,6 +32,8 @@ from . import bytesops as B
 from .common import cut, small_batches, text_or_empty, unused
 
 U = np.uint64
+#: Partitions of the fitting sample, each with one array of context sums.
+SAMPLE_PARTS = 16
 
 
 @dataclass
@@ -97,20 +100,17 @@ def random_index(buckets: int, dim: int, nonzero: int, seed: int) -> np.ndarray:
     return out
 
 
-def word_vectors(sample: list[np.ndarray], buckets: int, dim: int, *, nonzero: int = 4, window: int = 2, seed: int = 7) -> np.ndarray:
-    """sample: the word rows of each document."""
-    index = random_index(buckets, dim, nonzero, seed)
-    context = np.zeros((buckets, dim))
-    for at in range(0, len(sample), 256):
-        part = sample[at : at + 256]
-        word = np.concatenate(part) if part else np.zeros(0, np.int32)
-        doc = np.repeat(np.arange(len(part)), [p.size for p in part])
-        for gap in range(1, window + 1):
-            a, b = word[:-gap], word[gap:]
-            same = doc[:-gap] == doc[gap:]
-            a, b = a[same], b[same]
-            for d in range(dim):
-                context[:, d] += np.bincount(a, index[b, d], buckets) + np.bincount(b, index[a, d], buckets)
+def contexts(word: np.ndarray, doc: np.ndarray, index: np.ndarray, window: int, out: np.ndarray) -> None:
+    """Add to out the index vectors met within window words of each word of one text (sums of whole numbers)."""
+    for gap in range(1, window + 1):
+        a, b = word[:-gap], word[gap:]
+        same = doc[:-gap] == doc[gap:]
+        a, b = a[same], b[same]
+        for d in range(index.shape[1]):
+            out[:, d] += np.bincount(a, index[b, d], out.shape[0]) + np.bincount(b, index[a, d], out.shape[0])
+
+
+def word_vectors(index: np.ndarray, context: np.ndarray, nonzero: int) -> np.ndarray:
     length = np.linalg.norm(context, axis=1, keepdims=True)
     return (index / np.sqrt(nonzero) + np.where(length > 0, context / np.maximum(length, 1e-9), 0)).astype(np.float32)
 
@@ -148,15 +148,39 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, *, hidden: int = 48
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 15, dim: int = 32, max_labelled: int = 12_000, **network) -> Model:
-    """labels: (id, label), only rows to learn from.  At most max_labelled documents are fitted on."""
+def _context_sums(sample: DataFrame, buckets: int, dim: int, nonzero: int, window: int, seed: int) -> np.ndarray:
+    """Context vectors summed in the workers, then by row: buckets * dim numbers reach the driver, whatever the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, out = random_index(buckets, dim, nonzero, seed), np.zeros((buckets, dim))
+        for batch in batches:
+            word = [np.frombuffer(w.as_py(), "<i4") for w in batch.column(0)]
+            for at in range(0, len(word), 256):
+                part = word[at : at + 256]
+                contexts(np.concatenate(part), np.repeat(np.arange(len(part)), [w.size for w in part]), index, window, out)
+            B.release()
+        met = np.flatnonzero(out.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(out[met, d]) for d in range(dim))], ["_row", *(f"_d{d}" for d in range(dim))])
+
+    parts = sample.select("_word").mapInArrow(run, "_row long, " + ", ".join(f"_d{d} double" for d in range(dim)))
+    out = np.zeros((buckets, dim))
+    for row in parts.groupBy("_row").agg(*(F.sum(f"_d{d}") for d in range(dim))).collect():
+        out[row[0]] = row[1:]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 15, dim: int = 32, max_labelled: int = 12_000, nonzero: int = 4, window: int = 2, seed: int = 7, **network) -> Model:
+    """labels: (id, label), only rows to learn from.  At most max_labelled documents are fitted on.
+
+    Their words stay with the workers: the driver gets the summed context vectors and one pooled vector per document.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     wanted = labels.toDF("_id", "_y").filter("_id is not null and _y is not null").groupBy("_id").agg(F.max("_y").cast("int").alias("_y"))
     chosen = cut(docs.select(F.col(id_col).alias("_id")).distinct().join(wanted, "_id").orderBy(F.xxhash64("_id"), "_id").limit(max_labelled), "labelled")
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most max_labelled rows of two numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in B.slices(batch, "_text"):
                 word, tail, doc = word_rows(buf, offs, buckets)
@@ -164,12 +188,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 pick = lambda a: pa.array([a[i:j].astype("<i4").tobytes() for i, j in zip(at, at[1:])], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pick(word), pick(tail)], ["_id", "_y", "_word", "_tail"])
 
-    got = rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _y int, _word binary, _tail binary").collect()
+    kind = rows.schema["_id"].dataType.simpleString()
+    coded = rows.mapInArrow(code, f"_id {kind}, _y int, _word binary, _tail binary")
+    sample = cut(coded.repartition(SAMPLE_PARTS, F.xxhash64("_id", "_word")), "sample")  # a bounded number of documents, at rest in the shared folder
+    index = random_index(buckets, dim, nonzero, seed)
+    shared = spark.sparkContext.broadcast(word_vectors(index, _context_sums(sample, buckets, dim, nonzero, window, seed), nonzero))
+
+    def pool_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [pool(shared.value, *(np.frombuffer(c[i].as_py(), "<i4") for c in batch.columns[2:])).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got, pa.binary())], ["_id", "_y", "_x"])
+
+    got = sample.mapInArrow(pool_words, f"_id {kind}, _y int, _x binary").collect()  # max_labelled rows of dim + 4 numbers
     got.sort(key=lambda r: (r[0], r[2]))
-    word, tail = [np.frombuffer(r[2], "<i4") for r in got], [np.frombuffer(r[3], "<i4") for r in got]
-    vectors = word_vectors(word, buckets, dim)
-    x = np.array([pool(vectors, a, b) for a, b in zip(word, tail)]).reshape(len(got), dim + 4)
-    return train(x, np.array([r[1] for r in got], float), vectors, **network)
+    x = np.frombuffer(b"".join(r[2] for r in got)).reshape(len(got), dim + 4)
+    return train(x, np.array([r[1] for r in got], float), shared.value, **network)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str], score_col: str = "score") -> DataFrame:
