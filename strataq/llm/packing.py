@@ -2,12 +2,14 @@
 
 How well a packing does depends only on how many pieces have which length, and
 there are at most `capacity` lengths, so the search runs on that histogram,
-whatever the size of the corpus.  Bin completion: around the largest remaining
-length, enumerate undominated fillings of the rest (larger parts before smaller),
-prune branches that cannot beat the waste of the incumbent, which starts as the
-best-fit filling; the found bin is repeated as often as its lengths last, which
-uses up lengths, so there are few distinct bins.  The whole result is compared
-with best-fit decreasing and the bound ceil(total / capacity).
+whatever the size of the corpus.  Bin completion: each bin is built around the
+largest remaining length by an undominated filling of least waste, and repeated
+as often as its lengths last, so there are few distinct bins.  The best-fit
+packing is the first incumbent.  Where the better of the two does not reach the
+lower bound, a depth-first search branches over the undominated fillings of each
+bin, in order of waste, and prunes what cannot waste less than the incumbent.
+Sums that remaining lengths can reach are bit sets, so a branch whose least
+possible waste is too large is never entered.
 
 Pieces then find their places without meeting in one task: each knows its rank
 among the pieces of its length within its partition, a prefix sum over
@@ -21,6 +23,7 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -42,88 +45,206 @@ KEPT_WORDS = 500_000
 Bin = tuple[int, dict[int, int]]
 
 
-# -- packing a histogram ------------------------------------------------------
+# packing a histogram
 
 
-def _best_fit(count: np.ndarray, fits: np.ndarray, room: int) -> list[int]:
+def _best_fit(count: np.ndarray, fits: np.ndarray, room: int) -> dict[int, int]:
     """The largest length that fits, again and again."""
-    out, used = [], {}
+    used: dict[int, int] = {}
     while room > 0:
         s = int(fits[room])
         while s and used.get(s, 0) >= count[s]:
             s = int(fits[s - 1])
         if not s:
             break
-        out.append(s)
-        used[s] = used.get(s, 0) + 1
-        room -= s
+        n = min(int(count[s]) - used.get(s, 0), room // s)
+        used[s] = used.get(s, 0) + n
+        room -= n * s
+    return used
+
+
+def reachable(lengths: list[int], count: np.ndarray, room: int) -> list[int]:
+    """Bit sets: k has the sums up to room of pieces of the first k lengths."""
+    mask, sums = (2 << room) - 1, 1
+    out = [1]
+    for s in lengths:
+        left, step = min(int(count[s]), room // s), 1
+        while left > 0:
+            take = min(step, left)
+            sums |= (sums << take * s) & mask
+            left, step = left - take, 2 * step
+        out.append(sums)
     return out
 
 
-def complete(count: np.ndarray, fits: np.ndarray, room: int, nodes: int = 1500) -> list[int]:
-    """A filling of room with least waste found: branch and bound from the best-fit incumbent.
+def _exact(lengths: list[int], sums: list[int], count: np.ndarray, total: int) -> dict[int, int]:
+    """The filling of exactly total with the largest parts; total is reachable."""
+    used: dict[int, int] = {}
+    for k in range(len(lengths) - 1, -1, -1):
+        s = lengths[k]
+        n = min(int(count[s]), total // s)
+        while n and not sums[k] >> (total - n * s) & 1:
+            n -= 1
+        if n or not sums[k] >> total & 1:
+            used[s] = n
+            total -= n * s
+        if not total:
+            break
+    return used
+
+
+def complete(count: np.ndarray, fits: np.ndarray, room: int) -> dict[int, int]:
+    """{length: pieces}: a filling of room with the least possible waste, the best-fit one where that is perfect.
 
     count[s]: pieces of length s; fits[r]: the largest length <= r at hand, 0 for none.
-    Fillings are built from non-increasing lengths, so none is met twice, and a
-    filling with a larger first part comes before those it dominates.
+    No filling dominates it: a larger part in place of another would waste less, and
+    of equal waste the one with the largest parts is taken.
     """
     best = _best_fit(count, fits, room)
-    waste = room - sum(best)
-    if not waste:
+    if sum(s * n for s, n in best.items()) == room:
         return best
-    left, used, path = [nodes], {}, []
-
-    def grow(room: int, most: int) -> bool:
-        nonlocal best, waste
-        s = int(fits[min(room, most)])
-        if room - s >= waste and not s:
-            return False
-        while s and left[0] > 0:
-            if used.get(s, 0) < count[s]:
-                left[0] -= 1
-                path.append(s)
-                used[s] = used.get(s, 0) + 1
-                if room - s < waste:
-                    best, waste = list(path), room - s
-                if not waste or (room > s and grow(room - s, s)):
-                    return True
-                used[s] -= 1
-                path.pop()
-            s = int(fits[s - 1])
-        return False
-
-    grow(room, room)
-    return best
+    lengths = [int(s) for s in np.flatnonzero(count[: room + 1])]
+    sums = reachable(lengths, count, room)
+    return _exact(lengths, sums, count, sums[-1].bit_length() - 1)
+
+
+def dominated(use: dict[int, int], count: np.ndarray, fits: np.ndarray, waste: int) -> bool:
+    """Another filling takes a piece more, a larger piece for one of these, or one piece for two of these."""
+    spare = lambda s: count[s] > use.get(s, 0)
+    between = lambda low, high: next((s for s in _down(fits, high, low) if spare(s)), 0)
+    if waste and between(1, waste):
+        return True
+    parts = sorted(use)
+    if waste and any(between(p + 1, p + waste) for p in parts):
+        return True
+    pairs = {p + q for i, p in enumerate(parts) for q in parts[i:] if p != q or use[p] > 1}
+    return any(between(p, min(p + waste, fits.size - 1)) for p in pairs if p < fits.size)
+
+
+def _down(fits: np.ndarray, high: int, low: int) -> Iterator[int]:
+    s = int(fits[min(high, fits.size - 1)])
+    while s >= low and s:
+        yield s
+        s = int(fits[s - 1])
+
+
+def completions(count: np.ndarray, fits: np.ndarray, room: int, most_waste: int) -> Iterator[dict[int, int]]:
+    """Undominated fillings of room that waste at most most_waste, least waste first; a stack, no recursion."""
+    lengths = [int(s) for s in np.flatnonzero(count[: room + 1])]
+    sums = reachable(lengths, count, room)
+    for waste in range(min(most_waste, room) + 1):
+        if not sums[-1] >> (room - waste) & 1:
+            continue
+        stack = [(len(lengths), room - waste, ())]
+        while stack:
+            k, left, path = stack.pop()
+            if not left:
+                use = dict(path)
+                if not dominated(use, count, fits, waste):
+                    yield use
+                continue
+            s = lengths[k - 1]
+            for n in range(min(int(count[s]), left // s) + 1):  # the most of the largest length is popped first
+                if sums[k - 1] >> (left - n * s) & 1:
+                    stack.append((k - 1, left - n * s, path + ((s, n),) if n else path))
 
 
 def _fits(count: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(count > 0, np.arange(count.size), 0))
 
 
-def _fill(histogram: dict[int, int], capacity: int, choose) -> list[Bin]:
+def _counts(histogram: dict[int, int], capacity: int) -> np.ndarray:
     count = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         count[length] = n
+    return count
+
+
+def _take(count: np.ndarray, largest: int, filling: dict[int, int]) -> Bin:
+    """The bin of largest and filling, as often as its lengths last; count loses its pieces."""
+    use = dict(filling)
+    use[largest] = use.get(largest, 0) + 1
+    times = int(min(count[s] // k for s, k in use.items()))
+    for s, k in use.items():
+        count[s] -= times * k
+    return times, use
+
+
+def _fill(histogram: dict[int, int], capacity: int, choose) -> list[Bin]:
+    count = _counts(histogram, capacity)
     bins: list[Bin] = []
-    while (largest := int(np.flatnonzero(count)[-1]) if count.any() else 0):
+    while count.any():
+        largest = int(np.flatnonzero(count)[-1])
         count[largest] -= 1
-        got = [largest, *choose(count, _fits(count), capacity - largest)]
+        got = choose(count, _fits(count), capacity - largest)
         count[largest] += 1
-        use = {s: got.count(s) for s in set(got)}
-        times = int(min(count[s] // k for s, k in use.items()))
-        for s, k in use.items():
-            count[s] -= times * k
-        bins.append((times, use))
+        bins.append(_take(count, largest, got))
     return bins
 
 
-def pack(histogram: dict[int, int], capacity: int) -> list[Bin]:
-    """Bins for {length: pieces}; lengths are 1..capacity."""
+def least_bins(histogram: dict[int, int], capacity: int) -> int:
+    """A lower bound: pieces over half a bin never share one, and what is left of their bins takes only so much."""
+    count = _counts(histogram, capacity)
+    size = np.arange(capacity + 1)
+    many, much = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * size)])
+    half = capacity // 2
+    low = np.arange(half + 1)  # pieces shorter than this are left out of account
+    alone = many[-1] - many[capacity - low + 1]
+    n = many[capacity - low + 1] - many[half + 1]
+    free = n * capacity - (much[capacity - low + 1] - much[half + 1])
+    rest = much[half + 1] - much[low]
+    return int(max((alone + n + np.maximum(0, -(-(rest - free) // capacity))).max(), -(-much[-1] // capacity)))
+
+
+def _bins(made: list[Bin]) -> int:
+    return sum(times for times, _ in made)
+
+
+def _branch(histogram: dict[int, int], capacity: int, best: list[Bin], least: int, nodes: int) -> tuple[list[Bin], bool]:
+    """A packing of fewer bins than best if the search meets one, and whether the search came to its end."""
     total = sum(s * n for s, n in histogram.items())
-    made = _fill(histogram, capacity, complete)
-    if sum(t for t, _ in made) > -(-total // capacity):
-        plain = _fill(histogram, capacity, lambda c, f, r: _best_fit(c, f, r))
-        made = min(made, plain, key=lambda bins: sum(t for t, _ in bins))
+    stack = [(_counts(histogram, capacity), (), 0)]
+    branches: list[Iterator] = []
+
+    def fillings(count: np.ndarray, made: tuple, waste: int) -> Iterator[tuple]:
+        largest = int(np.flatnonzero(count)[-1])
+        rest = count.copy()
+        rest[largest] -= 1
+        allowed = (_bins(best) - 1) * capacity - total - waste
+        for use in completions(rest, _fits(rest), capacity - largest, allowed):
+            after = count.copy()
+            times, whole = _take(after, largest, use)
+            lost = waste + times * (capacity - sum(s * k for s, k in whole.items()))
+            if lost <= (_bins(best) - 1) * capacity - total:
+                yield after, made + ((times, whole),), lost
+
+    branches.append(fillings(*stack[0]))
+    while branches and nodes > 0 and _bins(best) > least:
+        step = next(branches[-1], None)
+        if step is None:
+            branches.pop()
+            continue
+        nodes -= 1
+        count, made, waste = step
+        if count.any():
+            branches.append(fillings(count, made, waste))
+        elif _bins(list(made)) < _bins(best):
+            best = list(made)
+    return best, not branches or _bins(best) == least
+
+
+def pack(histogram: dict[int, int], capacity: int, nodes: int = 2000) -> list[Bin]:
+    """Bins for {length: pieces}; lengths are 1..capacity.
+
+    nodes bounds the branching, after which the incumbent stands and a warning says so:
+    the problem is NP-hard, and every piece is packed either way.
+    """
+    least = least_bins(histogram, capacity)
+    made = min((_fill(histogram, capacity, choose) for choose in (_best_fit, complete)), key=_bins)
+    if _bins(made) > least:
+        made, proved = _branch(histogram, capacity, made, least, nodes)
+        if not proved:
+            logging.getLogger(__name__).warning("packing: %d bins, at least %d needed; the search ended after %d nodes", _bins(made), least, nodes)
     return made
 
 
@@ -154,7 +275,7 @@ class Places:
         return sequence, offset
 
 
-# -- tokens -------------------------------------------------------------------
+# tokens
 
 
 class WordTokens:
