@@ -9,8 +9,8 @@ back, as one array per host, to the rows that carry the texts.
 Defined results: a null text stays null and has no lines; lines of white space
 only are never dropped and count nowhere; a line that repeats within one page
 counts once for it and is dropped at every place.  A null host is a host of its
-own.  A host's line needs min_pages pages besides the ratio, so small hosts keep
-everything.  Whole texts of any length are split.  Repeated rows are pages of
+own.  The ratio alone decides at every size of host; only a line that stands on
+one page alone has nothing to be boilerplate of.  Whole texts of any length are split.  Repeated rows are pages of
 their own.  Extra columns pass through untouched, whatever their names.
 """
 
@@ -33,7 +33,7 @@ def _has_word(line: Column) -> Column:
     return F.length(F.translate(line, SPACE, "")) > 0
 
 
-def boilerplate_lines(docs: DataFrame, *, text_col: str, host_col: str, max_ratio: float, min_pages: int) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, *, text_col: str, host_col: str, max_ratio: float) -> DataFrame:
     """(_host, _line key, _pages, _ratio) of every line past the limit."""
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(_NO_HOST)).alias("_host")
     rows = docs.select(host, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"))
@@ -41,15 +41,15 @@ def boilerplate_lines(docs: DataFrame, *, text_col: str, host_col: str, max_rati
     keys = F.array_distinct(F.transform(F.filter("_lines", _has_word), _key))
     counted = (
         rows.select("_host", F.explode(keys).alias("_line"))
-        .groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= min_pages)
+        .groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_pages")).filter("_pages > 1")
     )
     return counted.join(totals, "_host").withColumn("_ratio", F.col("_pages") / F.col("_total")).filter(F.col("_ratio") > max_ratio)
 
 
-def line_dedup(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", max_ratio: float = 0.1, min_pages: int = 10, counts: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", max_ratio: float = 0.05, counts: bool = False) -> DataFrame:
     """docs with text_col rebuilt from the lines that stay; with counts also n_lines and n_dropped (in place of columns so named)."""
     host_lines = cut(
-        boilerplate_lines(docs, text_col=text_col, host_col=host_col, max_ratio=max_ratio, min_pages=min_pages)
+        boilerplate_lines(docs, text_col=text_col, host_col=host_col, max_ratio=max_ratio)
         .groupBy("_host").agg(F.collect_set("_line").alias("_drop")),
         "boilerplate",
     )

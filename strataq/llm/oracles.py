@@ -17,7 +17,7 @@ WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, g
 w AS (SELECT *, translate(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') <> '' AS word FROM l),
 c AS (SELECT source, line, count(DISTINCT doc_id) AS pages FROM w WHERE word GROUP BY ALL),
 h AS (SELECT source, count(*) AS total FROM documents GROUP BY ALL),
-b AS (SELECT c.source, c.line FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE pages >= 10 AND pages / total > 0.1),
+b AS (SELECT c.source, c.line FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE pages > 1 AND pages / total > 0.05),
 j AS (SELECT w.*, b.line IS NOT NULL AS gone FROM w LEFT JOIN b ON w.source IS NOT DISTINCT FROM b.source AND w.line = b.line)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
@@ -28,7 +28,7 @@ WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*') ELSE '' END AS raw,
              CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
 hp AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),
-o AS (SELECT host, quality AS good FROM hp LEFT JOIN labels ON page_id = doc_id),
+o AS (SELECT host, quality AS good FROM hp LEFT JOIN labels ON try_cast(nullif(regexp_extract(path, '([0-9]+)[^0-9]*$', 1), '') AS BIGINT) = doc_id),
 hosts AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS good FROM o GROUP BY host),
 parts AS (SELECT *, string_split(regexp_replace(host, ':\d*$', ''), '.') AS s FROM hosts),
 deep AS (SELECT *, CASE WHEN len(s) > 2 AND length(s[-1]) = 2 AND s[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 3 ELSE least(len(s), 2) END AS take FROM parts),
@@ -45,7 +45,7 @@ st AS (SELECT lv, key, CASE WHEN k < 2 OR within <= 0 OR rho <= 0 THEN 50.0::DOU
 ms AS (SELECT suffix, (good + coalesce(k, 50.0::DOUBLE) * m) / (n + coalesce(k, 50.0::DOUBLE)) AS m FROM s CROSS JOIN t LEFT JOIN st ON lv = 0),
 md AS (SELECT domain, (good + coalesce(k, 50.0::DOUBLE) * m) / (n + coalesce(k, 50.0::DOUBLE)) AS m FROM d JOIN ms USING (suffix) LEFT JOIN st ON lv = 1 AND key = suffix),
 ab AS (SELECT host, good + coalesce(k, 50.0::DOUBLE) * m AS a, n - good + coalesce(k, 50.0::DOUBLE) * (1 - m) AS b FROM hs JOIN md USING (domain) LEFT JOIN st ON lv = 2 AND key = domain),
-up AS (SELECT host, a / (a + b) + 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS upper_ FROM ab),
+up AS (SELECT host, least(1.0::DOUBLE, a / (a + b) + 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS upper_ FROM ab),
 f AS (SELECT page_id, host, path, CASE
   WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
   WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
