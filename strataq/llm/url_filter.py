@@ -5,7 +5,8 @@ priors: the suffix's posterior is the prior of its registered domains, a
 domain's that of its hosts.  At each level the prior strength is a parameter-
 free moment estimate of how much the units below differ, within given bounds.
 A host is blocked when its posterior is bad with the asked certainty: when the
-upper bound of its good rate is below the cut-off.
+upper bound of its good rate (posterior mean and z deviations of the beta, within
+0 and 1) is below the cut-off.
 
 Defined results: a null url, or one without '://', has an empty host and path,
 no rule, and the verdict of the global prior.  Outcomes that are null count as
@@ -107,7 +108,7 @@ def host_reputation(outcomes: DataFrame, *, prior_good: float = 0.8, least: floa
     posterior = hosts.join(by_domain, "domain").join(_strength(hosts, "domain", least, most), "domain", "left").na.fill({"_k": most})
     a, b = F.col("good") + F.col("_k") * F.col("_m"), F.col("n") - F.col("good") + F.col("_k") * (1 - F.col("_m"))
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return posterior.select("host", "n", "good", (a / (a + b)).alias("post_mean"), (a / (a + b) + z * sd).alias("post_upper"), (a / (a + b) - z * sd).alias("post_lower"))
+    return posterior.select("host", "n", "good", (a / (a + b)).alias("post_mean"), F.least(F.lit(1.0), a / (a + b) + z * sd).alias("post_upper"), F.greatest(F.lit(0.0), a / (a + b) - z * sd).alias("post_lower"))
 
 
 def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", cutoff: float = 0.5, **prior) -> DataFrame:
