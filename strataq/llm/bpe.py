@@ -3,7 +3,8 @@
 Pieces (matches of the split pattern) are bucketed by length into padded id
 matrices.  Each round, every row merges its leftmost pair of minimum rank: all
 pair ranks come from one hashed table lookup, the row closes up over the merged
-place, and finished rows leave the matrix.  A piece that is itself a token is
+place, and finished rows leave the matrix.  In a very long piece a round merges
+every place of the least rank that the rounds would merge in a row.  A piece that is itself a token is
 that token at once, as the rank file's reference encoder does.  Tokens of
 pieces met before are kept per worker, up to a bound after which the store
 starts afresh; that bounds memory and changes no result.
@@ -33,6 +34,8 @@ U = np.uint64
 NONE = np.int32(2**31 - 1)
 #: Pieces kept per worker before the store starts afresh.
 KEPT_PIECES = 300_000
+#: Bytes from which a piece is a matrix of its own, and a round merges all that it can.
+LONG = 512
 
 
 class PairTable:
@@ -120,6 +123,37 @@ class ByteBpe:
                 rank = rank[:, :0]
         return out
 
+    def merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """merge_rows() of one long row, where a round takes all places of the least rank that come to be merged before anything else.
+
+        From left to right, until a merge makes a pair of still lower rank, which has to go first.
+        """
+        rank = self.pairs.get(ids[:-1], ids[1:])
+        while rank.size and (least := rank.min()) != NONE:
+            at = np.flatnonzero(rank == least)
+            new = np.append(True, np.diff(at) > 1)
+            at = at[(np.arange(at.size) - np.maximum.accumulate(np.where(new, np.arange(at.size), 0))) % 2 == 0]  # of a run of overlapping pairs every second
+            after_merge = np.append(False, np.diff(at) == 2)  # the place to the left has just been merged
+            left = np.where(after_merge, least, ids[np.maximum(at - 1, 0)])
+            left = np.where(at > 0, left, -1)
+            right = np.where(at + 2 < ids.size, ids[np.minimum(at + 2, ids.size - 1)], -1)
+            made = np.full(at.size, least, ids.dtype)
+            lower = np.flatnonzero(np.minimum(self.pairs.get(left, made), self.pairs.get(made, right)) < least)
+            if lower.size:
+                at = at[: lower[0] + 1]
+            ids[at] = least
+            keep = np.ones(ids.size, bool)
+            keep[at + 1] = False
+            ids = ids[keep]
+            keep = np.ones(rank.size, bool)
+            keep[at] = False
+            rank = rank[keep]
+            now = at - np.arange(at.size)
+            for side in (now - 1, now):  # the pairs that changed
+                side = side[(side >= 0) & (side < rank.size)]
+                rank[side] = self.pairs.get(ids[side], ids[side + 1])
+        return ids
+
     def encode_pieces(self, pieces: Sequence[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(pieces)
         buckets: dict[int, list[int]] = {}
@@ -127,6 +161,8 @@ class ByteBpe:
             rank = self.ranks.get(piece)
             if rank is not None or not piece:
                 out[i] = np.array([] if rank is None else [rank], np.int32)
+            elif len(piece) > LONG:
+                out[i] = self.merge_long(self.byte_id[np.frombuffer(piece, np.uint8)])
             else:
                 buckets.setdefault(len(piece) if len(piece) <= 16 else 1 << (len(piece) - 1).bit_length(), []).append(i)
         for width, members in buckets.items():
