@@ -101,7 +101,7 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     rows.select(record.alias("value")).write.option("lineSep", END).text(path)
 
 
-# -- reading ------------------------------------------------------------------
+# reading
 
 _HEAD = re.compile(rb"((?:[A-Za-z0-9-]+:[^\r\n]*\r\n)*)\r\n")
 _CANDIDATE = "file string, block long, at long, size long, head long, content long, type string, record string, refers string, digest string, own_sha1 string"
@@ -222,8 +222,12 @@ def _rejoined(spark: SparkSession, path: str, placed: DataFrame, base: DataFrame
     starts = placed.select("file", "block", "at", "start").join(
         broken.select("file", F.col("start"), F.struct("offset", "start", "head", "content").alias("_of")), ["file", "start"], "left"
     )
-    in_order = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)  # numbers only, of one file
-    covered = starts.select("file", "block", "at", "start", F.last("_of", ignorenulls=True).over(in_order).alias("_of"))
+    # the last broken record before a piece: within its block, else the last of the blocks before, one row a block
+    in_order = Window.partitionBy("file", "block").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    ends = starts.groupBy("file", "block").agg(F.max_by("_of", F.when(F.col("_of").isNotNull(), F.col("start"))).alias("_end"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "block", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    covered = starts.withColumn("_own", F.last("_of", ignorenulls=True).over(in_order)).join(carried, ["file", "block"]).select("file", "block", "at", "start", F.coalesce("_own", "_carried").alias("_of"))
     covered = covered.filter(f"_of is not null and start - {len(MAGIC)} < _of.start + _of.head + _of.content")  # a payload may end in the magic
     need = cut(covered.select("file", "block", "at", "start", "_of"), "covered")
     texts = _pieces(spark, path, lambda file, block, at, text: (file, block, at, text), "file string, block long, at long, text binary")
