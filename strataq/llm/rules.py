@@ -99,7 +99,7 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in STATS))
 
 
-# -- the list -----------------------------------------------------------------
+# the list
 
 
 @dataclass(frozen=True)
@@ -199,10 +199,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """Per row: id, STATS, base_failed, kept, rule (the first that rejects).  labels: (id, good 0/1)."""
     stats = cut(statistics(docs, id_col=id_col, text_col=text_col), "statistics")
     taught = labels.toDF("_id", "_good").filter("_id is not null and _good is not null").groupBy("_id").agg(F.min("_good").cast("int").alias("_good"))
+    # only labelled rows move: past the sample's bound a label can still be the only one whose document is here, so all take part
+    chosen = cut(taught, "taught")
     rows = (
-        stats.withColumnRenamed(id_col, "_id").dropDuplicates(["_id"]).join(taught, "_id").orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-        .select("_good", *STATS).collect()
-    )  # fmt: skip  max_labelled rows of numbers
+        stats.withColumnRenamed(id_col, "_id").join(chosen, "_id").groupBy("_id").agg(F.max("_good").alias("_good"), F.min(F.struct(*STATS)).alias("_s"))
+        .orderBy(F.xxhash64("_id"), "_id").limit(max_labelled).select("_good", "_s.*").collect()
+    )  # fmt: skip  max_labelled rows of numbers; of rows with one id the least
     a = np.array(rows, np.int64).reshape(-1, 1 + len(STATS))
     rules = learn({k: a[:, i + 1] for i, k in enumerate(STATS)}, a[:, 0], **learning)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
