@@ -114,7 +114,7 @@ def _spans(at: Column, length: int) -> tuple[Column, Column]:
     return t - F.shiftright(at.bitwiseAND(0xFFFF), 8), t - at.bitwiseAND(0xFF) + length
 
 
-# -- ordering distinct runs ---------------------------------------------------
+# ordering distinct runs
 
 
 def _order(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
