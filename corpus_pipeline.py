@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of their source's documents go; the documents stay."""
+    """Lines on more than a twentieth of their source's documents go; the documents stay."""
     return line_dedup.line_dedup(docs).select(*docs.columns)
 
 
