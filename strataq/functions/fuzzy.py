@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import unicodedata
+from collections.abc import Iterable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,26 +12,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _window_ratio(a: str, b: str) -> float:
-    """Best similarity, of 100, of the shorter text with any equally long window of the longer."""
+def _offsets(short: str, long: str, least: float) -> Iterable[int]:
+    """Starts of the windows of long that can be like short by least of 100.
+
+    At most m characters of either side stay unmatched then, so of 2 m + 1 pieces of short
+    one lies in the window whole, shifted by m places at most.
+    """
+    n, span = len(short), len(long) - len(short)
+    m = int(n * (100 - least) / 100 + 1e-9)
+    size = n // (2 * m + 1)
+    if not size:
+        return range(span + 1)
+    found: set[int] = set()
+    for k in range(0, size * (2 * m + 1), size):
+        at = long.find(short[k : k + size])
+        while at >= 0:
+            found.update(range(max(0, at - k - m), min(span, at - k + m) + 1))
+            at = long.find(short[k : k + size], at + 1)
+    return sorted(found)
+
+
+def _window_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Best similarity, of 100, of the shorter text with any equally long window of the longer; 0 where none reaches least."""
     short, long = sorted((a, b), key=len)
     if not short:
         return 0.0
     match = SequenceMatcher(None, "", short, autojunk=False)
     best = 0.0
-    for i in range(len(long) - len(short) + 1):
+    for i in _offsets(short, long, least):
         match.set_seq1(long[i : i + len(short)])
         if match.real_quick_ratio() * 100 > best and match.quick_ratio() * 100 > best:
             best = max(best, match.ratio() * 100)
-    return best
+    return best if best >= least else 0.0
 
 
-def partial_ratio(a: Column, b: Column) -> Column:
-    """100 where one contains the other, found in the JVM; else the best window's similarity."""
+def partial_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """100 where one contains the other, found in the JVM; else the best window's similarity, 0 under least."""
 
     @F.pandas_udf("double")
     def slow(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if x is None or y is None else round(_window_ratio(x, y), 4) for x, y in zip(a, b)])
+        return pd.Series([0.0 if x is None or y is None else round(_window_ratio(x, y, least), 4) for x, y in zip(a, b)])
 
     inside = F.contains(b, a) | F.contains(a, b)
     return F.when(inside, 100.0).otherwise(slow(F.when(~inside, a), F.when(~inside, b)))
@@ -79,3 +101,14 @@ def deep_merge(base: Column, over: Column) -> Column:
         return pd.Series([json.dumps(merge(json.loads(x), json.loads(y)), separators=(",", ":"), sort_keys=True) for x, y in zip(a, b)])
 
     return run(base, over)
+
+
+def compatible(text: Column) -> Column:
+    """NFKC; only texts with characters that it can change leave the JVM."""
+
+    @F.pandas_udf("string")
+    def normal(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    odd = text.rlike("[^\\x00-\\x9f\\u00c0-\\u00ff]")
+    return F.when(odd, normal(F.when(odd, text))).otherwise(text)

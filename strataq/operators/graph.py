@@ -77,6 +77,19 @@ def select_ranked(scores: DataFrame, *, share: float = 0.02, sigma: float = 0.5,
     return rows.filter("score >= _least").select("query_id", "id", "score")
 
 
+def contained(parts: DataFrame, part: str, wholes: DataFrame, whole: str) -> DataFrame:
+    """Pairs of rows of which the part lies in the whole: an equi join on the part's first three characters.
+
+    Shorter parts, of which an alphabet has few, are held against every whole.
+    """
+    at = F.sequence(F.lit(1), F.length(whole) - 2)
+    grams = F.array_distinct(F.transform(at, lambda i: F.substr(F.col(whole), i, F.lit(3))))
+    long = parts.filter(F.length(part) >= 3).withColumn("_head", F.left(F.col(part), F.lit(3)))
+    met = wholes.filter(F.length(whole) >= 3).withColumn("_head", F.explode(grams)).join(long, "_head").filter(F.contains(F.col(whole), F.col(part))).drop("_head")
+    short = wholes.join(retrieval.small(parts.filter(F.length(part) < 3)), F.contains(F.col(whole), F.col(part)))
+    return met.unionByName(short)
+
+
 def candidates(mentions: DataFrame, entities: DataFrame, most: int = 5, embed_fn=None) -> DataFrame:
     """mention, id, tier: equal names, else names that contain the mention (the first few by id), else the nearest names.
 
@@ -85,7 +98,7 @@ def candidates(mentions: DataFrame, entities: DataFrame, most: int = 5, embed_fn
     e = entities.select(F.col("entity_id").alias("id"), "name_norm")
     exact = mentions.join(e, F.col("mention") == F.col("name_norm")).select("mention", "id", F.lit(1).alias("tier"))
     rest = mentions.join(exact.select("mention").distinct(), "mention", "left_anti")
-    like = rest.join(e, F.col("name_norm").contains(F.col("mention"))).select("mention", "id", F.lit(2).alias("tier"))
+    like = contained(rest, "mention", e, "name_norm").select("mention", "id", F.lit(2).alias("tier"))
     w = Window.partitionBy("mention").orderBy("id")
     found = exact.unionAll(like.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r"))
     if embed_fn is None:

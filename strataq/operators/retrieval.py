@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions import fuzzy
 from ..functions import vector as V
 from . import ranking
 
@@ -36,16 +36,29 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return ranking.rank(first, ["query_id"], k)
 
 
-def cover_density(queries: DataFrame, postings: DataFrame, group: str = "chunk_id") -> DataFrame:
-    """query_id, id, score of groups with all of a query's tokens.
+def matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """queries' columns, id, words of chunks that hold all of a query's tokens w.  chunks: id, words (array).
 
-    queries: query_id, w (array of distinct tokens).  The score is the sum over
-    minimal covers of 1 / (1 + end - start - (n - 1)), with n tokens.
+    The batch's tokens go to the rows as one small row, so a chunk finds its queries
+    where it lies: no posting moves.
     """
-    tokens = queries.select("query_id", F.size("w").alias("n"), F.posexplode("w").alias("k", "token"))
-    hits = postings.join(small(tokens), "token").select("query_id", F.col(group).alias("id"), "n", "k", "pos")
-    whole = hits.groupBy("query_id", "id").agg(F.first("n").alias("n"), F.count_distinct("k").alias("have"), F.sort_array(F.collect_list(F.struct("pos", "k"))).alias("hits")).filter("have = n")
-    # walk one group's hits: the last place of each token, and the shortest end per cover start
+    key = queries.withColumn("_q", F.xxhash64(*queries.columns))
+    tokens = key.select("_q", F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.collect_list("_q").alias("qs"))
+    batch = tokens.agg(F.map_from_entries(F.collect_list(F.struct("t", "qs"))).alias("_batch"))  # one row of the stated batch
+    met = chunks.crossJoin(F.broadcast(batch)).select("id", "words", F.flatten(F.transform(F.array_intersect("words", F.map_keys("_batch")), lambda t: F.element_at("_batch", t))).alias("_qs"))
+    each = met.select("id", "words", F.explode(F.array_distinct("_qs")).alias("_q"))
+    return each.join(small(key), "_q").drop("_q").filter(F.size(F.array_except("w", "words")) == 0)
+
+
+def cover_density(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, id, score of chunks with all of a query's tokens.
+
+    queries: query_id, w (array of distinct tokens); chunks: id, words.  The score is the sum over
+    minimal covers of 1 / (1 + end - start - (n - 1)), with n tokens, folded inside the row.
+    """
+    hits = F.filter(F.transform("words", lambda x, i: F.struct((i + 1).alias("pos"), (F.array_position(F.col("w"), x) - 1).cast("int").alias("k"))), lambda h: h["k"] >= 0)
+    whole = matches(queries.select("query_id", "w"), chunks).select("query_id", "id", F.size("w").alias("n"), hits.alias("hits"))
+    # walk one chunk's hits: the last place of each token, and the shortest end per cover start
     init = F.struct(F.array_repeat(F.lit(-1), F.col("n")).alias("last"), F.lit(-1).alias("start"), F.lit(0.0).alias("sum"))
 
     def step(acc: Column, hit: Column) -> Column:
@@ -59,11 +72,11 @@ def cover_density(queries: DataFrame, postings: DataFrame, group: str = "chunk_i
 
 
 def phrases(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, id, score: how many of a query's phrases a chunk holds.  queries: query_id, phrases."""
-    text = F.concat(F.lit(" "), F.array_join(X.words(F.col("content"), X.QUERY_WORD), " "), F.lit(" "))
-    rows = chunks.select(F.col("chunk_id").alias("id"), text.alias("_t")).crossJoin(small(queries))
-    n = F.size(F.filter("phrases", lambda p: F.col("_t").contains(F.concat(F.lit(" "), p, F.lit(" ")))))
-    return rows.select("query_id", "id", n.cast("double").alias("score")).filter("score > 0")
+    """query_id, id, score: how many of a query's phrases a chunk holds.  queries: query_id, phrases; chunks: id, words."""
+    each = queries.select("query_id", F.explode(F.array_distinct("phrases")).alias("_p")).withColumn("w", F.split("_p", " "))
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    held = matches(each, chunks).filter(F.contains(pad(F.array_join("words", " ")), pad(F.col("_p"))))
+    return held.groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
 
 
 def hybrid(channels: dict[str, DataFrame], k: int) -> DataFrame:
@@ -85,10 +98,48 @@ def bands(score: Column, duplicate: float = 0.86, grey: float = 0.70) -> Column:
     return F.when(score >= duplicate, "duplicate").when(score >= grey, "grey").otherwise("new")
 
 
-def grounded(facts: DataFrame, propositions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """facts (fact_id, prop_id, chunk_id, quote) whose quote lies in the proposition, else in the chunk, with `source`."""
+def layered_scores(lists: DataFrame) -> DataFrame:
+    """query_id, level, id, score: the fused score where a level has several lists (source), the raw one where it has one.
+
+    lists: query_id, level, source, id, score, rank.
+    """
+    sources = lists.groupBy("query_id", "level").agg(F.count_distinct("source").alias("_sources"))
+    fused = lists.groupBy("query_id", "level", "id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("_rrf"), F.max("score").alias("_raw"))
+    return fused.join(sources, ["query_id", "level"]).select("query_id", "level", "id", F.when(F.col("_sources") > 1, F.col("_rrf")).otherwise(F.col("_raw")).alias("score"))
+
+
+def anchored(facts: DataFrame, propositions: DataFrame) -> DataFrame:
+    """fact_id, prop_id, tier: the chunk's proposition whose statement is the fact (1), else whose span is (2), else whose span holds it (3).
+
+    facts: fact_id, chunk_id, fact; propositions: chunk_id, prop_id, statement, span.
+    """
+    tier = F.when(F.col("statement") == F.col("fact"), 1).when(F.col("span") == F.col("fact"), 2).when(F.contains("span", "fact"), 3)
+    met = facts.join(propositions.select("chunk_id", "prop_id", "statement", "span"), "chunk_id").withColumn("tier", tier).filter("tier is not null")
+    return met.groupBy("fact_id").agg(F.min(F.struct("tier", "prop_id")).alias("_b")).select("fact_id", "_b.prop_id", "_b.tier")
+
+
+def expanded(terms: DataFrame, statements: DataFrame, visited: DataFrame, most: int = 5) -> DataFrame:
+    """query_id, prop_id: of each term the first statements with it, outside the chunks already visited.
+
+    terms: query_id, token; statements: prop_id, chunk_id, tokens (array); visited: query_id, chunk_id.
+    """
+    hits = statements.select("prop_id", "chunk_id", F.explode(F.array_distinct("tokens")).alias("token")).join(small(terms.distinct()), "token").select("query_id", "token", "prop_id", "chunk_id")
+    w = Window.partitionBy("query_id", "token").orderBy("prop_id")
+    open_ = hits.join(visited.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
+    return open_.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).select("query_id", "prop_id").distinct()
+
+
+def grounded(facts: DataFrame, propositions: DataFrame, chunks: DataFrame, least: float = 95.0) -> DataFrame:
+    """facts (fact_id, prop_id, chunk_id, quote, cited) whose quote lies in the proposition, else in the chunk, with `source`.
+
+    The quote of a cited fact may also be like a passage of either by `least` of 100.
+    """
     p = propositions.select("prop_id", F.col("statement").alias("_s"))
     c = chunks.select("chunk_id", F.col("content").alias("_c"))
     joined = facts.join(p, "prop_id", "left").join(c, "chunk_id", "left")
-    source = F.when(F.contains("_s", "quote"), "proposition").when(F.contains("_c", "quote"), "chunk")
-    return joined.withColumn("source", source).filter("source is not null").drop("_s", "_c")
+    like = lambda text: F.col("cited") & (fuzzy.partial_ratio(F.when(F.col("cited"), F.col("quote")), F.when(F.col("cited"), F.col(text)), least) >= least)
+    exact = F.when(F.contains("_s", "quote"), "proposition").when(F.contains("_c", "quote"), "chunk")
+    found = joined.withColumn("source", exact)
+    rest = found.filter("source is null and cited").withColumn("source", F.when(like("_s"), "proposition"))
+    last = rest.filter("source is null").withColumn("source", F.when(like("_c"), "chunk"))
+    return reduce(DataFrame.unionByName, (rows.filter("source is not null") for rows in (found, rest, last))).drop("_s", "_c")

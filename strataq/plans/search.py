@@ -10,41 +10,53 @@ from ..functions import vector as V
 from ..operators import graph, ranking, retrieval
 from .registry import query
 
-_KNN = """knn_{n} AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM v_vec a, v_vec b WHERE a.vec_id % 50 = 0),
-  dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM knn_{n} QUALIFY rank <= {n})"""
-_COVER = """hits AS (SELECT query_id, chunk_id, pos, token = w[1] AS first_ FROM v_query JOIN v_posting ON list_contains(w, token)),
-  runs AS (SELECT *, max(CASE WHEN first_ THEN pos END) OVER o AS p1, max(CASE WHEN NOT first_ THEN pos END) OVER o AS p2 FROM hits WINDOW o AS (PARTITION BY query_id, chunk_id ORDER BY pos)),
-  covers AS (SELECT query_id, chunk_id, least(p1, p2) AS s, min(pos) AS e FROM runs WHERE p1 IS NOT NULL AND p2 IS NOT NULL GROUP BY ALL),
-  lex AS (SELECT query_id, chunk_id AS id, round(sum(1.0::DOUBLE / (1 + e - s - 1)), 9) AS score FROM covers GROUP BY ALL),
-  lexr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM lex QUALIFY rank <= 20)"""
+_READY = " AND b.vec_id IN (SELECT id FROM v_document WHERE status = 'ready')"
+
+
+def _knn_sql(k: int, name: str = "dense", where: str = _READY) -> str:
+    return f"""all_{name} AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM v_vec a, v_vec b WHERE a.vec_id % 50 = 0{where}),
+  {name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM all_{name} QUALIFY rank <= {k})"""
+
+
+def _cover_sql(rows: str = "v_ready_words", name: str = "lex", k: int = 20) -> str:
+    """Cover density of two-word queries over rows (id, words): {name} all, {name}r the best k."""
+    return f"""hits_{name} AS (SELECT query_id, id, pos, words[pos] = w[1] AS first_ FROM (SELECT query_id, id, w, words, unnest(range(1, len(words) + 1)) AS pos FROM v_query JOIN {rows} ON list_contains(words, w[1]) AND list_contains(words, w[2])) WHERE words[pos] = w[1] OR words[pos] = w[2]),
+  runs_{name} AS (SELECT *, max(CASE WHEN first_ THEN pos END) OVER o AS p1, max(CASE WHEN NOT first_ THEN pos END) OVER o AS p2 FROM hits_{name} WINDOW o AS (PARTITION BY query_id, id ORDER BY pos)),
+  covers_{name} AS (SELECT query_id, id, least(p1, p2) AS s, min(pos) AS e FROM runs_{name} WHERE p1 IS NOT NULL AND p2 IS NOT NULL GROUP BY ALL),
+  {name} AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (1 + e - s - 1)), 9) AS score FROM covers_{name} GROUP BY ALL),
+  {name}r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {name} QUALIFY rank <= {k})"""
+
+
 _KNEE = """c AS (SELECT query_id, id, score, row_number() OVER o - 1 AS i, count(*) OVER p AS n, max(score) OVER p AS hi, min(score) OVER p AS lo FROM lists WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, id), p AS (PARTITION BY query_id)),
   d1 AS (SELECT *, CASE WHEN n >= 3 AND hi - lo >= 1e-12 THEN 1 - i::DOUBLE / (n - 1) - (score - lo) / (hi - lo) END AS d FROM c),
   d2 AS (SELECT *, max(d) OVER p AS top, avg(d) OVER p AS mean, lag(d) OVER o AS a, lead(d) OVER o AS b FROM d1 WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, id), p AS (PARTITION BY query_id)),
   k AS (SELECT query_id, arg_min(score, i) AS knee, min(i) AS knee_index FROM d2 WHERE top >= 0.01 AND d >= a AND d >= b AND d >= top - mean GROUP BY query_id)"""
 
 
-def _dense(v, k):
+def _dense(v, k, docs=None):
+    """Vectors of documents that are ready (and among docs), nearest first."""
     q = v.vec.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    return retrieval.nearest(q, v.vec.select(F.col("vec_id").alias("id"), "v"), k)
+    allowed = (v.ready if docs is None else v.ready.join(docs, "doc_id", "left_semi")).select(F.col("doc_id").alias("id"))
+    return retrieval.nearest(q, v.vec.select(F.col("vec_id").alias("id"), "v").join(allowed, "id", "left_semi"), k)
 
 
-def _lexical(v, k=20):
-    return ranking.rank(retrieval.cover_density(v.query, v.posting), ["query_id"], k)
+def _lexical(v, k=20, rows=None):
+    return ranking.rank(retrieval.cover_density(v.query, (v.ready_words if rows is None else rows).select("id", "words")), ["query_id"], k)
 
 
-@query("r01_dense_search", "WITH " + _KNN.format(n=8) + " SELECT query_id, id, rank FROM dense")
+@query("r01_dense_search", "WITH " + _knn_sql(8) + " SELECT query_id, id, rank FROM dense")
 def r01(v):
     return _dense(v, 8).select("query_id", "id", "rank")
 
 
-@query("r02_lexical_search", "WITH " + _COVER + " SELECT query_id, id, round(score, 6) AS score, rank FROM lexr")
+@query("r02_lexical_search", "WITH " + _cover_sql() + " SELECT query_id, id, round(score, 6) AS score, rank FROM lexr")
 def r02(v):
     return _lexical(v).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("r02s_cover_density", "WITH " + _COVER + " SELECT query_id, id, round(score, 6) AS score FROM lex")
+@query("r02s_cover_density", "WITH " + _cover_sql("v_words") + " SELECT query_id, id, round(score, 6) AS score FROM lex")
 def r02s(v):
-    return retrieval.cover_density(v.query, v.posting).select("query_id", "id", F.round("score", 6).alias("score"))
+    return retrieval.cover_density(v.query, v.words.select("id", "words")).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 _BRIEFS = """brief_lists AS (SELECT brand_id AS query_id, o_custkey AS id, row_number() OVER (PARTITION BY brand_id, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM (SELECT *, o_orderkey % 20 AS brand_id FROM orders) QUALIFY rank <= 40)"""
@@ -61,24 +73,42 @@ def r03(v):
     return ranking.fuse(_ranked_orders(v))
 
 
-@query("r04_paraphrase_search", "WITH " + _COVER.replace("v_posting", "(SELECT * FROM v_posting WHERE chunk_id % 2 = 1)") + " SELECT query_id, id, rank FROM lexr")
+@query("r04_paraphrase_search", "WITH " + _cover_sql("v_paraphrase", "par") + " SELECT query_id, id, rank FROM parr")
 def r04(v):
-    return ranking.rank(retrieval.cover_density(v.query, v.posting.filter("chunk_id % 2 = 1")), ["query_id"], 20).select("query_id", "id", "rank")
+    """Over the second wording of every chunk, whatever its document's status."""
+    return _lexical(v, rows=v.paraphrase).select("query_id", "id", "rank")
 
 
-@query("r05_proposition_search", "WITH " + _KNN.format(n=12) + " SELECT query_id, id // 3 AS chunk, rank FROM dense")
+@query("r05_proposition_search", "WITH " + _knn_sql(12) + " SELECT query_id, id // 3 * 100000 + 1 AS chunk, rank FROM dense")
 def r05(v):
-    return _dense(v, 12).select("query_id", F.expr("id div 3").alias("chunk"), "rank")
+    """Three vectors each stand for propositions of one chunk; a chunk met twice keeps both ranks."""
+    return _dense(v, 12).select("query_id", F.expr("id div 3 * 100000 + 1").alias("chunk"), "rank")
 
 
-_HYBRID = "WITH " + _KNN.format(n=20) + ", " + _COVER + """, both_ AS (SELECT query_id, id * 100000 + 1 AS id, rank FROM dense UNION ALL SELECT query_id, id, rank FROM lexr),
-  lists AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM both_ GROUP BY ALL),
+def _hybrid_sql(only: str = "") -> str:
+    """only: a condition on a document's id, pushed into every channel."""
+    where = lambda c: f" AND {c} IN (SELECT doc_id FROM documents WHERE {only})" if only else ""
+    rows = lambda view: f"(SELECT * FROM {view} WHERE true{where('doc_id')})"
+    return "WITH " + ", ".join((_knn_sql(20, where=_READY + where("b.vec_id")), _cover_sql(rows("v_ready_words")), _cover_sql(rows("v_paraphrase"), "par"))) + """,
+  channels AS (SELECT query_id, id * 100000 + 1 AS id, rank FROM dense UNION ALL SELECT query_id, id, rank FROM lexr UNION ALL SELECT query_id, id, rank FROM parr UNION ALL SELECT query_id, id // 3 * 100000 + 1, rank FROM dense),
+  lists AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM channels GROUP BY ALL),
   fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM lists QUALIFY rank <= 20)"""
 
 
-def _hybrid(v):
-    dense = _dense(v, 20).withColumn("id", F.col("id") * 100000 + 1)  # a document's vector stands for its first chunk
-    return retrieval.hybrid({"dense": dense, "lexical": _lexical(v)}, 20)
+_HYBRID = _hybrid_sql()
+
+
+def _hybrid(v, docs=None, use=("dense", "lexical", "paraphrase", "proposition")):
+    """The four channels that are switched on, fused; docs restricts each of them."""
+    keep = (lambda rows: rows) if docs is None else (lambda rows: rows.join(docs, "doc_id", "left_semi"))
+    near = _dense(v, 20, docs)
+    channels = {
+        "dense": lambda: near.withColumn("id", F.col("id") * 100000 + 1),  # a document's vector stands for its first chunk
+        "lexical": lambda: _lexical(v, rows=keep(v.ready_words)),
+        "paraphrase": lambda: _lexical(v, rows=keep(v.paraphrase)),
+        "proposition": lambda: near.withColumn("id", F.expr("id div 3 * 100000 + 1")),
+    }
+    return retrieval.hybrid({name: channels[name]() for name in use}, 20)
 
 
 @query("r06_hybrid_search", _HYBRID + " SELECT query_id, id, score, rank FROM fused")
@@ -86,18 +116,33 @@ def r06(v):
     return _hybrid(v)
 
 
-@query("r07_summary_search", """WITH """ + _KNN.format(n=10) + """, layer AS (SELECT query_id, id, score, CASE WHEN id % 2 = 0 THEN 'document' ELSE 'section' END AS level FROM dense)
-  SELECT query_id, level, id, row_number() OVER (PARTITION BY query_id, level ORDER BY score DESC, id) AS rank FROM layer""")
+@query("r07_summary_search", "WITH " + _knn_sql(10, where="") + ", " + _cover_sql("(SELECT id, words FROM v_words WHERE id IN (SELECT min(chunk_id) FROM v_chunk GROUP BY doc_id, chapter_id))", "sec", 10) + ", " + _cover_sql("(SELECT doc_id AS id, words FROM v_words WHERE id IN (SELECT min(chunk_id) FROM v_chunk GROUP BY doc_id))", "doc", 10) + """,
+  l AS (SELECT query_id, 'document' AS level, 'dense' AS source, id, score, rank FROM dense UNION ALL SELECT query_id, 'document', 'lexical', id, score, rank FROM docr UNION ALL SELECT query_id, 'section', 'lexical', id, score, rank FROM secr),
+  n AS (SELECT query_id, level, count(DISTINCT source) AS n FROM l GROUP BY ALL), f AS (SELECT query_id, level, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, max(score) AS raw FROM l GROUP BY ALL)
+  SELECT query_id, level, id, row_number() OVER (PARTITION BY query_id, level ORDER BY CASE WHEN n > 1 THEN rrf ELSE raw END DESC, id) AS rank FROM f JOIN n USING (query_id, level)""")
 def r07(v):
-    rows = _dense(v, 10).drop("rank").withColumn("level", F.when(F.col("id") % 2 == 0, "document").otherwise("section"))
-    return ranking.rank(rows, ["query_id", "level"]).select("query_id", "level", "id", "rank")
+    """Documents by vector and by words of their first line, sections by words of theirs; a lone list keeps its scores."""
+    q = v.vec.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    dense = retrieval.nearest(q, v.vec.select(F.col("vec_id").alias("id"), "v"), 10)
+    heads = lambda *keys: v.words.join(v.chunk.groupBy(*keys).agg(F.min("chunk_id").alias("id")).select("id"), "id", "left_semi")
+    tag = lambda df, level, source: df.select("query_id", F.lit(level).alias("level"), F.lit(source).alias("source"), "id", "score", "rank")
+    docs = _lexical(v, 10, heads("doc_id").select(F.col("doc_id").alias("id"), "words"))
+    lists = tag(dense, "document", "dense").unionAll(tag(docs, "document", "lexical")).unionAll(tag(_lexical(v, 10, heads("doc_id", "chapter_id")), "section", "lexical"))
+    return ranking.rank(retrieval.layered_scores(lists), ["query_id", "level"]).select("query_id", "level", "id", "rank")
 
 
-@query("r08_phrase_search", """SELECT query_id, chunk_id AS id, count(*)::DOUBLE AS score FROM (SELECT doc_id AS query_id, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[1]]) AS p FROM (SELECT query_id AS doc_id, w FROM v_query))
-  JOIN (SELECT chunk_id, ' ' || array_to_string(regexp_extract_all(lower(content), '[a-záéíóúüñçàèìòùâêîôû0-9]+'), ' ') || ' ' AS t FROM v_chunk) ON contains(t, ' ' || p || ' ') GROUP BY ALL""")
-def r08(v):
+_EXACT = """ex AS (SELECT query_id, id, count(*)::DOUBLE AS score FROM (SELECT query_id, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[1]]) AS p FROM v_query)
+  JOIN (SELECT id, ' ' || array_to_string(words, ' ') || ' ' AS t FROM v_words) ON contains(t, ' ' || p || ' ') GROUP BY ALL)"""
+
+
+def _exact(v):
     q = v.query.select("query_id", F.array(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))), F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(0)))).alias("phrases"))
-    return retrieval.phrases(q, v.chunk)
+    return retrieval.phrases(q, v.words.select("id", "words"))
+
+
+@query("r08_phrase_search", "WITH " + _EXACT + " SELECT query_id, id, score FROM ex")
+def r08(v):
+    return _exact(v)
 
 
 @query("r09_relevance_threshold", "WITH " + _BRIEFS + ", lists AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM brief_lists GROUP BY ALL), " + _KNEE + " SELECT c.query_id, c.id FROM c LEFT JOIN k USING (query_id) WHERE hi > 0 AND score >= coalesce(knee, greatest(0.001, 0.15::DOUBLE * hi))")
@@ -117,23 +162,34 @@ def r10(v):
     return ranking.knee(lists, "query_id").select("query_id", F.col("knee_index").cast("long").alias("knee_index"), "knee").distinct()
 
 
-@query("r11_filtered_search", "WITH " + _KNN.format(n=8).replace("WHERE a.vec_id % 50 = 0", "WHERE a.vec_id % 50 = 0 AND b.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')") + " SELECT query_id, id, rank FROM dense")
+@query("r11_filtered_search", _hybrid_sql("lang = 'en'") + " SELECT query_id, id, rank FROM fused")
 def r11(v):
-    q = v.vec.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    docs = v.table("documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"))
-    return retrieval.nearest(q, v.vec.select(F.col("vec_id").alias("id"), "v").join(docs, "id", "left_semi"), 8).select("query_id", "id", "rank")
+    return _hybrid(v, docs=v.table("documents").filter("lang = 'en'").select("doc_id")).select("query_id", "id", "rank")
 
 
-@query("r12_subqueries", "WITH " + _KNN.format(n=8) + ", s AS (SELECT query_id // 200 AS question, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM dense GROUP BY ALL) SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank FROM s")
+@query("r12_subqueries", "WITH " + _knn_sql(8) + """, s AS (SELECT query_id // 200 AS question, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM dense GROUP BY ALL),
+  e AS (SELECT query_id // 200 AS question, list_sort(list(DISTINCT label)) AS entities FROM dense JOIN v_vec ON vec_id = id GROUP BY 1)
+  SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank, entities FROM s JOIN e USING (question)""")
 def r12(v):
-    merged = ranking.fuse(_dense(v, 8).withColumn("question", F.expr("query_id div 200")), key="question")
-    return ranking.rank(merged, ["question"]).select("question", "id", "rank")
+    """Four subqueries a question in one job; labels stand for the entities that each finds, united by question."""
+    hits = _dense(v, 8).withColumn("question", F.expr("query_id div 200"))
+    found = hits.join(v.vec.select(F.col("vec_id").alias("id"), "label"), "id").groupBy("question").agg(F.sort_array(F.collect_set("label")).alias("entities"))
+    return ranking.rank(ranking.fuse(hits, key="question"), ["question"]).join(found, "question").select("question", "id", "rank", "entities")
 
 
-@query("r13_final_merge", _HYBRID + ", g AS (SELECT query_id, id, rank FROM fused UNION ALL SELECT query_id, id, rank FROM lexr WHERE rank <= 5) SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM g GROUP BY ALL")
+_GRAPH_LIST = "gl AS (SELECT src AS query_id, chunk_id AS id, count(*)::DOUBLE AS score FROM v_relation WHERE src % 50 = 0 GROUP BY ALL), glr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM gl QUALIFY rank <= 20)"
+
+
+@query("r13_final_merge", _HYBRID + ", " + _EXACT + ", " + _GRAPH_LIST + """, exr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ex QUALIFY rank <= 20),
+  g AS (SELECT query_id, id, rank FROM fused UNION ALL SELECT query_id, id, rank FROM exr UNION ALL SELECT query_id, id, rank FROM glr) SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM g GROUP BY ALL""")
 def r13(v):
-    lists = _hybrid(v).select("query_id", "id", "rank").unionAll(_lexical(v, 5).select("query_id", "id", "rank"))
-    return ranking.fuse(lists)
+    """Hybrid, exact and graph lists; the graph's are the chunks that name the query's entity most."""
+    named = v.relation.filter("src % 50 = 0").groupBy(F.col("src").alias("query_id"), F.col("chunk_id").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("score"))
+    lists = [_hybrid(v), ranking.rank(_exact(v), ["query_id"], 20), ranking.rank(named, ["query_id"], 20)]
+    one = lists[0].select("query_id", "id", "rank")
+    for more in lists[1:]:
+        one = one.unionAll(more.select("query_id", "id", "rank"))
+    return ranking.fuse(one)
 
 
 @query("r14_rerank_fallback", _HYBRID + " SELECT query_id, id, rank FROM fused")
@@ -159,23 +215,36 @@ def flagship(v):
     return retrieval.context(_hybrid(v).filter("rank <= 8"), v.chunk).join(v.chunk.select("chunk_id", "content"), "chunk_id").select("query_id", "pos", "chunk_id", "content")
 
 
-@query("r16_evidence", _CONTEXT + " SELECT query_id, prop_id FROM ctx JOIN v_proposition USING (chunk_id)")
+@query("r16_evidence", _CONTEXT + """ SELECT DISTINCT query_id, 'proposition' AS kind, prop_id AS id FROM ctx JOIN v_proposition USING (chunk_id) UNION ALL SELECT DISTINCT query_id, 'summary', doc_id FROM ctx JOIN v_chunk USING (chunk_id)
+  UNION ALL SELECT DISTINCT query_id, 'figure', chunk_id FROM ctx JOIN v_chunk USING (chunk_id) WHERE contains(content, ' in ')""")
 def r16(v):
-    return retrieval.context(_hybrid(v).filter("rank <= 8"), v.chunk).join(v.proposition.select("chunk_id", "prop_id"), "chunk_id").select("query_id", "prop_id")
+    """Propositions, document summaries and figures of the context's chunks; a chunk with ' in ' stands for one with a figure."""
+    ctx = retrieval.context(_hybrid(v).filter("rank <= 8"), v.chunk)
+    chunks = ctx.join(v.chunk.select("chunk_id", "doc_id", "content"), "chunk_id")
+    kind = lambda df, name, c: df.select("query_id", F.lit(name).alias("kind"), F.col(c).alias("id")).distinct()
+    return kind(ctx.join(v.proposition.select("chunk_id", "prop_id"), "chunk_id"), "proposition", "prop_id").unionAll(kind(chunks, "summary", "doc_id")).unionAll(kind(chunks.filter(F.col("content").contains(" in ")), "figure", "chunk_id"))
 
 
-@query("r17_grounding", """WITH f AS (SELECT prop_id AS fact_id, CASE WHEN prop_id % 3 = 0 THEN NULL ELSE prop_id END AS prop_id, chunk_id, CASE WHEN prop_id % 2 = 0 THEN left(statement, 20) ELSE 'zz' || left(statement, 20) END AS quote FROM v_proposition)
-  SELECT fact_id, CASE WHEN contains(p.statement, quote) THEN 'proposition' ELSE 'chunk' END AS source FROM f LEFT JOIN v_proposition p ON f.prop_id = p.prop_id LEFT JOIN v_chunk c ON f.chunk_id = c.chunk_id WHERE contains(p.statement, quote) OR contains(c.content, quote)""")
+@query("r17_grounding", """WITH f AS (SELECT prop_id AS fact_id, CASE WHEN prop_id % 3 = 0 THEN NULL ELSE prop_id END AS prop_id, chunk_id, statement AS s, prop_id % 50 = 2 AND length(statement) BETWEEN 20 AND 200 AS cited, CASE WHEN prop_id % 50 = 2 AND length(statement) BETWEEN 20 AND 200 THEN left(statement, 5) || '~' || substr(statement, 7) WHEN prop_id % 2 = 0 THEN left(statement, 20) ELSE 'zz' || left(statement, 20) END AS quote FROM v_proposition),
+  g AS (SELECT fact_id, cited, length(s) AS n, CASE WHEN contains(p.statement, quote) THEN 'proposition' WHEN contains(c.content, quote) THEN 'chunk' END AS source, p.prop_id IS NOT NULL AS own FROM f LEFT JOIN v_proposition p ON f.prop_id = p.prop_id LEFT JOIN v_chunk c ON f.chunk_id = c.chunk_id)
+  SELECT fact_id, coalesce(source, CASE WHEN own THEN 'proposition' ELSE 'chunk' END) AS source FROM g WHERE source IS NOT NULL OR (cited AND n >= 20)""")
 def r17(v):
+    """Quotes by substring; those of cited facts, here with one letter changed, also by likeness."""
     p = v.proposition
-    quote = F.when(F.col("prop_id") % 2 == 0, F.left("statement", F.lit(20))).otherwise(F.concat(F.lit("zz"), F.left("statement", F.lit(20))))
-    facts = p.select(F.col("prop_id").alias("fact_id"), F.when(F.col("prop_id") % 3 == 0, None).otherwise(F.col("prop_id")).alias("prop_id"), "chunk_id", quote.alias("quote"))
+    cited = (F.col("prop_id") % 50 == 2) & F.length("statement").between(20, 200)
+    quote = F.when(cited, F.concat(F.left("statement", F.lit(5)), F.lit("~"), F.expr("substr(statement, 7)"))).when(F.col("prop_id") % 2 == 0, F.left("statement", F.lit(20))).otherwise(F.concat(F.lit("zz"), F.left("statement", F.lit(20))))
+    facts = p.select(F.col("prop_id").alias("fact_id"), F.when(F.col("prop_id") % 3 == 0, None).otherwise(F.col("prop_id")).alias("prop_id"), "chunk_id", quote.alias("quote"), cited.alias("cited"))
     return retrieval.grounded(facts, p, v.chunk).select("fact_id", "source")
 
 
-@query("r18_fact_anchor", "SELECT statement, min(prop_id) AS prop_id FROM v_proposition GROUP BY statement")
+_FACT = "CASE prop_id % 3 WHEN 0 THEN statement WHEN 1 THEN left(statement, 30) ELSE substr(statement, 3, 12) END"
+
+
+@query("r18_fact_anchor", f"""WITH f AS (SELECT prop_id AS fact_id, chunk_id, {_FACT} AS fact FROM v_proposition), m AS (SELECT fact_id, p.prop_id, CASE WHEN statement = fact THEN 1 WHEN left(statement, 30) = fact THEN 2 WHEN contains(left(statement, 30), fact) THEN 3 END AS tier FROM f JOIN v_proposition p USING (chunk_id))
+  SELECT fact_id, tier, prop_id FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY tier, prop_id) AS r FROM m WHERE tier IS NOT NULL) WHERE r = 1""")
 def r18(v):
-    return v.proposition.groupBy("statement").agg(F.min("prop_id").alias("prop_id"))
+    p = v.proposition.withColumn("span", F.left("statement", F.lit(30)))
+    return retrieval.anchored(p.select(F.col("prop_id").alias("fact_id"), "chunk_id", F.expr(_FACT).alias("fact")), p).select("fact_id", "tier", "prop_id")
 
 
 @query("r19_sufficiency", "SELECT o_custkey, bool_or(o_orderstatus IN ('O', 'P')) AS sufficient FROM orders GROUP BY 1")
@@ -183,13 +252,18 @@ def r19(v):
     return v.table("orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus").isin("O", "P")).alias("sufficient"))
 
 
-@query("r20_expansion", """WITH t AS (SELECT query_id, unnest(w) AS token FROM v_query), h AS (SELECT DISTINCT query_id, token, chunk_id FROM t JOIN v_posting USING (token)),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id, token ORDER BY chunk_id) AS r FROM h QUALIFY r <= 5) SELECT DISTINCT query_id, chunk_id FROM r""")
+@query("r20_expansion", "WITH " + _cover_sql() + """, nb AS (SELECT src AS query_id, lower(split_part(p_name, ' ', 1)) AS token FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst DESC) AS r FROM (SELECT DISTINCT src, dst FROM v_relation WHERE src % 50 = 0) QUALIFY r <= 10) JOIN part ON p_partkey + 1000000 = dst),
+  t AS (SELECT query_id, unnest(w) AS token FROM v_query UNION SELECT query_id, token FROM nb), s AS (SELECT prop_id, chunk_id, unnest(list_distinct(regexp_extract_all(lower(statement), '[a-záéíóúüñçàèìòùâêîôû0-9]+'))) AS token FROM v_proposition),
+  h AS (SELECT query_id, token, prop_id FROM t JOIN s USING (token) WHERE NOT EXISTS (SELECT 1 FROM lexr WHERE lexr.query_id = t.query_id AND lexr.id = s.chunk_id)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id, token ORDER BY prop_id) AS r FROM h QUALIFY r <= 5) SELECT DISTINCT query_id, prop_id FROM r""")
 def r20(v):
-    tokens = v.query.select("query_id", F.explode("w").alias("token"))
-    hits = v.posting.join(retrieval.small(tokens), "token").select("query_id", "token", "chunk_id").distinct()
-    w = Window.partitionBy("query_id", "token").orderBy("chunk_id")
-    return hits.withColumn("r", F.row_number().over(w)).filter("r <= 5").select("query_id", "chunk_id").distinct()
+    """The query's words and the names of its last ten graph neighbours, outside the chunks that the search has met."""
+    w = Window.partitionBy("src").orderBy(F.desc("dst"))
+    near = v.relation.filter("src % 50 = 0").select("src", "dst").distinct().withColumn("r", F.row_number().over(w)).filter("r <= 10")
+    names = v.table("part").select((F.col("p_partkey") + 1000000).alias("dst"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("token"))
+    terms = v.query.select("query_id", F.explode("w").alias("token")).union(near.join(names, "dst").select(F.col("src").alias("query_id"), "token"))
+    statements = v.proposition.select("prop_id", "chunk_id", X.words(F.col("statement"), X.QUERY_WORD).alias("tokens"))
+    return retrieval.expanded(terms, statements, _lexical(v).select("query_id", F.col("id").alias("chunk_id")))
 
 
 @query("r21_documents_consulted", _CONTEXT + " SELECT query_id, doc_id, min(pos) AS pos FROM ctx JOIN v_chunk USING (chunk_id) GROUP BY ALL")
@@ -197,18 +271,19 @@ def r21(v):
     return retrieval.context(_hybrid(v).filter("rank <= 8"), v.chunk).join(v.chunk.select("chunk_id", "doc_id"), "chunk_id").groupBy("query_id", "doc_id").agg(F.min("pos").alias("pos"))
 
 
-@query("r22_novelty", "WITH " + _KNN.format(n=2) + ", n AS (SELECT query_id, max(score) AS s FROM dense WHERE id <> query_id GROUP BY 1) SELECT query_id, CASE WHEN s >= 0.86 THEN 'duplicate' WHEN s >= 0.70 THEN 'grey' ELSE 'new' END AS band FROM n")
+@query("r22_novelty", "WITH " + _knn_sql(2, where="") + ", n AS (SELECT query_id, max(score) AS s FROM dense WHERE id <> query_id GROUP BY 1) SELECT query_id, CASE WHEN s >= 0.86 THEN 'duplicate' WHEN s >= 0.70 THEN 'grey' ELSE 'new' END AS band FROM n")
 def r22(v):
-    best = _dense(v, 2).filter("id <> query_id").groupBy("query_id").agg(F.max("score").alias("s"))
+    q = v.vec.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    best = retrieval.nearest(q, v.vec.select(F.col("vec_id").alias("id"), "v"), 2).filter("id <> query_id").groupBy("query_id").agg(F.max("score").alias("s"))
     return best.select("query_id", retrieval.bands(F.col("s")).alias("band"))
 
 
-# -- graph --------------------------------------------------------------------
+# graph
 
 _EDGES = "adj AS (SELECT a, b, count(*) AS weight FROM (SELECT src AS a, dst AS b FROM v_relation UNION ALL SELECT dst, src FROM v_relation) GROUP BY a, b)"
 _EGO = _EDGES + """, seeds AS (SELECT s_suppkey AS query_id, s_suppkey AS id FROM supplier WHERE s_suppkey % 50 = 0),
-  h1 AS (SELECT query_id, id FROM seeds UNION SELECT query_id, b FROM seeds JOIN adj ON id = a),
-  net AS (SELECT DISTINCT x.query_id, a, b, weight FROM h1 x JOIN adj ON x.id = a JOIN h1 y ON y.query_id = x.query_id AND y.id = b)"""
+  h1 AS (SELECT query_id, id FROM seeds UNION SELECT query_id, b FROM seeds JOIN adj ON id = a), h2 AS (SELECT query_id, id FROM h1 UNION SELECT query_id, b FROM h1 JOIN adj ON id = a),
+  net AS (SELECT DISTINCT x.query_id, a, b, weight FROM h2 x JOIN adj ON x.id = a JOIN h2 y ON y.query_id = x.query_id AND y.id = b)"""
 
 
 def _seeds(v):
@@ -239,7 +314,7 @@ def g04(v):
 
 @query("g05_ego_network", "WITH " + _EGO + " SELECT query_id, a, b, weight FROM net")
 def g05(v):
-    return graph.ego(graph.adjacency(v.relation), _seeds(v), hops=1)
+    return graph.ego(graph.adjacency(v.relation), _seeds(v))
 
 
 _STEP = "p{k} AS (SELECT n.query_id, n.id, 0.85::DOUBLE * (n.id = n.query_id)::INT + 0.15::DOUBLE * coalesce(sum(m.share * p.score), 0) AS score FROM nodes n LEFT JOIN m ON m.query_id = n.query_id AND m.b = n.id LEFT JOIN p{j} p ON p.query_id = m.query_id AND p.id = m.a GROUP BY n.query_id, n.id)"
@@ -247,19 +322,21 @@ _PPR = _EGO + """, nodes AS (SELECT DISTINCT query_id, a AS id FROM net), m AS (
   p0 AS (SELECT query_id, id, 1.0::DOUBLE / count(*) OVER (PARTITION BY query_id) AS score FROM nodes), """ + ", ".join(_STEP.format(k=k, j=k - 1) for k in range(1, 11))
 
 
-def _ppr(v, hops):
+def _ppr(v):
     seeds = _seeds(v)
-    return graph.pagerank(graph.ego(graph.adjacency(v.relation), seeds, hops=hops), seeds, tolerance=1e-9)
+    return graph.pagerank(graph.ego(graph.adjacency(v.relation), seeds), seeds, tolerance=1e-9)
 
 
 @query("g06_personalised_pagerank", "WITH " + _PPR + " SELECT query_id, id, round(score, 6) AS score FROM p10")
 def g06(v):
-    return _ppr(v, 1).select("query_id", "id", F.round("score", 6).alias("score"))
+    return _ppr(v).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("g07_selected_nodes")
 def g07(v):
-    return graph.select_ranked(_ppr(v, 2).withColumn("score", F.round("score", 9))).select("query_id", "id")
+    """Entity nodes of the two-hop network, by the knee."""
+    entities = v.entity.select(F.col("entity_id").alias("id"))
+    return graph.select_ranked(_ppr(v).join(entities, "id", "left_semi").withColumn("score", F.round("score", 9))).select("query_id", "id")
 
 
 @query("g08_chunks_for_entities", "WITH e AS (SELECT s_suppkey AS id FROM supplier WHERE s_acctbal > 8000) SELECT chunk_id, count(*) AS mentions FROM v_relation JOIN e ON src = id GROUP BY 1")
@@ -274,7 +351,7 @@ def g09(v):
     return v.relation.join(e, "src", "left_semi").orderBy("relation_id", "src", "dst").limit(25).select("relation_id", "src", "dst")
 
 
-_MENTIONS = "mentions AS (SELECT DISTINCT lower(p_name) AS mention FROM part WHERE p_size < 10 UNION SELECT DISTINCT lower(p_brand) FROM part UNION SELECT lower(split_part(p_name, ' ', 1)) FROM part)"
+_MENTIONS = "mentions AS (SELECT DISTINCT lower(p_name) AS mention FROM part UNION SELECT DISTINCT lower(p_brand) FROM part UNION SELECT lower(split_part(p_name, ' ', 1)) FROM part)"
 _CAND = _MENTIONS + """, x1 AS (SELECT mention, entity_id AS id, 1 AS tier FROM mentions JOIN v_entity ON mention = name_norm),
   x2 AS (SELECT mention, entity_id AS id, 2 AS tier FROM mentions JOIN v_entity ON contains(name_norm, mention) WHERE mention NOT IN (SELECT mention FROM x1) QUALIFY row_number() OVER (PARTITION BY mention ORDER BY entity_id) <= 5),
   cand AS (SELECT * FROM x1 UNION ALL SELECT * FROM x2)"""
@@ -282,7 +359,7 @@ _CAND = _MENTIONS + """, x1 AS (SELECT mention, entity_id AS id, 1 AS tier FROM
 
 def _candidates(v):
     p = v.table("part")
-    m = p.filter("p_size < 10").select(F.lower("p_name").alias("mention")).union(p.select(F.lower("p_brand"))).union(p.select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))))).distinct()
+    m = p.select(F.lower("p_name").alias("mention")).union(p.select(F.lower("p_brand"))).union(p.select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))))).distinct()
     return graph.candidates(m, v.entity)
 
 
@@ -301,11 +378,12 @@ def g11(v):
     return graph.disambiguate(_candidates(v), graph.adjacency(v.relation))
 
 
-@query("g12_token_linking", "WITH t AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark) SELECT item_id, count(DISTINCT entity_id) AS entities FROM t JOIN v_entity ON list_contains(string_split(name_norm, ' '), token) GROUP BY 1")
+@query("g12_token_linking", "SELECT brand, count(DISTINCT entity_id) AS entities FROM (SELECT DISTINCT p_brand AS brand, lower(p_type) AS token FROM part) JOIN v_entity ON list_contains(string_split(name_norm, ' '), token) GROUP BY 1")
 def g12(v):
-    t = v.table("benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("token"))
-    names = v.entity.select("entity_id", F.explode(F.split("name_norm", " ")).alias("token"))
-    return t.join(names, "token").groupBy("item_id").agg(F.count_distinct("entity_id").alias("entities"))
+    """A brand's types are the words of a question; each links to the entities whose names have it."""
+    t = v.table("part").select(F.col("p_brand").alias("brand"), F.explode(F.regexp_extract_all(F.lower("p_type"), F.lit("[a-z]+"), F.lit(0))).alias("token")).distinct()
+    names = v.entity.select("entity_id", F.explode(F.array_distinct(F.split("name_norm", " "))).alias("token"))
+    return t.join(names, "token").groupBy("brand").agg(F.count_distinct("entity_id").alias("entities"))
 
 
 @query("g13_graph_version")

@@ -16,6 +16,10 @@ SQL_VIEWS = {
     "v_line": """SELECT doc_id, k AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE trim(line) <> ''""",
     "v_chunk": """SELECT *, chunk_index // 10 AS chapter_id FROM (SELECT doc_id * 100000 + line_no AS chunk_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS chunk_index, line AS content FROM v_line)""",
     "v_posting": """SELECT doc_id, chunk_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, chunk_id, regexp_extract_all(lower(content), '[a-záéíóúüñçàèìòùâêîôû0-9]+') AS w FROM v_chunk)""",
+    "v_ready_chunk": """SELECT * FROM v_chunk WHERE doc_id IN (SELECT id FROM v_document WHERE status = 'ready')""",
+    "v_words": """SELECT doc_id, chunk_id AS id, regexp_extract_all(lower(content), '[a-záéíóúüñçàèìòùâêîôû0-9]+') AS words FROM v_chunk""",
+    "v_ready_words": """SELECT doc_id, chunk_id AS id, regexp_extract_all(lower(content), '[a-záéíóúüñçàèìòùâêîôû0-9]+') AS words FROM v_ready_chunk""",
+    "v_paraphrase": """SELECT doc_id, id, list_filter(words, lambda x, i: i % 2 = 1) AS words FROM v_words""",
     "v_vec": """SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings""",
     "v_entity": """SELECT s_suppkey AS entity_id, s_name AS name, lower(s_name) AS name_norm, 'supplier' AS kind FROM supplier UNION ALL SELECT p_partkey + 1000000, p_name, lower(p_name), 'part' FROM part""",
     "v_relation": """SELECT l_orderkey * 10 + l_linenumber AS relation_id, l_suppkey AS src, l_partkey + 1000000 AS dst, l_orderkey AS chunk_id, l_shipmode_ AS verb FROM (SELECT *, l_returnflag AS l_shipmode_ FROM lineitem)""",
@@ -61,10 +65,35 @@ class Views:
         rows = self.table("documents").select("doc_id", F.posexplode(lines).alias("chunk_index", "x"))  # numbered inside the row: no shuffle
         return rows.select((F.col("doc_id") * 100000 + F.col("x.line_no")).alias("chunk_id"), "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("x.line").alias("content"), F.expr("chunk_index div 10").alias("chapter_id"))
 
+    @cached_property
+    def ready(self) -> DataFrame:
+        """doc_id of documents that may be answered from."""
+        return self.document.filter("status = 'ready'").select(F.col("id").alias("doc_id"))
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """A chunk's words in order, in its row."""
+        return self.chunk.select("doc_id", F.col("chunk_id").alias("id"), X.words(F.col("content"), X.QUERY_WORD).alias("words"))
+
+    @cached_property
+    def ready_words(self) -> DataFrame:
+        return self.words.join(self.ready, "doc_id", "left_semi")
+
+    @cached_property
+    def paraphrase(self) -> DataFrame:
+        """A second, shorter wording of every chunk, of any document: each other word."""
+        return self.words.withColumn("words", F.filter("words", lambda x, i: i % 2 == 0))
+
     @cached_property
     def posting(self) -> DataFrame:
         return self.chunk.select("doc_id", "chunk_id", F.posexplode(X.words(F.col("content"), X.QUERY_WORD)).alias("p", "token")).select("doc_id", "chunk_id", "token", (F.col("p") + 1).alias("pos"))
 
+    @cached_property
+    def illustrated(self) -> DataFrame:
+        """Chunks with an image line in one of ten of every third document, as the documents have none."""
+        image = F.concat(F.lit("![plate "), F.col("chunk_index"), F.lit("](img/"), F.col("chunk_id"), F.lit(".png) "), F.col("content"))
+        return self.chunk.withColumn("content", F.when((F.col("doc_id") % 3 == 0) & (F.col("chunk_index") % 10 == 4), image).otherwise(F.col("content")))
+
     @cached_property
     def vec(self) -> DataFrame:
         return self.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
