@@ -18,6 +18,20 @@ def unavailable(texts: Sequence[str]) -> list:
     raise RuntimeError("no model is configured")
 
 
+def with_retry(first: Callable[[list], list], second: Callable[[list], list] | None = None, attempts: int = 3) -> Callable[[list], list]:
+    """A hook that asks the first model up to `attempts` times, then the second one."""
+
+    def ask(texts: list) -> list:
+        for _ in range(attempts):
+            try:
+                return first(texts)
+            except Exception:  # the next attempt may do
+                continue
+        return (second or unavailable)(texts)
+
+    return ask
+
+
 def _called(hook: Callable[[list], list], text: Column, kind: str, batch: int) -> Column:
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.Series:

@@ -92,12 +92,61 @@ def islands(rows: DataFrame, *, key: str, order: str, value: str) -> DataFrame:
     return rows.withColumn("_changed", changed).withColumn("island", F.sum("_changed").over(w)).drop("_changed")
 
 
+def island_groups(chunks: DataFrame, *, most: int = 30_000) -> DataFrame:
+    """chunks (doc_id, chapter_id, n) with `grp`: the chapter where it has more than `most` tokens, -1 for all others of the document."""
+    w = Window.partitionBy("doc_id", "chapter_id")
+    return chunks.withColumn("grp", F.when(F.sum("n").over(w) > most, F.col("chapter_id")).otherwise(-1))
+
+
+def proposition_batches(chunks: DataFrame, *, most: int = 30_000, budget: int = 1500) -> DataFrame:
+    """doc_id, grp, batch, chunks, tokens: island groups packed in order under the token budget of one call."""
+    rows = island_groups(chunks, most=most).withColumn("_key", F.struct("doc_id", "grp"))
+    packed_ = greedy_groups(rows, key="_key", order="chunk_index", size="n", budget=budget)
+    return packed_.groupBy("_key", F.col("group").alias("batch")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("tokens")).select("_key.*", "batch", "chunks", "tokens")
+
+
+def flat_index(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, chapter: chapters of an index of parts, or of a flat one where there are no parts; an id that comes again gets a number.
+
+    docs: doc_id, index (JSON text).
+    """
+    chapter = "array<struct<id: string>>"
+    index = F.from_json("index", f"parts array<struct<chapters: {chapter}>>, chapters {chapter}")
+    chapters = F.coalesce(F.flatten(F.transform(index["parts"], lambda p: p["chapters"])), index["chapters"])
+    rows = docs.select("doc_id", F.posexplode(chapters).alias("pos", "c")).select("doc_id", "pos", F.col("c.id").alias("id"))
+    k = F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("pos"))
+    return rows.withColumn("k", k).select("doc_id", "pos", F.when(F.col("k") > 1, F.concat_ws("-", "id", "k")).otherwise(F.col("id")).alias("chapter"))
+
+
+def figures(chunks: DataFrame) -> DataFrame:
+    """doc_id, figure (number in order), image, caption, chunk_id of markdown images; documents without any give no rows."""
+    found = F.regexp_extract_all("content", F.lit(r"!\[[^\]]*\]\([^)]*\)"), F.lit(0))
+    each = chunks.filter(F.contains("content", F.lit("!["))).select("doc_id", "chunk_id", "chunk_index", F.posexplode(found).alias("at", "mark"))
+    w = Window.partitionBy("doc_id").orderBy("chunk_index", "at")
+    image, caption = F.regexp_extract("mark", r"\]\(([^)\s]+)", 1), F.regexp_extract("mark", r"!\[([^\]]*)\]", 1)
+    return each.select("doc_id", F.row_number().over(w).alias("figure"), image.alias("image"), caption.alias("caption"), "chunk_id")
+
+
 def resume_stage(done: Column, stages: list[str]) -> Column:
     """The stage after the last completed one; the first if none; null after the last."""
     names = F.array(*map(F.lit, stages))
     return F.get(names, F.coalesce(F.array_position(names, done), F.lit(0)).cast("int"))
 
 
+def after_table_head(page: Column, row: Column) -> Column:
+    """page with row after the first table's head; at its end where there is no table."""
+    lines = F.split(page, "\n", -1)
+    rules = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"^\|[-|: ]+\|$"), i + 1)), lambda i: i.isNotNull())
+    at = F.coalesce(F.get(rules, F.lit(0)), F.size(lines))
+    return F.array_join(F.concat(F.slice(lines, F.lit(1), at), F.array(row), F.slice(lines, at + 1, F.size(lines))), "\n")
+
+
+def stages_to_clean(done: Column, stages: list[str]) -> Column:
+    """What a resumed run has to remove: all stages after the last completed one."""
+    names = F.array(*map(F.lit, stages))
+    return F.slice(names, F.coalesce(F.array_position(names, done), F.lit(0)).cast("int") + 1, len(stages))
+
+
 def segment_shift(sims: Column, least: float) -> Column:
     """Segment number per sentence: a new one where similarity to the one before is under least."""
     start = F.struct(F.lit(0).alias("g"), F.array().cast("array<int>").alias("out"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 #: Order of stages of ingestion.
 STAGES = ("analysis", "segmented", "paraphrased", "chunked", "figures", "ready")
 
@@ -85,3 +87,16 @@ def run_chain(steps: DataFrame, key: str, order: str, failed: str) -> DataFrame:
     """steps up to and with the first failure of each key."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return steps.withColumn("_before", F.coalesce(F.max(F.col(failed).cast("int")).over(w), F.lit(0))).filter("_before = 0").drop("_before")
+
+
+def may_approve(role: Column, state: Column) -> Column:
+    """Editors approve drafts; an administrator also what is produced."""
+    return (role.isin("admin", "editor") & (state == "draft")) | ((role == "admin") & (state == "produced"))
+
+
+def snapshot(rows: DataFrame, given: str, required: tuple[str, ...], flags: tuple[str, ...] = (), placeholder: str = "pending") -> DataFrame:
+    """rows with key, value for every required key of the map `given`: blanks are the placeholder, flags are true, false or the placeholder."""
+    each = rows.withColumn("key", F.explode(F.array(*map(F.lit, required))))
+    value = F.try_element_at(F.col(given), F.col("key"))
+    plain = F.nullif(F.trim(value), F.lit(""))
+    return each.withColumn("value", F.coalesce(F.when(F.col("key").isin(*flags), X.to_flag(plain).cast("string")).otherwise(plain), F.lit(placeholder)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vector as V
-from ..operators import hooks, ingest, rules
+from ..operators import graph, hooks, ingest, rules
 from ..operators import segment as S
 from ..streaming import telemetry
 from .registry import query
@@ -33,13 +33,18 @@ def c02(v):
     return _novelty(v).select("brief_id", rules.route(F.col("price") / 500000, F.col("channel") == "O", F.col("score")).alias("route"))
 
 
-_CHECK = """ck AS (SELECT brief_id, risk, channel, list_filter([CASE WHEN price < 5000 THEN 'budget' END, CASE WHEN bucket = 'HOUSEHOLD' THEN 'source' END, CASE WHEN artifact_type = '5-LOW' THEN 'hook' END], lambda x: x IS NOT NULL) AS failed FROM v_brief),
-  vd AS (SELECT *, CASE WHEN len(list_filter(failed, lambda x: x <> 'hook')) > 0 THEN 'fail' WHEN len(failed) > 0 THEN 'human_review' ELSE 'pass' END AS verdict FROM ck)"""
+_CHECK = """ck AS (SELECT brief_id, risk, channel, list_filter([CASE WHEN price < 5000 THEN 'budget' END, CASE WHEN bucket = 'HOUSEHOLD' THEN 'source' END, CASE WHEN artifact_type = '5-LOW' THEN 'hook' END,
+  CASE WHEN risk = 'high' AND artifact_type = '1-URGENT' THEN 'claim' END, CASE WHEN brand = 'AFRICA' AND bucket = 'MACHINERY' THEN 'segment' END, CASE WHEN channel = 'P' THEN 'channel' END], lambda x: x IS NOT NULL) AS failed FROM v_brief),
+  vd AS (SELECT *, CASE WHEN len(list_filter(failed, lambda x: x NOT IN ('hook', 'channel'))) > 0 THEN 'fail' WHEN len(failed) > 0 THEN 'human_review' ELSE 'pass' END AS verdict FROM ck)"""
 
 
 def _verdicts(v):
-    checks = {"budget": F.col("price") >= 5000, "source": F.col("bucket") != "HOUSEHOLD", "hook": F.col("artifact_type") != "5-LOW"}
-    verdict, failed = rules.checklist(checks, {"hook"})
+    """Six checks, two of them soft."""
+    checks = {
+        "budget": F.col("price") >= 5000, "source": F.col("bucket") != "HOUSEHOLD", "hook": F.col("artifact_type") != "5-LOW",
+        "claim": ~((F.col("risk") == "high") & (F.col("artifact_type") == "1-URGENT")), "segment": ~((F.col("brand") == "AFRICA") & (F.col("bucket") == "MACHINERY")), "channel": F.col("channel") != "P",
+    }
+    verdict, failed = rules.checklist(checks, {"hook", "channel"})
     return v.brief.withColumn("verdict", verdict).withColumn("failed", failed)
 
 
@@ -86,10 +91,11 @@ def c09(v):
     return rules.order_state(events, "id", "at", "kind")
 
 
-@query("c10_stage_resume", "SELECT doc_id, ['analysis', 'segmented', 'paraphrased', 'chunked', 'figures', 'ready'][doc_id % 7 + 1] AS next FROM documents")
+@query("c10_stage_resume", "WITH s AS (SELECT ['analysis', 'segmented', 'paraphrased', 'chunked', 'figures', 'ready'] AS names) SELECT doc_id, names[doc_id % 7 + 1] AS next, names[doc_id % 7 + 1:] AS clean FROM documents, s")
 def c10(v):
+    """The stage to go on with, and those whose leavings have to go first."""
     done = F.get(F.array(F.lit(None), *map(F.lit, rules.STAGES)), (F.col("doc_id") % 7).cast("int"))
-    return v.table("documents").select("doc_id", ingest.resume_stage(done, list(rules.STAGES)).alias("next"))
+    return v.table("documents").select("doc_id", ingest.resume_stage(done, list(rules.STAGES)).alias("next"), ingest.stages_to_clean(done, list(rules.STAGES)).alias("clean"))
 
 
 @query("c11_idempotence", "SELECT id, CASE WHEN id % 10 = 0 OR id % 7 = 0 THEN 'rebuild' WHEN id % 5 = 0 THEN 'rebuild' WHEN status = 'failed' THEN 'resume' WHEN id % 3 = 0 THEN 're_embed' ELSE 'skip' END AS action FROM v_document")
@@ -98,11 +104,13 @@ def c11(v):
     return v.document.select("id", rules.reindex_action(i % 7 != 0, i % 5 != 0, F.col("status"), F.when(i % 3 == 0, 1).otherwise(0), i % 10 == 0).alias("action"))
 
 
-@query("c12_snapshot_defaults", "SELECT o_orderkey, key, CASE WHEN key = 'status' THEN o_orderstatus WHEN key = 'priority' THEN o_orderpriority ELSE 'pending' END AS value FROM orders, (VALUES ('status'), ('priority'), ('owner')) t(key)")
+@query("c12_snapshot_defaults", """SELECT o_orderkey, key, CASE key WHEN 'status' THEN o_orderstatus WHEN 'priority' THEN CASE WHEN o_orderkey % 7 = 0 THEN 'pending' ELSE o_orderpriority END WHEN 'qa' THEN CASE o_orderstatus WHEN 'O' THEN 'true' WHEN 'F' THEN 'false' ELSE 'pending' END ELSE 'pending' END AS value
+  FROM orders, (VALUES ('status'), ('priority'), ('owner'), ('qa')) t(key)""")
 def c12(v):
-    given = F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority")
-    required = F.array(*map(F.lit, ("status", "priority", "owner")))
-    return v.table("orders").select("o_orderkey", F.explode(required).alias("key"), given.alias("m")).select("o_orderkey", "key", F.coalesce(F.try_element_at("m", F.col("key")), F.lit("pending")).alias("value"))
+    """Required keys, blanks as placeholders, and the QA answer as a flag."""
+    answer = F.when(F.col("o_orderstatus") == "O", " Yes").when(F.col("o_orderstatus") == "F", "no").otherwise("perhaps")
+    given = F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), F.when(F.col("o_orderkey") % 7 == 0, "  ").otherwise(F.col("o_orderpriority")), F.lit("qa"), answer)
+    return rules.snapshot(v.table("orders").select("o_orderkey", given.alias("m")), "m", ("status", "priority", "owner", "qa"), flags=("qa",)).select("o_orderkey", "key", "value")
 
 
 @query("c13_compile_versions", "SELECT project_id, order_id, payload <> coalesce(lag(payload) OVER (PARTITION BY project_id ORDER BY version), -1) AS inserted, version = max(version) OVER (PARTITION BY project_id) AS active FROM v_version")
@@ -125,12 +133,16 @@ def c15(v):
     return v.version.groupBy("project_id").agg((F.max("version") + 1).alias("version"), F.min_by("payload", "version").alias("payload"))
 
 
-@query("c16_approval_guard", "SELECT brief_id, bucket = 'BUILDING' AND channel = 'O' AS may_approve FROM v_brief")
+_ROLE = "CASE bucket WHEN 'BUILDING' THEN 'admin' WHEN 'MACHINERY' THEN 'editor' ELSE 'viewer' END"
+_STATE = "CASE channel WHEN 'O' THEN 'draft' WHEN 'P' THEN 'produced' ELSE 'published' END"
+
+
+@query("c16_approval_guard", f"SELECT brief_id, (role IN ('admin', 'editor') AND state = 'draft') OR (role = 'admin' AND state = 'produced') AS may_approve FROM (SELECT brief_id, {_ROLE} AS role, {_STATE} AS state FROM v_brief)")
 def c16(v):
-    return v.brief.select("brief_id", ((F.col("bucket") == "BUILDING") & (F.col("channel") == "O")).alias("may_approve"))
+    return v.brief.select("brief_id", rules.may_approve(F.expr(_ROLE), F.expr(_STATE)).alias("may_approve"))
 
 
-# -- ingestion ----------------------------------------------------------------
+# ingestion
 
 
 @query("n01_document_class", "SELECT id, CASE WHEN token_estimate >= 20000 THEN 'long' ELSE 'short' END AS class FROM v_document")
@@ -176,16 +188,21 @@ def n06(v):
     return rows.withColumn("shift", shift).select("doc_id", "chunk_index", F.sum("shift").over(w).alias("segment"))
 
 
-@query("n07_overflow_split", "SELECT chunk_id, length(content) // 4 // 100 + 1 AS pieces FROM v_chunk WHERE length(content) // 4 > 100")
+@query("n07_overflow_split")
 def n07(v):
+    """Chunks past 100 tokens in as many pieces as they need."""
     n = X.token_estimate(F.col("content"))
-    return v.chunk.filter(n > 100).select("chunk_id", (F.floor(n / 100) + 1).alias("pieces"))
+    return S.split_overflow(v.chunk.filter(n > 100), most=100)
 
 
-@query("n08_coreference_hook", "SELECT chunk_id, content FROM v_chunk")
-def n08(v, resolve=None):
-    """Without a model the hook is the identity, as long documents get it anyway."""
-    return v.chunk.select("chunk_id", (resolve(F.col("content")) if resolve else F.col("content")).alias("content"))
+@query("n08_coreference_merge", """WITH w AS (SELECT doc_id, chunk_index, list_filter(regexp_extract_all(lower(content), '[a-z]+'), lambda x: length(x) >= 7) AS t FROM v_chunk),
+  p AS (SELECT *, t[1] AS subject, lag(t) OVER o AS a, lag(t, 2) OVER o AS b FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_index)),
+  m AS (SELECT doc_id, chunk_index, (chunk_index > 0 AND NOT (subject IS NOT NULL AND (list_contains(coalesce(a, []), subject) OR list_contains(coalesce(b, []), subject))))::INT AS new_ FROM p)
+  SELECT doc_id, chunk_index, (sum(new_) OVER (PARTITION BY doc_id ORDER BY chunk_index))::BIGINT AS segment FROM m""")
+def n08(v, chains=None):
+    """Without a model a chain is a long word met again within three segments, and the first one is the subject."""
+    mentions = F.filter(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) >= 7)
+    return S.merge_by_chains(v.chunk.withColumn("mentions", mentions if chains is None else chains(F.col("content")))).select("doc_id", "chunk_index", "segment")
 
 
 @query("n09_candidate_ngrams", "WITH p AS (SELECT chunk_id, pos, token, lead(token) OVER (PARTITION BY chunk_id ORDER BY pos) AS nxt FROM v_posting) SELECT token || ' ' || nxt AS name, count(*) AS n FROM p WHERE length(token) > 6 AND length(nxt) > 6 GROUP BY 1 HAVING count(*) >= 2")
@@ -195,16 +212,22 @@ def n09(v):
     return v.chunk.select(F.explode(pairs).alias("p")).filter("length(p.a) > 6 and length(p.b) > 6").groupBy(F.concat_ws(" ", "p.a", "p.b").alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
 
 
-@query("n10_entity_store", "SELECT r.src, r.dst, count(*) AS n FROM v_relation r WHERE r.src IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND r.dst IN (SELECT p_partkey + 1000000 FROM part WHERE p_size > 25) GROUP BY ALL")
+@query("n10_entity_store", "SELECT src, dst, count(*) AS n FROM (SELECT DISTINCT chunk_id, src, dst FROM v_relation) r WHERE r.src IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND r.dst IN (SELECT p_partkey + 1000000 FROM part WHERE p_size > 25) GROUP BY ALL")
 def n10(v):
+    """A pair counts once a document, and only with both ends known."""
     src = v.table("supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("src"))
     dst = v.table("part").filter("p_size > 25").select((F.col("p_partkey") + 1000000).alias("dst"))
-    return v.relation.join(src, "src", "left_semi").join(dst, "dst", "left_semi").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    known = v.relation.select("chunk_id", "src", "dst").join(src, "src", "left_semi").join(dst, "dst", "left_semi")
+    return known.distinct().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("n11_proposition_batches", "SELECT doc_id, chapter_id, sum(length(content) // 4)::BIGINT AS tokens, count(*) AS chunks FROM v_chunk GROUP BY ALL")
+@query("n11_proposition_batches", """WITH RECURSIVE c AS (SELECT doc_id, chunk_index, length(content) // 4 AS n, CASE WHEN sum(length(content) // 4) OVER (PARTITION BY doc_id, chapter_id) > 300 THEN chapter_id ELSE -1 END AS grp FROM v_chunk),
+  s AS (SELECT doc_id, grp, n, row_number() OVER (PARTITION BY doc_id, grp ORDER BY chunk_index) AS i FROM c),
+  r AS (SELECT doc_id, grp, i, n, n AS acc, 0::BIGINT AS g FROM s WHERE i = 1
+        UNION ALL SELECT s.doc_id, s.grp, s.i, s.n, CASE WHEN r.acc > 0 AND r.acc + s.n > 1500 THEN s.n ELSE r.acc + s.n END, r.g + (r.acc > 0 AND r.acc + s.n > 1500)::BIGINT FROM r JOIN s ON s.doc_id = r.doc_id AND s.grp = r.grp AND s.i = r.i + 1)
+  SELECT doc_id, grp, g AS batch, count(*) AS chunks, sum(n)::BIGINT AS tokens FROM r GROUP BY ALL""")
 def n11(v):
-    return v.chunk.groupBy("doc_id", "chapter_id").agg(F.sum(X.token_estimate(F.col("content"))).alias("tokens"), F.count(F.lit(1)).alias("chunks"))
+    return ingest.proposition_batches(v.chunk.withColumn("n", X.token_estimate(F.col("content"))), most=300)
 
 
 @query("n12_proposition_assignment", "SELECT prop_id, CASE WHEN prop_id % 4 <> 0 THEN chunk_id WHEN contains(content, statement) THEN chunk_id END AS chunk_id FROM v_proposition JOIN v_chunk USING (chunk_id)")
@@ -235,8 +258,18 @@ def n15(v):
     return docs.unionAll(sections)
 
 
-@query("n16_document_card", "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, coalesce(json_extract_string(props, '$.title'), 'untitled') AS title FROM events")
+@query("n16_document_card", """SELECT doc_id, k AS pos, 'c' || (k % 2) || CASE WHEN k // 2 > 0 THEN '-' || (k // 2 + 1) ELSE '' END AS chapter FROM (SELECT doc_id, unnest(range(0, doc_id % 5 + 1)) AS k FROM documents)""")
 def n16(v):
+    """Chapter lists of indexes that are nested for every third document and flat for the others, with ids that repeat."""
+    ids = F.transform(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 5), lambda k: F.format_string('{"id": "c%d"}', k % 2))
+    flat = F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]"))
+    nested = F.concat(F.lit('{"parts": [{"chapters": ['), F.get(ids, F.lit(0)), F.lit("]}, "), F.lit('{"chapters": ['), F.array_join(F.slice(ids, 2, 9), ", "), F.lit("]}]}"))
+    index = F.when(F.col("doc_id") % 3 == 0, nested).otherwise(F.concat(F.lit('{"chapters": '), flat, F.lit("}")))
+    return ingest.flat_index(v.table("documents").select("doc_id", index.alias("index")))
+
+
+@query("n16_card_defaults", "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, coalesce(json_extract_string(props, '$.title'), 'untitled') AS title FROM events")
+def n16_defaults(v):
     card = F.from_json("props", "k long, title string")
     return v.table("events").select("event_id", F.coalesce(card["k"], F.lit(0)).alias("k"), F.coalesce(card["title"], F.lit("untitled")).alias("title"))
 
@@ -247,9 +280,18 @@ def n17(v):
     return t("nation", "n_name", "nation").union(t("region", "r_name", "region")).union(t("customer", "c_mktsegment", "segment")).distinct()
 
 
-@query("n18_figures", "SELECT page_id, len(regexp_extract_all(html, '<a href')) AS links FROM pages")
+@query("n18_figures", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS figure, 'img/' || chunk_id || '.png' AS image, 'plate ' || chunk_index AS caption, chunk_id FROM v_chunk WHERE doc_id % 3 = 0 AND chunk_index % 10 = 4")
 def n18(v):
-    return v.table("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<a href"), F.lit(0))).cast("long").alias("links"))
+    """Figures in order of their lines, of documents that have any."""
+    return ingest.figures(v.illustrated)
+
+
+@query("n20_backfill_vectors", "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN length(label::VARCHAR)::DOUBLE ELSE round(v[1], 6) END AS first_ FROM v_vec")
+def n20_vectors(v):
+    """Vectors that are missing, here every seventh, are computed again; the others stay."""
+    rows = v.vec.withColumn("v", F.when(F.col("vec_id") % 7 != 0, F.col("v")))
+    again = graph.embed(rows.filter("v is null").select("vec_id", F.col("label").cast("string").alias("text")), lambda texts: [[float(len(t))] for t in texts], "text")
+    return rows.filter("v is not null").select("vec_id", "v").unionByName(again.select("vec_id", "v")).select("vec_id", F.round(F.element_at("v", 1), 6).alias("first_"))
 
 
 @query("n20_backfill", "SELECT doc_id, token, count(*) AS n FROM v_posting WHERE doc_id IN (SELECT id FROM v_document WHERE status = 'ready') GROUP BY ALL")
@@ -317,10 +359,17 @@ def e04(v):
     return telemetry.drained(rows.select("event_id", F.concat(F.lit("job "), "event_id", F.lit(": "), "event_type").alias("line")))
 
 
-@query("d02_text_model_fallback", "SELECT item_id, left(text, 40) AS answer FROM benchmark")
+@query("d02_text_model_fallback", "SELECT item_id, 'second: ' || left(text, 40) AS answer FROM benchmark")
 def d02(v):
-    """The call fails for every batch, so the deterministic answer stands."""
-    return hooks.completed(v.table("benchmark"), hooks.unavailable, "text", F.left("text", F.lit(40)), "answer").select("item_id", "answer")
+    """The first model fails at every attempt, so the second answers."""
+    hook = hooks.with_retry(hooks.unavailable, lambda texts: ["second: " + t[:40] for t in texts], attempts=3)
+    return hooks.completed(v.table("benchmark"), hook, "text", F.lit(""), "answer").select("item_id", "answer")
+
+
+@query("e05_sliding_windows", "SELECT strftime(start_, '%Y-%m-%d %H:%M') AS start_, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS start_ FROM events) GROUP BY ALL")
+def e05_sliding(v):
+    rows = v.table("events").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start_"), "event_type", "n")
 
 
 @query("d03_vision_fallback", "SELECT page_id, '' AS description FROM pages")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vector as V
-from ..operators import ingest, ranking
+from ..operators import graph, ingest, ranking
 from .registry import query
 
 
@@ -68,10 +68,11 @@ def j09(v):
     return v.vec.crossJoin(q).select("query_id", "vec_id", F.round(V.cosine(F.col("qv"), F.col("v")), 6).alias("score"))
 
 
-@query("j10_mentions_by_name", "SELECT DISTINCT s_suppkey, p_partkey FROM supplier JOIN part ON s_nationkey = p_size WHERE contains(lower(p_name), substr(lower(s_name), length(s_name), 1))")
+@query("j10_mentions_by_name", "SELECT DISTINCT prop_id, name FROM (SELECT DISTINCT lower(split_part(text, ' ', 4)) AS name FROM benchmark) JOIN v_proposition ON contains(lower(statement), name) WHERE length(name) >= 5")
 def j10(v):
-    s, p = v.table("supplier"), v.table("part")
-    return s.join(p, s.s_nationkey == p.p_size).filter(F.lower("p_name").contains(F.lower(F.substring("s_name", -1, 1)))).select("s_suppkey", "p_partkey").distinct()
+    """Names (a word of each benchmark item) that a statement contains: a theta join by the names' first letters."""
+    names = v.table("benchmark").select(F.lower(F.split_part("text", F.lit(" "), F.lit(4))).alias("name")).distinct().filter("length(name) >= 5")
+    return graph.contained(names, "name", v.proposition.select("prop_id", F.lower("statement").alias("s")), "s").select("prop_id", "name").distinct()
 
 
 @query("j11_related_terms", "SELECT a.n_name AS term, b.n_name AS related FROM nation a JOIN region ON a.n_regionkey = r_regionkey JOIN nation b ON b.n_regionkey = r_regionkey WHERE a.n_nationkey <> b.n_nationkey")
@@ -184,10 +185,18 @@ def a14(v):
     return n.groupBy("p_brand").agg(F.max_by("p_type", F.struct("n", F.length("p_type"), "p_type")).alias("canonical"))
 
 
-@query("a15_process_kpis", """SELECT stage, count(*) AS steps, sum(ceil(epoch(exited - entered) / 60)::BIGINT)::BIGINT AS lead_minutes, round(avg(rework::DOUBLE / (rework + 1)), 2) AS rework_rate, round(avg((rework = 0)::INT), 4) AS first_pass FROM v_stage GROUP BY stage""")
+@query("a15_process_kpis", """WITH s AS (SELECT *, ceil(epoch(exited - entered) / 60)::BIGINT AS m FROM v_stage), c AS (SELECT stage, order_id, ceil(epoch(max(exited) - min(exited)) / 60)::BIGINT AS m FROM v_stage GROUP BY ALL),
+  k AS (SELECT stage, sum(m)::BIGINT AS cycle_minutes FROM c GROUP BY 1)
+  SELECT stage, count(*) AS steps, sum(m)::BIGINT AS lead_minutes, any_value(cycle_minutes) AS cycle_minutes, round(avg(m), 1) AS minutes_in_stage, round(avg(rework::DOUBLE / (rework + 1)), 2) AS rework_rate, round(avg((rework = 0)::INT), 4) AS first_pass FROM s JOIN k USING (stage) GROUP BY stage""")
 def a15(v):
-    r = F.col("rework").cast("double")
-    return v.stage.groupBy("stage").agg(F.count(F.lit(1)).alias("steps"), F.sum(X.minutes_between(F.col("entered"), F.col("exited"))).alias("lead_minutes"), F.round(F.avg(r / (r + 1)), 2).alias("rework_rate"), F.round(F.avg((F.col("rework") == 0).cast("int")), 4).alias("first_pass"))
+    """Lead time from entry, cycle time from an order's first to its last exit, time in stage, rework and first-pass shares."""
+    r, minutes = F.col("rework").cast("double"), X.minutes_between(F.col("entered"), F.col("exited"))
+    cycle = v.stage.groupBy("stage", "order_id").agg(X.minutes_between(F.min("exited"), F.max("exited")).alias("m")).groupBy("stage").agg(F.sum("m").alias("cycle_minutes"))
+    kpis = v.stage.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("steps"), F.sum(minutes).alias("lead_minutes"), F.round(F.avg(minutes), 1).alias("minutes_in_stage"),
+        F.round(F.avg(r / (r + 1)), 2).alias("rework_rate"), F.round(F.avg((F.col("rework") == 0).cast("int")), 4).alias("first_pass"),
+    )
+    return kpis.join(cycle, "stage")
 
 
 @query("w01_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
@@ -232,8 +241,10 @@ def w07(v):
 
 @query("w08_best_two", "SELECT l_orderkey AS id, round(max(l_extendedprice) - coalesce(list_sort(list(l_extendedprice), 'DESC')[2], 0), 4) AS gap FROM lineitem GROUP BY 1")
 def w08(v):
-    top = F.slice(F.sort_array(F.collect_list("l_extendedprice"), False), 1, 2)
-    return v.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(top.alias("t")).select("id", F.round(F.get("t", F.lit(0)) - F.coalesce(F.get("t", F.lit(1)), F.lit(0.0)), 4).alias("gap"))
+    """The best two of each key: Spark's group limit keeps two a task before they move."""
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"))
+    top = v.table("lineitem").select("l_orderkey", "l_extendedprice", F.row_number().over(w).alias("r")).filter("r <= 2")
+    return top.groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.max("l_extendedprice") - F.coalesce(F.max(F.when(F.col("r") == 2, F.col("l_extendedprice"))), F.lit(0.0)), 4).alias("gap"))
 
 
 @query("w09_greedy_packing", """WITH RECURSIVE s AS (SELECT doc_id, chunk_index, length(content) // 4 AS n FROM v_chunk),
@@ -250,9 +261,10 @@ def w10(v):
     return ranking.first_seen(v.table("orders"), ["o_custkey", "o_orderpriority"], "o_orderkey").select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("first_at"))
 
 
-@query("w11_large_islands", "SELECT doc_id, CASE WHEN sum(length(content) // 4) > 300 THEN chapter_id ELSE -1 END AS grp, sum(length(content) // 4)::BIGINT AS tokens FROM v_chunk GROUP BY doc_id, chapter_id")
+@query("w11_large_islands", "SELECT doc_id, grp, sum(n)::BIGINT AS tokens, count(*) AS chunks FROM (SELECT doc_id, length(content) // 4 AS n, CASE WHEN sum(length(content) // 4) OVER (PARTITION BY doc_id, chapter_id) > 300 THEN chapter_id ELSE -1 END AS grp FROM v_chunk) GROUP BY ALL")
 def w11(v):
-    return v.chunk.groupBy("doc_id", "chapter_id").agg(F.sum(X.token_estimate(F.col("content"))).alias("tokens")).select("doc_id", F.when(F.col("tokens") > 300, F.col("chapter_id")).otherwise(-1).alias("grp"), "tokens")
+    """Large islands stand by themselves, the others become one group of the file; 300 tokens for the 30 000 that no chapter here has."""
+    return ingest.island_groups(v.chunk.withColumn("n", X.token_estimate(F.col("content"))), most=300).groupBy("doc_id", "grp").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("chunks"))
 
 
 @query("t01_nearest", "SELECT vec_id FROM v_vec WHERE vec_id <> 0 ORDER BY round(list_cosine_similarity(v, (SELECT v FROM v_vec WHERE vec_id = 0)), 9) DESC, vec_id LIMIT 8")

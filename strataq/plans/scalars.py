@@ -54,10 +54,16 @@ def x06b(v):
     return rows.select("id", at["s"].alias("s"), at["e"].alias("e"))
 
 
-@query("x07_batch_offsets", "SELECT chunk_id, coalesce((sum(length(content) + 2) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0) AS start FROM v_chunk")
+@query("x07_batch_offsets", """WITH b AS (SELECT doc_id, chunk_id, content, coalesce((sum(length(content) + 2) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0) AS start_ FROM v_chunk),
+  s AS (SELECT prop_id, p.doc_id, start_ + instr(content, statement) - 1 AS place FROM v_proposition p JOIN b USING (chunk_id))
+  SELECT prop_id, b.chunk_id FROM s JOIN b ON b.doc_id = s.doc_id AND place >= start_ AND place < start_ + length(content)""")
 def x07(v):
+    """Spans given by their place in a document's joined chunks, and the chunk whose half-open range each falls in."""
     w = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    return v.chunk.select("chunk_id", F.coalesce(F.sum(F.length("content") + 2).over(w), F.lit(0)).alias("start"))
+    batch = v.chunk.select("doc_id", "chunk_id", "content", F.coalesce(F.sum(F.length("content") + 2).over(w), F.lit(0)).alias("start"))
+    spans = v.proposition.select("prop_id", "chunk_id", "statement").join(batch, "chunk_id").select("prop_id", "doc_id", (F.col("start") + F.expr("instr(content, statement)") - 1).alias("at"))
+    ranges = batch.select("doc_id", "chunk_id", F.col("start"), (F.col("start") + F.length("content")).alias("end"))
+    return spans.join(ranges, "doc_id").filter("at >= start and at < end").select("prop_id", "chunk_id")
 
 
 @query("x08_exact_terms", "SELECT doc_id, list_distinct_[1:5] AS terms FROM (SELECT doc_id, list_filter(x, lambda e, i: list_position(x, e) = i) AS list_distinct_ FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+|[A-Z0-9]+[-_][A-Z0-9]+') AS x FROM documents))")
@@ -80,11 +86,16 @@ def x11(v):
     return v.table("benchmark").select("item_id", F.when(X.has_keyword(F.col("text"), ("that", "heed")), "global").otherwise("local").alias("kind"))
 
 
-@query("x12_strategy_defaults", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'narrow' WHEN 1 THEN 'wide' ELSE 'default' END AS strategy, CASE item_id % 3 WHEN 0 THEN greatest(3, least(6, 8)) WHEN 1 THEN 20 ELSE 8 END AS k FROM benchmark")
+@query("x12_strategy_defaults", """WITH s AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'narrow' WHEN '2-HIGH' THEN 'wide' ELSE 'default' END AS strategy FROM orders)
+  SELECT o_orderkey, strategy, CASE strategy WHEN 'narrow' THEN greatest(3, least(6, 8)) WHEN 'wide' THEN 20 ELSE 8 END AS k, CASE strategy WHEN 'narrow' THEN 'dense' ELSE 'dense,lexical,paraphrase,proposition' END AS channels FROM s""")
 def x12(v):
-    strategy = F.element_at(F.array(*map(F.lit, ("narrow", "wide", "default"))), (F.col("item_id") % 3 + 1).cast("int"))
+    """Asked strategies, of which only known ones count, with their k and channels."""
+    asked = F.when(F.col("o_orderpriority") == "1-URGENT", " Narrow").when(F.col("o_orderpriority") == "2-HIGH", "WIDE").when(F.col("o_orderpriority") == "5-LOW", F.lit(None)).otherwise("bogus")
+    known = F.lower(F.trim(asked))
+    strategy = F.when(known.isin("narrow", "wide"), known).otherwise("default")
     k = F.when(strategy == "narrow", F.greatest(F.lit(3), F.least(F.lit(6), F.lit(8)))).when(strategy == "wide", 20).otherwise(8)
-    return v.table("benchmark").select("item_id", strategy.alias("strategy"), k.alias("k"))
+    channels = F.when(strategy == "narrow", "dense").otherwise("dense,lexical,paraphrase,proposition")
+    return v.table("orders").select("o_orderkey", strategy.alias("strategy"), k.alias("k"), channels.alias("channels"))
 
 
 @query("x13_cosine_distance", "SELECT vec_id, round(1 - list_cosine_similarity(v, (SELECT v FROM v_vec WHERE vec_id = 0)), 6) AS d FROM v_vec")
@@ -106,13 +117,16 @@ def x14(v):
     return rows.select("chunk_id", F.when((F.size("t") < 4) | (F.size("u") < 4), -1.0).otherwise(F.round(score, 6)).alias("score"))
 
 
-@query("x15_label_shift", """WITH c AS (SELECT l_orderkey AS id, (count(*) FILTER (WHERE l_returnflag = 'A'))::DOUBLE AS a, (count(*) FILTER (WHERE l_returnflag = 'N'))::DOUBLE AS n, (count(*) FILTER (WHERE l_returnflag = 'R'))::DOUBLE AS r FROM lineitem GROUP BY 1)
-  SELECT id, round(1 - list_cosine_similarity([a, n, r], [1.0::DOUBLE, 1.0, 1.0]), 6) AS diff, round(1 - list_cosine_similarity([a, n, r], [1.0::DOUBLE, 1.0, 1.0]), 6) > 0.4 AS shift FROM c""")
+@query("x15_label_shift", """WITH c AS (SELECT l_orderkey AS id, (count(*) FILTER (WHERE l_returnflag = 'A'))::DOUBLE AS a, (count(*) FILTER (WHERE l_returnflag = 'N'))::DOUBLE AS n, (count(*) FILTER (WHERE l_returnflag = 'R'))::DOUBLE AS r, sum(l_quantity)::DOUBLE AS q, sum(l_tax * 500)::DOUBLE AS t FROM lineitem GROUP BY 1),
+  d AS (SELECT id, round(1 - list_cosine_similarity([a, n, r], [1.0::DOUBLE, 1.0, 1.0]), 6) AS diff, round(list_cosine_similarity([q, t], [1.0::DOUBLE, 0.2]), 6) AS cos FROM c)
+  SELECT id, diff, coalesce(cos, 0) < 0.6 OR diff > 0.4 AS shift FROM d""")
 def x15(v):
+    """A topic shifts where meaning (cosine) falls or the mix of labels differs."""
     n = [F.count_if(F.col("l_returnflag") == x).cast("double") for x in "ANR"]
-    rows = v.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array(*n).alias("f"))
+    rows = v.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array(*n).alias("f"), F.array(F.sum("l_quantity"), F.sum(F.col("l_tax") * 500)).alias("m"))
     diff = F.round(1 - V.cosine(F.col("f"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))), 6)
-    return rows.select("id", diff.alias("diff"), (diff > 0.4).alias("shift"))
+    cos = F.round(V.cosine(F.col("m"), F.array(F.lit(1.0), F.lit(0.2))), 6)
+    return rows.select("id", diff.alias("diff"), ((F.coalesce(cos, F.lit(0.0)) < 0.6) | (diff > 0.4)).alias("shift"))
 
 
 @query("x16_overlap_coefficient", """WITH s AS (SELECT o_custkey AS c, list_distinct(list(o_orderpriority)) AS p FROM orders GROUP BY 1)
@@ -123,10 +137,12 @@ def x16(v):
     return s.join(b, "c").select("c", F.round(V.overlap(F.col("p"), F.col("q")), 6).alias("score"))
 
 
-@query("x17_partial_ratio", "SELECT prop_id, 100.0::DOUBLE AS ratio FROM v_proposition")
+@query("x17_partial_ratio", "SELECT prop_id, prop_id % 2 = 0 OR length(statement) >= 20 AS accepted FROM v_proposition WHERE length(statement) BETWEEN 12 AND 300")
 def x17(v):
-    c = v.chunk.select("chunk_id", "content")
-    return v.proposition.join(c, "chunk_id").select("prop_id", fuzzy.partial_ratio(F.col("statement"), F.col("content")).alias("ratio"))
+    """Statements against themselves, every other with its sixth letter changed; 95 is like enough."""
+    p = v.proposition.filter("length(statement) between 12 and 300")
+    other = F.when(F.col("prop_id") % 2 == 0, F.col("statement")).otherwise(F.concat(F.left("statement", F.lit(5)), F.lit("~"), F.expr("substr(statement, 7)")))
+    return p.select("prop_id", (fuzzy.partial_ratio(other, F.col("statement"), 95) >= 95).alias("accepted"))
 
 
 @query("x17_fuzzy_cases", "SELECT * FROM (VALUES (1, 100.0::DOUBLE), (2, 75.0::DOUBLE), (3, 0.0::DOUBLE)) t(id, ratio)")
@@ -153,9 +169,11 @@ def x20(v):
     return rows.select("id", fuzzy.deep_merge(F.col("base"), F.col("over")).alias("merged"))
 
 
-@query("x21_tool_parameters", "SELECT event_id, coalesce(json_extract_string(props, '$.by_tool.k'), json_extract_string(props, '$.k'), props) AS p FROM events")
+@query("x21_tool_parameters", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{\"k\":7}' WHEN 1 THEN '{\"k\":5}' ELSE props END AS p FROM events")
 def x21(v):
-    return v.table("events").select("event_id", F.coalesce(F.get_json_object("props", "$.by_tool.k"), F.get_json_object("props", "$.k"), "props").alias("p"))
+    """A tool's own parameters: under by_tool, else under its name, else all."""
+    params = F.when(F.col("event_id") % 3 == 0, '{"by_tool": {"image": {"k": 7}}, "image": {"k": 1}}').when(F.col("event_id") % 3 == 1, '{"image": {"k": 5}}').otherwise(F.col("props"))
+    return v.table("events").select("event_id", F.coalesce(F.get_json_object(params, "$.by_tool.image"), F.get_json_object(params, "$.image"), params).alias("p"))
 
 
 @query("x22_mask_key", "SELECT c_custkey, left(c_name, 4) || '****' || right(c_name, 4) AS masked FROM customer")
@@ -175,9 +193,10 @@ def x24(v):
     return v.table("customer").select("c_custkey", F.coalesce(*layers, F.lit("default")).alias("value"))
 
 
-@query("x25_clean_text", "SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM documents")
+@query("x25_clean_text", "SELECT doc_id, sha256(trim(regexp_replace(text || 'fi1', '\\s+', ' ', 'g'))) AS h FROM documents")
 def x25(v):
-    return v.table("documents").select("doc_id", F.length(X.clean_text(F.concat("text", F.lit("​")))).alias("n"))
+    """Compatible forms, folded quotes, no zero-width characters, single blanks; a ligature and a ringed digit come with every text."""
+    return v.table("documents").select("doc_id", F.sha2(X.clean_text(fuzzy.compatible(F.concat("text", F.lit("\u200bﬁ①")))), 256).alias("h"))
 
 
 @query("x26_section_split", "SELECT * FROM (VALUES (0, 1), (1, 2), (2, 2)) t(section, lines)")

@@ -60,14 +60,19 @@ def s08(v):
     return ingest.image_references(v.literal([(1, BOOK)], "doc_id int, text string")).select("line_no", "image")
 
 
-@query("s09_caption", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS caption FROM pages")
+@query("s09_caption", "SELECT 'img/' || chunk_id || '.png' AS image, 'plate ' || chunk_index AS caption FROM v_chunk WHERE doc_id % 3 = 0 AND chunk_index % 10 = 4")
 def s09(v):
-    return v.table("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("caption"))
+    """Captions looked up by image name among the figures of all documents."""
+    asked = v.chunk.filter("chunk_index % 10 = 4").select(F.concat(F.lit("img/"), "chunk_id", F.lit(".png")).alias("image"))
+    return asked.join(ingest.figures(v.illustrated).select("image", "caption"), "image")
 
 
-@query("s10_first_chunk_with", "SELECT doc_id, min(chunk_index) AS chunk_index FROM v_chunk WHERE contains(lower(content), 'the') GROUP BY doc_id")
+@query("s10_first_chunk_with", "SELECT doc_id, 'img/' || chunk_id || '.png' AS image, chunk_index FROM v_chunk WHERE doc_id % 3 = 0 AND chunk_index % 10 = 4")
 def s10(v):
-    return v.chunk.filter(F.lower("content").contains("the")).groupBy("doc_id").agg(F.min("chunk_index").alias("chunk_index"))
+    """The first chunk of a document that holds an image's name."""
+    names = ingest.figures(v.illustrated).select("doc_id", "image")
+    held = v.illustrated.filter(F.contains("content", F.lit("img/"))).join(names, "doc_id").filter(F.contains("content", "image"))
+    return held.groupBy("doc_id", "image").agg(F.min("chunk_index").alias("chunk_index"))
 
 
 @query("s11_bulk_insert", "SELECT c_custkey AS id, substr(sha256(c_name), 1, 16) AS stable_id FROM customer UNION ALL SELECT s_suppkey, substr(sha256(s_name), 1, 16) FROM supplier")
@@ -112,9 +117,12 @@ def s15(v):
     return hist.join(chunks, F.col("conv_id") == F.col("doc_id"), "left").select("conv_id", F.concat_ws("\n", "Chunks", "History").alias("context"))
 
 
-@query("s16_markdown_row", "SELECT o_orderkey AS order_id, '| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |' AS line FROM orders")
+@query("s16_markdown_row", "SELECT o_orderkey AS order_id, '# Manifest' || chr(10) || '| id | status | priority |' || chr(10) || '|---|---|---|' || chr(10) || '| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |' || chr(10) || '| 0 | F | old |' AS page FROM orders")
 def s16(v):
-    return v.table("orders").select(F.col("o_orderkey").alias("order_id"), F.concat(F.lit("| "), F.concat_ws(" | ", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"), F.lit(" |")).alias("line"))
+    """A row put in after the head of a page's table."""
+    page = F.lit("# Manifest\n| id | status | priority |\n|---|---|---|\n| 0 | F | old |")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"), F.lit(" |"))
+    return v.table("orders").select(F.col("o_orderkey").alias("order_id"), ingest.after_table_head(page, row).alias("page"))
 
 
 @query("f01_status_ready", "SELECT id FROM v_document WHERE status = 'ready'")
