@@ -1,12 +1,14 @@
 """Literal cases of single operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from strataq.functions import fuzzy
 from strataq.functions import text as X
-from strataq.operators import graph, ingest, ranking, retrieval, rules
+from strataq.operators import graph, hooks, ingest, ranking, retrieval, rules, segment
 from strataq.streaming import telemetry
 
 
@@ -48,9 +50,9 @@ def test_self_loop_counts_twice(spark):
 
 
 def test_cover_density(spark):
-    postings = spark.createDataFrame([(1, "a", 1), (1, "x", 2), (1, "b", 3), (1, "a", 4), (2, "a", 1)], "chunk_id long, token string, pos int")
+    chunks = spark.createDataFrame([(1, ["a", "x", "b", "a"]), (2, ["a"]), (3, []), (4, None)], "id long, words array<string>")
     q = spark.createDataFrame([(5, ["a", "b"])], "query_id long, w array<string>")
-    got = retrieval.cover_density(q, postings).collect()
+    got = retrieval.cover_density(q, chunks).collect()
     assert [(r.query_id, r.id) for r in got] == [(5, 1)] and got[0].score == pytest.approx(1 / 2 + 1 / 1)
 
 
@@ -112,8 +114,9 @@ def test_selected_nodes_two_hops(spark, tmp_path):
     from strataq import plans
 
     lines = [(50, 1), (50, 2), (7, 1), (8, 1), (7, 3), (9, 3), (8, 4)]
-    spark.createDataFrame([(50,), (7,), (8,), (9,)], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(50, "a"), (7, "b"), (8, "c"), (9, "d")], "s_suppkey long, s_name string").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     spark.createDataFrame([(i, s, p, 1, "N") for i, (s, p) in enumerate(lines)], "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, f"part {p}") for p in (1, 2, 3, 4)], "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     weight: dict = {}
     for s, p in lines:
         for a, b in ((s, p + 1000000), (p + 1000000, s)):
@@ -130,3 +133,49 @@ def test_selected_nodes_two_hops(spark, tmp_path):
     got = plans.queries()["g07_selected_nodes"](spark, str(tmp_path)).collect()
     assert sorted((r.query_id, r.id) for r in got) == sorted((r.query_id, r.id) for r in want.collect())
     assert sorted(r.id for r in got) == [50, 1000001]
+
+
+def test_overflow_pieces():
+    text = "alpha beta gamma. alpha beta delta. other words here. other words there. " * 3
+    pieces = segment.overflow_pieces(text, 20)
+    assert len(pieces) == len(text) // 4 // 20 + 1 and ". ".join(pieces) == ". ".join(p for p in text.split(". ") if p)
+    assert segment.overflow_pieces("short. text", 20) == ["short. text"] and segment.overflow_pieces("x" * 100, 20) == ["x" * 100]
+    assert segment.overflow_pieces("a b c. a b c. " + "d " * 40, 20)[0] == "a b c. a b c"  # the lowest boundary goes first
+
+
+def test_retry_then_second_model():
+    calls = []
+
+    def first(texts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("busy")
+        return ["first"] * len(texts)
+
+    assert hooks.with_retry(first)(["a"]) == ["first"] and len(calls) == 3
+    assert hooks.with_retry(hooks.unavailable, lambda texts: ["second"] * len(texts), attempts=2)(["a", "b"]) == ["second"] * 2
+    with pytest.raises(RuntimeError):
+        hooks.with_retry(hooks.unavailable)(["a"])
+
+
+def test_windows_past_a_threshold():
+    rng = random.Random(6)
+    for _ in range(60):
+        short = "".join(rng.choice("abcd ") for _ in range(rng.choice([5, 19, 20, 45, 80])))
+        near = "".join(c for c in short if rng.random() > 0.02)
+        long = "".join(rng.choice("abcd ") for _ in range(50)) + near + "".join(rng.choice("abcd ") for _ in range(40))
+        plain = fuzzy._window_ratio(short, long)
+        assert fuzzy._window_ratio(short, long, 95) == (plain if plain >= 95 else 0)
+
+
+def test_contained(spark):
+    parts = spark.createDataFrame([("a",), ("red w",), ("get",), ("gear box",), ("%",)], "part string")
+    wholes = spark.createDataFrame([(1, "red widget"), (2, "gear"), (3, "100%"), (4, ""), (5, None)], "id long, whole string")
+    got = {(r.part, r.id) for r in graph.contained(parts, "part", wholes, "whole").collect()}
+    assert got == {("a", 2), ("red w", 1), ("get", 1), ("%", 3)}
+
+
+def test_layered_scores(spark):
+    rows = [(1, "d", "x", 7, 0.5, 1), (1, "d", "y", 7, 9.0, 2), (1, "s", "x", 8, 0.25, 1)]
+    got = {(r.level, r.id): r.score for r in retrieval.layered_scores(spark.createDataFrame(rows, "query_id long, level string, source string, id long, score double, rank int")).collect()}
+    assert got[("d", 7)] == pytest.approx(1 / 61 + 1 / 62) and got[("s", 8)] == 0.25
