@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import cut, small_batches, text_or_empty
+from .common import cut, least_hashed, small_batches, text_or_empty
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
@@ -201,10 +201,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     taught = labels.toDF("_id", "_good").filter("_id is not null and _good is not null").groupBy("_id").agg(F.min("_good").cast("int").alias("_good"))
     # only labelled rows move: past the sample's bound a label can still be the only one whose document is here, so all take part
     chosen = cut(taught, "taught")
-    rows = (
-        stats.withColumnRenamed(id_col, "_id").join(chosen, "_id").groupBy("_id").agg(F.max("_good").alias("_good"), F.min(F.struct(*STATS)).alias("_s"))
-        .orderBy(F.xxhash64("_id"), "_id").limit(max_labelled).select("_good", "_s.*").collect()
-    )  # fmt: skip  max_labelled rows of numbers; of rows with one id the least
+    known = stats.withColumnRenamed(id_col, "_id").join(chosen, "_id").groupBy("_id").agg(F.max("_good").alias("_good"), F.min(F.struct(*STATS)).alias("_s"))
+    rows = least_hashed(cut(known, "labelled"), "_id", max_labelled).select("_good", "_s.*").collect()  # max_labelled rows of numbers; of rows with one id the least
     a = np.array(rows, np.int64).reshape(-1, 1 + len(STATS))
     rules = learn({k: a[:, i + 1] for i, k in enumerate(STATS)}, a[:, 0], **learning)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strataq.llm import bpe, classifier, exact_dedup, line_dedup, ngram_join, oracles, packing, queries, rules, suffix_dedup, url_filter, warc
 from strataq.llm import bytesops as B
+from strataq.llm import common
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Nulls, empties, white space alone, repeated rows, an id that comes twice, odd characters, one very long word.
@@ -473,6 +474,21 @@ def test_words_and_slices():
         assert [(int(d), bytes(buf[s:e]).decode()) for s, e, d in zip(start, end, doc)] == [(0, "a"), (0, "b"), (3, "c"), (4, "d"), (4, "e")]
 
 
+@pytest.mark.parametrize("most", [0, 1, 7, 500, 4_999, 5_000, 6_000])
+def test_least_hashed_is_the_head_of_the_whole_order(spark, most):
+    rows = spark.range(0, 5_000, 1, 40).withColumn("x", F.col("id") * 2)
+    want = rows.orderBy(F.xxhash64("id"), "id").limit(most).collect()
+    assert common.least_hashed(rows, "id", most).collect() == want
+    assert common.least_hashed(rows.limit(0), "id", most).collect() == []
+
+
+def test_least_hashed_cuts_out_a_range_first(spark):
+    rows = spark.range(0, 200_000, 1, 64)
+    plan = common.least_hashed(rows, "id", 100)._jdf.queryExecution().optimizedPlan().toString()
+    (bound,) = re.findall(r"Filter \(xxhash64\(id#\d+L, 42\) <= (-\d+)\)", plan)
+    assert 100 <= rows.filter(F.xxhash64("id") <= int(bound)).count() <= 300
+
+
 def test_every_operator_has_a_query():
     names = queries.queries()
     assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in names}) == list(range(1, 11))
