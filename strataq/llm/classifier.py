@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import cut, small_batches, text_or_empty, unused
+from .common import cut, least_hashed, small_batches, text_or_empty, unused
 
 U = np.uint64
 #: Partitions of the fitting sample, each with one array of context sums.
@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     small_batches(spark)
     wanted = labels.toDF("_id", "_y").filter("_id is not null and _y is not null").groupBy("_id").agg(F.max("_y").cast("int").alias("_y"))
-    chosen = cut(docs.select(F.col(id_col).alias("_id")).distinct().join(wanted, "_id").orderBy(F.xxhash64("_id"), "_id").limit(max_labelled), "labelled")
+    known = cut(docs.select(F.col(id_col).alias("_id")).distinct().join(wanted, "_id"), "known")
+    chosen = cut(least_hashed(known, "_id", max_labelled), "labelled")
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most max_labelled rows of two numbers
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
