@@ -1,7 +1,8 @@
 """A Bloom filter as Spark bitmaps: built and tested by DataFrame functions.
 
-Bits live in 4 KB bitmaps, one per bucket of slots, broadcast under a fixed
-bound of max_bits / 8 bytes.  A key that was put in always tests true.
+Bits live in 4 KB bitmaps, one per bucket of slots, broadcast as arrays of 512
+longs under a fixed bound of max_bits / 8 bytes: a test reads one long where it
+lies, no bitmap is copied per row.  A key that was put in always tests true.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ def bitmaps(slot_rows: DataFrame, slot: str) -> DataFrame:
 def test(rows: DataFrame, key: Column, maps: DataFrame, k: int, bits: int) -> DataFrame:
     """rows plus boolean `_maybe`: all k slots of the key are set."""
     out, maybe = rows, F.lit(True)
+    longs = F.expr(f"transform(sequence(0, {BUCKET_BITS // 64 - 1}), i -> cast(conv(hex(substring(_bitmap, 8 * i + 1, 8)), 16, -10) as long))")  # big-endian
     for i, slot in enumerate(slots(key, k, bits)):
-        one = F.broadcast(maps.select(F.col("_bucket").alias(f"_b{i}"), F.col("_bitmap").alias(f"_m{i}")))  # bits / 8 bytes
+        one = F.broadcast(maps.select(F.col("_bucket").alias(f"_b{i}"), longs.alias(f"_m{i}")))  # bits / 8 bytes
         out = out.withColumn(f"_s{i}", slot).withColumn(f"_b{i}", F.expr(f"_s{i} div {BUCKET_BITS}")).join(one, f"_b{i}", "left")
-        byte = F.conv(F.hex(F.substring(F.col(f"_m{i}"), F.expr(f"cast(pmod(_s{i}, {BUCKET_BITS}) div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("long")
-        maybe = maybe & (F.coalesce(F.getbit(byte, F.expr(f"cast(pmod(_s{i}, 8) as int)")).cast("int"), F.lit(0)) == 1)
+        held = F.get(f"_m{i}", F.expr(f"cast(pmod(_s{i}, {BUCKET_BITS}) div 64 as int)"))
+        place = F.expr(f"cast((7 - pmod(_s{i} div 8, 8)) * 8 + pmod(_s{i}, 8) as int)")  # bits of a byte from its least
+        maybe = maybe & (F.coalesce(F.getbit(held, place).cast("int"), F.lit(0)) == 1)
     return out.withColumn("_maybe", maybe).drop(*(f"_{c}{i}" for i in range(k) for c in "sbm"))
 
 

@@ -397,7 +397,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 4, den: int =
     heavy = entries.filter(f"{den} * _size >= {num * bound}")  # also light sets that can link with heavy ones
     listed = heavy.select(F.explode("_lists").alias("_t"), "_c")
     shared = cut(listed.groupBy("_t").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).filter("_lo <> _hi").select("_t"), "shared")
-    met = cut(listed.join(shared, "_t").groupBy("_t", "_c").agg(F.lit(1).alias("_one")).select("_t", "_c"), "met")
+    perhaps = maybe_in(listed, F.col("_t"), shared, k=1).filter("_maybe").select("_t", "_c")  # entries of lists of one, most of all, do not move again
+    met = cut(perhaps.join(shared, "_t").groupBy("_t", "_c").agg(F.lit(1).alias("_one")).select("_t", "_c"), "met")
     classes = heavy.groupBy("_c").agg(F.first("_size").alias("_size"), F.min(F.struct("_id", "_h")).alias("_of"))
     enough = met.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).join(classes, "_c").filter(F.col("_n") >= _need(limit, "_size"))
     enough = cut(enough.select("_c", "_size", "_of"), "enough")
