@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, exact_dedup, line_dedup, ngram_join, packing, rules, suffix_dedup, url_filter, warc
+from . import alignment, bpe, classifier, exact_dedup, line_dedup, ngram_join, packing, rules, suffix_dedup, url_filter, warc
 from .common import read_table
 
 #: (verdict, host, path prefix)
@@ -21,6 +21,8 @@ URL_RULES = (
 )
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+ENGLISH_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -80,5 +82,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer=WORD_BPE)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path_a=ENGLISH_BPE, path_b=PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
