@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, classifier, exact_dedup, line_dedup, ngram_join, packing, rules, suffix_dedup, url_filter, warc
+from . import alignment, bpe, classifier, exact_dedup, line_dedup, ngram_join, order_minhash, packing, rules, suffix_dedup, url_filter, warc
 from .common import read_table
 
 #: (verdict, host, path prefix)
@@ -86,5 +86,9 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.alignment_digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path_a=ENGLISH_BPE, path_b=PIECES)
 
 
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_likeness(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
