@@ -13,6 +13,8 @@ ids that can ever be linked follow from the two vocabularies alone (a third of a
 million for the files used here), whatever the corpus: a link is a number in that
 table, corpus-wide counts are an array of its size, and that array is what tasks get
 by broadcast.  Texts are tokenized once; the second pass reads the written links.
+Each distinct stretch between spaces goes to the libraries once per worker, as both
+cut there whatever stands around it.
 
 Defined results: texts that are null or empty, or whose bytes either tokenizer does
 not give back, have no tokens: counts of 0, no groups, and '' for the digest.  Texts
@@ -86,6 +88,14 @@ def _suffix_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array(sorted(keys), np.int64)
 
 
+def _replaced(ids: np.ndarray, n: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids with those of text k replaced by own."""
+    at = int(n[:k].sum())
+    out = n.copy()
+    out[k] = own.size
+    return np.concatenate([ids[:at], own, ids[at + n[k] :]]), out
+
+
 @dataclass
 class Aligned:
     """Tokens of a run of texts and how they meet; texts without tokens have none on either side."""
@@ -101,7 +111,18 @@ class Aligned:
     n_groups: np.ndarray  # of each text
 
 
-class Aligner:
+class Segments:
+    """Tokens of both libraries for stretches that neither tokenizes across, each distinct stretch once.
+
+    A stretch begins at a text's own space, and at a space after anything but a space and before a character that
+    is surely not white space.  There A's pattern starts a match, and no piece of B has a space after another character.
+    """
+
+    #: Stretches and bytes of them that a worker keeps.
+    KEPT, KEPT_BYTES = 400_000, 16 << 20
+    #: What may follow the space: ASCII signs, and first bytes of characters of which none is white space.
+    FOLLOWS = np.array([0x21 <= b <= 0x7E or 0xC3 <= b <= 0xDF or 0xE4 <= b <= 0xF4 for b in range(256)])
+
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
         import tokenizers
@@ -109,38 +130,111 @@ class Aligner:
         self.a = tokenizers.Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.spell = spellings(path_a, path_b)
+        self.reset()
+
+    def reset(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.weight = 0
+        self.tokens = [np.empty(1 << 16, np.int32) for _ in "ab"]
+        self.start, self.size = (np.empty((2, 1 << 12), np.int64) for _ in "ss")
+        self.used = [0, 0]
+
+    def library(self, spaced: list[str]) -> list[list[np.ndarray]]:
+        """Both libraries' ids of texts that begin with their space."""
+        a, b = self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode([t[1:] for t in spaced], num_threads=1)
+        return [[np.array(e.ids, np.int32) for e in a], [np.array(x, np.int32) for x in b]]
+
+    def _in_lines(self, words: list[bytes], line: int = 250) -> Iterator[tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]]:
+        """Stretches and, for A and B, their ids with the number of each one's: many stretches go to the libraries as one text, where both cut between them."""
+        joined = [w for w in words if len(w) > 1 and self.FOLLOWS[w[1]] and w[-1] > 0x20]
+        rest = list(set(words).difference(joined))
+        for group in [joined[i : i + line] for i in range(0, len(joined), line)] + [[w] for w in rest]:
+            stop = np.cumsum([len(w) for w in group])
+            got = [x[0] for x in self.library([b"".join(group).decode(errors="replace")])]
+            ends = [np.cumsum(spelling.size[ids]) for spelling, ids in zip(self.spell, got)]
+            at = [np.searchsorted(e, stop) for e in ends]
+            if len(group) == 1:
+                yield group, [(ids, np.array([ids.size])) for ids in got]
+            elif all(e.size and e[-1] == stop[-1] and np.array_equal(e[i], stop) for e, i in zip(ends, at)):
+                yield group, [(ids, np.diff(i + 1, prepend=0)) for ids, i in zip(got, at)]
+            else:
+                for w in group:
+                    yield [w], [(x[0], np.array([x[0].size])) for x in self.library([w.decode(errors="replace")])]
+
+    def learn(self, words: list[bytes]) -> None:
+        for part, got in self._in_lines(words):
+            code = len(self.known)
+            while code + len(part) > self.start.shape[1]:
+                self.start, self.size = (np.concatenate([x, np.empty_like(x)], 1) for x in (self.start, self.size))
+            for side, (ids, size) in enumerate(got):
+                while self.used[side] + ids.size > self.tokens[side].size:
+                    self.tokens[side] = np.concatenate([self.tokens[side], np.empty_like(self.tokens[side])])
+                self.tokens[side][self.used[side] : self.used[side] + ids.size] = ids
+                self.start[side, code : code + len(part)] = self.used[side] + np.cumsum(size) - size
+                self.size[side, code : code + len(part)] = size
+                self.used[side] += ids.size
+            self.known.update(zip(part, range(code, code + len(part))))
+            self.weight += sum(map(len, part))
+
+    def of(self, buf: np.ndarray, bound: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B: ids of the texts [bound[i], bound[i + 1]) of a flat buffer, and how many each text has."""
+        inner = np.flatnonzero((buf[1:-1] == 0x20) & (buf[:-2] != 0x20) & self.FOLLOWS[buf[2:]]) + 1
+        start = np.union1d(inner, bound[:-1][np.diff(bound) > 0])
+        end = np.append(start[1:], buf.size)
+        _, first, which = np.unique(B.Prefix(buf).of(start, end), return_index=True, return_inverse=True)
+        data = buf.tobytes()
+        words = [data[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())]
+        new = list({w for w in words if w not in self.known})
+        if new:
+            if self.known and (len(self.known) + len(new) > self.KEPT or self.weight + sum(map(len, new)) > self.KEPT_BYTES):
+                self.reset()
+                new = list(set(words))
+            self.learn(new)
+        code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[which]
+        doc = np.searchsorted(bound, start, "right") - 1
+        out = []
+        for side in (0, 1):
+            size = self.size[side, code]
+            out.append((self.tokens[side][_ranges(self.start[side, code], size)], np.bincount(doc, size, bound.size - 1).astype(np.int64)))
+        return out
+
+
+class Aligner:
+    def __init__(self, path_a: str, path_b: str):
+        self.segments = Segments(path_a, path_b)
         self.spell_a, self.spell_b = spellings(path_a, path_b)
         self.pairs = _suffix_pairs(self.spell_a.words, self.spell_b.words)
         self.digits = _ragged([str(i).encode() for i in range(max(self.spell_a.size.size, self.spell_b.size.size))])
 
-    def tokens(self, texts: list[str]) -> tuple[list, list]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return a, self.b.encode(texts, num_threads=1)
-
     def align(self, buf: np.ndarray, offs: np.ndarray) -> Aligned:
         """Align the texts of a flat UTF-8 buffer."""
-        data = buf.tobytes()
-        texts = [data[i:j].decode(errors="replace") for i, j in zip(offs[:-1].tolist(), offs[1:].tolist())]
-        sides, good = [], np.diff(offs) > 0
-        spaced = np.insert(buf, offs[:-1][good], 0x20)  # a space before each text that is not empty
-        bound = np.concatenate([[0], np.cumsum(np.diff(offs) + good)])
-        for spelling, lists in zip((self.spell_a, self.spell_b), self.tokens(texts)):
-            n = np.array([len(x) for x in lists], np.int64)
-            ids = np.fromiter((i for x in lists for i in x), np.int64, int(n.sum()))
-            sides.append((spelling, ids, n))
-        for spelling, ids, n in sides:
-            spelt = spelling.bytes_of(ids)
-            doc = np.repeat(np.arange(n.size), n)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, spelling.size[ids], n.size).astype(np.int64))])
-            same = np.diff(ends) == np.diff(bound)
-            good &= same
-            for k in np.flatnonzero(good):
-                good[k] = np.array_equal(spelt[ends[k] : ends[k + 1]], spaced[bound[k] : bound[k + 1]])
-        kept = []
-        for _, ids, n in sides:
-            kept.append((ids[np.repeat(good, n)], np.where(good, n, 0)))
-        (ids_a, n_a), (ids_b, n_b) = kept
-        return self._owners(ids_a, ids_b, n_a, n_b)
+        full = np.diff(offs) > 0
+        spaced = np.insert(buf, offs[:-1][full], 0x20)  # a space before each text that is not empty
+        bound = np.concatenate([[0], np.cumsum(np.diff(offs) + full)])
+        (ids_a, n_a), (ids_b, n_b) = self.segments.of(spaced, bound)
+        good = full & self._spelt(self.spell_a, ids_a, n_a, spaced, bound) & self._spelt(self.spell_b, ids_b, n_b, spaced, bound)
+        if (full & ~good).any():
+            # the libraries have the last word on texts that do not come back from stretches
+            for k in np.flatnonzero(full & ~good).tolist():
+                text = spaced[bound[k] : bound[k + 1]]
+                whole = [x[0] for x in self.segments.library([text.tobytes().decode(errors="replace")])]
+                good[k] = all(np.array_equal(s.bytes_of(x), text) for s, x in zip((self.spell_a, self.spell_b), whole))
+                if good[k]:
+                    (ids_a, n_a), (ids_b, n_b) = (_replaced(ids, n, k, x) for (ids, n), x in zip(((ids_a, n_a), (ids_b, n_b)), whole))
+            ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
+            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+        return self._owners(ids_a.astype(np.int64), ids_b.astype(np.int64), n_a, n_b)
+
+    @staticmethod
+    def _spelt(spelling: Spelling, ids: np.ndarray, n: np.ndarray, want: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Whether each text's ids spell it."""
+        ends = np.concatenate([[0], np.cumsum(spelling.size[ids])])[np.concatenate([[0], np.cumsum(n)])]
+        got = spelling.bytes_of(ids)
+        if np.array_equal(ends, bound):
+            wrong = np.concatenate([[0], np.cumsum(got != want)])
+            return np.diff(wrong[bound]) == 0
+        return np.array([np.array_equal(got[i:j], want[s:t]) for i, j, s, t in zip(ends[:-1], ends[1:], bound[:-1], bound[1:])], bool)
 
     def _owners(self, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Aligned:
         size_a, size_b = self.spell_a.size[ids_a], self.spell_b.size[ids_b]
@@ -150,10 +244,9 @@ class Aligner:
         run = np.flatnonzero(np.concatenate([step_a | step_b, np.ones(min(1, owner_a.size), bool)]))  # last byte of each overlap
         last = np.flatnonzero(np.concatenate([step_a & step_b, np.ones(min(1, owner_a.size), bool)]))  # last byte of each group
         links = np.stack([owner_a[last], owner_b[last]], 1)
-        group_a = np.searchsorted(links[:, 0], np.arange(ids_a.size))
-        group_b = np.searchsorted(links[:, 1], np.arange(ids_b.size))
-        # texts meet at cuts too, so a group lies in one text: that of its last token
-        n_groups = np.bincount(np.searchsorted(np.cumsum(n_a), links[:, 0], "right"), minlength=n_a.size)[: n_a.size]
+        group_a, group_b = (np.repeat(np.arange(last.size), np.diff(links[:, side], prepend=-1)) for side in (0, 1))
+        # texts meet at cuts too, so a text's groups end with that of its last token
+        n_groups = np.diff(np.concatenate([[0], group_a + 1])[np.cumsum(n_a)], prepend=0)
         return Aligned(ids_a, ids_b, n_a, n_b, np.stack([owner_a[run], owner_b[run]], 1), group_a, group_b, links, n_groups)
 
     def pair_numbers(self, got: Aligned) -> np.ndarray:
