@@ -57,5 +57,27 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 FROM f JOIN up USING (host)"""
 
 
+#: crc32 of a string of digits: table-free, eight steps a byte.
+_CRC = """xor(list_reduce(list_transform(list_concat([''], string_split(cast(c AS VARCHAR), '')), lambda x: CASE WHEN x = '' THEN 4294967295 ELSE ascii(x) END),
+  lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)"""
+
+_OP13 = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS d FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT c, c - c % 20 AS b, {_CRC} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT v.c, 0 AS part, d, role, text FROM v JOIN t ON t.c = v.b AND d <= h UNION ALL SELECT c, 1, d, role, text FROM v JOIN t USING (c) WHERE d > h),
+s AS (SELECT c, list(md5(role || chr(31) || text) ORDER BY part, d) AS path, list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY part, d) AS w FROM r GROUP BY c),
+a AS (SELECT c, coalesce(path, []) AS path, coalesce(w, []) AS w FROM v LEFT JOIN s USING (c)),
+p AS (SELECT c, unnest(range(len(path) + 1)) AS depth, path, w FROM a),
+m AS (SELECT depth, array_to_string(path[1:depth], '/') AS node, array_to_string(path[1:depth - 1], '/') AS up, CASE WHEN depth > 0 THEN w[depth] ELSE 0 END AS words, c, depth = len(path) AS ends, path FROM p),
+n AS (SELECT node, depth, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words, any_value(path[1:depth]) AS path,
+             sha256(coalesce(string_agg(cast(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY node, depth),
+k AS (SELECT up AS node, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+l AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node, depth)),
+x AS (SELECT unnest(range(depth + 1)) AS top, path, n_children, (n_convs - 1) * words AS saved FROM l),
+y AS (SELECT top AS depth, array_to_string(path[1:top], '/') AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM x GROUP BY ALL)
+SELECT l.conv_id, l.depth, q.conv_id AS parent_conv_id, l.n_convs, l.n_children, n_leaves, saved_tokens, l.ends_sha256
+FROM l JOIN y USING (node, depth) LEFT JOIN n AS q ON l.depth > 0 AND q.depth = l.depth - 1 AND q.node = l.up"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_reputation": _OP1, "op3_exact_dedup": _OP3, "op6_line_dedup": _OP6}
+    return {"op1_url_reputation": _OP1, "op3_exact_dedup": _OP3, "op6_line_dedup": _OP6, "op13_prefix_trie": _OP13}

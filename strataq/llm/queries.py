@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, classifier, exact_dedup, line_dedup, ngram_join, order_minhash, packing, rules, suffix_dedup, url_filter, warc
+from . import alignment, bpe, classifier, exact_dedup, line_dedup, ngram_join, order_minhash, packing, prefix_trie, rules, suffix_dedup, url_filter, warc
 from .common import read_table
 
 #: (verdict, host, path prefix)
@@ -90,5 +90,10 @@ def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_likeness(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.coded_turns(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.prefix_trie(*prefix_trie.share_heads(turns)).drop("preorder", "subtree_end")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
