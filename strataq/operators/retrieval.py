@@ -5,13 +5,18 @@ Every function takes a batch of questions under query_id, so one job serves all.
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy
-from ..functions import vector as V
+from ..sources import store
 from . import ranking
 
 #: A side at most so large is broadcast; a query batch is far below.
@@ -27,27 +32,72 @@ def small(df: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank: exact cosine top k.  queries: query_id, qv; vectors: id, v.
 
-    Every partition of the corpus keeps k per query before anything moves.
+    Each task holds the query batch as one matrix and the best k per query as it reads its share of the corpus, so
+    only k rows per query and task move.  A batch past the broadcast bound is searched in pieces of that size.  Null
+    and zero vectors, and those of another length, match nothing; scores are rounded to 9 places, ties go by id.
     """
-    scored = vectors.filter("v is not null").crossJoin(small(queries)).select("query_id", "id", F.round(V.cosine(F.col("qv"), F.col("v")), 9).alias("score"))
-    scored = scored.filter("score is not null")
-    local = Window.partitionBy("_p", "query_id").orderBy(F.desc("score"), "id")
-    first = scored.withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= k).drop("_p", "_r")
-    return ranking.rank(first, ["query_id"], k)
+    asked = queries.filter("qv is not null").select("query_id", "qv")
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("qv"))).first()
+    pieces = max(1, -(-n * (8 * (width or 0) + 64) // BROADCAST_BYTES))
+    usable = vectors.filter(F.size("v") == F.lit(width or 0)).select("id", F.col("v").cast("array<double>").alias("v"))
+    dealt = [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == p) if pieces > 1 else asked for p in range(pieces)]
+    found = reduce(DataFrame.unionAll, (_best_of_each_task(part.toArrow(), usable, k) for part in dealt))
+    return ranking.rank(found, ["query_id"], k)
+
+
+def _best_of_each_task(batch: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score: of every task's vectors the k nearest to each query of the batch."""
+    width = len(batch.column("qv")[0]) if batch.num_rows else 0
+    asked = np.array(batch.column("qv").to_pylist(), float).reshape(batch.num_rows, width)
+    asked = asked[:0] if not width else asked / np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
+    empty = ~asked.any(axis=1)
+    shared = vectors.sparkSession.sparkContext.broadcast((asked, empty, batch.column("query_id").combine_chunks()))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, empty, names = shared.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * len(asked)
+        least = np.full(len(asked), -np.inf)
+        kind = None
+        for rows in batches:
+            ids, kind = rows.column(0).to_numpy(zero_copy_only=False), rows.column(0).type
+            flat = rows.column(1).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+            size = np.linalg.norm(flat, axis=1)
+            score = np.round(asked @ (flat / np.maximum(size, 1e-300)[:, None]).T, 9)
+            score[:, size == 0] = score[empty] = -np.inf
+            for q in np.flatnonzero((score.max(axis=1, initial=-np.inf) >= least) & ~empty):
+                new = np.flatnonzero((score[q] >= least[q]) & (score[q] > -np.inf))
+                s, i = np.concatenate([best[q][0], score[q, new]]), np.concatenate([best[q][1], ids[new]])
+                order = np.lexsort((i, -s))[:k]
+                best[q] = s[order], i[order]
+                least[q] = s[order[-1]] if order.size == k else -np.inf
+        count = [s.size for s, _ in best]
+        if sum(count):
+            which = pa.array(np.repeat(np.arange(len(count)), count))
+            yield pa.RecordBatch.from_arrays([names.take(which), pa.array(np.concatenate([i for _, i in best]).tolist(), kind), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "id", "score"])
+
+    kinds = {pa.string(): "string", pa.int32(): "int"}
+    return vectors.mapInArrow(keep, f"query_id {kinds.get(batch.schema.field('query_id').type, 'long')}, id {vectors.schema['id'].dataType.simpleString()}, score double")
 
 
 def matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """queries' columns, id, words of chunks that hold all of a query's tokens w.  chunks: id, words (array).
 
-    The batch's tokens go to the rows as one small row, so a chunk finds its queries
-    where it lies: no posting moves.
+    A query is looked up under its rarest token alone: the batch's tokens are counted in the corpus first, then a
+    chunk's distinct tokens meet the queries under them in a hash join, and what is met is held against all tokens.
     """
     key = queries.withColumn("_q", F.xxhash64(*queries.columns))
-    tokens = key.select("_q", F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.collect_list("_q").alias("qs"))
-    batch = tokens.agg(F.map_from_entries(F.collect_list(F.struct("t", "qs"))).alias("_batch"))  # one row of the stated batch
-    met = chunks.crossJoin(F.broadcast(batch)).select("id", "words", F.flatten(F.transform(F.array_intersect("words", F.map_keys("_batch")), lambda t: F.element_at("_batch", t))).alias("_qs"))
-    each = met.select("id", "words", F.explode(F.array_distinct("_qs")).alias("_q"))
-    return each.join(small(key), "_q").drop("_q").filter(F.size(F.array_except("w", "words")) == 0)
+    each = store.kept(key.select("_q", F.explode(F.array_distinct("w")).alias("_t")), "query-tokens")
+    token = F.explode(F.array_distinct("words")).alias("_t")
+    counted = chunks.select(token).join(small(each.select("_t").distinct()), "_t").groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = each.join(counted, "_t", "left").groupBy("_q").agg(F.min_by("_t", F.struct(F.coalesce("_n", F.lit(0)), "_t")).alias("_t"))
+    asked = store.kept(key.join(rarest, "_q").drop("_q"), "queries-by-token")
+    met = chunks.select("id", "words", token).join(small(asked), "_t")
+    return met.filter(F.size(F.array_except("w", "words")) == 0).drop("_t")
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def cover_density(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -56,17 +106,19 @@ def cover_density(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     queries: query_id, w (array of distinct tokens); chunks: id, words.  The score is the sum over
     minimal covers of 1 / (1 + end - start - (n - 1)), with n tokens, folded inside the row.
     """
-    hits = F.filter(F.transform("words", lambda x, i: F.struct((i + 1).alias("pos"), (F.array_position(F.col("w"), x) - 1).cast("int").alias("k"))), lambda h: h["k"] >= 0)
-    whole = matches(queries.select("query_id", "w"), chunks).select("query_id", "id", F.size("w").alias("n"), hits.alias("hits"))
+    place = F.transform("words", lambda x, i: F.struct((i + 1).alias("pos"), (F.array_position(F.col("w"), x) - 1).cast("int").alias("k")))
+    whole = matches(queries.select("query_id", "w"), chunks).select("query_id", "id", F.size("w").alias("n"), F.filter(place, lambda h: h["k"] >= 0).alias("hits"))
     # walk one chunk's hits: the last place of each token, and the shortest end per cover start
     init = F.struct(F.array_repeat(F.lit(-1), F.col("n")).alias("last"), F.lit(-1).alias("start"), F.lit(0.0).alias("sum"))
 
     def step(acc: Column, hit: Column) -> Column:
-        last = F.transform(acc["last"], lambda p, i: F.when(i == hit["k"], hit["pos"]).otherwise(p))
-        start = F.array_min(last)
-        new = (start >= 0) & (start > acc["start"])
-        gain = F.when(new, 1 / (1 + hit["pos"] - start - (F.size(last) - 1)).cast("double")).otherwise(0.0)
-        return F.struct(last.alias("last"), F.when(new, start).otherwise(acc["start"]).alias("start"), (acc["sum"] + gain).alias("sum"))
+        def moved(last: Column, start: Column) -> Column:
+            new = (start >= 0) & (start > acc["start"])
+            gain = F.when(new, 1 / (1 + hit["pos"] - start - (F.size(last) - 1)).cast("double")).otherwise(0.0)
+            return F.struct(last.alias("last"), F.when(new, start).otherwise(acc["start"]).alias("start"), (acc["sum"] + gain).alias("sum"))
+
+        now = F.transform(acc["last"], lambda p, i: F.when(i == hit["k"], hit["pos"]).otherwise(p))
+        return _bound(now, lambda last: _bound(F.array_min(last), lambda start: moved(last, start)))
 
     return whole.select("query_id", "id", F.round(F.aggregate("hits", init, step, lambda a: a["sum"]), 9).alias("score"))
 
@@ -79,9 +131,20 @@ def phrases(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return held.groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
 
 
-def hybrid(channels: dict[str, DataFrame], k: int) -> DataFrame:
-    """query_id, id, score, rank: reciprocal rank fusion of ranked channels; absent channels are left out."""
-    tagged = [df.select("query_id", "id", "rank") for df in channels.values()]
+def hybrid(channels: dict[str, Callable[[], DataFrame]], k: int) -> DataFrame:
+    """query_id, id, score, rank: reciprocal rank fusion of ranked channels (query_id, id, rank).
+
+    A channel that cannot be built, as a table or column it needs is absent, drops out, as does one without rows
+    (no vectors): the others are fused without it.  An id that a channel ranks twice counts with both ranks.
+    """
+    tagged = []
+    for name, channel in channels.items():
+        try:
+            tagged.append(channel().select("query_id", "id", "rank"))
+        except AnalysisException as absent:
+            logging.getLogger(__name__).warning("channel %s left out: %s", name, str(absent).splitlines()[0])
+    if not tagged:
+        raise ValueError("no channel is available")
     return ranking.rank(ranking.fuse(reduce(DataFrame.unionAll, tagged)), ["query_id"], k)
 
 
@@ -118,15 +181,42 @@ def anchored(facts: DataFrame, propositions: DataFrame) -> DataFrame:
     return met.groupBy("fact_id").agg(F.min(F.struct("tier", "prop_id")).alias("_b")).select("fact_id", "_b.prop_id", "_b.tier")
 
 
-def expanded(terms: DataFrame, statements: DataFrame, visited: DataFrame, most: int = 5) -> DataFrame:
-    """query_id, prop_id: of each term the first statements with it, outside the chunks already visited.
+def expanded(queries: DataFrame, edges: DataFrame, names: DataFrame, statements: DataFrame, visited: DataFrame, *, rounds: int = 2, last: int = 10, most: int = 5) -> DataFrame:
+    """query_id, prop_id, round: statements that an expansion finds, with the round that met them first.
+
+    queries: query_id, id (its entity; null for none), tokens (array); edges: a, b; names: id, token; statements:
+    prop_id, chunk_id, tokens (array); visited: query_id, chunk_id.
 
-    terms: query_id, token; statements: prop_id, chunk_id, tokens (array); visited: query_id, chunk_id.
+    A round asks for terms that were not asked before: the query's own tokens in the first one, and the names of the
+    last `last` neighbours (by id) of the frontier.  Each term gives its first `most` statements outside the chunks
+    visited and the statements found.  The neighbours, less those met before, are the next frontier.  A query whose
+    round finds nothing goes no further, and the loop ends when no query is left or after `rounds` rounds.
     """
-    hits = statements.select("prop_id", "chunk_id", F.explode(F.array_distinct("tokens")).alias("token")).join(small(terms.distinct()), "token").select("query_id", "token", "prop_id", "chunk_id")
-    w = Window.partitionBy("query_id", "token").orderBy("prop_id")
-    open_ = hits.join(visited.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
-    return open_.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).select("query_id", "prop_id").distinct()
+    hits_of = statements.select("prop_id", "chunk_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    seen_chunks = visited.select("query_id", "chunk_id").distinct()
+    frontier = met = store.kept(queries.filter("id is not null").select("query_id", "id").distinct(), "frontier")
+    terms = queries.select("query_id", F.explode("tokens").alias("token"))
+    asked = found = None
+    for k in range(1, rounds + 1):
+        w = Window.partitionBy("query_id").orderBy(F.desc("id"))
+        step = frontier.join(edges, F.col("id") == F.col("a")).select("query_id", F.col("b").alias("id")).distinct().join(met, ["query_id", "id"], "left_anti")
+        step = store.kept(step.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= last).drop("_r"), "frontier")
+        terms = terms.unionByName(step.join(names, "id").select("query_id", "token")).distinct()
+        terms = store.kept(terms if asked is None else terms.join(asked, ["query_id", "token"], "left_anti"), "terms")
+        hits = hits_of.join(small(terms), "token").select("query_id", "token", "prop_id", "chunk_id").join(small(seen_chunks), ["query_id", "chunk_id"], "left_anti")
+        if found is not None:
+            hits = hits.join(found, ["query_id", "prop_id"], "left_anti")
+        first = Window.partitionBy("query_id", "token").orderBy("prop_id")
+        new = hits.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most).select("query_id", "prop_id").distinct()
+        new = store.kept(new.withColumn("round", F.lit(k)), "expansion")
+        found = new if found is None else found.unionByName(new)
+        asked = terms if asked is None else asked.unionByName(terms)
+        met = met.unionByName(step)
+        frontier = store.kept(step.join(new.select("query_id").distinct(), "query_id", "left_semi"), "frontier")
+        terms = frontier.select("query_id", F.lit(None).cast("string").alias("token")).limit(0)
+        if frontier.isEmpty():
+            break
+    return found
 
 
 def grounded(facts: DataFrame, propositions: DataFrame, chunks: DataFrame, least: float = 95.0) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions import vector as V
 from ..operators import graph, ranking, retrieval
 from .registry import query
 
@@ -79,18 +78,29 @@ def r04(v):
     return _lexical(v, rows=v.paraphrase).select("query_id", "id", "rank")
 
 
-@query("r05_proposition_search", "WITH " + _knn_sql(12) + " SELECT query_id, id // 3 * 100000 + 1 AS chunk, rank FROM dense")
+def _proposition_sql(k: int, where: str = "") -> str:
+    return f"""prop_all AS (SELECT query_id, prop_id, chunk_id, round(list_cosine_similarity(qv, v), 9) AS score FROM v_query_vec, v_proposition_vec WHERE list_sum(v) > 0 AND list_sum(qv) > 0{where}),
+  prop AS (SELECT query_id, chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prop_id) AS rank FROM prop_all QUALIFY rank <= {k})"""
+
+
+def _propositions(v, k, docs=None):
+    """The k nearest propositions, as their chunks: a chunk with two of them stands twice, with both ranks."""
+    rows = v.proposition_vec if docs is None else v.proposition_vec.join(docs, "doc_id", "left_semi")
+    hits = retrieval.nearest(v.query_vec, rows.select(F.col("prop_id").alias("id"), "v"), k)
+    return hits.select("query_id", F.expr("id div 1000").alias("id"), "rank")
+
+
+@query("r05_proposition_search", "WITH " + _proposition_sql(12) + " SELECT query_id, id AS chunk, rank FROM prop")
 def r05(v):
-    """Three vectors each stand for propositions of one chunk; a chunk met twice keeps both ranks."""
-    return _dense(v, 12).select("query_id", F.expr("id div 3 * 100000 + 1").alias("chunk"), "rank")
+    return _propositions(v, 12).withColumnRenamed("id", "chunk")
 
 
 def _hybrid_sql(only: str = "") -> str:
     """only: a condition on a document's id, pushed into every channel."""
     where = lambda c: f" AND {c} IN (SELECT doc_id FROM documents WHERE {only})" if only else ""
     rows = lambda view: f"(SELECT * FROM {view} WHERE true{where('doc_id')})"
-    return "WITH " + ", ".join((_knn_sql(20, where=_READY + where("b.vec_id")), _cover_sql(rows("v_ready_words")), _cover_sql(rows("v_paraphrase"), "par"))) + """,
-  channels AS (SELECT query_id, id * 100000 + 1 AS id, rank FROM dense UNION ALL SELECT query_id, id, rank FROM lexr UNION ALL SELECT query_id, id, rank FROM parr UNION ALL SELECT query_id, id // 3 * 100000 + 1, rank FROM dense),
+    return "WITH " + ", ".join((_knn_sql(20, where=_READY + where("b.vec_id")), _cover_sql(rows("v_ready_words")), _cover_sql(rows("v_paraphrase"), "par"), _proposition_sql(20, where("doc_id")))) + """,
+  channels AS (SELECT query_id, id * 100000 + 1 AS id, rank FROM dense UNION ALL SELECT query_id, id, rank FROM lexr UNION ALL SELECT query_id, id, rank FROM parr UNION ALL SELECT query_id, id, rank FROM prop),
   lists AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM channels GROUP BY ALL),
   fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM lists QUALIFY rank <= 20)"""
 
@@ -101,14 +111,13 @@ _HYBRID = _hybrid_sql()
 def _hybrid(v, docs=None, use=("dense", "lexical", "paraphrase", "proposition")):
     """The four channels that are switched on, fused; docs restricts each of them."""
     keep = (lambda rows: rows) if docs is None else (lambda rows: rows.join(docs, "doc_id", "left_semi"))
-    near = _dense(v, 20, docs)
     channels = {
-        "dense": lambda: near.withColumn("id", F.col("id") * 100000 + 1),  # a document's vector stands for its first chunk
+        "dense": lambda: _dense(v, 20, docs).withColumn("id", F.col("id") * 100000 + 1),  # a document's vector stands for its first chunk
         "lexical": lambda: _lexical(v, rows=keep(v.ready_words)),
         "paraphrase": lambda: _lexical(v, rows=keep(v.paraphrase)),
-        "proposition": lambda: near.withColumn("id", F.expr("id div 3 * 100000 + 1")),
+        "proposition": lambda: _propositions(v, 20, docs),
     }
-    return retrieval.hybrid({name: channels[name]() for name in use}, 20)
+    return retrieval.hybrid({name: channels[name] for name in use}, 20)
 
 
 @query("r06_hybrid_search", _HYBRID + " SELECT query_id, id, score, rank FROM fused")
@@ -252,18 +261,33 @@ def r19(v):
     return v.table("orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus").isin("O", "P")).alias("sufficient"))
 
 
-@query("r20_expansion", "WITH " + _cover_sql() + """, nb AS (SELECT src AS query_id, lower(split_part(p_name, ' ', 1)) AS token FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst DESC) AS r FROM (SELECT DISTINCT src, dst FROM v_relation WHERE src % 50 = 0) QUALIFY r <= 10) JOIN part ON p_partkey + 1000000 = dst),
-  t AS (SELECT query_id, unnest(w) AS token FROM v_query UNION SELECT query_id, token FROM nb), s AS (SELECT prop_id, chunk_id, unnest(list_distinct(regexp_extract_all(lower(statement), '[a-záéíóúüñçàèìòùâêîôû0-9]+'))) AS token FROM v_proposition),
-  h AS (SELECT query_id, token, prop_id FROM t JOIN s USING (token) WHERE NOT EXISTS (SELECT 1 FROM lexr WHERE lexr.query_id = t.query_id AND lexr.id = s.chunk_id)),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id, token ORDER BY prop_id) AS r FROM h QUALIFY r <= 5) SELECT DISTINCT query_id, prop_id FROM r""")
+def _round_sql(k: int) -> str:
+    """One round of the expansion: new frontier, new terms, new statements, and the queries that go on."""
+    before = lambda name: " UNION ALL ".join(f"SELECT * FROM {name}{j}" for j in range(1, k))
+    unasked = f" EXCEPT ({before('t')})" if k > 1 else ""
+    unfound = f" AND NOT EXISTS (SELECT 1 FROM ({before('n')}) o WHERE o.query_id = t.query_id AND o.prop_id = s.prop_id)" if k > 1 else ""
+    own = "SELECT query_id, unnest(w) AS token FROM v_query UNION " if k == 1 else ""
+    return f"""m{k} AS (SELECT DISTINCT query_id, b AS id FROM f{k - 1} JOIN adj ON f{k - 1}.id = a WHERE NOT EXISTS (SELECT 1 FROM ({" UNION ALL ".join(["SELECT * FROM f0", *(f"SELECT * FROM l{j}" for j in range(1, k))])}) o WHERE o.query_id = f{k - 1}.query_id AND o.id = b)),
+  l{k} AS (SELECT query_id, id FROM m{k} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id DESC) <= 10),
+  t{k} AS (({own}SELECT query_id, token FROM l{k} JOIN nm USING (id)){unasked}),
+  h{k} AS (SELECT t.query_id, t.token, prop_id FROM t{k} t JOIN s USING (token) WHERE NOT EXISTS (SELECT 1 FROM lexr WHERE lexr.query_id = t.query_id AND lexr.id = s.chunk_id){unfound}),
+  n{k} AS (SELECT DISTINCT query_id, prop_id FROM (SELECT * FROM h{k} QUALIFY row_number() OVER (PARTITION BY query_id, token ORDER BY prop_id) <= 5)),
+  f{k} AS (SELECT * FROM l{k} WHERE query_id IN (SELECT query_id FROM n{k}))"""
+
+
+@query("r20_expansion", "WITH " + _cover_sql() + """, adj AS (SELECT DISTINCT src AS a, dst AS b FROM v_relation UNION SELECT DISTINCT dst, src FROM v_relation),
+  nm AS (SELECT entity_id AS id, lower(split_part(name, ' ', 1)) AS token FROM v_entity), s AS MATERIALIZED (SELECT prop_id, chunk_id, unnest(list_distinct(regexp_extract_all(lower(statement), '[a-záéíóúüñçàèìòùâêîôû0-9]+'))) AS token FROM v_proposition),
+  f0 AS (SELECT query_id, s_suppkey AS id FROM v_query JOIN supplier ON s_suppkey = query_id), """ + ", ".join(_round_sql(k) for k in (1, 2, 3)) + """
+  SELECT query_id, prop_id, 1 AS round FROM n1 UNION ALL SELECT query_id, prop_id, 2 FROM n2 UNION ALL SELECT query_id, prop_id, 3 FROM n3""")
 def r20(v):
-    """The query's words and the names of its last ten graph neighbours, outside the chunks that the search has met."""
-    w = Window.partitionBy("src").orderBy(F.desc("dst"))
-    near = v.relation.filter("src % 50 = 0").select("src", "dst").distinct().withColumn("r", F.row_number().over(w)).filter("r <= 10")
-    names = v.table("part").select((F.col("p_partkey") + 1000000).alias("dst"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("token"))
-    terms = v.query.select("query_id", F.explode("w").alias("token")).union(near.join(names, "dst").select(F.col("src").alias("query_id"), "token"))
+    """Three rounds from the query's words and its entity, the supplier of the same number."""
+    seed = v.table("supplier").select(F.col("s_suppkey").cast("long").alias("id"))
+    queries = v.query.join(seed, F.col("query_id") == F.col("id"), "left").select("query_id", "id", F.col("w").alias("tokens"))
+    both = v.relation.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b")).distinct()
+    edges = both.union(both.select("b", "a")).distinct()
+    names = v.entity.select(F.col("entity_id").cast("long").alias("id"), F.lower(F.split_part("name", F.lit(" "), F.lit(1))).alias("token"))
     statements = v.proposition.select("prop_id", "chunk_id", X.words(F.col("statement"), X.QUERY_WORD).alias("tokens"))
-    return retrieval.expanded(terms, statements, _lexical(v).select("query_id", F.col("id").alias("chunk_id")))
+    return retrieval.expanded(queries, edges, names, statements, _lexical(v).select("query_id", F.col("id").alias("chunk_id")), rounds=3)
 
 
 @query("r21_documents_consulted", _CONTEXT + " SELECT query_id, doc_id, min(pos) AS pos FROM ctx JOIN v_chunk USING (chunk_id) GROUP BY ALL")

@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import graph
+from . import store
+
+
+def letters(texts: list[str]) -> list[list[float]]:
+    """The embedding hook without a model: how often a text has each letter from a to z."""
+    return [[float(t.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+
+def _letters_sql(text: str) -> str:
+    return f"list_transform(range(26), lambda i: (length({text}) - length(replace(lower({text}), chr(97 + i::INT), '')))::DOUBLE)"
+
 
 #: The same views in SQL, for the oracles.
 SQL_VIEWS = {
@@ -30,6 +42,8 @@ SQL_VIEWS = {
     "v_version": """SELECT o_custkey AS project_id, o_orderkey AS order_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, o_totalprice AS payload, o_orderdate AS created FROM orders""",
     "v_stage": """SELECT l_orderkey AS order_id, l_linenumber AS step, max(l_linestatus) AS stage, min(o_orderdate) AS entered, min(l_shipdate) AS exited, l_linenumber - 1 AS rework FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate GROUP BY l_orderkey, l_linenumber""",
     "v_telemetry": """SELECT event_id, ts, user_id AS artifact_id, CASE event_type WHEN 'view' THEN 'retention_24h' WHEN 'purchase' THEN 'conversion_30d' END AS metric, CAST(round(value * 100) AS BIGINT) AS cents FROM events""",
+    "v_proposition_vec": f"""SELECT prop_id, chunk_id, doc_id, {_letters_sql("statement")} AS v FROM v_proposition""",
+    "v_query_vec": f"""SELECT query_id, {_letters_sql("w[1] || ' ' || w[2]")} AS qv FROM v_query""",
     "v_proposition": """SELECT chunk_id * 1000 + k AS prop_id, chunk_id, doc_id, s AS statement FROM (SELECT chunk_id, doc_id, unnest(string_split(content, '. ')) AS s, generate_subscripts(string_split(content, '. '), 1) AS k FROM v_chunk) WHERE length(s) > 0""",
 }
 
@@ -43,12 +57,17 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """The table with the long texts, in as many pieces as there are cores at least."""
+        return store.spread(self.table("documents"))
+
     def literal(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
 
     @cached_property
     def document(self) -> DataFrame:
-        d, text = self.table("documents"), F.col("text")
+        d, text = self.documents, F.col("text")
         return d.select(
             F.col("doc_id").alias("id"), F.concat(F.lit("docs/"), F.col("doc_id"), F.lit(".md")).alias("doc_path"), X.content_hash(text).alias("content_hash"), X.token_estimate(text).alias("token_estimate"),
             F.when(F.col("n_chars") < 100, "failed").otherwise("ready").alias("status"), "text", "source", "lang",
@@ -56,13 +75,17 @@ class Views:
 
     @cached_property
     def line(self) -> DataFrame:
-        rows = self.table("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
+        rows = self.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
         return rows.filter(F.trim("line") != "").select("doc_id", (F.col("k") + 1).alias("line_no"), "line")
 
     @cached_property
     def chunk(self) -> DataFrame:
+        return self._chunks(self.documents)
+
+    @staticmethod
+    def _chunks(documents: DataFrame) -> DataFrame:
         lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda x: F.trim(x["line"]) != "")
-        rows = self.table("documents").select("doc_id", F.posexplode(lines).alias("chunk_index", "x"))  # numbered inside the row: no shuffle
+        rows = documents.select("doc_id", F.posexplode(lines).alias("chunk_index", "x"))  # numbered inside the row: no shuffle
         return rows.select((F.col("doc_id") * 100000 + F.col("x.line_no")).alias("chunk_id"), "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("x.line").alias("content"), F.expr("chunk_index div 10").alias("chapter_id"))
 
     @cached_property
@@ -70,14 +93,23 @@ class Views:
         """doc_id of documents that may be answered from."""
         return self.document.filter("status = 'ready'").select(F.col("id").alias("doc_id"))
 
+    @cached_property
+    def ready_chunk(self) -> DataFrame:
+        """Chunks of ready documents, by the one scan of these."""
+        return self._chunks(self.documents.filter("n_chars >= 100"))
+
     @cached_property
     def words(self) -> DataFrame:
         """A chunk's words in order, in its row."""
-        return self.chunk.select("doc_id", F.col("chunk_id").alias("id"), X.words(F.col("content"), X.QUERY_WORD).alias("words"))
+        return self._words(self.chunk)
+
+    @staticmethod
+    def _words(chunks: DataFrame) -> DataFrame:
+        return chunks.select("doc_id", F.col("chunk_id").alias("id"), X.words(F.col("content"), X.QUERY_WORD).alias("words"))
 
     @cached_property
     def ready_words(self) -> DataFrame:
-        return self.words.join(self.ready, "doc_id", "left_semi")
+        return self._words(self.ready_chunk)
 
     @cached_property
     def paraphrase(self) -> DataFrame:
@@ -138,6 +170,17 @@ class Views:
         metric = F.when(F.col("event_type") == "view", "retention_24h").when(F.col("event_type") == "purchase", "conversion_30d")
         return self.table("events").select("event_id", "ts", F.col("user_id").alias("artifact_id"), metric.alias("metric"), F.round(F.col("value") * 100).cast("long").alias("cents"))
 
+    @cached_property
+    def proposition_vec(self) -> DataFrame:
+        """prop_id, chunk_id, doc_id, v: every proposition's vector, from the embedding hook once, as a table."""
+        return store.kept(graph.embed(self.proposition, letters, "statement").drop("statement"), "proposition-vectors")
+
+    @cached_property
+    def query_vec(self) -> DataFrame:
+        """query_id, qv: the vectors of the word queries, from the same hook."""
+        asked = self.query.select("query_id", F.array_join("w", " ").alias("text"))
+        return graph.embed(asked, letters, "text").select("query_id", F.col("v").alias("qv"))
+
     @cached_property
     def proposition(self) -> DataFrame:
         rows = self.chunk.select("chunk_id", "doc_id", F.posexplode(F.split("content", r"\. ", -1)).alias("k", "statement")).filter("length(statement) > 0")
