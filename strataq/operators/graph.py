@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
 from . import ranking, retrieval
 
 
@@ -39,6 +40,78 @@ def ego(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return start.join(edges, "a").join(end, ["query_id", "b"], "left_semi").select("query_id", "a", "b", "weight")
 
 
+# snapshots
+
+
+def version_of(edges: DataFrame) -> DataFrame:
+    """version, edges: an order-free fingerprint of a snapshot (a, b, weight) and its size, one row."""
+    each = F.conv(F.substring(F.md5(F.concat_ws("|", "a", "b", "weight")), 1, 8), 16, 10).cast("long")
+    return edges.agg(F.coalesce(F.sum(each.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("version"), F.count(F.lit(1)).alias("edges"))
+
+
+def changed_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """a, b of edges that only one snapshot has, or whose weight differs."""
+    both = old.select("a", "b", "weight", F.lit(1).alias("_side")).unionByName(new.select("a", "b", "weight", F.lit(2).alias("_side")))
+    each = both.groupBy("a", "b").agg(F.max(F.when(F.col("_side") == 1, F.col("weight"))).alias("_old"), F.max(F.when(F.col("_side") == 2, F.col("weight"))).alias("_new"))
+    return each.filter(~F.col("_old").eqNullSafe(F.col("_new"))).select("a", "b")
+
+
+def invalidated(networks: DataFrame, seeds: DataFrame, changed: DataFrame) -> DataFrame:
+    """query_id of cached networks that a changed edge touches.
+
+    A network's nodes are its seeds and the ends of its edges.  Its walk leaves no node but along an edge of that node, so
+    without a changed edge at any of them it is what the new snapshot gives.
+    """
+    nodes = networks.select("query_id", F.explode(F.array("a", "b")).alias("id")).unionByName(seeds.select("query_id", "id")).distinct()
+    touched = changed.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return nodes.join(touched, "id", "left_semi").select("query_id").distinct()
+
+
+class Snapshots:
+    """Edge snapshots and the networks cut from them, as tables under one folder, by version.
+
+    A snapshot is written once per version.  Moving to a new version keeps the networks that no changed edge touches and
+    cuts the others anew; every version's tables stay as they are, so a reader of an older one is not disturbed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or store.folder(spark, "snapshots")
+
+    def _table(self, kind: str, version: str) -> str:
+        return f"{self.path}/{kind}/version={version}"
+
+    def _has(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def put(self, edges: DataFrame) -> str:
+        """Write a snapshot if its version is new; the version."""
+        edges = store.kept(edges.select("a", "b", "weight"), "snapshot")
+        version = version_of(edges).first().version
+        if not self._has(self._table("edges", version)):
+            edges.write.mode("overwrite").parquet(self._table("edges", version))
+        return version
+
+    def edges(self, version: str) -> DataFrame:
+        return self.spark.read.parquet(self._table("edges", version))
+
+    def networks(self, version: str, seeds: DataFrame, hops: int = 2, before: str | None = None) -> DataFrame:
+        """The seeds' networks at a version: read where they are kept, else cut; from those at `before` what still holds."""
+        path = self._table(f"networks-{hops}", version)
+        if not self._has(path):
+            edges, old = self.edges(version), None if before is None else self._table(f"networks-{hops}", before)
+            if old is not None and self._has(old):
+                kept = self.spark.read.parquet(old)
+                stale = store.kept(invalidated(kept, seeds, changed_edges(self.edges(before), edges)), "stale")
+                # seeds that the older version was not asked for are cut too
+                again = seeds.join(kept.select("query_id").distinct().join(stale, "query_id", "left_anti"), "query_id", "left_anti")
+                out = kept.join(stale, "query_id", "left_anti").join(seeds.select("query_id").distinct(), "query_id", "left_semi").unionByName(ego(edges, again, hops))
+            else:
+                out = ego(edges, seeds, hops)
+            out.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+
 def pagerank(nets: DataFrame, seeds: DataFrame, *, follow: float = 0.15, steps: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """query_id, id, score: v = (1 - follow) s + follow M'v per query, on its ego network (grouped: one query's net per task).
 
@@ -112,63 +185,129 @@ def candidates(mentions: DataFrame, entities: DataFrame, most: int = 5, embed_fn
 def disambiguate(found: DataFrame, edges: DataFrame) -> DataFrame:
     """mention, id: single candidates; else the candidate whose neighbours overlap those confirmed most.
 
-    The overlap is of neighbour sets over the smaller; where the lead over the second is
-    under the median gap, or nothing overlaps, the first candidate stands.
+    The overlap is of neighbour sets over the smaller, counted by joins; where the lead over the second is under the
+    median gap, or nothing overlaps, the first candidate stands.
     """
     n = found.groupBy("mention").agg(F.count(F.lit(1)).alias("n"))
     single = found.join(n.filter("n = 1"), "mention").select("mention", "id")
-    open_ = found.join(n.filter("n > 1"), "mention").select("mention", "id")
-    context = single.join(edges, F.col("id") == F.col("a")).agg(F.collect_set("b").alias("near"))
-    around = edges.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("own"))
-    scored = open_.join(around, "id", "left").crossJoin(F.broadcast(context)).select("mention", "id", F.coalesce(F.size(F.array_intersect("own", "near")) / F.greatest(F.least(F.size("own"), F.size("near")), F.lit(1)), F.lit(0.0)).alias("score"))
-    top = F.sort_array(F.collect_list(F.struct("score", (-F.col("id")).alias("back"))), False)
-    best = scored.groupBy("mention").agg(top.alias("t"), F.min("id").alias("first"))
-    best = best.withColumn("gap", F.col("t")[0]["score"] - F.col("t")[1]["score"])
-    limit = best.agg(ranking.margin(F.col("gap"), 0.5, 0.05).alias("m"))
-    sure = best.crossJoin(F.broadcast(limit))
-    return single.unionAll(sure.select("mention", F.when((F.col("gap") >= F.col("m")) & (F.col("t")[0]["score"] > 0), -F.col("t")[0]["back"]).otherwise(F.col("first")).alias("id")))
-
-
-def cooccurrence(mentions: DataFrame) -> DataFrame:
-    """a, b, weight: unordered pairs of distinct ids in one unit (unit, id)."""
-    ids = mentions.groupBy("unit").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    pairs = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice(F.col("ids"), i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return ids.select(F.inline(pairs)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
-
-
-def canonical_groups(names: DataFrame, *, least: float = 0.92, floor: float = 0.03) -> DataFrame:
-    """unit, name, leader: greedy grouping of a unit's names by vector similarity, in order.
-
-    A name joins the leader it is most like if that is at least `least` and leads the
-    second by the median gap (two passes); order matters, so a unit is one group.
+    open_ = store.kept(found.join(n.filter("n > 1"), "mention").select("mention", "id"), "open-mentions")
+    pairs = edges.select("a", "b").distinct()
+    near = store.kept(single.select(F.col("id").alias("a")).distinct().join(pairs, "a").select("b").distinct(), "confirmed-neighbours")
+    n_near = near.count()
+    mine = open_.select(F.col("id").alias("a")).distinct().join(pairs, "a")
+    own = mine.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("own"))
+    shared = mine.join(near, "b").groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("shared"))
+    share = F.col("shared") / F.greatest(F.least(F.coalesce("own", F.lit(1)), F.lit(n_near)), F.lit(1))
+    scored = open_.join(own, "id", "left").join(shared, "id", "left").select("mention", "id", F.coalesce(share, F.lit(0.0)).alias("score"))
+    w = Window.partitionBy("mention").orderBy(F.desc("score"), "id")
+    two = scored.withColumn("r", F.row_number().over(w)).filter("r <= 2").groupBy("mention").agg(F.max_by("id", -F.col("r")).alias("top"), F.max("score").alias("best"), (F.max("score") - F.min("score")).alias("gap"))
+    best = two.join(scored.groupBy("mention").agg(F.min("id").alias("first")), "mention")
+    limit = best.agg(F.when(F.count("gap") < 2, F.lit(0.05)).otherwise(F.greatest(F.expr("percentile_disc(0.5) within group (order by gap)"), F.lit(0.05))).alias("m"))
+    sure = best.crossJoin(F.broadcast(limit))  # one row
+    return single.unionAll(sure.select("mention", F.when((F.col("gap") >= F.col("m")) & (F.col("best") > 0), F.col("top")).otherwise(F.col("first")).alias("id")))
+
+
+def cooccurrence(mentions: DataFrame, block: int = 512) -> DataFrame:
+    """a, b, weight: unordered pairs of distinct ids in one unit (unit, id).
+
+    A unit is dealt into blocks of about `block` ids, and its pairs into pairs of blocks: a task meets two blocks at most,
+    however large the unit.  A unit of one block is joined as it is.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    ids = mentions.select("unit", "id").distinct()
+    blocks = ids.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    dealt = ids.join(blocks, "unit").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = dealt.select("unit", F.col("id").alias("a"), F.col("_own").cast("int").alias("_i"), other.alias("_j"))
+    right = dealt.select("unit", F.col("id").alias("b"), other.alias("_i"), F.col("_own").cast("int").alias("_j"))
+    return left.join(right, ["unit", "_i", "_j"]).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _two_best(score: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row the best score, who has it (the first of equals by position), and the second best (nan: none)."""
+    best = score.argmax(1)
+    rows = np.arange(len(score))
+    top = score[rows, best]
+    rest = score.copy()
+    rest[rows, best] = -np.inf
+    second = rest.max(1) if score.shape[1] > 1 else np.full(len(score), np.nan)
+    return top, who[best], second
+
+
+def _grouped(names: DataFrame, gaps: DataFrame, least: float, block: int) -> DataFrame:
+    """unit, pos, leader (a pos), gap: one greedy pass in order, a block of every unit per round.
+
+    A block's names meet the leaders of earlier rounds in parallel, dealt in chunks, of which each gives its two best; then
+    each unit's block is walked in order against those and the leaders that rise in it.  gaps: unit, least_gap.
+    """
+    spark = names.sparkSession
+    placed = names.withColumn("_k", F.row_number().over(Window.partitionBy("unit").orderBy("pos")) - 1)
+    placed = store.kept(placed.select("unit", "pos", "v", F.expr(f"_k div {block}").alias("_round")), "names-in-order")
+    rounds = (placed.agg(F.max("_round")).first()[0] or 0) + 1
+    unit, pos = (placed.schema[c].dataType.simpleString() for c in ("unit", "pos"))
+    unit_vectors = lambda pdf: (m := np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def meet(now: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        if not len(now) or not len(leaders):
+            return pd.DataFrame({"unit": [], "pos": [], "top": [], "who": [], "second": []})
+        leaders = leaders.rename(columns={"_pos": "pos", "_v": "v"}).sort_values("pos", ignore_index=True)
+        top, who, second = _two_best(unit_vectors(now) @ unit_vectors(leaders).T, leaders["pos"].to_numpy())
+        return pd.DataFrame({"unit": now["unit"], "pos": now["pos"], "top": top, "who": who, "second": second})
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", ignore_index=True)
-        v = np.array(pdf["v"].tolist(), float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-
-        def group(gap: float) -> tuple[list[int], list[float]]:
-            lead, own, gaps = [], [], []
-            for i in range(len(v)):
-                s = v[lead] @ v[i] if lead else np.zeros(0)
-                top = np.sort(s)[::-1]
-                second = top[1] if top.size > 1 else 0.0
-                if top.size > 1:
-                    gaps.append(float(top[0] - top[1]))
-                if top.size and top[0] >= least and top[0] - second >= gap:
-                    own.append(lead[int(s.argmax())])
-                else:
-                    lead.append(i)
-                    own.append(i)
-            return own, gaps
-
-        _, gaps = group(floor)
-        g = sorted(gaps)
-        own, _ = group(max(g[int(0.5 * (len(g) - 1))], floor) if len(g) > 1 else floor)
-        return pd.DataFrame({"unit": pdf["unit"], "name": pdf["name"], "leader": pdf["name"].to_numpy()[own]})
-
-    return names.groupBy("unit").applyInPandas(run, "unit long, name string, leader string")
+        v, own, out, gap_of = unit_vectors(pdf), [], [], []
+        at = pdf["pos"].to_numpy()
+        for i, (top, who, second, limit) in enumerate(zip(pdf["top"], pdf["who"], pdf["second"], pdf["least_gap"])):
+            s = [x for x in (top, second) if not np.isnan(x)]
+            if own:
+                inner = v[own] @ v[i]
+                k = int(inner.argmax())
+                if not s or inner[k] > top:
+                    who = at[own[k]]
+                s += inner.tolist()
+            s.sort(reverse=True)
+            gap_of.append(s[0] - s[1] if len(s) > 1 else np.nan)
+            if s and s[0] >= least and s[0] - (s[1] if len(s) > 1 else 0.0) >= limit:
+                out.append(who)
+            else:
+                own.append(i)
+                out.append(at[i])
+        return pd.DataFrame({"unit": pdf["unit"], "pos": at, "leader": np.array(out, at.dtype), "gap": gap_of})
+
+    schema = f"unit {unit}, pos {pos}, top double, who {pos}, second double"
+    done = None
+    for r in range(rounds):
+        now = placed.filter(F.col("_round") == r)
+        met = spark.createDataFrame([], schema)
+        if done is not None:
+            leaders = placed.join(done.filter("leader = pos").select("unit", "pos"), ["unit", "pos"]).select("unit", "pos", "v", "_round").toDF("_unit", "_pos", "_v", "_of")
+            asked = now.crossJoin(spark.range(r).select(F.col("id").alias("_chunk")))  # a chunk of leaders per earlier round
+            met = asked.groupBy("unit", "_chunk").cogroup(leaders.groupBy("_unit", "_of")).applyInPandas(meet, schema)
+        # of the chunks' best: the highest score, the earliest leader of equal ones, and the next score overall
+        best = met.select("unit", "pos", F.explode(F.array(F.struct(F.col("top").alias("s"), F.col("who").alias("p")), F.struct(F.col("second").alias("s"), F.lit(None).cast(pos).alias("p")))).alias("x")).filter("x.s is not null and not isnan(x.s)")
+        w = Window.partitionBy("unit", "pos").orderBy(F.desc("x.s"), F.col("x.p").asc_nulls_last())
+        two = best.withColumn("_r", F.row_number().over(w)).filter("_r <= 2").groupBy("unit", "pos").agg(F.max(F.when(F.col("_r") == 1, F.col("x.s"))).alias("top"), F.max(F.when(F.col("_r") == 1, F.col("x.p"))).alias("who"), F.max(F.when(F.col("_r") == 2, F.col("x.s"))).alias("second"))
+        block_rows = now.join(two, ["unit", "pos"], "left").join(gaps, "unit")
+        new = block_rows.groupBy("unit").applyInPandas(walk, f"unit {unit}, pos {pos}, leader {pos}, gap double")
+        new = store.kept(new, "grouped")
+        done = new if done is None else done.unionAll(new)
+    return done
+
+
+def canonical_groups(names: DataFrame, *, least: float = 0.92, floor: float = 0.03, block: int = 512) -> DataFrame:
+    """unit, name, leader: greedy grouping of a unit's names (unit, name, pos, v) by vector similarity, in order of pos.
+
+    A name joins the leader it is most like if that is at least `least` and leads the second by the median of such gaps
+    (at least `floor`), which a first pass with `floor` gives.  Later names see the leaders of earlier ones, so a pass goes
+    in rounds of `block` names per unit; the comparisons of a round are dealt over the cluster.
+    """
+    units = names.select("unit").distinct()
+    first = _grouped(names, units.withColumn("least_gap", F.lit(floor)), least, block).filter("not isnan(gap)")
+    median = first.groupBy("unit").agg(F.when(F.count(F.lit(1)) > 1, F.greatest(F.expr("percentile_disc(0.5) within group (order by gap)"), F.lit(floor))).otherwise(F.lit(floor)).alias("least_gap"))
+    limits = store.kept(units.join(median, "unit", "left").select("unit", F.coalesce("least_gap", F.lit(floor)).alias("least_gap")), "gaps")
+    own = _grouped(names, limits, least, block).select("unit", "pos", F.col("leader").alias("_lead"))
+    called = names.select("unit", "pos", "name")
+    return own.join(called, ["unit", "pos"]).join(called.select("unit", F.col("pos").alias("_lead"), F.col("name").alias("leader")), ["unit", "_lead"]).select("unit", "name", "leader")
 
 
 def embed(rows: DataFrame, embed_fn, text: str, batch: int = 32) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import graph, ranking, retrieval
+from ..sources import store
 from .registry import query
 
 _READY = " AND b.vec_id IN (SELECT id FROM v_document WHERE status = 'ready')"
@@ -310,6 +311,11 @@ _EGO = _EDGES + """, seeds AS (SELECT s_suppkey AS query_id, s_suppkey AS id FRO
   net AS (SELECT DISTINCT x.query_id, a, b, weight FROM h2 x JOIN adj ON x.id = a JOIN h2 y ON y.query_id = x.query_id AND y.id = b)"""
 
 
+def _edges(v):
+    """The adjacency as a table: walks read it often."""
+    return store.kept(graph.adjacency(v.relation), "adjacency")
+
+
 def _seeds(v):
     return v.table("supplier").filter("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("query_id"), F.col("s_suppkey").alias("id"))
 
@@ -338,7 +344,7 @@ def g04(v):
 
 @query("g05_ego_network", "WITH " + _EGO + " SELECT query_id, a, b, weight FROM net")
 def g05(v):
-    return graph.ego(graph.adjacency(v.relation), _seeds(v))
+    return graph.ego(_edges(v), _seeds(v))
 
 
 _STEP = "p{k} AS (SELECT n.query_id, n.id, 0.85::DOUBLE * (n.id = n.query_id)::INT + 0.15::DOUBLE * coalesce(sum(m.share * p.score), 0) AS score FROM nodes n LEFT JOIN m ON m.query_id = n.query_id AND m.b = n.id LEFT JOIN p{j} p ON p.query_id = m.query_id AND p.id = m.a GROUP BY n.query_id, n.id)"
@@ -348,7 +354,7 @@ _PPR = _EGO + """, nodes AS (SELECT DISTINCT query_id, a AS id FROM net), m AS (
 
 def _ppr(v):
     seeds = _seeds(v)
-    return graph.pagerank(graph.ego(graph.adjacency(v.relation), seeds), seeds, tolerance=1e-9)
+    return graph.pagerank(graph.ego(_edges(v), seeds), seeds, tolerance=1e-9)
 
 
 @query("g06_personalised_pagerank", "WITH " + _PPR + " SELECT query_id, id, round(score, 6) AS score FROM p10")
@@ -399,7 +405,7 @@ def g10(v):
   lim AS (SELECT CASE WHEN count(*) < 2 THEN 0.05 ELSE greatest(list_sort(list(gap))[floor(0.5 * (count(*) - 1))::INT + 1], 0.05) END AS m FROM g)
   SELECT mention, id FROM cand JOIN n USING (mention) WHERE n = 1 UNION ALL SELECT mention, CASE WHEN gap >= m AND best > 0 THEN top ELSE first_ END FROM g, lim""")
 def g11(v):
-    return graph.disambiguate(_candidates(v), graph.adjacency(v.relation))
+    return graph.disambiguate(store.kept(_candidates(v), "candidates"), _edges(v))
 
 
 @query("g12_token_linking", "SELECT brand, count(DISTINCT entity_id) AS entities FROM (SELECT DISTINCT p_brand AS brand, lower(p_type) AS token FROM part) JOIN v_entity ON list_contains(string_split(name_norm, ' '), token) GROUP BY 1")
@@ -410,15 +416,43 @@ def g12(v):
     return t.join(names, "token").groupBy("brand").agg(F.count_distinct("entity_id").alias("entities"))
 
 
-@query("g13_graph_version")
+@query("g13_graph_version", "WITH " + _EDGES + " SELECT cast(sum(('0x' || substr(md5(a || '|' || b || '|' || weight), 1, 8))::BIGINT) AS VARCHAR) AS version, count(*) AS edges FROM adj")
 def g13(v):
     """The snapshot's version: an order-free fingerprint of its edges."""
-    return graph.adjacency(v.relation).agg(F.sum(F.xxhash64("a", "b", "weight").cast("decimal(20,0)")).cast("string").alias("version"), F.count(F.lit(1)).alias("edges"))
+    return graph.version_of(graph.adjacency(v.relation))
+
+
+#: The older snapshot lacks one in 977 orders.
+_OLD_EDGES = "old AS (SELECT a, b, count(*) AS weight FROM (SELECT src AS a, dst AS b FROM v_relation WHERE chunk_id % 977 <> 0 UNION ALL SELECT dst, src FROM v_relation WHERE chunk_id % 977 <> 0) GROUP BY a, b)"
+
+
+def _two_snapshots(v):
+    return graph.adjacency(v.relation.filter("chunk_id % 977 <> 0")), graph.adjacency(v.relation)
+
+
+@query("g13_invalidated_seeds", "WITH " + _EGO.replace("adj", "new") + ", " + _OLD_EDGES + """, ch AS (SELECT coalesce(o.a, n.a) AS a, coalesce(o.b, n.b) AS b FROM old o FULL JOIN new n ON o.a = n.a AND o.b = n.b WHERE o.weight IS DISTINCT FROM n.weight),
+  o1 AS (SELECT query_id, id FROM seeds UNION SELECT query_id, b FROM seeds JOIN old ON id = a)
+  SELECT DISTINCT query_id FROM o1 JOIN (SELECT a AS id FROM ch UNION SELECT b FROM ch) USING (id)""")
+def g13b(v):
+    """Cached one-hop networks of the older snapshot that the newer one's changed edges touch."""
+    old, new = (store.kept(e, "snapshot") for e in _two_snapshots(v))
+    seeds = _seeds(v)
+    return graph.invalidated(graph.ego(old, seeds, hops=1), seeds, graph.changed_edges(old, new))
+
+
+@query("g13_networks_at_version", "WITH " + _EGO + " SELECT query_id, a, b, weight FROM net")
+def g13c(v):
+    """The newer snapshot's networks, kept from the older one's where these still hold: the same as cut anew."""
+    cache, seeds = graph.Snapshots(v.spark), _seeds(v)
+    old, new = (cache.put(e) for e in _two_snapshots(v))
+    cache.networks(old, seeds)
+    return cache.networks(new, seeds, before=old)
 
 
 @query("g14_canonical_names")
 def g14(v):
-    names = v.vec.select((F.col("vec_id") % 10).alias("unit"), F.concat(F.lit("n"), "vec_id").alias("name"), F.col("vec_id").alias("pos"), "v")
+    """All names as one unit."""
+    names = v.vec.select(F.lit(0).cast("long").alias("unit"), F.concat(F.lit("n"), "vec_id").alias("name"), F.col("vec_id").alias("pos"), "v")
     return graph.canonical_groups(names)
 
 
