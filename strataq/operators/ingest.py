@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from fnmatch import fnmatchcase
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
+def scan_files(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
+    """path, text, error of every file below path: one bad file is a row with an error, never a failed job.
+
+    error: 'empty' (nothing but white space), 'bad bytes' (no UTF-8) or 'unreadable' (listed, but gone or not to be read);
+    the text is null with the last two.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, listed = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while found.hasNext():
+        status = found.next()
+        if fnmatchcase(status.getPath().getName(), glob):
+            listed.append((status.getPath().toString(), status.getLen()))
+    files = spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup="true", ignoreMissingFiles="true", ignoreCorruptFiles="true").load(path)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    names = spark.createDataFrame(listed, "path string, size long").select(plain("path").alias("path"), "size")
+    read = files.select(plain("path").alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("_text"), F.lit(True).alias("_read"))
+    text = F.when(F.col("size") == 0, "").otherwise(F.col("_text"))  # files without bytes are in no split
+    error = F.when(F.col("size") == 0, "empty").when(F.col("_read").isNull(), "unreadable").when(F.col("_text").isNull(), "bad bytes").when(F.col("_text").rlike(r"^\s*$"), "empty")
+    return names.join(read, "path", "left").select("path", text.alias("text"), error.alias("error"))
+
+
 def numbered_lines(text: Column) -> Column:
     """array<struct<line_no, line>>, from 1."""
     return F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions import vector as V
 from ..operators import graph, hooks, ingest, rules
 from ..operators import segment as S
+from ..sources import store
 from ..streaming import telemetry
 from .registry import query
 
@@ -195,14 +196,13 @@ def n07(v):
     return S.split_overflow(v.chunk.filter(n > 100), most=100)
 
 
-@query("n08_coreference_merge", """WITH w AS (SELECT doc_id, chunk_index, list_filter(regexp_extract_all(lower(content), '[a-z]+'), lambda x: length(x) >= 7) AS t FROM v_chunk),
-  p AS (SELECT *, t[1] AS subject, lag(t) OVER o AS a, lag(t, 2) OVER o AS b FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_index)),
-  m AS (SELECT doc_id, chunk_index, (chunk_index > 0 AND NOT (subject IS NOT NULL AND (list_contains(coalesce(a, []), subject) OR list_contains(coalesce(b, []), subject))))::INT AS new_ FROM p)
+@query("n08_coreference_merge", """WITH w AS (SELECT doc_id, chunk_index, list_filter(regexp_extract_all(lower(content), '[a-z]+'), lambda x: length(x) >= 7) AS t, list_filter(regexp_extract_all(lower(right(content, 500)), '[a-z]+'), lambda x: length(x) >= 7)[1] AS root FROM v_chunk),
+  p AS (SELECT *, lag(root) OVER o AS subject, lag(t) OVER o AS u FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_index)),
+  m AS (SELECT doc_id, chunk_index, (chunk_index > 0 AND NOT (subject IS NOT NULL AND list_contains(t, subject) AND list_contains(u, subject)))::INT AS new_ FROM p)
   SELECT doc_id, chunk_index, (sum(new_) OVER (PARTITION BY doc_id ORDER BY chunk_index))::BIGINT AS segment FROM m""")
-def n08(v, chains=None):
-    """Without a model a chain is a long word met again within three segments, and the first one is the subject."""
-    mentions = F.filter(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) >= 7)
-    return S.merge_by_chains(v.chunk.withColumn("mentions", mentions if chains is None else chains(F.col("content")))).select("doc_id", "chunk_index", "segment")
+def n08(v):
+    """Without a model a chain is a long word met again within three segments; so the subject of the one before is what the next has to name."""
+    return S.merge_by_chains(v.chunk)
 
 
 @query("n09_candidate_ngrams", "WITH p AS (SELECT chunk_id, pos, token, lead(token) OVER (PARTITION BY chunk_id ORDER BY pos) AS nxt FROM v_posting) SELECT token || ' ' || nxt AS name, count(*) AS n FROM p WHERE length(token) > 6 AND length(nxt) > 6 GROUP BY 1 HAVING count(*) >= 2")
@@ -372,22 +372,64 @@ def e05_sliding(v):
     return rows.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start_"), "event_type", "n")
 
 
-@query("d03_vision_fallback", "SELECT page_id, '' AS description FROM pages")
+@query("e05_watermark", """WITH d AS (SELECT *, least(3, floor(4.0::DOUBLE * (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / greatest((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events), 1)))::BIGINT AS quarter FROM events),
+  b AS (SELECT event_id, ts, event_type, quarter + 2 * (event_id % 50 = 3)::INT AS delivery FROM d),
+  w AS (SELECT k, (SELECT max(ts) FROM b WHERE delivery < k - 1) - INTERVAL 10 MINUTE AS mark FROM range(8) t(k)),
+  kept AS (SELECT DISTINCT event_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type FROM b JOIN w ON delivery = k WHERE mark IS NULL OR ts > mark)
+  SELECT start, event_type, count(*) AS n FROM kept WHERE start + INTERVAL 1 HOUR <= (SELECT mark FROM w WHERE k = 7) GROUP BY ALL""")
+def e05_watermark(v):
+    """Events in deliveries of a quarter each; one in fifty comes two deliveries late, every seventh comes twice.
+
+    A delivery drops what lies behind the watermark that the one before it began with, so two late is behind it.
+    """
+    events = v.table("events")
+    lo, hi = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    quarter = F.least(F.lit(3), F.floor(4.0 * (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(lo or 0)) / F.lit(max((hi or 0) - (lo or 0), 1))))
+    path = store.folder(v.spark, "delivered")
+    telemetry.in_deliveries(events.unionAll(events.filter("event_id % 7 = 0")), quarter + 2 * (F.col("event_id") % 50 == 3).cast("int"), path)
+    out = telemetry.drained(telemetry.closed_windows(telemetry.raw_source(v.spark, path, files_per_batch=1)))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def _shape(urls):
+    """The vision call without a model: what the name of the picture says; it fails on names that end in 7."""
+    if any(u.endswith("7") for u in urls):
+        raise RuntimeError("not readable")
+    return [f"picture {u.rsplit('/', 1)[-1]}" for u in urls]
+
+
+@query("d03_vision_description", "SELECT page_id, CASE WHEN ends_with(url, '7') THEN '' ELSE 'picture ' || regexp_extract(url, '[^/]*$') END AS description FROM pages")
 def d03(v):
-    return hooks.completed(v.table("pages"), hooks.unavailable, "url", F.lit(""), "description").select("page_id", "description")
+    """Each picture is a call of its own; where it fails the description stays empty."""
+    return hooks.completed(v.table("pages"), _shape, "url", F.lit(""), "description", batch=1).select("page_id", "description")
 
 
-@query("d04_reranker_hook", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
+def _first_digit(texts):
+    """A reranker without a model: the priority's number, inverted; it fails on the lowest priority."""
+    if any(t.startswith("5") for t in texts):
+        raise RuntimeError("not scored")
+    return [10.0 - float(t[0]) for t in texts]
+
+
+@query("d04_reranker_hook", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority[1] = '5' THEN -o_orderkey::DOUBLE ELSE 10.0 - o_orderpriority[1]::DOUBLE END DESC, o_orderkey) AS rank FROM orders")
 def d04(v):
-    scored = hooks.rescored(v.table("orders"), hooks.unavailable, "o_orderpriority", "o_totalprice")
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    """Scores by the hook where it answers, the old ones where it does not."""
+    scored = hooks.rescored(v.table("orders").withColumn("score", -F.col("o_orderkey").cast("double")), _first_digit, "o_orderpriority", "score", batch=1)
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("score"), "o_orderkey")
     return scored.select("o_orderkey", F.row_number().over(w).alias("rank"))
 
 
-@query("d05_refine_fallback", "SELECT brief_id, bucket || ' / ' || artifact_type AS draft, true AS requires_acceptance FROM v_brief")
+def _refined(texts):
+    if any(t == "MACHINERY" for t in texts):
+        raise RuntimeError("no draft")
+    return [f"refined {t.lower()}" for t in texts]
+
+
+@query("d05_refine_hook", "SELECT brief_id, CASE WHEN bucket = 'MACHINERY' THEN bucket || ' / ' || artifact_type ELSE 'refined ' || lower(bucket) END AS draft, bucket = 'MACHINERY' AS requires_acceptance FROM v_brief")
 def d05(v):
+    """The hook's draft; where it fails the plain one, which somebody has to accept."""
     plain = F.concat_ws(" / ", "bucket", "artifact_type")
-    out = hooks.completed(v.brief, hooks.unavailable, "bucket", plain, "draft")
+    out = hooks.completed(v.brief, _refined, "bucket", plain, "draft", batch=1)
     return out.select("brief_id", "draft", (F.col("draft") == plain).alias("requires_acceptance"))
 
 

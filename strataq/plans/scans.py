@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import ingest
+from ..sources import store
 from .registry import query
 
 BOOK = "# First book\nintro\n## One\nISBN 978-1\n### Deep\nbody\n---\n# Second\nISBN 978-2\ntext ![cap](img/a.png) and <img src=\"b.jpg\" alt=\"B\">\n"
@@ -17,6 +18,17 @@ def s01(v):
     return v.document.select("id", "doc_path", "token_estimate", "status")
 
 
+@query("s01_file_scan", """SELECT page_id AS file, CASE WHEN page_id % 10 = 3 THEN 'bad bytes' WHEN page_id % 10 = 4 THEN 'empty' END AS error, CASE WHEN page_id % 10 = 4 THEN sha256(chr(10)) WHEN page_id % 10 <> 3 THEN sha256(html || chr(10)) END AS text_sha256 FROM pages""")
+def s01_files(v):
+    """The pages as files, of which one in ten has a byte that is no text and one in ten is empty, scanned as a folder."""
+    path = store.folder(v.spark, "files")
+    broken = F.concat(F.encode("html", "UTF-8"), F.unhex(F.lit("FF"))).cast("string")
+    text = F.when(F.col("page_id") % 10 == 3, broken).when(F.col("page_id") % 10 == 4, "").otherwise(F.col("html"))
+    v.table("pages").select("page_id", text.alias("value")).write.partitionBy("page_id").text(path)
+    found = ingest.scan_files(v.spark, path, "*.txt")
+    return found.select(F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long").alias("file"), "error", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("s02_strip_controls", "SELECT doc_id, length(regexp_replace(text || chr(1) || chr(9) || chr(31), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) AS n FROM documents")
 def s02(v):
     dirty = F.concat("text", F.lit("\x01\t\x1f"))

@@ -7,7 +7,6 @@ where they arrive, as the running average is order-dependent by definition.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import store
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 #: Event type -> metric.
 METRICS = {"view": "retention_24h", "purchase": "conversion_30d"}
@@ -57,16 +58,38 @@ def fold_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("artifact_id", "metric").applyInPandasWithState(run, "artifact_id long, metric string, cents long", "m long", "update", GroupStateTimeout.NoTimeout)
 
 
-def raw_source(spark: SparkSession, path: str) -> DataFrame:
+def raw_source(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Events as a stream of files."""
-    return spark.readStream.schema(EVENTS).parquet(path)
+    reader = spark.readStream.schema(EVENTS)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
 
 
 def drained(stream: DataFrame) -> DataFrame:
-    """What a stateless stream yields of all that is there now."""
-    name = f"drained_{uuid.uuid4().hex}"
-    stream.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """What an append stream yields of all that is there now, through files in the shared folder: its tasks write them, and the plan reads them back."""
+    path = store.folder(stream.sparkSession, "drained")
+    started = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress")
+    started.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def latest(stream: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The last value of each key of an update stream, through files.
+
+    Each micro-batch writes its changed keys under its number and replaces what an earlier try of that batch wrote, so a
+    repeated batch counts once.
+    """
+    path = store.folder(stream.sparkSession, "changes")
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    if not top.getFileSystem(spark._jsc.hadoopConfiguration()).exists(top):  # no batch ran
+        return spark.createDataFrame([], stream.schema)
+    changes = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(f"{path}/rows")
+    return changes.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -78,10 +101,20 @@ def source(spark: SparkSession, path: str) -> DataFrame:
 
 def run_stream(spark: SparkSession, path: str) -> DataFrame:
     """Drain what is at path through the stream and return the metrics."""
-    name = f"fold_{uuid.uuid4().hex}"
-    q = fold_stream(source(spark, path)).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return latest(fold_stream(source(spark, path)), ["artifact_id", "metric"], "cents")
+
+
+def closed_windows(events: DataFrame, *, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
+    """start, event_type, n of windows that the watermark has closed: each event_id once, events behind the watermark not at all."""
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return stamped.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def in_deliveries(events: DataFrame, delivery: Column, path: str) -> None:
+    """Write events as files under path in the order of `delivery` (0, 1, ..): a stream takes one delivery per micro-batch."""
+    events = store.kept(events.withColumn("_delivery", delivery), "deliveries")
+    for k in range((events.agg(F.max("_delivery")).first()[0] or 0) + 1):
+        events.filter(F.col("_delivery") == k).drop("_delivery").coalesce(1).write.mode("append").parquet(path)  # one file: one micro-batch
 
 
 def windowed(events: DataFrame, *, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
