@@ -90,9 +90,20 @@ def has_keyword(text: Column, keywords: Sequence[str]) -> Column:
     return out
 
 
+def word_counts(words: Column) -> Column:
+    """map<word, long> of an array of words: sorted, a word's count is the distance between the places where it begins and the next does."""
+    sorted_ = F.array_sort(words)
+
+    def counted(a: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+        return F.transform(F.array(starts), lambda s: F.map_from_entries(F.transform(s, lambda i, k: F.struct(F.get(a, i), (F.coalesce(F.get(s, k + 1), F.size(a)) - i).cast("long")))))[0]
+
+    return F.when(F.size(words) > 0, F.transform(F.array(sorted_), counted)[0]).otherwise(F.create_map().cast("map<string,bigint>"))
+
+
 def is_noise(name: Column) -> Column:
-    """Shorter than three characters, or digits and non-word characters alone."""
-    return (F.length(name) < 3) | name.rlike(r"^[\d\W_]+$")
+    """Shorter than three characters, or digits, signs and underscores alone; letters of any script are no signs."""
+    return (F.length(name) < 3) | name.rlike(r"^([\p{Nd}_]|[^\p{L}\p{N}_])+$")
 
 
 def mask_key(key: Column) -> Column:
@@ -105,6 +116,24 @@ def to_flag(value: Column) -> Column:
     return F.when(low.isin("1", "true", "yes", "on", "si"), True).when(low.isin("0", "false", "no", "off"), False)
 
 
+def to_enum(value: Column, allowed: list[str]) -> Column:
+    """The lower-case value if it is allowed; anything else is ignored (null)."""
+    low = F.lower(F.trim(value))
+    return F.when(low.isin(*allowed), low)
+
+
+def to_int(value: Column) -> Column:
+    """A whole number; anything else is ignored (null)."""
+    return F.when(F.trim(value).rlike(r"^[+-]?[0-9]+$"), F.trim(value).try_cast("long"))
+
+
+def estimated_parallelism(cores: Column, memory_gb: Column, kind: str) -> Column:
+    """Calls at once that a machine bears: for work that waits ('io') or that computes ('cpu')."""
+    if kind == "io":
+        return F.least(F.greatest(F.lit(2), cores * 2), F.lit(8), F.greatest(F.lit(2), F.floor(memory_gb / 2).cast("int")))
+    return F.least(F.greatest(F.lit(1), cores - 1), F.lit(4))
+
+
 def repaired_json(text: Column) -> Column:
     """Model output as JSON text: fences off, outer braces kept, trailing commas out."""
     bare = F.regexp_replace(text, r"(?s)^.*?```(?:json)?\s*|\s*```.*$", "")

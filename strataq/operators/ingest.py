@@ -67,6 +67,17 @@ def merge_ranges(rules: DataFrame, model: DataFrame, key: str = "id") -> DataFra
     return rules.withColumn("origin", F.lit("rule")).unionByName(own.withColumn("origin", F.lit("model")))
 
 
+def unique_ids(ids: Column) -> Column:
+    """An ordered array of ids with later repetitions as id_2, id_3, ..: the first number that no id before has taken; an empty id counts as doc."""
+
+    def step(out: Column, x: Column) -> Column:
+        base = F.when(x == "", "doc").otherwise(x)
+        free = F.filter(F.transform(F.sequence(F.lit(2), F.size(out) + 2), lambda n: F.concat_ws("_", base, n)), lambda c: ~F.array_contains(out, c))
+        return F.concat(out, F.array(F.when(F.array_contains(out, x), free[0]).otherwise(x)))
+
+    return F.aggregate(ids, F.array().cast("array<string>"), step)
+
+
 def image_references(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, image of markdown and HTML images."""
     lines = docs.select("doc_id", F.inline(numbered_lines(F.col("text"))))

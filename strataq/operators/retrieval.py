@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy
 from ..sources import store
-from . import ranking
+from . import hooks, ranking
 
 #: A side at most so large is broadcast; a query batch is far below.
 BROADCAST_BYTES = 64 << 20
@@ -157,6 +157,85 @@ def context(hits: DataFrame, chunks: DataFrame, *, around: int = 5, most: int =
     return once.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= most).select("query_id", "pos", F.col("neighbour").alias("chunk_id"))
 
 
+def propositions_for(chunks: DataFrame, propositions: DataFrame, *, per_chunk: int = 6, most: int = 120) -> DataFrame:
+    """query_id, prop_id, chunk_id, doc_id, statement, pos: of each of a query's chunks the first propositions, at most `most` in all, in order of chunk and id."""
+    few = Window.partitionBy("query_id", "chunk_id").orderBy("prop_id")
+    order = Window.partitionBy("query_id").orderBy("chunk_id", "prop_id")
+    rows = chunks.select("query_id", "chunk_id").distinct().join(propositions.select("prop_id", "chunk_id", "doc_id", "statement"), "chunk_id")
+    return rows.withColumn("_r", F.row_number().over(few)).filter(F.col("_r") <= per_chunk).drop("_r").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most)
+
+
+def reranked(hits: DataFrame, scorer, *, text: str, most: int = 30, batch: int = 32) -> DataFrame:
+    """hits (query_id, id, rank, text) with new ranks: the first `most` of each query by the scorer's scores, the others after them as they were.
+
+    Where the scorer fails on any of a query's hits, or has no score for one, that query keeps its order.
+    """
+    top = hooks.rescored(hits.filter(F.col("rank") <= most).withColumn("_score", F.lit(None).cast("double")), scorer, text, "_score", batch)
+    whole = Window.partitionBy("query_id")
+    scored = top.withColumn("_score", F.when(F.count("_score").over(whole) == F.count(F.lit(1)).over(whole), F.col("_score")))
+    rest = hits.filter(F.col("rank") > most).withColumn("_score", F.lit(None).cast("double"))
+    w = whole.orderBy(F.when(F.col("rank") <= most, 0).otherwise(1), F.col("_score").desc_nulls_last(), "rank")
+    return scored.unionByName(rest).withColumn("rank", F.row_number().over(w)).drop("_score")
+
+
+def sufficiency(facts: DataFrame, key: str) -> DataFrame:
+    """key, verdict, confidence: without an auditor's answer, enough where any grounded fact answers directly or supports.
+
+    facts: key, level (relevance), grounded.
+    """
+    relevant = F.col("grounded") & F.col("level").isin("direct_answer", "supporting_evidence")
+    verdict = F.when(F.bool_or(F.coalesce(relevant, F.lit(False))), "SUFFICIENT_FOR_SYNTHESIS").otherwise("INSUFFICIENT_TRIGGER_BRANCH_B")
+    return facts.groupBy(key).agg(verdict.alias("verdict"), F.lit(0.5).alias("confidence"))
+
+
+# The headings of a context's blocks, and what stands in an empty one.
+BLOCKS = (
+    ("--- MARCO TEMÁTICO (resúmenes de documento/sección) ---", "(sin resúmenes recuperados)"),
+    ("--- EVIDENCIA TEXTUAL (chunks con cita) ---", "(sin fragmentos recuperados)"),
+    ("--- CAPA ATÓMICA (proposiciones) ---", "(sin proposiciones)"),
+    ("--- HISTORIAL DE CONVERSACIÓN (referencia) ---", None),
+    ("--- SUBGRAFO DE ENTIDADES ---", "(sin tripletas)"),
+    ("--- RESUMENES DE DOCUMENTO (referencia secundaria) ---", "(sin resúmenes)"),
+    ("--- FIGURAS ---", "(sin figuras)"),
+)
+
+
+def context_text(queries: DataFrame, *, summaries: DataFrame, chunks: DataFrame, propositions: DataFrame, history: DataFrame, triples: DataFrame, documents: DataFrame, figures: DataFrame, turns: int = 6) -> DataFrame:
+    """query_id, context: the seven blocks of evidence in their order, each under its heading; a block without rows says so, but for the history, which is left out.
+
+    Every source has query_id.  summaries: doc_id, level, chapter_id, text; chunks: pos, is_anchor, doc_path, doc_id, chapter,
+    chapter_id, chunk_index, score, content; propositions: pos, prop_id, doc_title, statement, span; history: turn, role, text (the
+    last `turns`); triples: source, type, target, doc; documents: doc_path, summary; figures: figure, image, description.
+    """
+    c = lambda x: F.coalesce(F.col(x).cast("string"), F.lit("?"))
+    put = lambda df, block, order, *parts: df.select("query_id", F.lit(block).alias("block"), order.alias("k"), F.concat(*(F.lit(p) if i % 2 == 0 else p for i, p in enumerate(parts))).alias("line"))
+    place = lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by))
+    blank = lambda x, other: F.when(F.coalesce(F.col(x), F.lit("")) == "", other).otherwise(F.col(x))
+    section = F.when((F.col("level") == "section") & F.col("chapter_id").isNotNull(), F.concat(F.lit(" | capítulo: "), c("chapter_id"))).otherwise("")
+    marker = F.when(F.col("is_anchor"), "RESULTADO").otherwise("contexto")
+    cited = F.when(F.coalesce(F.col("span"), F.lit("")) != "", F.concat(F.lit(" (cita: "), F.col("span"), F.lit(")"))).otherwise("")
+    last = history.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("turn")))).filter(F.col("_r") <= turns)
+    lines = [
+        put(summaries, 1, place("level", "doc_id", "chapter_id"), "[doc_id: ", c("doc_id"), " | nivel: ", c("level"), "", section, "] ", F.coalesce("text", F.lit(""))),
+        put(chunks, 2, F.col("pos"), "[", c("pos"), "] ", marker, " | doc: ", c("doc_path"), " | doc_id: ", c("doc_id"), " | capítulo: ", blank("chapter", "(sin capítulo)"), " | chapter_id: ", c("chapter_id"), " | chunk ", c("chunk_index"), " | score: ", F.format_string("%.4f", "score"), "\n", F.coalesce("content", F.lit("")), "\n"),
+        put(propositions, 3, F.col("pos"), "[", c("pos"), "] doc: ", c("doc_title"), " | sección: (sin sección) | chunk_id: ", c("prop_id"), " | ", F.coalesce("statement", F.lit("")), "", cited, "\n"),
+        put(last, 4, F.col("turn"), "[", F.upper(c("role")), "] ", F.coalesce("text", F.lit(""))),
+        put(triples, 5, place("doc", "source", "target"), "(", c("source"), ") -[", c("type"), "]-> (", c("target"), ") [doc: ", c("doc"), "]"),
+        put(documents, 6, place("doc_path"), "[", c("doc_path"), "] ", F.coalesce("summary", F.lit(""))),
+        put(figures, 7, F.col("figure"), "[", c("image"), "] ", F.coalesce("description", F.lit(""))),
+    ]
+    every = reduce(DataFrame.unionAll, (x.withColumn("k", F.col("k").cast("long")) for x in lines)).join(queries.select("query_id").distinct(), "query_id", "left_semi")
+    blocks = every.groupBy("query_id").pivot("block", list(range(1, 8))).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n"))
+    spaced = (2, 3)  # their lines end in a line of their own already
+    made = []
+    for i, (head, none) in enumerate(BLOCKS, 1):
+        end = "" if i == len(BLOCKS) else "\n" if i in spaced else "\n\n"
+        body = F.nullif(F.col(str(i)), F.lit(""))
+        empty = F.lit("") if none is None else F.lit(f"{head}\n{none}" + ("\n\n" if end else ""))
+        made.append(F.when(body.isNull(), empty).otherwise(F.concat(F.lit(head + "\n"), body, F.lit(end))))
+    return queries.select("query_id").distinct().join(blocks, "query_id", "left").select("query_id", F.concat(*made).alias("context"))
+
+
 def bands(score: Column, duplicate: float = 0.86, grey: float = 0.70) -> Column:
     return F.when(score >= duplicate, "duplicate").when(score >= grey, "grey").otherwise("new")
 

@@ -300,7 +300,7 @@ def n20(v):
     return v.posting.join(ready, "doc_id", "left_semi").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-# -- feedback -----------------------------------------------------------------
+# feedback
 
 
 @query("e02_mapped_events", "SELECT event_id, artifact_id, metric, cents FROM v_telemetry WHERE metric IS NOT NULL AND cents IS NOT NULL")

@@ -106,11 +106,13 @@ def j15(v):
     return v.version.groupBy("project_id").agg(F.max_by("order_id", "version").alias("prompt")).join(c, "project_id").groupBy("model").agg(F.max("prompt").alias("prompt"))
 
 
-@query("j16_brief_template", "SELECT brief_id, rn AS template FROM v_brief JOIN (SELECT brand, bucket, row_number() OVER (ORDER BY brand, bucket) AS rn FROM (SELECT DISTINCT brand, bucket FROM v_brief)) USING (brand, bucket)")
+@query("j16_brief_template", "WITH t AS (SELECT r_name AS brand, c_mktsegment AS bucket, min(c_custkey) AS template, count(*) AS steps FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0 GROUP BY ALL) SELECT brief_id, template, steps FROM v_brief LEFT JOIN t USING (brand, bucket)")
 def j16(v):
-    pairs = v.brief.select("brand", "bucket").distinct()  # regions times segments
-    templates = pairs.withColumn("template", F.row_number().over(Window.orderBy("brand", "bucket")))
-    return v.brief.join(templates, ["brand", "bucket"]).select("brief_id", "template")
+    """Templates of brand and bucket, here the customers in credit of each; a brief without one keeps a null."""
+    places = v.table("nation").join(v.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    customers = v.table("customer").filter("c_acctbal > 0").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    templates = customers.groupBy(F.col("r_name").alias("brand"), F.col("c_mktsegment").alias("bucket")).agg(F.min("c_custkey").alias("template"), F.count(F.lit(1)).alias("steps"))
+    return v.brief.join(templates, ["brand", "bucket"], "left").select("brief_id", "template", "steps")
 
 
 @query("a01_counts_per_document", "SELECT doc_id, count(*) AS chunks, sum(length(content))::BIGINT AS chars FROM v_chunk GROUP BY doc_id")
@@ -132,7 +134,9 @@ def a03(v):
 
 @query("a04_word_frequency", "SELECT doc_id, token, count(DISTINCT chunk_id) AS chunk_freq, count(*) AS term_freq FROM v_posting GROUP BY doc_id, token")
 def a04(v):
-    per = v.posting.groupBy("doc_id", "token", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    """Tokens are counted in their chunk's row, so one exchange by document and token is all."""
+    words = X.words(F.col("content"), X.QUERY_WORD)
+    per = v.chunk.select("doc_id", F.explode(X.word_counts(words)).alias("token", "n"))
     return per.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("chunk_freq"), F.sum("n").alias("term_freq"))
 
 

@@ -58,12 +58,18 @@ def x06b(v):
   s AS (SELECT prop_id, p.doc_id, start_ + instr(content, statement) - 1 AS place FROM v_proposition p JOIN b USING (chunk_id))
   SELECT prop_id, b.chunk_id FROM s JOIN b ON b.doc_id = s.doc_id AND place >= start_ AND place < start_ + length(content)""")
 def x07(v):
-    """Spans given by their place in a document's joined chunks, and the chunk whose half-open range each falls in."""
+    """Spans given by their place in a document's joined chunks, and the chunk whose half-open range each falls in.
+
+    Chunk starts and spans of a document are merged in order of place: a span's chunk is the last start at or before it.
+    """
     w = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
     batch = v.chunk.select("doc_id", "chunk_id", "content", F.coalesce(F.sum(F.length("content") + 2).over(w), F.lit(0)).alias("start"))
     spans = v.proposition.select("prop_id", "chunk_id", "statement").join(batch, "chunk_id").select("prop_id", "doc_id", (F.col("start") + F.expr("instr(content, statement)") - 1).alias("at"))
-    ranges = batch.select("doc_id", "chunk_id", F.col("start"), (F.col("start") + F.length("content")).alias("end"))
-    return spans.join(ranges, "doc_id").filter("at >= start and at < end").select("prop_id", "chunk_id")
+    starts = batch.select("doc_id", F.col("start").alias("at"), F.struct("chunk_id", (F.col("start") + F.length("content")).alias("end")).alias("range"), F.lit(None).cast("long").alias("prop_id"))
+    merged = starts.unionByName(spans.select("doc_id", "at", F.lit(None).cast(starts.schema["range"].dataType).alias("range"), "prop_id"))
+    in_order = Window.partitionBy("doc_id").orderBy("at", F.col("prop_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = merged.withColumn("held", F.last("range", ignorenulls=True).over(in_order)).filter("prop_id is not null and at < held.end")
+    return found.select("prop_id", F.col("held.chunk_id").alias("chunk_id"))
 
 
 @query("x08_exact_terms", "SELECT doc_id, list_distinct_[1:5] AS terms FROM (SELECT doc_id, list_filter(x, lambda e, i: list_position(x, e) = i) AS list_distinct_ FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+|[A-Z0-9]+[-_][A-Z0-9]+') AS x FROM documents))")
@@ -181,16 +187,24 @@ def x22(v):
     return v.table("customer").select("c_custkey", X.mask_key(F.col("c_name")).alias("masked"))
 
 
-@query("x23_flags", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN true WHEN 'F' THEN false END AS flag FROM orders")
+@query("x23_flags", """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN true WHEN 'F' THEN false END AS flag,
+  CASE WHEN lower(substr(o_orderpriority, 3)) IN ('high', 'medium', 'low') THEN lower(substr(o_orderpriority, 3)) END AS level, CASE WHEN o_orderkey % 3 <> 1 THEN o_custkey END AS number FROM orders""")
 def x23(v):
+    """Flags as they are written: booleans by their synonyms, levels of a fixed set, whole numbers; anything else is ignored."""
     raw = F.when(F.col("o_orderstatus") == "O", " Yes").when(F.col("o_orderstatus") == "F", "off").otherwise("maybe")
-    return v.table("orders").select("o_orderkey", X.to_flag(raw).alias("flag"))
+    level = F.concat(F.lit(" "), F.expr("substr(o_orderpriority, 3)"), F.lit(" "))
+    number = F.concat(F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 1, ".5").otherwise(" "))
+    return v.table("orders").select("o_orderkey", X.to_flag(raw).alias("flag"), X.to_enum(level, ["high", "medium", "low"]).alias("level"), X.to_int(number).alias("number"))
 
 
-@query("x24_config_layers", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 5 = 0 THEN 'override' END, CASE WHEN c_acctbal < 0 THEN 'db' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'env' END, 'default') AS value FROM customer")
+@query("x24_config_layers", """SELECT c_custkey, coalesce(CASE WHEN c_custkey % 5 = 0 THEN 1 END, CASE WHEN c_acctbal < 0 THEN 3 END, CASE WHEN c_mktsegment = 'BUILDING' THEN 5 END,
+  CASE WHEN c_nationkey % 3 = 0 THEN least(greatest(2, (c_nationkey % 8 + 1) * 2), 8, greatest(2, c_custkey % 40 // 2)) WHEN c_nationkey % 3 = 1 THEN least(greatest(1, c_nationkey % 8), 4) END, 7)::BIGINT AS value FROM customer""")
 def x24(v):
-    layers = [F.when(F.col("c_custkey") % 5 == 0, "override"), F.when(F.col("c_acctbal") < 0, "db"), F.when(F.col("c_mktsegment") == "BUILDING", "env")]
-    return v.table("customer").select("c_custkey", F.coalesce(*layers, F.lit("default")).alias("value"))
+    """Override, database, environment, the machine's estimate (of flags that have one), default."""
+    cores, memory = F.col("c_nationkey") % 8 + 1, F.col("c_custkey") % 40
+    estimate = F.when(F.col("c_nationkey") % 3 == 0, X.estimated_parallelism(cores, memory, "io")).when(F.col("c_nationkey") % 3 == 1, X.estimated_parallelism(cores, memory, "cpu"))
+    layers = [F.when(F.col("c_custkey") % 5 == 0, 1), F.when(F.col("c_acctbal") < 0, 3), F.when(F.col("c_mktsegment") == "BUILDING", 5), estimate]
+    return v.table("customer").select("c_custkey", F.coalesce(*layers, F.lit(7)).cast("long").alias("value"))
 
 
 @query("x25_clean_text", "SELECT doc_id, sha256(trim(regexp_replace(text || 'fi1', '\\s+', ' ', 'g'))) AS h FROM documents")

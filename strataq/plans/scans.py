@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import ingest
+from ..operators import ingest, retrieval
 from ..sources import store
 from .registry import query
 
@@ -54,12 +54,20 @@ def s05(v):
     return ingest.split_books(docs, min_lines=3)
 
 
-@query("s06_sanitise_ranges", """WITH m AS (SELECT l_orderkey AS id, l_linenumber AS k, greatest(1, l_linenumber * 10 - 5) AS s, least(60, l_linenumber * 10 + l_quantity::INT % 9) AS e FROM lineitem),
-  d AS (SELECT * FROM m WHERE k % 2 = 1), p AS (SELECT * FROM m WHERE k % 2 = 0)
-  SELECT id, k, s, e, 'rule' AS origin FROM d UNION ALL SELECT id, k, s, e, 'model' FROM p WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.id = p.id AND p.s <= d.e AND d.s <= p.e)""")
+@query("s06_sanitise_ranges", """WITH m AS (SELECT l_orderkey AS id, l_linenumber AS k, 'd' || l_partkey % 3 AS name, greatest(1, l_linenumber * 10 - 5) AS s, least(60, l_linenumber * 10 + l_quantity::INT % 9) AS e FROM lineitem),
+  d AS (SELECT * FROM m WHERE k % 2 = 1), p AS (SELECT * FROM m WHERE k % 2 = 0),
+  u AS (SELECT *, 1 AS o FROM d UNION ALL SELECT *, 2 FROM p WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.id = p.id AND p.s <= d.e AND d.s <= p.e)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY id, name ORDER BY o, k, s, e) AS r FROM u)
+  SELECT id, k, s, e, CASE o WHEN 1 THEN 'rule' ELSE 'model' END AS origin, CASE WHEN r > 1 THEN name || '_' || r ELSE name END AS document_id FROM n""")
 def s06(v):
-    m = v.table("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("k"), F.greatest(F.lit(1), F.col("l_linenumber") * 10 - 5).alias("s"), F.least(F.lit(60), F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int") % 9).alias("e"))
-    return ingest.merge_ranges(m.filter("k % 2 = 1"), m.filter("k % 2 = 0"))
+    """Ranges by rule before proposed ones; an id that comes again in a file gets the next free number."""
+    li = v.table("lineitem")
+    m = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("k"), F.concat(F.lit("d"), F.col("l_partkey") % 3).alias("name"), F.greatest(F.lit(1), F.col("l_linenumber") * 10 - 5).alias("s"), F.least(F.lit(60), F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int") % 9).alias("e"))
+    ranges = ingest.merge_ranges(m.filter("k % 2 = 1"), m.filter("k % 2 = 0"))
+    rows = F.sort_array(F.collect_list(F.struct((F.col("origin") == "model").alias("late"), "k", "s", "e", "origin", "name")))
+    each = ranges.groupBy("id").agg(rows.alias("rows"))  # the documents of one file
+    named = each.withColumn("ids", ingest.unique_ids(F.col("rows.name")))
+    return named.select("id", F.inline(F.arrays_zip("rows", "ids"))).select("id", "rows.k", "rows.s", "rows.e", "rows.origin", F.col("ids").alias("document_id"))
 
 
 @query("s07_short_id", "SELECT doc_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 191) || '_' || substr(sha256(t), 1, 8) ELSE t END AS short_id FROM (SELECT doc_id, lower(text) AS t FROM documents)")
@@ -117,16 +125,40 @@ def s14(v):
     return v.chunk.join(v.document.filter("status = 'failed'").select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select("chunk_id")
 
 
-@query("s15_context_text", """WITH h AS (SELECT conv_id, 'History' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS part FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6 GROUP BY conv_id),
-  d AS (SELECT doc_id, 'Chunks' || chr(10) || string_agg(content, chr(10) ORDER BY chunk_index) AS part FROM v_chunk WHERE chunk_index < 3 GROUP BY doc_id)
-  SELECT conv_id, coalesce(d.part || chr(10), '') || h.part AS context FROM h LEFT JOIN d ON conv_id = doc_id""")
+_HEADS = "SELECT doc_id, chapter_id, min_by(content, chunk_index) AS head FROM v_chunk GROUP BY ALL"
+
+
+@query("s15_context_text", f"""WITH q AS (SELECT DISTINCT conv_id AS query_id FROM conversations), hd AS ({_HEADS}),
+  l AS (
+    SELECT doc_id AS query_id, 1 AS block, (chapter_id + 1)::BIGINT AS k, '[doc_id: ' || doc_id || ' | nivel: section | capítulo: ' || chapter_id || '] ' || head AS line FROM hd WHERE chapter_id > 0
+    UNION ALL SELECT doc_id, 1, 0, '[doc_id: ' || doc_id || ' | nivel: document] ' || head FROM hd WHERE chapter_id = 0
+    UNION ALL SELECT doc_id, 2, chunk_index, '[' || (chunk_index + 1) || '] ' || CASE WHEN chunk_index = 0 THEN 'RESULTADO' ELSE 'contexto' END || ' | doc: docs/' || doc_id || '.md | doc_id: ' || doc_id || ' | capítulo: (sin capítulo) | chapter_id: ' || chapter_id || ' | chunk ' || chunk_index || ' | score: ' || CASE chunk_index WHEN 0 THEN '1.0000' WHEN 1 THEN '0.5000' ELSE '0.2500' END || chr(10) || content || chr(10) FROM v_chunk WHERE chunk_index < 3
+    UNION ALL SELECT doc_id, 3, row_number() OVER (PARTITION BY doc_id ORDER BY prop_id), '[' || row_number() OVER (PARTITION BY doc_id ORDER BY prop_id) || '] doc: document ' || doc_id || ' | sección: (sin sección) | chunk_id: ' || prop_id || ' | ' || statement || CASE WHEN prop_id % 2 = 0 THEN ' (cita: ' || left(statement, 10) || ')' ELSE '' END || chr(10) FROM (SELECT p.* FROM v_proposition p JOIN v_chunk USING (chunk_id) WHERE chunk_index < 3 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY prop_id) <= 6)
+    UNION ALL SELECT conv_id, 4, turn, '[' || upper(role) || '] ' || text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6
+    UNION ALL SELECT src, 5, row_number() OVER (PARTITION BY src ORDER BY doc, src, dst), '(' || src || ') -[' || verb || ']-> (' || dst || ') [doc: ' || doc || ']' FROM (SELECT DISTINCT src, dst, verb, 'order ' || chunk_id AS doc, relation_id FROM v_relation QUALIFY row_number() OVER (PARTITION BY src ORDER BY relation_id) <= 25)
+    UNION ALL SELECT doc_id, 6, 0, '[docs/' || doc_id || '.md] ' || head FROM hd WHERE chapter_id = 0
+    UNION ALL SELECT doc_id, 7, chunk_index, '[img/' || chunk_id || '.png] plate ' || chunk_index FROM v_chunk WHERE doc_id % 3 = 0 AND chunk_index % 10 = 4),
+  b AS (SELECT query_id, {", ".join(f"string_agg(line, chr(10) ORDER BY k) FILTER (WHERE block = {i}) AS b{i}" for i in range(1, 8))} FROM q LEFT JOIN l USING (query_id) GROUP BY query_id)
+  SELECT query_id, sha256('--- MARCO TEMÁTICO (resúmenes de documento/sección) ---' || chr(10) || coalesce(b1, '(sin resúmenes recuperados)') || chr(10) || chr(10) || '--- EVIDENCIA TEXTUAL (chunks con cita) ---' || chr(10) || coalesce(b2, '(sin fragmentos recuperados)' || chr(10)) || chr(10)
+    || '--- CAPA ATÓMICA (proposiciones) ---' || chr(10) || coalesce(b3, '(sin proposiciones)' || chr(10)) || chr(10) || coalesce('--- HISTORIAL DE CONVERSACIÓN (referencia) ---' || chr(10) || b4 || chr(10) || chr(10), '')
+    || '--- SUBGRAFO DE ENTIDADES ---' || chr(10) || coalesce(b5, '(sin tripletas)') || chr(10) || chr(10) || '--- RESUMENES DE DOCUMENTO (referencia secundaria) ---' || chr(10) || coalesce(b6, '(sin resúmenes)') || chr(10) || chr(10) || '--- FIGURAS ---' || chr(10) || coalesce(b7, '(sin figuras)')) AS context_sha256 FROM b""")
 def s15(v):
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    h = v.table("conversations").withColumn("r", F.row_number().over(w)).filter("r <= 6")
-    block = lambda df, key, order, text, label: df.groupBy(key).agg(F.concat(F.lit(label + "\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text.alias("t")))), lambda x: x["t"]), "\n")).alias(label))
-    hist = block(h, "conv_id", "turn", F.concat_ws(": ", "role", "text"), "History")
-    chunks = block(v.chunk.filter("chunk_index < 3"), "doc_id", "chunk_index", F.col("content"), "Chunks")
-    return hist.join(chunks, F.col("conv_id") == F.col("doc_id"), "left").select("conv_id", F.concat_ws("\n", "Chunks", "History").alias("context"))
+    """Every conversation's context: summaries, chunks and propositions of the document of its number, its last turns, the triples of that entity, and figures."""
+    queries = v.table("conversations").select(F.col("conv_id").alias("query_id")).distinct()
+    heads = v.chunk.groupBy("doc_id", "chapter_id").agg(F.min_by("content", "chunk_index").alias("text"))
+    summaries = heads.select(F.col("doc_id").alias("query_id"), "doc_id", F.when(F.col("chapter_id") > 0, "section").otherwise("document").alias("level"), "chapter_id", "text")
+    first = v.chunk.filter("chunk_index < 3")
+    score = F.element_at(F.array(*(F.lit(x) for x in (1.0, 0.5, 0.25))), (F.col("chunk_index") + 1).cast("int"))
+    path = F.concat(F.lit("docs/"), F.col("doc_id"), F.lit(".md"))
+    chunks = first.select(F.col("doc_id").alias("query_id"), (F.col("chunk_index") + 1).alias("pos"), (F.col("chunk_index") == 0).alias("is_anchor"), path.alias("doc_path"), "doc_id", F.lit("").alias("chapter"), "chapter_id", "chunk_index", score.alias("score"), "content")
+    props = retrieval.propositions_for(first.select(F.col("doc_id").alias("query_id"), "chunk_id"), v.proposition).withColumn("doc_title", F.concat(F.lit("document "), "doc_id")).withColumn("span", F.when(F.col("prop_id") % 2 == 0, F.left("statement", F.lit(10))))
+    few = Window.partitionBy("src").orderBy("relation_id")
+    triples = v.relation.withColumn("r", F.row_number().over(few)).filter("r <= 25").select(F.col("src").alias("query_id"), F.col("src").alias("source"), F.col("verb").alias("type"), F.col("dst").alias("target"), F.concat(F.lit("order "), "chunk_id").alias("doc"))
+    papers = heads.filter("chapter_id = 0").select(F.col("doc_id").alias("query_id"), path.alias("doc_path"), F.col("text").alias("summary"))
+    figures = ingest.figures(v.illustrated).select(F.col("doc_id").alias("query_id"), "figure", "image", F.col("caption").alias("description"))
+    history = v.table("conversations").select(F.col("conv_id").alias("query_id"), "turn", "role", "text")
+    out = retrieval.context_text(queries, summaries=summaries, chunks=chunks, propositions=props, history=history, triples=triples, documents=papers, figures=figures)
+    return out.select("query_id", F.sha2("context", 256).alias("context_sha256"))
 
 
 @query("s16_markdown_row", "SELECT o_orderkey AS order_id, '# Manifest' || chr(10) || '| id | status | priority |' || chr(10) || '|---|---|---|' || chr(10) || '| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |' || chr(10) || '| 0 | F | old |' AS page FROM orders")
@@ -211,9 +243,10 @@ def f13(v):
     return v.chunk.filter(F.arrays_overlap(X.words(F.col("content"), X.QUERY_WORD), q)).select("chunk_id")
 
 
-@query("f15_noise", "SELECT chunk_id, token FROM (SELECT DISTINCT chunk_id, token FROM v_posting) WHERE length(token) < 3 OR regexp_matches(token, '^[\\d]+$')")
+@query("f15_noise", "SELECT DISTINCT chunk_id, token FROM (SELECT chunk_id, unnest(string_split(content, ' ')) AS token FROM v_chunk) WHERE length(token) < 3 OR regexp_matches(token, '^([\\p{Nd}_]|[^\\p{L}\\p{N}_])+$')")
 def f15(v):
-    return v.posting.select("chunk_id", "token").distinct().filter((F.length("token") < 3) | F.col("token").rlike(r"^[\d]+$"))
+    """Names that say nothing, of all that stands between blanks."""
+    return v.chunk.select("chunk_id", F.explode(F.split("content", " ", -1)).alias("token")).distinct().filter(X.is_noise(F.col("token")))
 
 
 @query("f16_entity_nodes", "SELECT entity_id FROM v_entity WHERE kind = 'part'")

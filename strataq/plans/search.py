@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import graph, ranking, retrieval
+from ..operators import graph, ingest, ranking, retrieval
 from ..sources import store
+from ..sources.views import letters, letters_sql
 from .registry import query
 
 _READY = " AND b.vec_id IN (SELECT id FROM v_document WHERE status = 'ready')"
@@ -202,11 +203,34 @@ def r13(v):
     return ranking.fuse(one)
 
 
-@query("r14_rerank_fallback", _HYBRID + " SELECT query_id, id, rank FROM fused")
-def r14(v, reranker=None):
-    hits = _hybrid(v)
-    scored = hits if reranker is None else hits.withColumn("score", F.coalesce(reranker("query_id", "id"), "score"))
-    return ranking.rank(scored.drop("rank"), ["query_id"]).select("query_id", "id", "rank")
+_LEX40 = "WITH " + _cover_sql(k=40) + ", t AS (SELECT query_id, id, rank, content FROM lexr JOIN v_chunk ON chunk_id = id)"
+
+
+def _first_forty(v):
+    return _lexical(v, 40).select("query_id", "id", "rank").join(v.chunk.select(F.col("chunk_id").alias("id"), "content"), "id")
+
+
+def _short_first(texts):
+    """A reranker without a model: the shorter the better."""
+    return [-float(len(t)) for t in texts]
+
+
+@query("r14_rerank", _LEX40 + " SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY (rank > 30)::INT, CASE WHEN rank <= 30 THEN length(content) END, rank) AS rank FROM t")
+def r14(v):
+    """The first thirty by the reranker, the others after them."""
+    return retrieval.reranked(_first_forty(v), _short_first, text="content").select("query_id", "id", "rank")
+
+
+def _not_all(texts):
+    """Fails on a long text: its query keeps its order."""
+    if any(len(t) > 1200 for t in texts):
+        raise RuntimeError("too long")
+    return _short_first(texts)
+
+
+@query("r14_rerank_fallback", _LEX40 + ", f AS (SELECT query_id, bool_or(length(content) > 1200) FILTER (WHERE rank <= 30) AS failed FROM t GROUP BY 1) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY (rank > 30)::INT, CASE WHEN rank <= 30 AND NOT failed THEN length(content) END, rank) AS rank FROM t JOIN f USING (query_id)")
+def r14b(v):
+    return retrieval.reranked(_first_forty(v), _not_all, text="content", batch=1).select("query_id", "id", "rank")
 
 
 _CONTEXT = _HYBRID + """, a AS (SELECT query_id, rank AS ar, c.doc_id, c.chunk_index FROM fused JOIN v_chunk c ON c.chunk_id = id WHERE rank <= 8),
@@ -225,26 +249,38 @@ def flagship(v):
     return retrieval.context(_hybrid(v).filter("rank <= 8"), v.chunk).join(v.chunk.select("chunk_id", "content"), "chunk_id").select("query_id", "pos", "chunk_id", "content")
 
 
-@query("r16_evidence", _CONTEXT + """ SELECT DISTINCT query_id, 'proposition' AS kind, prop_id AS id FROM ctx JOIN v_proposition USING (chunk_id) UNION ALL SELECT DISTINCT query_id, 'summary', doc_id FROM ctx JOIN v_chunk USING (chunk_id)
-  UNION ALL SELECT DISTINCT query_id, 'figure', chunk_id FROM ctx JOIN v_chunk USING (chunk_id) WHERE contains(content, ' in ')""")
+@query("r16_evidence", _CONTEXT + """, pr AS (SELECT * FROM (SELECT query_id, prop_id, p.chunk_id, statement FROM (SELECT DISTINCT query_id, chunk_id FROM ctx) JOIN v_proposition p USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY prop_id) <= 6) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id, prop_id) <= 120),
+  dc AS (SELECT DISTINCT query_id, doc_id FROM ctx JOIN v_chunk USING (chunk_id))
+  SELECT query_id, 'proposition' AS kind, prop_id::VARCHAR AS id, statement AS text FROM pr UNION ALL SELECT query_id, 'summary', 'docs/' || doc_id || '.md', content FROM dc JOIN v_chunk USING (doc_id) WHERE chunk_index = 0
+  UNION ALL SELECT query_id, 'figure', 'img/' || chunk_id || '.png', 'plate ' || chunk_index FROM ctx JOIN v_chunk USING (chunk_id) WHERE doc_id % 3 = 0 AND chunk_index % 10 = 4""")
 def r16(v):
-    """Propositions, document summaries and figures of the context's chunks; a chunk with ' in ' stands for one with a figure."""
-    ctx = retrieval.context(_hybrid(v).filter("rank <= 8"), v.chunk)
-    chunks = ctx.join(v.chunk.select("chunk_id", "doc_id", "content"), "chunk_id")
-    kind = lambda df, name, c: df.select("query_id", F.lit(name).alias("kind"), F.col(c).alias("id")).distinct()
-    return kind(ctx.join(v.proposition.select("chunk_id", "prop_id"), "chunk_id"), "proposition", "prop_id").unionAll(kind(chunks, "summary", "doc_id")).unionAll(kind(chunks.filter(F.col("content").contains(" in ")), "figure", "chunk_id"))
+    """Figures of the context's chunks, summaries of their documents (their first lines), and their first propositions."""
+    ctx = store.kept(retrieval.context(_hybrid(v).filter("rank <= 8"), v.chunk), "context")
+    found = retrieval.propositions_for(ctx, v.proposition).select("query_id", F.lit("proposition").alias("kind"), F.col("prop_id").cast("string").alias("id"), F.col("statement").alias("text"))
+    documents = ctx.join(v.chunk.select("chunk_id", "doc_id"), "chunk_id").select("query_id", "doc_id").distinct()
+    heads = v.chunk.filter("chunk_index = 0").select("doc_id", "content")
+    summaries = documents.join(heads, "doc_id").select("query_id", F.lit("summary").alias("kind"), F.concat(F.lit("docs/"), "doc_id", F.lit(".md")).alias("id"), F.col("content").alias("text"))
+    figures = ctx.join(ingest.figures(v.illustrated), "chunk_id").select("query_id", F.lit("figure").alias("kind"), F.col("image").alias("id"), F.col("caption").alias("text"))
+    return found.unionByName(summaries).unionByName(figures)
 
 
-@query("r17_grounding", """WITH f AS (SELECT prop_id AS fact_id, CASE WHEN prop_id % 3 = 0 THEN NULL ELSE prop_id END AS prop_id, chunk_id, statement AS s, prop_id % 50 = 2 AND length(statement) BETWEEN 20 AND 200 AS cited, CASE WHEN prop_id % 50 = 2 AND length(statement) BETWEEN 20 AND 200 THEN left(statement, 5) || '~' || substr(statement, 7) WHEN prop_id % 2 = 0 THEN left(statement, 20) ELSE 'zz' || left(statement, 20) END AS quote FROM v_proposition),
-  g AS (SELECT fact_id, cited, length(s) AS n, CASE WHEN contains(p.statement, quote) THEN 'proposition' WHEN contains(c.content, quote) THEN 'chunk' END AS source, p.prop_id IS NOT NULL AS own FROM f LEFT JOIN v_proposition p ON f.prop_id = p.prop_id LEFT JOIN v_chunk c ON f.chunk_id = c.chunk_id)
+_GROUNDING = """WITH f AS (SELECT prop_id AS fact_id, CASE WHEN prop_id % 3 = 0 THEN NULL ELSE prop_id END AS prop_id, chunk_id, statement AS s, prop_id % 50 = 2 AND length(statement) BETWEEN 20 AND 200 AS cited, CASE WHEN prop_id % 50 = 2 AND length(statement) BETWEEN 20 AND 200 THEN left(statement, 5) || '~' || substr(statement, 7) WHEN prop_id % 2 = 0 THEN left(statement, 20) ELSE 'zz' || left(statement, 20) END AS quote FROM v_proposition),
+  g AS (SELECT fact_id, cited, length(s) AS n, CASE WHEN contains(p.statement, quote) THEN 'proposition' WHEN contains(c.content, quote) THEN 'chunk' END AS source, p.prop_id IS NOT NULL AS own FROM f LEFT JOIN v_proposition p ON f.prop_id = p.prop_id LEFT JOIN v_chunk c ON f.chunk_id = c.chunk_id)"""
+
+
+@query("r17_grounding", _GROUNDING + """
   SELECT fact_id, coalesce(source, CASE WHEN own THEN 'proposition' ELSE 'chunk' END) AS source FROM g WHERE source IS NOT NULL OR (cited AND n >= 20)""")
 def r17(v):
+    return _grounded(v).select("fact_id", "source")
+
+
+def _grounded(v):
     """Quotes by substring; those of cited facts, here with one letter changed, also by likeness."""
     p = v.proposition
     cited = (F.col("prop_id") % 50 == 2) & F.length("statement").between(20, 200)
     quote = F.when(cited, F.concat(F.left("statement", F.lit(5)), F.lit("~"), F.expr("substr(statement, 7)"))).when(F.col("prop_id") % 2 == 0, F.left("statement", F.lit(20))).otherwise(F.concat(F.lit("zz"), F.left("statement", F.lit(20))))
     facts = p.select(F.col("prop_id").alias("fact_id"), F.when(F.col("prop_id") % 3 == 0, None).otherwise(F.col("prop_id")).alias("prop_id"), "chunk_id", quote.alias("quote"), cited.alias("cited"))
-    return retrieval.grounded(facts, p, v.chunk).select("fact_id", "source")
+    return retrieval.grounded(facts, p, v.chunk)
 
 
 _FACT = "CASE prop_id % 3 WHEN 0 THEN statement WHEN 1 THEN left(statement, 30) ELSE substr(statement, 3, 12) END"
@@ -257,9 +293,16 @@ def r18(v):
     return retrieval.anchored(p.select(F.col("prop_id").alias("fact_id"), "chunk_id", F.expr(_FACT).alias("fact")), p).select("fact_id", "tier", "prop_id")
 
 
-@query("r19_sufficiency", "SELECT o_custkey, bool_or(o_orderstatus IN ('O', 'P')) AS sufficient FROM orders GROUP BY 1")
+_LEVEL = "CASE {id} % 16 WHEN 0 THEN 'direct_answer' WHEN 5 THEN 'supporting_evidence' ELSE 'background' END"
+
+
+@query("r19_sufficiency", _GROUNDING + ", gr AS (SELECT fact_id FROM g WHERE source IS NOT NULL OR (cited AND n >= 20)), f2 AS (SELECT doc_id, prop_id IN (SELECT fact_id FROM gr) AND " + _LEVEL.format(id="prop_id") + """ <> 'background' AS ok FROM v_proposition)
+  SELECT doc_id, CASE WHEN bool_or(ok) THEN 'SUFFICIENT_FOR_SYNTHESIS' ELSE 'INSUFFICIENT_TRIGGER_BRANCH_B' END AS verdict, 0.5::DOUBLE AS confidence FROM f2 GROUP BY doc_id""")
 def r19(v):
-    return v.table("orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus").isin("O", "P")).alias("sufficient"))
+    """Of every document's facts, whether a grounded one answers or supports."""
+    grounded = _grounded(v).select("fact_id", F.lit(True).alias("grounded"))
+    facts = v.proposition.select("doc_id", F.col("prop_id").alias("fact_id"), F.expr(_LEVEL.format(id="prop_id")).alias("level")).join(grounded, "fact_id", "left")
+    return retrieval.sufficiency(facts.withColumn("grounded", F.col("grounded").isNotNull()), "doc_id")
 
 
 def _round_sql(k: int) -> str:
@@ -312,7 +355,7 @@ _EGO = _EDGES + """, seeds AS (SELECT s_suppkey AS query_id, s_suppkey AS id FRO
 
 
 def _edges(v):
-    """The adjacency as a table: walks read it often."""
+    """The adjacency as a table, as walks read it often."""
     return store.kept(graph.adjacency(v.relation), "adjacency")
 
 
@@ -384,13 +427,14 @@ def g09(v):
 _MENTIONS = "mentions AS (SELECT DISTINCT lower(p_name) AS mention FROM part UNION SELECT DISTINCT lower(p_brand) FROM part UNION SELECT lower(split_part(p_name, ' ', 1)) FROM part)"
 _CAND = _MENTIONS + """, x1 AS (SELECT mention, entity_id AS id, 1 AS tier FROM mentions JOIN v_entity ON mention = name_norm),
   x2 AS (SELECT mention, entity_id AS id, 2 AS tier FROM mentions JOIN v_entity ON contains(name_norm, mention) WHERE mention NOT IN (SELECT mention FROM x1) QUALIFY row_number() OVER (PARTITION BY mention ORDER BY entity_id) <= 5),
-  cand AS (SELECT * FROM x1 UNION ALL SELECT * FROM x2)"""
+  x3 AS (SELECT mention, entity_id AS id, 3 AS tier FROM (SELECT *, round(list_cosine_similarity(mv, ev), 9) AS s FROM (SELECT mention, {mv} AS mv FROM mentions WHERE mention NOT IN (SELECT mention FROM x1) AND mention NOT IN (SELECT mention FROM x2)), (SELECT entity_id, {ev} AS ev FROM v_entity) WHERE list_sum(mv) > 0 AND list_sum(ev) > 0) QUALIFY row_number() OVER (PARTITION BY mention ORDER BY s DESC, entity_id) <= 5),
+  cand AS (SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3)""".replace("{mv}", letters_sql("mention")).replace("{ev}", letters_sql("name_norm"))
 
 
 def _candidates(v):
     p = v.table("part")
     m = p.select(F.lower("p_name").alias("mention")).union(p.select(F.lower("p_brand"))).union(p.select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))))).distinct()
-    return graph.candidates(m, v.entity)
+    return graph.candidates(m, v.entity, embed_fn=letters)
 
 
 @query("g10_entity_candidates", "WITH " + _CAND + " SELECT mention, id, tier FROM cand")
@@ -461,15 +505,19 @@ def g15(v):
     return graph.cooccurrence(v.relation.select(F.col("chunk_id").alias("unit"), F.col("src").alias("id")))
 
 
-@query("d01_embedding_hook")
+@query("d01_embedding_hook", f"SELECT item_id, list_transform({letters_sql('text')}, lambda x: x::BIGINT) AS v FROM benchmark")
 def d01(v):
-    """A deterministic stand-in for the embedding call; a failing batch leaves nulls."""
-    return graph.embed(v.table("benchmark").select("item_id", "text"), lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts], "text").select("item_id", F.element_at("v", 1).alias("first"))
+    """Vectors of the stand-in for the embedding call."""
+    return graph.embed(v.table("benchmark").select("item_id", "text"), letters, "text").select("item_id", F.col("v").cast("array<long>").alias("v"))
 
 
-@query("n19_embed_null_on_error")
-def n19(v):
-    def broken(texts):
-        raise RuntimeError("no model")
+def _no_long_texts(texts):
+    if any(len(t) > 400 for t in texts):
+        raise RuntimeError("too long")
+    return letters(texts)
 
-    return graph.embed(v.table("benchmark").select("item_id", "text"), broken, "text").select("item_id", F.col("v").isNull().alias("missing"))
+
+@query("n19_embed_null_on_error", "SELECT item_id, length(text) > 400 AS missing FROM benchmark")
+def n19(v):
+    """A call that fails leaves its texts without a vector, and the others get theirs."""
+    return graph.embed(v.table("benchmark").select("item_id", "text"), _no_long_texts, "text", batch=1).select("item_id", F.col("v").isNull().alias("missing"))

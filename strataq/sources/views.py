@@ -17,7 +17,7 @@ def letters(texts: list[str]) -> list[list[float]]:
     return [[float(t.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
 
 
-def _letters_sql(text: str) -> str:
+def letters_sql(text: str) -> str:
     return f"list_transform(range(26), lambda i: (length({text}) - length(replace(lower({text}), chr(97 + i::INT), '')))::DOUBLE)"
 
 
@@ -42,8 +42,8 @@ SQL_VIEWS = {
     "v_version": """SELECT o_custkey AS project_id, o_orderkey AS order_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, o_totalprice AS payload, o_orderdate AS created FROM orders""",
     "v_stage": """SELECT l_orderkey AS order_id, l_linenumber AS step, max(l_linestatus) AS stage, min(o_orderdate) AS entered, min(l_shipdate) AS exited, l_linenumber - 1 AS rework FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate GROUP BY l_orderkey, l_linenumber""",
     "v_telemetry": """SELECT event_id, ts, user_id AS artifact_id, CASE event_type WHEN 'view' THEN 'retention_24h' WHEN 'purchase' THEN 'conversion_30d' END AS metric, CAST(round(value * 100) AS BIGINT) AS cents FROM events""",
-    "v_proposition_vec": f"""SELECT prop_id, chunk_id, doc_id, {_letters_sql("statement")} AS v FROM v_proposition""",
-    "v_query_vec": f"""SELECT query_id, {_letters_sql("w[1] || ' ' || w[2]")} AS qv FROM v_query""",
+    "v_proposition_vec": f"""SELECT prop_id, chunk_id, doc_id, {letters_sql("statement")} AS v FROM v_proposition""",
+    "v_query_vec": f"""SELECT query_id, {letters_sql("w[1] || ' ' || w[2]")} AS qv FROM v_query""",
     "v_proposition": """SELECT chunk_id * 1000 + k AS prop_id, chunk_id, doc_id, s AS statement FROM (SELECT chunk_id, doc_id, unnest(string_split(content, '. ')) AS s, generate_subscripts(string_split(content, '. '), 1) AS k FROM v_chunk) WHERE length(s) > 0""",
 }
 

@@ -124,3 +124,42 @@ def test_streams_in_deliveries_equal_the_batch(spark, sf, tmp_path):
             key, cents = (r.user_id, metric[r.event_type]), int(np.floor(abs(r.value) * 100 + 0.5) * np.sign(r.value))
             want[key] = cents if key not in want else (want[key] + cents + 1) // 2
     assert got.keys() == want.keys() and sum(abs(got[k] - want[k]) > 1 for k in want) == 0
+
+
+def fold_all(m, cents):
+    for v in cents:
+        m = v if m is None else (m + v + 1) // 2
+    return m
+
+
+def applied(effect, m):
+    first, halvings, added, low, high, step = effect
+    return first if m is None else (m + added) >> halvings if halvings is not None else high if m >= step else low
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_effects_of_runs(seed):
+    """A run's effect on any average before it, and that of runs joined, is that of its events one by one."""
+    rng = random.Random(seed)
+    for _ in range(150):
+        runs = [[rng.choice([0, 1, -5, rng.randrange(-(10**6), 10**12)]) for _ in range(rng.choice([1, 2, 30, 61, 62, 63, 200]))] for _ in range(rng.randint(1, 4))]
+        whole = [v for r in runs for v in r]
+        joined = telemetry._merged([telemetry._run_effect(r) for r in runs])
+        for m in (None, 0, 1, -1, 10**12, rng.randrange(-(10**15), 10**15), joined[5] if joined[5] is not None else 7, (joined[5] or 0) - 1):
+            if m is None or abs(m) < 1 << 60:
+                assert applied(joined, m) == fold_all(m, whole)
+                assert applied(telemetry._run_effect(whole), m) == fold_all(m, whole)
+
+
+def test_fold_of_one_hot_key(spark):
+    rng = random.Random(1)
+    rows = [(k, k // 7, rng.choice([4, 4, 4, 4, 9]), "m", rng.randrange(10**9)) for k in range(3000)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "event_id long, ts long, artifact_id long, metric string, cents long").repartition(7)
+        got = {r.artifact_id: r.cents for r in telemetry.folded(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got == {a: fold_all(None, [r[4] for r in sorted(rows, key=lambda r: (r[1], r[0])) if r[2] == a]) for a in (4, 9)}
+    assert telemetry.folded(df.limit(0)).count() == 0
