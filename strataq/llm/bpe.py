@@ -246,7 +246,7 @@ def encode(docs: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc
 def decode(rows: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: id, bytes (binary) that the ids spell; a null array spells nothing."""
     small_batches(rows.sparkSession)
-    rows = rows.select(F.col(id_col), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("_ids"))
+    rows = rows.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>")).alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load_encoder(vocabulary, pattern).bpe
@@ -254,7 +254,7 @@ def decode(rows: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc
             got = [bpe.decode(np.array(x.as_py(), np.int64)).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], [id_col, "bytes"])
 
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, bytes binary")
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, bytes binary")
 
 
 def roundtrip_digests(docs: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,9 +268,9 @@ def roundtrip_digests(docs: DataFrame, *, vocabulary: str, pattern: str, id_col:
 
 def _mapped(docs: DataFrame, vocabulary: str, pattern: str, id_col: str, text_col: str, columns: str, make) -> DataFrame:
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_or_empty(f"`{text_col}`").alias("_text"))
     kind = rows.schema["_id"].dataType
-    schema = f"{id_col} {kind.simpleString()}, {columns}"
+    schema = f"`{id_col}` {kind.simpleString()}, {columns}"
     fields = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     kinds = [(c.split()[0], fields[c.split()[1]]) for c in columns.split(", ")]
 

@@ -180,6 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = cut(docs.select(F.col(id_col).alias("_id")).distinct().join(wanted, "_id"), "known")
     chosen = cut(least_hashed(known, "_id", max_labelled), "labelled")
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most max_labelled rows of two numbers
+    # one row per id: of a repeated one the text with the least hash, chosen where the rows lie before any moves
+    rows = rows.groupBy("_id", "_y").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), F.length("_text"))).alias("_text")).select("_id", "_text", "_y")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -128,8 +128,23 @@ def _down(fits: np.ndarray, high: int, low: int) -> Iterator[int]:
         s = int(fits[s - 1])
 
 
-def completions(count: np.ndarray, fits: np.ndarray, room: int, most_waste: int) -> Iterator[dict[int, int]]:
-    """Undominated fillings of room that waste at most most_waste, least waste first; a stack, no recursion."""
+class Work:
+    """What a search may still do: a unit per step of a filling and per filling tested for dominance by another."""
+
+    def __init__(self, units: int):
+        self.left = units
+
+    def spend(self, units: int = 1) -> bool:
+        self.left -= units
+        return self.left > 0
+
+
+#: A test for dominance costs about so many steps.
+TEST_UNITS = 20
+
+
+def completions(count: np.ndarray, fits: np.ndarray, room: int, most_waste: int, work: Work) -> Iterator[dict[int, int]]:
+    """Undominated fillings of room that waste at most most_waste, least waste first; a stack, no recursion.  Ends early where the work is spent."""
     lengths = [int(s) for s in np.flatnonzero(count[: room + 1])]
     sums = reachable(lengths, count, room)
     for waste in range(min(most_waste, room) + 1):
@@ -137,9 +152,12 @@ def completions(count: np.ndarray, fits: np.ndarray, room: int, most_waste: int)
             continue
         stack = [(len(lengths), room - waste, ())]
         while stack:
+            if not work.spend():
+                return
             k, left, path = stack.pop()
             if not left:
                 use = dict(path)
+                work.spend(TEST_UNITS)
                 if not dominated(use, count, fits, waste):
                     yield use
                 continue
@@ -170,8 +188,8 @@ def _take(count: np.ndarray, largest: int, filling: dict[int, int]) -> Bin:
     return times, use
 
 
-def _fill(histogram: dict[int, int], capacity: int, choose) -> list[Bin]:
-    count = _counts(histogram, capacity)
+def _fill(count: np.ndarray, capacity: int, choose) -> list[Bin]:
+    """Every piece of count, the largest first; count is used up."""
     bins: list[Bin] = []
     while count.any():
         largest = int(np.flatnonzero(count)[-1])
@@ -183,7 +201,12 @@ def _fill(histogram: dict[int, int], capacity: int, choose) -> list[Bin]:
 
 
 def least_bins(histogram: dict[int, int], capacity: int) -> int:
-    """A lower bound: pieces over half a bin never share one, and what is left of their bins takes only so much."""
+    """A lower bound, the best of three kinds.
+
+    Pieces over half a bin never share one, and what is left of their bins takes only so much.  At most k pieces over
+    1 / (k + 1) of a bin share one: a piece counts for what a whole number of (k + 1)-ths of a bin says, divided by k, and
+    by its own size where that is exact.  The total length needs room.
+    """
     count = _counts(histogram, capacity)
     size = np.arange(capacity + 1)
     many, much = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * size)])
@@ -193,17 +216,25 @@ def least_bins(histogram: dict[int, int], capacity: int) -> int:
     n = many[capacity - low + 1] - many[half + 1]
     free = n * capacity - (much[capacity - low + 1] - much[half + 1])
     rest = much[half + 1] - much[low]
-    return int(max((alone + n + np.maximum(0, -(-(rest - free) // capacity))).max(), -(-much[-1] // capacity)))
+    best = max(int((alone + n + np.maximum(0, -(-(rest - free) // capacity))).max()), -(-int(much[-1]) // capacity))
+    for k in range(1, 65):
+        parts, over = np.divmod((k + 1) * size, capacity)
+        # in units of 1 / (k * capacity) of a bin, so that the sum is exact
+        worth = sum(int(c) * (int(s) * k if not o else int(p) * capacity) for s, c, p, o in zip(size[count > 0], count[count > 0], parts[count > 0], over[count > 0]))
+        best = max(best, -(-worth // (k * capacity)))
+    return best
 
 
-def _bins(made: list[Bin]) -> int:
+def _bins(made: list[Bin] | tuple[Bin, ...]) -> int:
     return sum(times for times, _ in made)
 
 
-def _branch(histogram: dict[int, int], capacity: int, best: list[Bin], least: int, nodes: int) -> tuple[list[Bin], bool]:
-    """A packing of fewer bins than best if the search meets one, and whether the search came to its end."""
+def _branch(histogram: dict[int, int], capacity: int, best: list[Bin], least: int, work: Work) -> tuple[list[Bin], bool]:
+    """The best packing the search meets, and whether it came to its end.
+
+    On the way down every node's rest is packed by best fit, so the incumbent improves long before a leaf is reached.
+    """
     total = sum(s * n for s, n in histogram.items())
-    stack = [(_counts(histogram, capacity), (), 0)]
     branches: list[Iterator] = []
 
     def fillings(count: np.ndarray, made: tuple, waste: int) -> Iterator[tuple]:
@@ -211,40 +242,45 @@ def _branch(histogram: dict[int, int], capacity: int, best: list[Bin], least: in
         rest = count.copy()
         rest[largest] -= 1
         allowed = (_bins(best) - 1) * capacity - total - waste
-        for use in completions(rest, _fits(rest), capacity - largest, allowed):
+        for use in completions(rest, _fits(rest), capacity - largest, allowed, work):
             after = count.copy()
             times, whole = _take(after, largest, use)
             lost = waste + times * (capacity - sum(s * k for s, k in whole.items()))
             if lost <= (_bins(best) - 1) * capacity - total:
                 yield after, made + ((times, whole),), lost
 
-    branches.append(fillings(*stack[0]))
-    while branches and nodes > 0 and _bins(best) > least:
+    branches.append(fillings(_counts(histogram, capacity), (), 0))
+    while branches and work.left > 0 and _bins(best) > least:
         step = next(branches[-1], None)
         if step is None:
             branches.pop()
             continue
-        nodes -= 1
         count, made, waste = step
-        if count.any():
-            branches.append(fillings(count, made, waste))
-        elif _bins(list(made)) < _bins(best):
+        if _bins(made) >= _bins(best):
+            continue
+        if not count.any():
             best = list(made)
-    return best, not branches or _bins(best) == least
+            continue
+        work.spend(4 * int(np.count_nonzero(count)))
+        rest = _fill(count.copy(), capacity, _best_fit)
+        if _bins(made) + _bins(rest) < _bins(best):
+            best = [*made, *rest]
+        branches.append(fillings(count, made, waste))
+    return best, (not branches and work.left > 0) or _bins(best) == least
 
 
-def pack(histogram: dict[int, int], capacity: int, nodes: int = 2000) -> list[Bin]:
+def pack(histogram: dict[int, int], capacity: int, work: int = 100_000) -> list[Bin]:
     """Bins for {length: pieces}; lengths are 1..capacity.
 
-    nodes bounds the branching, after which the incumbent stands and a warning says so:
-    the problem is NP-hard, and every piece is packed either way.
+    work bounds the branching on the driver (steps and tests of fillings, a second or so), after which the incumbent stands
+    and a warning says so: the problem is NP-hard, and every piece is packed either way.
     """
     least = least_bins(histogram, capacity)
-    made = min((_fill(histogram, capacity, choose) for choose in (_best_fit, complete)), key=_bins)
+    made = min((_fill(_counts(histogram, capacity), capacity, choose) for choose in (_best_fit, complete)), key=_bins)
     if _bins(made) > least:
-        made, proved = _branch(histogram, capacity, made, least, nodes)
+        made, proved = _branch(histogram, capacity, made, least, Work(work))
         if not proved:
-            logging.getLogger(__name__).warning("packing: %d bins, at least %d needed; the search ended after %d nodes", _bins(made), least, nodes)
+            logging.getLogger(__name__).warning("packing: %d bins, at least %d needed; the search ended after %d units of work", _bins(made), least, work)
     return made
 
 

@@ -34,8 +34,8 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's labelled outcome is the quality label of the document it shows, whose id is the last number of its path."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     number = F.nullif(F.regexp_extract(url_filter.url_path(F.col("url")), "([0-9]+)[^0-9]*$", 1), F.lit(""))
-    shown = pages.select("page_id", number.try_cast("long").alias("doc_id"))
-    outcomes = shown.join(read_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("page_id", "quality")
+    shown = pages.select(url_filter.url_host(F.col("url")).alias("host"), number.try_cast("long").alias("doc_id"))
+    outcomes = shown.join(read_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("host", "quality")
     return url_filter.url_filter(pages, outcomes, URL_RULES)
 
 

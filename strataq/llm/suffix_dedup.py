@@ -88,7 +88,7 @@ def runs(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ..
 
 def _keys(id_col: str) -> list[Column]:
     """What names a row: rows alike in id and text have like results."""
-    return [F.xxhash64(F.lit(5), F.col(id_col)).alias("_a"), F.xxhash64("_text").alias("_b")]
+    return [F.xxhash64(F.lit(5), F.col(f"`{id_col}`")).alias("_a"), F.xxhash64("_text").alias("_b")]
 
 
 _RUNS = "_a long, _b long, _at long, _k long, _w long"
@@ -207,7 +207,7 @@ def _order_runs(classes: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_a, _b, spans: array of (start, end) bytes, not yet merged, of every row that has any."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
+    rows = docs.select(F.col(f"`{id_col}`"), text_or_empty(f"`{text_col}`").alias("_text"))
     keyed = rows.select(*_keys(id_col), "_text")
     reach = _reach(length)
     # pass 1: followers met more than once, by counts alone
@@ -260,14 +260,14 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _applied(docs: DataFrame, make, columns: str, length: int, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+def _applied(docs: DataFrame, make, columns: list[tuple[str, str]], length: int, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """keep columns and make(text bytes, merged spans) of every row."""
     spans = cut(repeated_spans(docs, length=length, id_col=id_col, text_col=text_col), "spans")
-    rows = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(f"`{id_col}`").alias("_id"), text_or_empty(f"`{text_col}`").alias("_text"))
     rows = rows.withColumns({"_a": F.xxhash64(F.lit(5), F.col("_id")), "_b": F.xxhash64("_text")}).drop("_id").join(spans.withColumnsRenamed({"_a": "_sa", "_b": "_sb"}), F.col("_a").eqNullSafe(F.col("_sa")) & F.col("_b").eqNullSafe(F.col("_sb")), "left")
     rows = rows.select(*(f"_k{i}" for i in range(len(keep))), "_text", "spans")
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    made = [(c.split()[0], kinds[c.split()[1]]) for c in columns.split(", ")]
+    made = [(c, kinds[k]) for c, k in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(keep)
@@ -276,8 +276,8 @@ def _applied(docs: DataFrame, make, columns: str, length: int, id_col: str, text
             arrays = [pa.array(c, k) for c, (_, k) in zip(zip(*out), made)] if out else [pa.array([], k) for _, k in made]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], [*keep, *(c for c, _ in made)])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return rows.mapInArrow(run, schema + columns)
+    schema = [(c, docs.schema[c].dataType.simpleString()) for c in keep]
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in [*schema, *columns]))
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -294,7 +294,7 @@ def removal_digests(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id
     def make(text: bytes, spans: list[tuple[int, int]]) -> tuple:
         return len(text), sum(e - s for s, e in spans), len(spans), hashlib.sha256(_kept(text, spans)).hexdigest()
 
-    return _applied(docs, make, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, id_col, text_col, [id_col])
+    return _applied(docs, make, [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")], length, id_col, text_col, [id_col])
 
 
 def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -317,4 +317,4 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
         return (_kept(text, whole_characters(text, spans)).decode("utf-8"),)
 
     others = [c for c in docs.columns if c != text_col]
-    return _applied(docs, make, f"`{text_col}` string".replace("`", ""), length, id_col, text_col, others).select(*docs.columns)
+    return _applied(docs, make, [(text_col, "string")], length, id_col, text_col, others).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -114,13 +114,12 @@ def host_reputation(outcomes: DataFrame, *, prior_good: float = 0.8, least: floa
 def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", cutoff: float = 0.5, **prior) -> DataFrame:
     """Per page: id, host, path, rule, verdict, post_upper.
 
-    outcomes: (id, good).  Rules decide first; the rest is allowed unless the
-    host's posterior upper bound is below cutoff.
+    outcomes: (host, good), one row per labelled page: a repeated page id, on one host or several, is so many pages, each
+    with its own outcome.  Rules decide first; the rest is allowed unless the host's posterior upper bound is below cutoff.
     """
-    urls = pages.select(F.col(id_col).alias("_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    outcomes = outcomes.toDF("_id", "good")
-    counted = urls.select("_id", "host").join(outcomes.filter(F.col("_id").isNotNull()), "_id", "left").select("host", "good")
-    reputation = cut(host_reputation(counted, **prior), "reputation")
+    urls = pages.select(F.col(f"`{id_col}`").alias("_id"), url_host(F.col(f"`{url_col}`")).alias("host"), url_path(F.col(f"`{url_col}`")).alias("path"))
+    known = urls.select("host", F.lit(None).cast("int").alias("good")).unionAll(outcomes.toDF("host", "good").select("host", F.col("good").cast("int")))
+    reputation = cut(host_reputation(known.filter("host is not null"), **prior), "reputation")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("post_upper") < cutoff, "block").otherwise("allow")
     return urls.join(reputation.select("host", "post_upper"), "host", "left").select(
