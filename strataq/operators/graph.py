@@ -202,7 +202,7 @@ def disambiguate(found: DataFrame, edges: DataFrame) -> DataFrame:
     w = Window.partitionBy("mention").orderBy(F.desc("score"), "id")
     two = scored.withColumn("r", F.row_number().over(w)).filter("r <= 2").groupBy("mention").agg(F.max_by("id", -F.col("r")).alias("top"), F.max("score").alias("best"), (F.max("score") - F.min("score")).alias("gap"))
     best = two.join(scored.groupBy("mention").agg(F.min("id").alias("first")), "mention")
-    limit = best.agg(F.when(F.count("gap") < 2, F.lit(0.05)).otherwise(F.greatest(F.expr("percentile_disc(0.5) within group (order by gap)"), F.lit(0.05))).alias("m"))
+    limit = best.agg(ranking.margin("gap", 0.05).alias("m"))
     sure = best.crossJoin(F.broadcast(limit))  # one row
     return single.unionAll(sure.select("mention", F.when((F.col("gap") >= F.col("m")) & (F.col("best") > 0), F.col("top")).otherwise(F.col("first")).alias("id")))
 
@@ -303,7 +303,7 @@ def canonical_groups(names: DataFrame, *, least: float = 0.92, floor: float = 0.
     """
     units = names.select("unit").distinct()
     first = _grouped(names, units.withColumn("least_gap", F.lit(floor)), least, block).filter("not isnan(gap)")
-    median = first.groupBy("unit").agg(F.when(F.count(F.lit(1)) > 1, F.greatest(F.expr("percentile_disc(0.5) within group (order by gap)"), F.lit(floor))).otherwise(F.lit(floor)).alias("least_gap"))
+    median = first.groupBy("unit").agg(ranking.margin("gap", floor).alias("least_gap"))
     limits = store.kept(units.join(median, "unit", "left").select("unit", F.coalesce("least_gap", F.lit(floor)).alias("least_gap")), "gaps")
     own = _grouped(names, limits, least, block).select("unit", "pos", F.col("leader").alias("_lead"))
     called = names.select("unit", "pos", "name")

@@ -165,7 +165,7 @@ def a08(v):
 
 @query("a09_gap_percentile", "SELECT s_nationkey, CASE WHEN count(*) < 2 THEN 0.05 ELSE greatest(list_sort(list(s_acctbal))[floor(0.5 * (count(*) - 1))::INT + 1], 0.05) END AS margin FROM supplier GROUP BY 1")
 def a09(v):
-    return v.table("supplier").groupBy("s_nationkey").agg(ranking.margin(F.col("s_acctbal"), 0.5, 0.05).alias("margin"))
+    return v.table("supplier").groupBy("s_nationkey").agg(ranking.margin("s_acctbal", 0.05).alias("margin"))
 
 
 @query("a10_next_version", "SELECT c_custkey, coalesce(max(version), 0) + 1 AS next FROM customer LEFT JOIN v_version ON project_id = c_custkey GROUP BY c_custkey")

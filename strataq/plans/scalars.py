@@ -47,11 +47,16 @@ def x06(v):
     return v.proposition.join(c, "chunk_id").select("prop_id", F.expr("instr(content, statement)").cast("long").alias("start"))
 
 
-@query("x06_collapsed_span", "SELECT * FROM (VALUES (1, 4, 11), (2, 0, 3), (3, NULL, NULL)) t(id, s, e)")
+_PLAIN = "NOT regexp_matches(content, '[\\t\\r\\f\\v]|  ')"
+
+
+@query("x06_collapsed_span", f"SELECT prop_id, instr(content, statement) - 1 AS s, instr(content, statement) - 1 + length(statement) AS e FROM v_proposition JOIN v_chunk USING (chunk_id) WHERE {_PLAIN} AND trim(statement) = statement AND contains(statement, ' ')")
 def x06b(v):
-    rows = v.literal([(1, "ab  cd \n ef", "cd ef"), (2, "xyz", "xyz"), (3, "abc", "q")], "id int, content string, span string")
-    at = fuzzy.collapsed_span(F.col("content"), F.col("span"))
-    return rows.select("id", at["s"].alias("s"), at["e"].alias("e"))
+    """Statements whose blanks were doubled, found where they stood; of chunks with single blanks alone, where the place is plain."""
+    plain = ~F.col("content").rlike(r"[\t\r\f\x0b]|  ") & (F.trim("statement") == F.col("statement")) & F.contains("statement", F.lit(" "))
+    rows = v.proposition.join(v.chunk.select("chunk_id", "content"), "chunk_id").filter(plain)
+    at = fuzzy.collapsed_span(F.col("content"), F.replace("statement", F.lit(" "), F.lit(" \n ")))
+    return rows.select("prop_id", at.alias("at")).select("prop_id", "at.s", "at.e")
 
 
 @query("x07_batch_offsets", """WITH b AS (SELECT doc_id, chunk_id, content, coalesce((sum(length(content) + 2) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0) AS start_ FROM v_chunk),
@@ -151,28 +156,37 @@ def x17(v):
     return p.select("prop_id", (fuzzy.partial_ratio(other, F.col("statement"), 95) >= 95).alias("accepted"))
 
 
-@query("x17_fuzzy_cases", "SELECT * FROM (VALUES (1, 100.0::DOUBLE), (2, 75.0::DOUBLE), (3, 0.0::DOUBLE)) t(id, ratio)")
+@query("x17_fuzzy_cases", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 100.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 50.0::DOUBLE END AS ratio FROM part")
 def x17b(v):
-    rows = v.literal([(1, "abc", "xxabcxx"), (2, "abcd", "zzabxdzz"), (3, "q", "abc")], "id int, a string, b string")
-    return rows.select("id", fuzzy.partial_ratio(F.col("a"), F.col("b")).alias("ratio"))
+    """A brand's letters inside a longer text, against digits alone, and half of them in place of the other half."""
+    name = F.left("p_name", F.lit(4))
+    other = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("12"), name, F.lit("34"))).when(F.col("p_partkey") % 3 == 1, "0123456").otherwise(F.concat(F.left("p_name", F.lit(2)), F.lit("##")))
+    return v.table("part").select("p_partkey", fuzzy.partial_ratio(name, other).alias("ratio"))
 
 
-@query("x18_json_repair", "SELECT * FROM (VALUES (1, '1'), (2, '2'), (3, NULL)) t(id, a)")
+@query("x18_json_repair", "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN json_extract_string(props, '$.k') END AS k FROM events")
 def x18(v):
-    rows = v.literal([(1, "text ```json\n{\"a\": 1,}\n``` end"), (2, "{\"a\": 2, \"b\": [1, 2,]}"), (3, "{\"a\": 3")], "id int, t string")
-    return rows.select("id", F.get_json_object(X.repaired_json(F.col("t")), "$.a").alias("a"))
+    """Model output around an event's properties: in fences with a trailing comma, with text around and a list, plain, and cut off."""
+    body = F.expr("substr(props, 1, length(props) - 1)")
+    fenced = F.concat(F.lit("text ```json\n"), body, F.lit(",}\n``` end"))
+    listed = F.concat(F.lit("so: "), body, F.lit(', "b": [1, 2,]} and so on'))
+    said = F.when(F.col("event_id") % 4 == 0, fenced).when(F.col("event_id") % 4 == 1, listed).when(F.col("event_id") % 4 == 2, F.col("props")).otherwise(body)
+    return v.table("events").select("event_id", F.get_json_object(X.repaired_json(said), "$.k").alias("k"))
 
 
-@query("x19_fragment_merge", "SELECT * FROM (VALUES (1, 'abcdef'), (2, 'abxy'), (3, 'aaab')) t(id, merged)")
+@query("x19_fragment_merge", """WITH f AS (SELECT doc_id, left(text, 60) AS a, substr(text, 41, 60) AS b FROM documents),
+  k AS (SELECT doc_id, a, b, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda n: n = 0 OR right(a, n::INT) = left(b, n::INT))) AS n FROM f) SELECT doc_id, a || substr(b, n::INT + 1) AS merged FROM k""")
 def x19(v):
-    rows = v.literal([(1, "abcd", "cdef"), (2, "ab", "xy"), (3, "aaa", "aab")], "id int, a string, b string")
-    return rows.select("id", fuzzy.merge_fragments(F.col("a"), F.col("b")).alias("merged"))
+    """Two fragments of a text that overlap by twenty characters, or by more where the text repeats itself."""
+    return v.documents.select("doc_id", fuzzy.merge_fragments(F.left("text", F.lit(60)), F.expr("substr(text, 41, 60)")).alias("merged"))
 
 
-@query("x20_deep_merge", "SELECT 1 AS id, '{\"a\":{\"x\":1,\"y\":3},\"b\":[2],\"c\":4}' AS merged")
+@query("x20_deep_merge", """SELECT event_id, '{"a":{"x":' || k || ',"y":3},"b":[2],"c":4}' AS merged FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)""")
 def x20(v):
-    rows = v.literal([(1, '{"a":{"x":1,"y":2},"b":[1]}', '{"a":{"y":3},"b":[2],"c":4}')], "id int, base string, over string")
-    return rows.select("id", fuzzy.deep_merge(F.col("base"), F.col("over")).alias("merged"))
+    """Nested objects merge, scalars and lists are replaced."""
+    k = F.get_json_object("props", "$.k")
+    base, over = F.concat(F.lit('{"a":{"x":'), k, F.lit(',"y":2},"b":[1,9]}')), F.lit('{"a":{"y":3},"b":[2],"c":4}')
+    return v.table("events").select("event_id", fuzzy.deep_merge(base, over).alias("merged"))
 
 
 @query("x21_tool_parameters", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{\"k\":7}' WHEN 1 THEN '{\"k\":5}' ELSE props END AS p FROM events")
@@ -213,11 +227,14 @@ def x25(v):
     return v.table("documents").select("doc_id", F.sha2(X.clean_text(fuzzy.compatible(F.concat("text", F.lit("\u200bﬁ①")))), 256).alias("h"))
 
 
-@query("x26_section_split", "SELECT * FROM (VALUES (0, 1), (1, 2), (2, 2)) t(section, lines)")
+@query("x26_section_split", """WITH n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)
+  SELECT doc_id, 0 AS section, 1 AS lines FROM n UNION ALL SELECT doc_id, 1, n + 1 FROM n UNION ALL SELECT doc_id, 2, 2 FROM n""")
 def x26(v):
-    docs = v.literal([(1, "intro\n# A\nx\n## B\ny")], "doc_id int, text string").select("doc_id", F.inline(ingest.numbered_lines(F.col("text"))))
+    """An introduction, a section with the text (its own # marks aside), and a subsection."""
+    text = F.concat(F.lit("intro\n# A\n"), F.translate("text", "#", " "), F.lit("\n## B\ny"))
+    docs = v.documents.select("doc_id", F.inline(ingest.numbered_lines(text)))
     starts = docs.withColumn("h", F.col("line").rlike(r"^#{1,2}\s").cast("int"))
-    return starts.withColumn("section", F.sum("h").over(Window.partitionBy("doc_id").orderBy("line_no"))).groupBy("section").agg(F.count(F.lit(1)).alias("lines"))
+    return starts.withColumn("section", F.sum("h").over(Window.partitionBy("doc_id").orderBy("line_no"))).groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("x27_scope_string", "SELECT n_regionkey, string_agg(n_name, ' | ' ORDER BY n_name) AS scope FROM nation GROUP BY 1")

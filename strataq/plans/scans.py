@@ -10,8 +10,6 @@ from ..operators import ingest, retrieval
 from ..sources import store
 from .registry import query
 
-BOOK = "# First book\nintro\n## One\nISBN 978-1\n### Deep\nbody\n---\n# Second\nISBN 978-2\ntext ![cap](img/a.png) and <img src=\"b.jpg\" alt=\"B\">\n"
-
 
 @query("s01_scan_documents", "SELECT id, doc_path, token_estimate, status FROM v_document")
 def s01(v):
@@ -48,10 +46,14 @@ def s04(v):
     return v.table("documents").select("doc_id", F.substring("text", 1, 2000).alias("head"), F.size(ingest.headings(F.col("text"))).cast("long").alias("n_headings"))
 
 
-@query("s05_split_books", "SELECT * FROM (VALUES (1, 1, 6, 'First book'), (1, 8, 11, 'Second')) t(doc_id, line_start, line_end, title)")
+@query("s05_split_books", """WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)
+  SELECT doc_id, 1::BIGINT AS line_start, n + 2 AS line_end, 'First ' || doc_id AS title FROM d UNION ALL SELECT doc_id, n + 4, 2 * n + 5, 'Second' FROM d""")
 def s05(v):
-    docs = v.literal([(1, BOOK)], "doc_id int, text string")
-    return ingest.split_books(docs, min_lines=3)
+    """Every text twice in a file, as two books with titles, numbers and a line between them; its own marks are blanked."""
+    body = F.translate("text", "-=_#", "    ")
+    body = F.regexp_replace(body, "ISBN", "isbn")
+    file = F.concat(F.lit("# First "), F.col("doc_id"), F.lit("\nISBN 978-1\n"), body, F.lit("\n---\n# Second\nISBN 978-2\n"), body)
+    return ingest.split_books(v.documents.select("doc_id", file.alias("text")), min_lines=1).select("doc_id", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), "title")
 
 
 @query("s06_sanitise_ranges", """WITH m AS (SELECT l_orderkey AS id, l_linenumber AS k, 'd' || l_partkey % 3 AS name, greatest(1, l_linenumber * 10 - 5) AS s, least(60, l_linenumber * 10 + l_quantity::INT % 9) AS e FROM lineitem),
@@ -75,9 +77,12 @@ def s07(v):
     return v.table("documents").select("doc_id", X.short_id(F.lower("text")).alias("short_id"))
 
 
-@query("s08_images", "SELECT * FROM (VALUES (10, 'img/a.png'), (10, 'b.jpg')) t(line_no, image)")
+@query("s08_images", """SELECT page_id AS doc_id, len(string_split(html, chr(10))) AS line_no, 'pic/' || page_id || '.png' AS image FROM pages
+  UNION ALL SELECT page_id, len(string_split(html, chr(10))) + 1, 'p' || page_id || '.jpg' FROM pages""")
 def s08(v):
-    return ingest.image_references(v.literal([(1, BOOK)], "doc_id int, text string")).select("line_no", "image")
+    """Pages with a picture tag at the end of their last line, and a markdown picture after it."""
+    marked = F.concat("html", F.lit('<img class="x" src="pic/'), F.col("page_id"), F.lit('.png" alt="B">\n![cap](p'), F.col("page_id"), F.lit(".jpg)"))
+    return ingest.image_references(v.table("pages").select(F.col("page_id").alias("doc_id"), marked.alias("text")))
 
 
 @query("s09_caption", "SELECT 'img/' || chunk_id || '.png' AS image, 'plate ' || chunk_index AS caption FROM v_chunk WHERE doc_id % 3 = 0 AND chunk_index % 10 = 4")

@@ -16,6 +16,7 @@ def lists(spark, scores):
     return spark.createDataFrame([(1, i, float(s)) for i, s in enumerate(scores)] or [], "query_id long, id long, score double")
 
 
+# Score curves and the places of their knees.
 @pytest.mark.parametrize(
     "scores, index",
     [([1, 0.5, 0.25, 0.125, 0.0625], 2), ([0.9, 0.5, 0.3, 0.1, 0.05, 0.01], 3), ([0.5] * 5, None), ([1.0, 0.75, 0.5, 0.25, 0.0], None), ([0.9, 0.1], None), ([], None)],
@@ -179,3 +180,19 @@ def test_layered_scores(spark):
     rows = [(1, "d", "x", 7, 0.5, 1), (1, "d", "y", 7, 9.0, 2), (1, "s", "x", 8, 0.25, 1)]
     got = {(r.level, r.id): r.score for r in retrieval.layered_scores(spark.createDataFrame(rows, "query_id long, level string, source string, id long, score double, rank int")).collect()}
     assert got[("d", 7)] == pytest.approx(1 / 61 + 1 / 62) and got[("s", 8)] == 0.25
+
+
+def test_text_helpers_on_single_cases(spark):
+    """Cases that no table has: spans over broken lines, cut-off JSON, overlaps of repeated letters, sections without headings."""
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    at = lambda content, span: one(fuzzy.collapsed_span(F.lit(content), F.lit(span)))
+    assert (at("ab  cd \n ef", "cd ef").s, at("ab  cd \n ef", "cd ef").e) == (4, 11) and at("xyz", "xyz").e == 3 and at("abc", "q").s is None
+    assert [one(fuzzy.partial_ratio(F.lit(a), F.lit(b))) for a, b in (("abc", "xxabcxx"), ("abcd", "zzabxdzz"), ("q", "abc"))] == [100.0, 75.0, 0.0]
+    repaired = lambda t: one(F.get_json_object(X.repaired_json(F.lit(t)), "$.a"))
+    assert [repaired(t) for t in ('text ```json\n{"a": 1,}\n``` end', '{"a": 2, "b": [1, 2,]}', '{"a": 3')] == ["1", "2", None]
+    assert [one(fuzzy.merge_fragments(F.lit(a), F.lit(b))) for a, b in (("abcd", "cdef"), ("ab", "xy"), ("aaa", "aab"))] == ["abcdef", "abxy", "aaab"]
+    assert one(fuzzy.deep_merge(F.lit('{"a":{"x":1,"y":2},"b":[1]}'), F.lit('{"a":{"y":3},"b":[2],"c":4}'))) == '{"a":{"x":1,"y":3},"b":[2],"c":4}'
+    book = "# First book\nintro\n## One\nISBN 978-1\n### Deep\nbody\n---\n# Second\nISBN 978-2\ntext ![cap](img/a.png) and <img src=\"b.jpg\" alt=\"B\">\n"
+    docs = spark.createDataFrame([(1, book)], "doc_id int, text string")
+    assert sorted((r.line_start, r.line_end, r.title) for r in ingest.split_books(docs, min_lines=2).collect()) == [(1, 6, "First book"), (8, 11, "Second")]
+    assert sorted((r.line_no, r.image) for r in ingest.image_references(docs).collect()) == [(10, "b.jpg"), (10, "img/a.png")]
