@@ -1,12 +1,16 @@
 """The pipeline's stages: odd rows, columns, and what each leaves, against brute force."""
 
+import struct
+import zlib
 from collections import Counter
 
 import corpus_pipeline as P
+import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
-from strataq.llm import classifier, line_dedup
+from strataq.llm import classifier, queries
 
 
 @pytest.fixture(scope="module")
@@ -28,19 +32,28 @@ def test_odd_rows(spark, sf, tables):
             out.collect()
 
 
+def without_boilerplate(rows):
+    """Lines with a word on more than a twentieth, and on two at least, of the pages of a source go."""
+    pages, on = Counter(source for _, source, _ in rows), Counter()
+    for _, source, text in rows:
+        on.update({(source, line) for line in text.split("\n") if line.strip(" \t\n\x0b\x0c\r")})
+    gone = {k for k, n in on.items() if n > 1 and n / pages[k[0]] > 0.05}
+    return {i: "\n".join(line for line in text.split("\n") if (source, line) not in gone) for i, source, text in rows}
+
+
 def test_run_against_brute_force(spark, sf, tables):
-    """Stage by stage on what the one before kept; the last stage's rows cover exactly those documents."""
-    docs, kept = tables, {}
-    for name, stage in P.STAGES[:-1]:
-        docs = stage(spark, docs, sf).cache()
-        kept[name] = {r.doc_id: r.text for r in docs.collect()}
-    before = {r.doc_id: r.text for r in tables.collect()}
+    """run() as a whole: what plain Python leaves after each stage, and the rows of the last one."""
+    before = {r.doc_id: r for r in tables.collect()}
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
     model = classifier.fit(tables, labels)
-    good = {r.doc_id for r in classifier.score(tables, model, keep=["doc_id"]).collect() if r.score >= P.REJECT_BELOW}
-    assert set(kept["quality_classifier"]) == good and len(good) > 0.75 * len(before)
-    assert set(kept["line_dedup"]) == good
-    assert kept["line_dedup"] == {r.doc_id: r.text for r in line_dedup.line_dedup(tables.filter(F.col("doc_id").isin(*good))).collect()}
+    texts = [(r.text or "").encode() for r in before.values()]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    scores = model.score(classifier.pooled(model.vectors, np.frombuffer(b"".join(texts), np.uint8), offs))
+    good = {i for i, s in zip(before, scores) if s >= P.REJECT_BELOW}
+    assert len(good) > 0.75 * len(before)
+    known = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in before}
+    assert sum((i in good) == bool(q) for i, q in known.items()) > 0.9 * len(known)
+    kept = {"line_dedup": without_boilerplate([(i, r.source, r.text or "") for i, r in before.items() if i in good])}
     sets = {}
     for i, t in kept["line_dedup"].items():
         w = t.lower().split()
@@ -58,17 +71,23 @@ def test_run_against_brute_force(spark, sf, tables):
             n = len(sets[a] & sets[b]) if b < a else 0
             if n and 5 * n >= 4 * len(sets[a] | sets[b]):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
-    assert set(kept["ngram_jaccard"]) == {root(i) for i in ids}
+    kept["ngram_jaccard"] = {i: kept["line_dedup"][i] for i in {root(i) for i in ids}}
     starts = Counter(t.encode()[k : k + 200] for t in kept["ngram_jaccard"].values() for k in range(len(t.encode()) - 199))
+    kept["suffix_dedup"] = {}
     for i, t in kept["ngram_jaccard"].items():
         data, mark = t.encode(), bytearray(len(t.encode()))
         for k in range(len(data) - 199):
             if starts[data[k : k + 200]] > 1:
                 mark[k : k + 200] = b"\1" * 200
-        left = "".join(c for c, m in zip(t, (all(mark[a:b]) for a, b in _spans(t))) if not m)
-        assert kept["suffix_dedup"][i] == left
-    packed = P.STAGES[-1][1](spark, docs, sf).collect()
-    assert {r.doc_id for r in packed} == set(kept["suffix_dedup"])
+        kept["suffix_dedup"][i] = "".join(c for c, m in zip(t, (all(mark[a:b]) for a, b in _spans(t))) if not m)
+    library, want = tokenizers.Tokenizer.from_file(queries.WORD_BPE), []
+    for i, t in kept["suffix_dedup"].items():
+        ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            part = ids[k : k + 4096]
+            want.append((i, k // 4096, k, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))))
+    packed = P.run(spark, sf).collect()
+    assert sorted(tuple(r)[:5] for r in packed) == sorted(want)
     assert len({r.sequence_id for r in packed}) == -(-sum(r.length for r in packed) // 4096)
 
 
