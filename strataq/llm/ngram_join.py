@@ -2,12 +2,13 @@
 
 Texts with equal n-gram sets are one class from the start.  Sets below a size
 boundary are light: each enumerates its subsets of the sizes that an
-intersection with a partner can have, and two sets that enumerate the same
-subset are linked, without looking at them again.  Larger sets are heavy: they
+intersection with a partner can have (all but two elements at least), and two
+sets that enumerate the same subset are linked, without looking at them again.  Larger sets are heavy: they
 enter inverted lists under the first of their n-grams in a fixed order, enough
 of them that linked sets meet in at least `share` lists; sets with fewer
 shared lists are out, the others scan the lists.  The boundary is the one of
-least cost over the histogram of set sizes.
+least cost: how many subsets the sets of each size have against how long the
+lists are that they would enter, both counted in the corpus first.
 
 Scanning a list never emits its pairs.  Every member is first held against the
 pivot of its lists (the class of most lists), linked members become one
@@ -46,8 +47,10 @@ from .bloom import maybe_in
 from .common import cut, discard, small_batches, text_or_empty, tidy, whole_row
 
 U = np.uint64
-#: Cost of one inverted list entry against one subset: it is scanned, and its set verified.
-ENTRY_COST = 4
+#: Light sets lose at most so many elements: with three, their subsets are too many for any lists.
+MOST_REMOVED = 2
+#: Costs in rows moved: an entry moves when lists are counted, met and trimmed, and is held against each other member of its list.
+ENTRY_COST, PAIR_COST = 4, 1
 #: Open members of a list that one task tests in place; longer lists go by differences to a pivot, with the same answers.
 SCAN = 256
 #: Bits of a parity sketch: the power of two from so many times the most elements in which linked sets differ.
@@ -92,18 +95,23 @@ class Threshold:
         return self.prefix(size) + self.share(size) - 1
 
     def most_light(self) -> int:
-        """Largest size at which subsets can cost less than list entries: from three removable elements on they never do."""
-        s = top = 1
-        while self.removable(s) < 3:
-            if self.subsets(s) <= ENTRY_COST * self.entries(s):
-                top = s
+        """Largest size that may be light."""
+        s = 1
+        while self.removable(s + 1) <= MOST_REMOVED:
             s += 1
-        return top
+        return s
 
-    def boundary(self, histogram: dict[int, int]) -> int:
-        """Sets smaller than this are light: the cheapest over the histogram of sizes up to most_light()."""
+    def boundary(self, scans: dict[int, tuple[int, int, int]]) -> int:
+        """Sets smaller than this are light: the cheapest over what sets of each size would do.
+
+        scans: size -> (sets, entries in lists, other members of those lists), as counted in the corpus.  Lists grow
+        with what the corpus repeats, subsets do not, so the boundary rises where n-grams are common.
+        """
         top = self.most_light()
-        cost = lambda b: sum(n * (self.subsets(s) if s < b else ENTRY_COST * self.entries(s)) for s, n in histogram.items() if 0 < s <= top)
+        light = lambda s: scans[s][0] * self.subsets(s)
+        heavy = lambda s: ENTRY_COST * scans[s][1] + PAIR_COST * scans[s][2]
+        sizes = [s for s in scans if 0 < s <= top]
+        cost = lambda b: sum(light(s) if s < b else heavy(s) for s in sizes)
         return min(range(1, top + 2), key=lambda b: (cost(b), b))
 
     def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -175,7 +183,7 @@ def within(i: np.ndarray, j: np.ndarray, size: np.ndarray, words: np.ndarray, st
 
 
 def _entries(rows: DataFrame, n: int, limit: Threshold) -> DataFrame:
-    """_id, _h (text hash), _size, _c (class), _lists (n-grams it is listed under), _sub, _gone (light subsets), _sk (sketch)."""
+    """_id, _h (text hash), _size, _c (class), _lists (n-grams it is listed under), _small (the whole set where it may be light), _sk (sketch)."""
     top = limit.most_light()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,20 +195,32 @@ def _entries(rows: DataFrame, n: int, limit: Threshold) -> DataFrame:
                 marks = B.mix(gram + U(0x51ED270B))
                 total = np.concatenate([[U(0)], np.cumsum(marks, dtype=U)])
                 cls = B.mix((total[at[1:]] - total[at[:-1]]) ^ B.mix(size.astype(U)))
-                lists, sub, gone = [], [], []
+                lists, small = [], []
                 for i, j in zip(at, at[1:]):
                     s = int(j - i)
-                    own = gram[i:j]  # ascending fingerprints: the fixed order
-                    lists.append(own[: limit.entries(s)].view(np.int64).tolist() if s else [])
-                    h, a = _subsets(own, limit) if 0 < s <= top else ([], [])
-                    sub.append(h), gone.append(a)
+                    own = gram[i:j].view(np.int64)  # ascending fingerprints: the fixed order
+                    lists.append(own[: limit.entries(s)].tolist() if s else [])
+                    small.append(own.tolist() if s <= top else [])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(size.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(sub, pa.list_(pa.int64())), pa.array(gone, pa.list_(pa.int32())), pa.array(parity_sketches(doc, gram, size, limit), pa.binary())],
-                    ["_id", "_h", "_size", "_c", "_lists", "_sub", "_gone", "_sk"],
+                    [part.column(0), part.column(1), pa.array(size.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64())), pa.array(parity_sketches(doc, gram, size, limit), pa.binary())],
+                    ["_id", "_h", "_size", "_c", "_lists", "_small", "_sk"],
                 )
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, _h long, _size long, _c long, _lists array<long>, _sub array<long>, _gone array<int>, _sk binary")
+    return rows.mapInArrow(run, f"_id {kind}, _h long, _size long, _c long, _lists array<long>, _small array<long>, _sk binary")
+
+
+def _scans(entries: DataFrame, limit: Threshold) -> dict[int, tuple[int, int, int]]:
+    """What Threshold.boundary() asks for: of each size that may be light, its classes, their entries, and the other members of their lists.
+
+    Only classes within a link's reach of such sizes are counted, for no other shares a list with them to any purpose.
+    """
+    top = limit.most_light()
+    near = entries.filter(f"_size > 0 and {limit.num} * _size <= {limit.den * top}").groupBy("_c").agg(F.first("_size").alias("_size"), F.first("_lists").alias("_lists"))
+    each = cut(near.select("_size", F.explode("_lists").alias("_t"), F.lit(1).alias("_one")), "scans")
+    members = each.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
+    met = each.filter(f"_size <= {top}").join(members, "_t").groupBy("_size").agg(F.count(F.lit(1)).alias("_entries"), F.sum(F.col("_n") - 1).alias("_others"))
+    return {r[0]: (r[1] // limit.entries(r[0]), r[1], r[2]) for r in met.collect()}  # at most `top` rows
 
 
 def _sets(rows: DataFrame, n: int) -> DataFrame:
@@ -390,9 +410,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 4, den: int =
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_h"), text_or_empty(text_col).alias("_text"))
     entries = cut(_entries(rows, n, limit).withColumn("_row", F.monotonically_increasing_id()), "entries")
-    top = limit.most_light()
-    histogram = {r[0]: r[1] for r in entries.filter(f"_size between 1 and {top}").groupBy("_size").count().collect()}  # at most `top` rows
-    bound = limit.boundary(histogram)
+    bound = limit.boundary(_scans(entries, limit))
     edges = _light_edges(entries.filter(f"_size between 1 and {bound - 1}"), limit)
     heavy = entries.filter(f"{den} * _size >= {num * bound}")  # also light sets that can link with heavy ones
     listed = heavy.select(F.explode("_lists").alias("_t"), "_c")
@@ -499,7 +517,16 @@ def _rarest(met: DataFrame, limit: Threshold) -> DataFrame:
 
 def _light_edges(light: DataFrame, limit: Threshold) -> DataFrame:
     """Star edges of sets that enumerate a common subset: to the set that removed least, by which all linked ones hang together."""
-    each = light.select("_c", "_size", F.explode(F.arrays_zip("_sub", "_gone")).alias("_z")).select("_c", F.col("_z._sub").alias("_s"), F.col("_z._gone").alias("_a"), (F.col("_size") - F.col("_z._gone")).alias("_i"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, small in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = small.values.to_numpy().view(U)
+                h, gone = _subsets(own, limit)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), c)), pa.array(h, pa.int64()), pa.array(gone, pa.int64()), pa.array(own.size - np.array(gone, np.int64))], ["_c", "_s", "_a", "_i"])
+
+    classes = light.groupBy("_c").agg(F.first("_small").alias("_small"))
+    each = cut(classes.mapInArrow(run, "_c long, _s long, _a long, _i long"), "subsets")
     centre = each.groupBy("_s", "_i").agg(F.min(F.struct("_a", "_c")).alias("_m"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).filter("_lo <> _hi")
     fits = limit.den * F.col("_i") >= limit.num * (F.col("_i") + F.col("_a") + F.col("_m._a"))
     return each.join(cut(centre, "centres"), ["_s", "_i"]).filter((F.col("_c") != F.col("_m._c")) & fits).select(F.col("_c").alias("x"), F.col("_m._c").alias("y")).distinct()

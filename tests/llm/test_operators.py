@@ -353,11 +353,49 @@ def test_sketches_never_part_linked_sets():
 
 
 def test_boundary_follows_cost():
+    """Short lists are scanned; where lists are long, sets of the same sizes enumerate subsets, up to the size where these are too many."""
     limit = ngram_join.Threshold(9, 10)
-    assert limit.boundary({5: 100}) > 5 and limit.subsets(9) == 1 and limit.subsets(10) == 11
+    assert [limit.subsets(s) for s in (9, 10, 19, 20)] == [1, 11, 20, 211] and limit.most_light() == 29
+    short = {s: (100, 100 * limit.entries(s), 50) for s in range(1, 30)}
+    long = {s: (100, 100 * limit.entries(s), 100 * limit.entries(s) * 40) for s in range(1, 30)}
+    longest = {s: (100, 100 * limit.entries(s), 100 * limit.entries(s) * 900) for s in range(1, 30)}
+    found = [limit.boundary(x) for x in (short, long, longest)]
+    assert found[0] <= 10 < found[1] == 20 < found[2] == 30
+    assert limit.boundary({}) == 1
     assert all(limit.den * i >= limit.num * (i + limit.removable(s)) for s in range(1, 25) for i in [s - limit.removable(s)])
 
 
+@pytest.fixture(scope="module")
+def short_texts():
+    """Sets of 8 to 34 n-grams in families that share most of them, and one run of words that all of them begin with."""
+    rng = random.Random(21)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    out = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(10, 36))]
+        for _ in range(rng.randint(1, 5)):
+            c = list(base)
+            if rng.random() < 0.6:
+                c[rng.choice([0, -1])] = word()
+            if rng.random() < 0.3:
+                c.append(word())
+            out.append(" ".join(c))
+    return out + [" ".join(["one", "two", "three"] + [word() for _ in range(rng.randint(6, 20))]) for _ in range(60)]
+
+
+@pytest.mark.parametrize("bound", [None, 1, 10, 15, 20, 30])
+def test_components_at_any_boundary(spark, short_texts, monkeypatch, bound):
+    """Light and heavy ways give the same components wherever the boundary lies."""
+    seen = []
+    if bound:
+        monkeypatch.setattr(ngram_join.Threshold, "boundary", lambda self, scans: seen.append(scans) or bound)
+    got = {r._id: (r.n_shingles, r.component) for r in ngram_join.jaccard_components(frame(spark, list(enumerate(short_texts))).repartition(3), n=3, num=9, den=10).collect()}
+    assert [got[i] for i in range(len(short_texts))] == linked(short_texts, 3, 9, 10)
+    if seen:
+        limit, sizes = ngram_join.Threshold(9, 10), Counter(len(s) for s in {frozenset(tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)) for t in short_texts})
+        assert {s: v[0] for s, v in seen[0].items()} == {s: n for s, n in sizes.items() if s <= limit.most_light()}
+
+
 # 8 quality classifier
 
 
