@@ -49,8 +49,8 @@ from .common import cut, discard, small_batches, text_or_empty, tidy, whole_row
 U = np.uint64
 #: Light sets lose at most so many elements: with three, their subsets are too many for any lists.
 MOST_REMOVED = 2
-#: Costs in rows moved: an entry moves when lists are counted, met and trimmed, and is held against each other member of its list.
-ENTRY_COST, PAIR_COST = 4, 1
+#: Costs, in tests of a pair where it lies: a subset moves once, an entry when lists are counted, met, trimmed and opened.
+SUBSET_COST, ENTRY_COST = 50, 200
 #: Open members of a list that one task tests in place; longer lists go by differences to a pivot, with the same answers.
 SCAN = 256
 #: Bits of a parity sketch: the power of two from so many times the most elements in which linked sets differ.
@@ -104,12 +104,12 @@ class Threshold:
     def boundary(self, scans: dict[int, tuple[int, int, int]]) -> int:
         """Sets smaller than this are light: the cheapest over what sets of each size would do.
 
-        scans: size -> (sets, entries in lists, other members of those lists), as counted in the corpus.  Lists grow
-        with what the corpus repeats, subsets do not, so the boundary rises where n-grams are common.
+        scans: size -> (sets, entries in lists, tests against other members of those lists), as counted in the corpus.
+        Lists grow with what the corpus repeats, subsets do not, so the boundary rises where n-grams are common.
         """
         top = self.most_light()
-        light = lambda s: scans[s][0] * self.subsets(s)
-        heavy = lambda s: ENTRY_COST * scans[s][1] + PAIR_COST * scans[s][2]
+        light = lambda s: SUBSET_COST * scans[s][0] * self.subsets(s)
+        heavy = lambda s: ENTRY_COST * scans[s][1] + scans[s][2]
         sizes = [s for s in scans if 0 < s <= top]
         cost = lambda b: sum(light(s) if s < b else heavy(s) for s in sizes)
         return min(range(1, top + 2), key=lambda b: (cost(b), b))
@@ -211,7 +211,7 @@ def _entries(rows: DataFrame, n: int, limit: Threshold) -> DataFrame:
 
 
 def _scans(entries: DataFrame, limit: Threshold) -> dict[int, tuple[int, int, int]]:
-    """What Threshold.boundary() asks for: of each size that may be light, its classes, their entries, and the other members of their lists.
+    """What Threshold.boundary() asks for: of each size that may be light, its classes, their entries, and the other members of their lists (of longer ones SCAN, as these are not tested by pairs).
 
     Only classes within a link's reach of such sizes are counted, for no other shares a list with them to any purpose.
     """
@@ -219,7 +219,7 @@ def _scans(entries: DataFrame, limit: Threshold) -> dict[int, tuple[int, int, in
     near = entries.filter(f"_size > 0 and {limit.num} * _size <= {limit.den * top}").groupBy("_c").agg(F.first("_size").alias("_size"), F.first("_lists").alias("_lists"))
     each = cut(near.select("_size", F.explode("_lists").alias("_t"), F.lit(1).alias("_one")), "scans")
     members = each.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
-    met = each.filter(f"_size <= {top}").join(members, "_t").groupBy("_size").agg(F.count(F.lit(1)).alias("_entries"), F.sum(F.col("_n") - 1).alias("_others"))
+    met = each.filter(f"_size <= {top}").join(members, "_t").groupBy("_size").agg(F.count(F.lit(1)).alias("_entries"), F.sum(F.least(F.col("_n") - 1, F.lit(SCAN))).alias("_others"))
     return {r[0]: (r[1] // limit.entries(r[0]), r[1], r[2]) for r in met.collect()}  # at most `top` rows
 
 

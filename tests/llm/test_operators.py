@@ -353,14 +353,14 @@ def test_sketches_never_part_linked_sets():
 
 
 def test_boundary_follows_cost():
-    """Short lists are scanned; where lists are long, sets of the same sizes enumerate subsets, up to the size where these are too many."""
+    """Short lists are scanned; where lists are long, sets of the same sizes enumerate subsets, up to the size where these cost more than any list."""
     limit = ngram_join.Threshold(9, 10)
     assert [limit.subsets(s) for s in (9, 10, 19, 20)] == [1, 11, 20, 211] and limit.most_light() == 29
     short = {s: (100, 100 * limit.entries(s), 50) for s in range(1, 30)}
-    long = {s: (100, 100 * limit.entries(s), 100 * limit.entries(s) * 40) for s in range(1, 30)}
-    longest = {s: (100, 100 * limit.entries(s), 100 * limit.entries(s) * 900) for s in range(1, 30)}
-    found = [limit.boundary(x) for x in (short, long, longest)]
-    assert found[0] <= 10 < found[1] == 20 < found[2] == 30
+    long = {s: (100, 100 * limit.entries(s), 100 * limit.entries(s) * 200) for s in range(1, 30)}
+    assert limit.boundary(short) <= 10 and limit.boundary(long) == 20
+    assert limit.boundary({s: x for s, x in short.items() if s < 15} | {s: x for s, x in long.items() if s >= 15}) == 20
+    assert limit.boundary({s: x for s, x in long.items() if s < 15} | {s: x for s, x in short.items() if s >= 15}) == 15
     assert limit.boundary({}) == 1
     assert all(limit.den * i >= limit.num * (i + limit.removable(s)) for s in range(1, 25) for i in [s - limit.removable(s)])
 
