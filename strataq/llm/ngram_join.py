@@ -54,7 +54,7 @@ SUBSET_COST, ENTRY_COST = 50, 200
 #: Open members of a list that one task tests in place; longer lists go by differences to a pivot, with the same answers.
 SCAN = 256
 #: Bits of a parity sketch: the power of two from so many times the most elements in which linked sets differ.
-SKETCH, LEAST_BITS, MOST_BITS = 16, 128, 16384
+SKETCH, LEAST_BITS, MOST_BITS = 8, 128, 16384
 #: Rows of a group of differences that one task holds against as many others; larger groups are dealt in pairs of blocks.
 BLOCK = 2048
 
