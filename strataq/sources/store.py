@@ -5,10 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package, wherever the session was started; on a cluster it is installed."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path under the session's spark.checkpoint.dir.
 
