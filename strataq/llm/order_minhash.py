@@ -103,7 +103,7 @@ def _successors(rows: DataFrame) -> DataFrame:
     turns = F.broadcast(rows.sparkSession.createDataFrame(turns, "_p long, _last long, _first long"))  # a row per partition
     at = placed.withColumn("_p", part).join(turns, "_p").withColumn("_next", F.when(F.col("_o") == F.col("_last"), F.col("_first")).otherwise(F.col("_o") + 1))
     following = placed.select(F.col("_o").alias("_next"), F.col("_i").alias("_ni"), F.col("_h").alias("_nh"))
-    return cut(at.join(following, "_next").select("_i", "_h", "_chars", "_copies", "_ni", "_nh"), "successors")
+    return at.join(following, "_next").select("_i", "_h", "_chars", "_copies", "_ni", "_nh")
 
 
 def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

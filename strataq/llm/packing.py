@@ -7,7 +7,9 @@ largest remaining length by an undominated filling of least waste, and repeated
 as often as its lengths last, so there are few distinct bins.  The best-fit
 packing is the first incumbent.  Where the better of the two does not reach the
 lower bound, a depth-first search branches over the undominated fillings of each
-bin, in order of waste, and prunes what cannot waste less than the incumbent.
+bin, in order of waste, prunes what cannot waste less than the incumbent, and
+packs every node's rest by best fit, so that the incumbent improves on the way.
+The search is bounded in the steps of fillings it may take.
 Sums that remaining lengths can reach are bit sets, so a branch whose least
 possible waste is too large is never entered.
 

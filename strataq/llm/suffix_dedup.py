@@ -1,25 +1,27 @@
-"""Repeated substrings by prefix-free parsing, spread over a cluster.
+"""Repeated substrings by the triggers of prefix-free parsing, settled by counts where counts suffice.
+
+This is not the dealt method to its end: no suffix array of a whole dictionary or parse is made (README has the
+figures why).  What is kept of it are the triggers, phrases that agree wherever the text agrees, and, where counts do
+not decide, the order of suffixes before and continuations after a trigger.
 
 Triggers.  Every window of `length` bytes has one trigger: the first place of
 least rolling hash among its first `reach` places.  Equal windows have their
-trigger at the same place in them, so triggers cut the corpus into phrases that
-agree wherever the text agrees; a run of windows shares each trigger.
-
-Dictionary and parse.  A trigger occurrence is known by two fingerprints: of
-what surely follows it in each of its windows (the parse side) and of all its
-run's windows, i.e. also the end of the phrase before it (the dictionary side).
-Followers met once end there: none of their windows repeats.  Where all
-occurrences of a follower agree on the whole run, all windows repeat.  Both are
-settled by counts with map-side combination.  What is left, the distinct runs
-around the ends of repeats, is ordered: suffixes of the phrases before the
-trigger and continuations of the parse after it are sorted, each with the common
-prefix lengths of neighbours, and the two orders combine into the corpus order
-of the windows, in which equal windows are those of one dictionary suffix whose
-continuations share enough.  Phrases repeat as the text does, so a highly
-repetitive corpus leaves few distinct runs.
-
-A follower with very many distinct runs is split by salt; equal windows of
-different salts then meet through 128-bit fingerprints, again combined first.
+trigger at the same place in them; a run of windows shares each trigger.
+
+Counts.  A trigger occurrence is known by two fingerprints: of what surely
+follows it in each of its windows, and of all its run's windows, i.e. also the
+end of the phrase before it.  Followers met once end there: none of their windows
+repeats.  Where all occurrences of a follower agree on the whole run, all windows
+repeat.  Both are settled by counts of 64-bit fingerprints with map-side
+combination.
+
+Order.  What is left, the distinct runs around the ends of repeats, is ordered
+per follower: suffixes of the phrases before the trigger and continuations after
+it are sorted, each with the common prefix lengths of neighbours, and the two
+orders combine into the order of these windows, in which equal windows are those
+of one suffix whose continuations share enough.  A follower with more than
+HOT_RUNS distinct runs is split by salt, and equal windows of different salts meet
+through 128-bit fingerprints, again combined first; results are the same.
 
 Defined results: a null text is empty; matches never cross documents; texts
 below `length` bytes keep everything; whole texts of any length; repeated rows
