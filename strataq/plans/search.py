@@ -392,7 +392,7 @@ def g05(v):
 
 _STEP = "p{k} AS (SELECT n.query_id, n.id, 0.85::DOUBLE * (n.id = n.query_id)::INT + 0.15::DOUBLE * coalesce(sum(m.share * p.score), 0) AS score FROM nodes n LEFT JOIN m ON m.query_id = n.query_id AND m.b = n.id LEFT JOIN p{j} p ON p.query_id = m.query_id AND p.id = m.a GROUP BY n.query_id, n.id)"
 _PPR = _EGO + """, nodes AS (SELECT DISTINCT query_id, a AS id FROM net), m AS (SELECT query_id, a, b, weight / sum(weight) OVER (PARTITION BY query_id, a) AS share FROM net),
-  p0 AS (SELECT query_id, id, 1.0::DOUBLE / count(*) OVER (PARTITION BY query_id) AS score FROM nodes), """ + ", ".join(_STEP.format(k=k, j=k - 1) for k in range(1, 11))
+  p0 AS (SELECT query_id, id, 1.0::DOUBLE / count(*) OVER (PARTITION BY query_id) AS score FROM nodes), """ + ", ".join(_STEP.format(k=k, j=k - 1) for k in range(1, 17))
 
 
 def _ppr(v):
@@ -400,12 +400,13 @@ def _ppr(v):
     return graph.pagerank(graph.ego(_edges(v), seeds), seeds, tolerance=1e-9)
 
 
-@query("g06_personalised_pagerank", "WITH " + _PPR + " SELECT query_id, id, round(score, 6) AS score FROM p10")
+@query("g06_personalised_pagerank", "WITH " + _PPR + " SELECT query_id, id, round(score, 6) AS score FROM p16")
 def g06(v):
     return _ppr(v).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("g07_selected_nodes")
+@query("g07_selected_nodes", "WITH " + _PPR + ", lists AS (SELECT query_id, id, round(score, 9) AS score FROM p16 WHERE id IN (SELECT entity_id FROM v_entity)), " + _KNEE + """, st AS (SELECT query_id, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS sd FROM lists GROUP BY 1)
+  SELECT c.query_id, c.id FROM c JOIN st USING (query_id) LEFT JOIN k USING (query_id) WHERE c.score >= CASE WHEN st.n >= 100 THEN greatest(coalesce(knee, 0.02::DOUBLE * hi), mean + 0.5::DOUBLE * sd) ELSE coalesce(knee, 0.02::DOUBLE * hi) END""")
 def g07(v):
     """Entity nodes of the two-hop network, by the knee."""
     entities = v.entity.select(F.col("entity_id").alias("id"))
