@@ -100,16 +100,25 @@ def replace_by_key(old: DataFrame, new: DataFrame, *, keys: list[str]) -> DataFr
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+def _numbered(starts: Column, n: Column) -> Column:
+    """Group number of each of n items whose groups start at the given places, the first at 0."""
+    return F.flatten(F.transform(starts, lambda at, g: F.array_repeat(g.cast("long"), (F.coalesce(F.get(starts, g + 1), n) - at).cast("int"))))
+
+
 def packed(items: Column, budget: int) -> Column:
-    """Group number of each item of an ordered array<long> of sizes: greedy, a new group where the sum would pass budget."""
-    start = F.struct(F.lit(0).cast("long").alias("group"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("out"))
+    """Group number of each item of an ordered array<long> of sizes: greedy, a new group where the sum would pass budget.
+
+    The walk keeps the places where groups start, so what it copies grows with the groups and not with the items.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("sum"), F.array(F.lit(0)).alias("starts"))
 
     def step(acc: Column, x: Column) -> Column:
         new = (acc["sum"] > 0) & (acc["sum"] + x > budget)
-        group = acc["group"] + F.when(new, 1).otherwise(0)
-        return F.struct(group.alias("group"), F.when(new, x).otherwise(acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(group)).alias("out"))
+        starts = F.when(new, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"])
+        return F.struct((acc["at"] + 1).alias("at"), F.when(new, x).otherwise(acc["sum"] + x).alias("sum"), starts.alias("starts"))
 
-    return F.aggregate(items, start, step, lambda acc: acc["out"])
+    starts = F.aggregate(items, start, step, lambda acc: acc["starts"])
+    return F.when(F.size(items) > 0, F.transform(F.array(starts), lambda s: _numbered(s, F.size(items)))[0]).otherwise(F.array().cast("array<bigint>"))
 
 
 def greedy_groups(rows: DataFrame, *, key: str, order: str, size: str, budget: int) -> DataFrame:
@@ -183,10 +192,9 @@ def stages_to_clean(done: Column, stages: list[str]) -> Column:
 
 def segment_shift(sims: Column, least: float) -> Column:
     """Segment number per sentence: a new one where similarity to the one before is under least."""
-    start = F.struct(F.lit(0).alias("g"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        g = acc["g"] + F.when(x < least, 1).otherwise(0)
-        return F.struct(g.alias("g"), F.concat(acc["out"], F.array(g)).alias("out"))
-
-    return F.aggregate(sims, start, step, lambda acc: acc["out"])
+    shifts = F.filter(F.transform(sims, lambda x, i: F.when(x < least, i)), lambda i: i.isNotNull())
+    first = F.when(F.get(sims, F.lit(0)) < least, F.array().cast("array<int>")).otherwise(F.array(F.lit(0)))
+    # a shift at the first sentence makes its segment number 1
+    number = F.transform(F.array(F.concat(first, shifts)), lambda s: _numbered(s, F.size(sims)))[0]
+    base = F.when(F.get(sims, F.lit(0)) < least, 1).otherwise(0)
+    return F.when(F.size(sims) > 0, F.transform(number, lambda g: (g + base).cast("int"))).otherwise(F.array().cast("array<int>"))

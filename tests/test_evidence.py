@@ -1,5 +1,7 @@
 """Evidence for an answer: reranking, verdicts, context text, unique ids and flags on small cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from strataq.functions import text as X
@@ -62,3 +64,19 @@ def test_flags_noise_and_counts(spark):
     assert got == [(True, None, None, False), (None, "high", None, False), (None, None, 12, True), (None, None, None, True), (None, None, None, False), (None, None, None, True), (None, None, None, True)]
     counts = spark.createDataFrame([(["b", "a", "b"],), ([],)], "w array<string>").select(X.word_counts(F.col("w"))).collect()
     assert [r[0] for r in counts] == [{"a": 1, "b": 2}, {}]
+
+
+def test_packing_and_shifts_in_one_row(spark):
+    rng = random.Random(5)
+    rows = [([rng.choice([0, 1, 3, 5, 12]) for _ in range(n)], [rng.random() for _ in range(n)]) for n in (0, 1, 2, 7, 50, 400)]
+    got = spark.createDataFrame(rows, "sizes array<long>, sims array<double>").select(ingest.packed(F.col("sizes"), 10).alias("g"), ingest.segment_shift(F.col("sims"), 0.4).alias("s")).collect()
+    for (sizes, sims), r in zip(rows, got):
+        g, total, groups = 0, 0, []
+        for x in sizes:
+            g, total = (g + 1, x) if total > 0 and total + x > 10 else (g, total + x)
+            groups.append(g)
+        shifts, k = [], 0
+        for x in sims:
+            k += x < 0.4
+            shifts.append(k)
+        assert (r.g, r.s) == (groups, shifts)
