@@ -189,7 +189,12 @@ def n06(v):
     return rows.withColumn("shift", shift).select("doc_id", "chunk_index", F.sum("shift").over(w).alias("segment"))
 
 
-@query("n07_overflow_split")
+@query("n07_overflow_split", """WITH c AS (SELECT chunk_id, length(content) // 4 // 100 + 1 AS want, list_filter(string_split(content, '. '), lambda p: p <> '') AS parts FROM v_chunk WHERE length(content) // 4 > 100),
+  s AS (SELECT chunk_id, want, len(parts) AS n, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM c),
+  w AS (SELECT *, list_distinct(regexp_extract_all(lower(part), '[\\p{L}\\p{N}_]+')) AS w FROM s), p AS (SELECT *, lag(w) OVER (PARTITION BY chunk_id ORDER BY i) AS u FROM w),
+  b AS (SELECT *, CASE WHEN i > 1 THEN 1 - len(list_intersect(u, w))::DOUBLE / greatest(1, len(list_distinct(list_concat(u, w)))) END AS b FROM p),
+  r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, i > 1 ORDER BY b, i) AS r FROM b), g AS (SELECT *, sum((i > 1 AND (n <= want OR r > n - want))::INT) OVER (PARTITION BY chunk_id ORDER BY i) AS piece FROM r)
+  SELECT chunk_id, piece::INT AS piece, string_agg(part, '. ' ORDER BY i) AS text FROM g GROUP BY chunk_id, piece""")
 def n07(v):
     """Chunks past 100 tokens in as many pieces as they need."""
     n = X.token_estimate(F.col("content"))

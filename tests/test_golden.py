@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,12 +137,29 @@ def test_selected_nodes_two_hops(spark, tmp_path):
     assert sorted(r.id for r in got) == [50, 1000001]
 
 
-def test_overflow_pieces():
-    text = "alpha beta gamma. alpha beta delta. other words here. other words there. " * 3
-    pieces = segment.overflow_pieces(text, 20)
-    assert len(pieces) == len(text) // 4 // 20 + 1 and ". ".join(pieces) == ". ".join(p for p in text.split(". ") if p)
-    assert segment.overflow_pieces("short. text", 20) == ["short. text"] and segment.overflow_pieces("x" * 100, 20) == ["x" * 100]
-    assert segment.overflow_pieces("a b c. a b c. " + "d " * 40, 20)[0] == "a b c. a b c"  # the lowest boundary goes first
+def merged_step_by_step(text, most):
+    """Neighbours merge one by one at the lowest boundary."""
+    parts = [p for p in text.split(". ") if p]
+    want = len(text) // 4 // most + 1
+    if len(text) // 4 <= most or len(parts) <= want:
+        return parts if len(text) // 4 > most else [text]
+    words = [set(re.findall(r"\w+", p.lower())) for p in parts]
+    boundary = [1 - len(a & b) / max(1, len(a | b)) for a, b in zip(words, words[1:])]
+    while len(parts) > want:
+        at = boundary.index(min(boundary))
+        parts[at : at + 2] = [". ".join(parts[at : at + 2])]
+        del boundary[at]
+    return parts
+
+
+def test_overflow_pieces(spark):
+    rng = random.Random(4)
+    texts = ["alpha beta gamma. alpha beta delta. other words here. other words there. " * 3, "short. text", "x" * 100, "a b c. a b c. " + "d " * 40, ". . . " * 40, "", None]
+    texts += [". ".join(" ".join(rng.choice(["a", "bé", "c1", "d_d", ""]) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 25))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", segment.overflow_pieces(F.coalesce("t", F.lit("")), 20).alias("p"))
+    got = {r.i: r.p for r in df.collect()}
+    assert [got[i] for i in range(len(texts))] == [merged_step_by_step(t or "", 20) for t in texts]
+    assert got[3][0] == "a b c. a b c"  # the lowest boundary goes first
 
 
 def test_retry_then_second_model():
