@@ -172,7 +172,23 @@ def n04(v):
     return S.segments(v.chunk, "hierarchical")
 
 
-@query("n05_linear_segments")
+_BYTES = "CASE WHEN u < 128 THEN u WHEN u < 2048 THEN 320 + u // 64 + u % 64 WHEN u < 65536 THEN 480 + u // 4096 + u // 64 % 64 + u % 64 ELSE 624 + u // 262144 + u // 4096 % 64 + u // 64 % 64 + u % 64 END"
+
+
+@query("n05_linear_segments", f"""WITH RECURSIVE w AS (SELECT doc_id, chunk_index, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM v_chunk),
+  d AS (SELECT DISTINCT word FROM w), h AS (SELECT word, list_sum(list_transform(list_transform(string_split(word, ''), lambda c: unicode(c)), lambda u: {_BYTES}))::BIGINT * 2654435761 % 64 AS dim FROM d),
+  n AS (SELECT doc_id, chunk_index, dim, count(*)::DOUBLE AS n FROM w JOIN h USING (word) GROUP BY ALL),
+  l AS (SELECT doc_id, chunk_index, sqrt(sum(n * n)) AS size FROM n GROUP BY ALL),
+  g AS (SELECT c.doc_id, c.chunk_index, dim, coalesce(n / size, 0) AS x FROM v_chunk c CROSS JOIN range(64) t(dim) LEFT JOIN n USING (doc_id, chunk_index, dim) LEFT JOIN l ON l.doc_id = c.doc_id AND l.chunk_index = c.chunk_index),
+  p AS (SELECT doc_id, chunk_index, dim, x, sum(x) OVER (PARTITION BY doc_id, dim ORDER BY chunk_index) AS upto FROM g),
+  v AS (SELECT doc_id, chunk_index, list(x ORDER BY dim) AS x, list(upto ORDER BY dim) AS upto FROM p GROUP BY ALL),
+  r AS (SELECT doc_id, chunk_index, 0::BIGINT AS segment, 0::BIGINT AS start_ FROM v WHERE chunk_index = 0
+    UNION ALL SELECT doc_id, i, segment + (s < 0.6::DOUBLE)::INT, CASE WHEN s < 0.6::DOUBLE THEN i ELSE start_ END FROM (
+      SELECT r.doc_id, b.chunk_index AS i, segment, start_, round(list_dot_product(m, b.x) / greatest(sqrt(list_dot_product(m, m)), 1e-12), 9) AS s
+      FROM (SELECT r.doc_id, r.chunk_index, segment, start_, list_transform(list_zip(a.upto, coalesce(z.upto, list_transform(range(64), lambda k: 0.0::DOUBLE))), lambda y: (y[1] - y[2]) / (r.chunk_index + 1 - greatest(start_, r.chunk_index - 19))) AS m
+        FROM r JOIN v a ON a.doc_id = r.doc_id AND a.chunk_index = r.chunk_index LEFT JOIN v z ON z.doc_id = r.doc_id AND z.chunk_index = greatest(start_, r.chunk_index - 19) - 1) r
+      JOIN v b ON b.doc_id = r.doc_id AND b.chunk_index = r.chunk_index + 1))
+  SELECT doc_id, chunk_index, segment FROM r""")
 def n05(v):
     return S.segments(v.chunk, "linear")
 
