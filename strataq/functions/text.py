@@ -42,13 +42,17 @@ def words(text: Column, pattern: str = WORD) -> Column:
 
 
 def detect_language(text: Column) -> Column:
-    """The language with most distinct stop words in the text; the earlier on ties; 'es' for none."""
-    found = words(text)
-    best, top = F.lit("es"), F.lit(0)
-    for lang, stops in STOPWORDS.items():
-        n = F.size(F.array_intersect(found, F.array(*map(F.lit, stops))))
-        best, top = F.when(n > top, lang).otherwise(best), F.greatest(top, n)
-    return best
+    """The language with most distinct stop words in the text; the earlier on ties; 'es' for none.
+
+    The text's words meet all stop words at once, and only what is found is counted by language.
+    """
+    every = F.array(*map(F.lit, dict.fromkeys(w for stops in STOPWORDS.values() for w in stops)))
+
+    def ranked(found: Column) -> Column:
+        counted = (F.struct(F.size(F.array_intersect(found, F.array(*map(F.lit, stops)))).alias("n"), F.lit(-i).alias("place"), F.lit(lang).alias("lang")) for i, (lang, stops) in enumerate(STOPWORDS.items()))
+        return F.transform(F.array(F.array_max(F.array(*counted))), lambda top: F.when(top["n"] > 0, top["lang"]).otherwise("es"))[0]
+
+    return F.transform(F.array(F.array_intersect(words(text), every)), ranked)[0]
 
 
 def content_hash(text: Column) -> Column:
