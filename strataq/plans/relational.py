@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vector as V
-from ..operators import graph, ingest, ranking
+from ..operators import graph, ingest, ranking, retrieval
 from .registry import query
 
 
@@ -274,7 +274,7 @@ def w11(v):
 @query("t01_nearest", "SELECT vec_id FROM v_vec WHERE vec_id <> 0 ORDER BY round(list_cosine_similarity(v, (SELECT v FROM v_vec WHERE vec_id = 0)), 9) DESC, vec_id LIMIT 8")
 def t01(v):
     q = v.vec.filter("vec_id = 0").select(F.col("v").alias("q"))
-    return v.vec.filter("vec_id <> 0").crossJoin(F.broadcast(q)).orderBy(F.desc(F.round(V.cosine(F.col("v"), F.col("q")), 9)), "vec_id").limit(8).select("vec_id")
+    return v.vec.filter("vec_id <> 0").crossJoin(retrieval.small(q)).orderBy(F.desc(F.round(V.cosine(F.col("v"), F.col("q")), 9)), "vec_id").limit(8).select("vec_id")
 
 
 @query("t02_top_by_score", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy
 from ..functions import text as X
 from ..functions import vector as V
-from ..operators import ingest
+from ..operators import ingest, retrieval
 from .registry import query
 
 _LANG = " ".join(f"('{lang}', {i}, [{', '.join(repr(w) for w in words)}])," for i, (lang, words) in enumerate(X.STOPWORDS.items())).rstrip(",")
@@ -112,7 +112,7 @@ def x12(v):
 @query("x13_cosine_distance", "SELECT vec_id, round(1 - list_cosine_similarity(v, (SELECT v FROM v_vec WHERE vec_id = 0)), 6) AS d FROM v_vec")
 def x13(v):
     q = v.vec.filter("vec_id = 0").select(F.col("v").alias("q"))
-    return v.vec.crossJoin(F.broadcast(q)).select("vec_id", F.round(1 - V.cosine(F.col("v"), F.col("q")), 6).alias("d"))
+    return v.vec.crossJoin(retrieval.small(q)).select("vec_id", F.round(1 - V.cosine(F.col("v"), F.col("q")), 6).alias("d"))
 
 
 @query("x14_boundary_score", """WITH w AS (SELECT chunk_id, doc_id, chunk_index, list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z]+'), lambda x: length(x) > 3)) AS t FROM v_chunk)
