@@ -187,6 +187,15 @@ def test_windows_past_a_threshold():
         assert fuzzy._window_ratio(short, long, 95) == (plain if plain >= 95 else 0)
 
 
+@pytest.mark.parametrize("text", ["As As As As As As As As", "The The The The The The The The The", "a" * 20])
+def test_likeness_of_repeated_words(text):
+    """One letter changed is one letter apart, also where the text repeats itself."""
+    changed = text[:5] + "~" + text[6:]
+    want = 100 * (len(text) - 1) / len(text)
+    assert fuzzy._window_ratio(changed, text) == fuzzy._window_ratio(changed, text, 95) == want
+    assert fuzzy._window_ratio(changed, f"{text[:9]} {text} {text[3:]}", 95) == want
+
+
 def test_contained(spark):
     parts = spark.createDataFrame([("a",), ("red w",), ("get",), ("gear box",), ("%",)], "part string")
     wholes = spark.createDataFrame([(1, "red widget"), (2, "gear"), (3, "100%"), (4, ""), (5, None)], "id long, whole string")
