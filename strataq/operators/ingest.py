@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from fnmatch import fnmatchcase
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
+def write_files(rows: DataFrame, path: str) -> None:
+    """A file of its own for each row (name, content: binary) under path, in any store that Arrow reaches; a retried task puts the same files in place again."""
+    path = path if "://" in path else f"file://{path}"
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = pa.fs.FileSystem.from_uri(path)
+        store.create_dir(top, recursive=True)
+        n = 0
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = f"{top}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                store.move(part, f"{top}/{name}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows.select("name", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()
+
+
 def scan_files(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """path, text, error of every file below path: one bad file is a row with an error, never a failed job.
 
@@ -17,11 +41,13 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     the text is null with the last two.
     """
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found, listed = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
-    while found.hasNext():
-        status = found.next()
-        if fnmatchcase(status.getPath().getName(), glob):
-            listed.append((status.getPath().toString(), status.getLen()))
+    store, todo, listed = where.getFileSystem(spark._jsc.hadoopConfiguration()), [where], []
+    while todo:
+        for status in store.listStatus(todo.pop()):  # plain statuses: located ones have a local store start a process per file
+            if status.isDirectory():
+                todo.append(status.getPath())
+            elif fnmatchcase(status.getPath().getName(), glob):
+                listed.append((status.getPath().toString(), status.getLen()))
     files = spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup="true", ignoreMissingFiles="true", ignoreCorruptFiles="true").load(path)
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     names = spark.createDataFrame(listed, "path string, size long").select(plain("path").alias("path"), "size")

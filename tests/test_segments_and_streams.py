@@ -110,6 +110,16 @@ def test_scan_of_a_folder_with_broken_files(spark, tmp_path):
     assert got == {"a.md": ("# A\né", None), "b.md": (None, "bad bytes"), "c.md": ("", "empty"), "gone.md": (None, "unreadable")}
 
 
+def test_files_are_written_side_by_side(spark, tmp_path):
+    """One folder and one file a row, whatever its bytes; written again, the same files."""
+    rows = spark.createDataFrame([(f"{k}.md", bytes([65 + k % 20]) * k) for k in range(300)] + [("bad.md", b"\xff")], "name string, content binary").repartition(5)
+    for _ in range(2):
+        ingest.write_files(rows, f"file://{tmp_path}/out")
+    assert len(os.listdir(tmp_path / "out")) == 301
+    got = {r.path.split("/")[-1]: (r.text, r.error) for r in ingest.scan_files(spark, f"file://{tmp_path}/out").collect()}
+    assert got == {f"{k}.md": (chr(65 + k % 20) * k, None if k else "empty") for k in range(300)} | {"bad.md": (None, "bad bytes")}
+
+
 def test_streams_in_deliveries_equal_the_batch(spark, sf, tmp_path):
     """State is carried over deliveries, and what a batch wrote before a retry counts once."""
     events = spark.read.parquet(f"{sf}/events.parquet")
