@@ -173,3 +173,10 @@ def test_fold_of_one_hot_key(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert got == {a: fold_all(None, [r[4] for r in sorted(rows, key=lambda r: (r[1], r[0])) if r[2] == a]) for a in (4, 9)}
     assert telemetry.folded(df.limit(0)).count() == 0
+
+
+def test_candidate_ngrams_take_words_once_a_row(spark, sf):
+    """No transform over a row's words: it would take them again for every word."""
+    from strataq import plans
+
+    assert "transform(regexp_extract_all" not in plans.queries()["n09_candidate_ngrams"](spark, sf)._jdf.queryExecution().executedPlan().toString()
