@@ -88,6 +88,34 @@ def test_chains_by_a_hook_that_marks_them(spark):
     assert brute_segments(docs[0])[:4] == [0, 0, 0, 0]  # ann is the subject still, through she and her
 
 
+def test_documents_are_cut_without_a_shuffle(spark, monkeypatch):
+    """Documents stay where they are: no exchange and no group for each; slices of a task hold whole documents, and empty ones vanish."""
+    monkeypatch.setattr(segment, "TEXTS", 5)
+    rng = random.Random(5)
+    texts = {d: [" ".join(rng.choice(["harbour", "granite", "weather", "a", "Ñu", "x_1"]) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 12))] for d in range(20)}
+    rows = [(d, list(enumerate(t))) for d, t in texts.items()] + [(98, []), (99, None)]
+    documents = spark.createDataFrame(rows, "doc_id long, chunks array<struct<chunk_index:long,content:string>>").coalesce(1)
+    for method, one in (("linear", segment.linear), ("hierarchical", segment.hierarchical)):
+        got = segment.segments_of(documents, method)
+        assert "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r.doc_id, r.chunk_index): r.segment for r in got.collect()} == {(d, i): g for d, t in texts.items() for i, g in enumerate(one(segment.sentence_vectors(t)))}
+        flat = spark.createDataFrame([(d, i, t) for d, every in texts.items() for i, t in enumerate(every)], "doc_id long, chunk_index long, content string")
+        assert sorted(got.collect()) == sorted(segment.segments(flat.repartition(3), method).collect())
+    got = segment.merge_by_chains_of(documents).collect()
+    assert {(r.doc_id, r.chunk_index): r.segment for r in got} == {(d, i): g for d, t in texts.items() for i, g in enumerate(segment.chain_segments(t, segment.word_chains, segment.first_long_words))}
+
+
+def test_a_long_chain_is_not_walked_for_every_segment():
+    """Work grows with the text, though a word runs through it all."""
+    import time
+
+    texts = ["another harbour " * 4] * 6000
+    start = time.process_time()
+    assert segment.chain_segments(texts, segment.word_chains, lambda tails: [["nothing"] for _ in tails]) == list(range(6000))
+    assert segment.chain_segments(texts, segment.word_chains, segment.first_long_words) == [0] * 6000
+    assert time.process_time() - start < 20
+
+
 def test_chains_without_a_model(spark):
     def broken(windows):
         raise RuntimeError("no model")
