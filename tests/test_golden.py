@@ -223,3 +223,14 @@ def test_text_helpers_on_single_cases(spark):
     docs = spark.createDataFrame([(1, book)], "doc_id int, text string")
     assert sorted((r.line_start, r.line_end, r.title) for r in ingest.split_books(docs, min_lines=2).collect()) == [(1, 6, "First book"), (8, 11, "Second")]
     assert sorted((r.line_no, r.image) for r in ingest.image_references(docs).collect()) == [(10, "b.jpg"), (10, "img/a.png")]
+
+
+def test_collapsed_spans_of_a_text(spark):
+    """All spans of a text at once, each where it stands in the text as it is."""
+    texts = ["  a  b\tc a b ", "plain words here", " \n", "x\u00a0y z", ""]
+    spans = ["a b", "b c a", "c a b", "words  here", "x y", "", " ", "zz", "a"]
+    got = spark.createDataFrame([(t, spans) for t in texts], "t string, p array<string>").select("t", fuzzy.collapsed_spans(F.col("t"), F.col("p")).alias("at")).collect()
+    for r in got:
+        for p, at in zip(spans, r["at"]):
+            found = re.search(r"\s+".join(map(re.escape, p.split())), r["t"]) if p.split() else None
+            assert (at["s"], at["e"]) == (found.span() if found else (None, None)), (r["t"], p)
